@@ -1,10 +1,13 @@
 """The subpackage's queries and their SQL, for the entry module."""
 
-from . import near_dups, sharding
+from . import bpe, near_dups, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_near_duplicates": near_dups.op2_near_duplicates,
+    "op3_bpe": bpe.op3_bpe,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality": quality.op6_quality,
 }
 
 ORACLE_SQL = {
