@@ -114,23 +114,23 @@ class _Sets:
         return self.held[text]
 
 
-VERIFIED = "a binary, b binary, n_a bigint, n_b bigint, common bigint, delta array<bigint>"
+VERIFIED = "a binary, b binary, n_a bigint, n_b bigint, common bigint, gone array<bigint>, added array<bigint>"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sets = _Sets()
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("a", "b", "n_a", "n_b", "common", "delta")}
+        out: dict[str, list] = {k: [] for k in ("a", "b", "n_a", "n_b", "common", "gone", "added")}
         for a, b, text_a, text_b, hot in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b", "hot")), strict=True):
             (x, x_digest), (y, y_digest) = sets(text_a), sets(text_b)
             if (x_digest, y_digest) != (a, b):  # another row with the same key
                 continue
             common = len(np.intersect1d(x, y, assume_unique=True))
-            delta = np.setxor1d(x, y, assume_unique=True).view(np.int64) if hot else None
-            for k, v in zip(out, (a, b, len(x), len(y), common, delta), strict=True):
+            gone, added = (np.setdiff1d(p, q, assume_unique=True).view(np.int64) if hot else None for p, q in ((y, x), (x, y)))
+            for k, v in zip(out, (a, b, len(x), len(y), common, gone, added), strict=True):
                 out[k].append(v)
         yield pa.record_batch(
-            [pa.array(out["a"], pa.binary()), pa.array(out["b"], pa.binary()), *(pa.array(out[k], pa.int64()) for k in ("n_a", "n_b", "common")), pa.array(out["delta"], pa.list_(pa.int64()))],
+            [pa.array(out["a"], pa.binary()), pa.array(out["b"], pa.binary()), *(pa.array(out[k], pa.int64()) for k in ("n_a", "n_b", "common")), *(pa.array(out[k], pa.list_(pa.int64())) for k in ("gone", "added"))],
             names=list(out),
         )
 
@@ -176,7 +176,7 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     verified = durable(pairs.mapInArrow(_verify, VERIFIED).dropDuplicates(["a", "b"]))
     linked = f"100 * common >= {threshold} * (n_a + n_b - common)"
     found = verified.filter(linked).select("a", "b")
-    return found.unionByName(_between_members(verified.filter("delta is not null"), linked, threshold))
+    return found.unionByName(_between_members(verified.filter("gone is not null"), linked, threshold))
 
 
 def _between_members(stars: DataFrame, linked: str, threshold: int) -> DataFrame:
@@ -185,20 +185,22 @@ def _between_members(stars: DataFrame, linked: str, threshold: int) -> DataFrame
     With d the size of a symmetric difference, a link of x and y means d(x, y) * (100 + t) <= (100 - t) * (n_x + n_y).
     """
     per = (100 - threshold) / (100 + threshold)
-    spans = stars.select("b", "a", "n_a", "n_b", F.size("delta").alias("d"), (~F.expr(linked)).alias("apart"), F.explode("delta").alias("e"))
-    rare = spans.groupBy("b", "e").agg(F.count("*").alias("held"), F.max("apart").alias("wanted")).filter("held > 1 and wanted")
-    order = Window.partitionBy("b", "a").orderBy("held", "e")
-    # Elements that one member has can't be shared; they only shift ranks, and they come first.
-    shared = spans.join(rare.select("b", "e", "held"), ["b", "e"])
-    kept = shared.withColumn("rank", F.row_number().over(order)).withColumn("own", F.count("*").over(Window.partitionBy("b", "a")))
-    # Over this many elements of y's difference are also in that of any x that is apart from the leader.
-    need = F.floor((F.col("d") + per * (F.col("n_b") - F.col("n_a"))) / 2) + 1
-    y = kept.filter(F.col("own") >= need).filter(F.col("rank") <= F.col("own") - need + 1)
-    y = y.select("b", "e", F.col("a").alias("y"), F.col("d").alias("d_y"), F.col("n_a").alias("n_y"), (F.col("own") - F.col("rank") + 1).alias("left_y"))
-    x = kept.filter("apart").select("b", "e", F.col("a").alias("x"), F.col("d").alias("d_x"), F.col("n_a").alias("n_x"), (F.col("own") - F.col("rank") + 1).alias("left_x"))
-    enough = F.least("left_x", "left_y") * 2 >= F.col("d_x") + F.col("d_y") - per * (F.col("n_x") + F.col("n_y")) - 1e-6
+    stars = stars.select("b", "a", "n_a", "n_b", "gone", "added", (F.size("gone") + F.size("added")).alias("d"), (~F.expr(linked)).alias("apart"))
+    # Over half of y's difference, about, is also in that of any x that is apart from the leader.
+    stars = stars.withColumn("need", F.floor((F.col("d") + per * (F.col("n_b") - F.col("n_a"))) / 2) + 1)
+    # What y has lost may be lost by others too; of what it has gained, only what others have gained can count.
+    gains = stars.select("b", "a", "apart", F.explode("added").alias("e"))
+    others = gains.groupBy("b", "e").agg(F.count("*").alias("held"), F.max("apart").alias("wanted")).filter("held > 1 and wanted")
+    gained = gains.join(others.select("b", "e"), ["b", "e"], "left_semi").groupBy("b", "a").agg(F.count("*").alias("gained"))
+    ys = stars.join(gained, ["b", "a"], "left").filter(F.size("gone") + F.coalesce("gained", F.lit(0)) >= F.col("need"))
+    held = stars.select("b", "apart", F.explode(F.concat("gone", "added")).alias("e")).groupBy("b", "e").agg(F.count("*").alias("held"), F.max("apart").alias("wanted"))
+    spans = ys.select("b", "a", "n_a", "d", "need", F.explode(F.concat("gone", "added")).alias("e")).join(held.filter("held > 1 and wanted"), ["b", "e"])
+    spans = spans.withColumn("rank", F.row_number().over(Window.partitionBy("b", "a").orderBy("held", "e"))).withColumn("own", F.count("*").over(Window.partitionBy("b", "a")))
+    y = spans.filter(F.col("rank") <= F.col("own") - F.col("need") + 1).select("b", "e", F.col("a").alias("y"), F.col("d").alias("d_y"), F.col("n_a").alias("n_y"), (F.col("own") - F.col("rank") + 1).alias("left_y"))
+    x = stars.filter("apart").select("b", F.col("a").alias("x"), F.col("d").alias("d_x"), F.col("n_a").alias("n_x"), F.explode(F.concat("gone", "added")).alias("e"))
+    enough = F.col("left_y") * 2 >= F.col("d_x") + F.col("d_y") - per * (F.col("n_x") + F.col("n_y")) - 1e-6
     pairs = x.join(y, ["b", "e"]).filter((F.col("x") != F.col("y")) & enough).select("b", "x", "y", "d_x", "d_y", "n_x", "n_y").distinct()
-    deltas = stars.select("b", "a", "delta")
+    deltas = stars.select("b", "a", F.concat("gone", "added").alias("delta"))
     pairs = pairs.join(deltas.withColumnsRenamed({"a": "x", "delta": "delta_x"}), ["b", "x"]).join(deltas.withColumnsRenamed({"a": "y", "delta": "delta_y"}), ["b", "y"])
     apart = F.col("d_x") + F.col("d_y") - 2 * F.size(F.array_intersect("delta_x", "delta_y"))
     both = F.col("n_x") + F.col("n_y")
