@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, for the entry module."""
 
-from . import bpe, near_dups, quality, sharding, toxicity
+from . import bpe, fingerprints, near_dups, pii, quality, repeats, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -8,6 +8,9 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_personal_data": pii.op9_personal_data,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLE_SQL = {

@@ -76,13 +76,19 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums S and factors f: (S[end] - S[start]) * f[start] depends on the bytes from start to end alone."""
+    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
+    sums = np.zeros(len(data) + 1, dtype=U64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_byte_values()[data] * up[: len(data)], out=sums[1:])
+    return sums, down
+
+
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, the same wherever the span lies."""
-    size = 1 << max(20, int(len(data)).bit_length())
-    up, down = _powers(size)
+    sums, down = prefix_sums(data)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, dtype=U64)
-        np.cumsum(_byte_values()[data] * up[: len(data)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
