@@ -1,13 +1,15 @@
 """The subpackage's queries and their SQL, for the entry module."""
 
-from . import bpe, fingerprints, near_dups, pii, quality, repeats, sharding, toxicity
+from . import bpe, decontamination, fingerprints, licenses, near_dups, pii, quality, repeats, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_near_duplicates": near_dups.op2_near_duplicates,
     "op3_bpe": bpe.op3_bpe,
+    "op4_licenses": licenses.op4_licenses,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_personal_data": pii.op9_personal_data,
     "op10_repeats": repeats.op10_repeats,
@@ -16,4 +18,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_sharding": sharding.OP1_SQL,
     "op2_near_duplicates": near_dups.OP2_SQL,
+    "op4_licenses": licenses.OP4_SQL,
+    "op7_decontamination": decontamination.OP7_SQL,
 }
