@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +42,8 @@ def partitions(spark: SparkSession) -> int:
 
 def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """The batch in slices of a bounded number of bytes of the given string column, or of one row."""
-    import numpy as np
-
     size = np.zeros(batch.num_rows + 1, dtype=np.int64)
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     np.cumsum(lengths.to_numpy(zero_copy_only=False), out=size[1:])
     row = 0
     while row < batch.num_rows:
