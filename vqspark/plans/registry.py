@@ -1,4 +1,6 @@
 """All queries outside the training-data subpackage."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import tabular
+
+QUERIES: dict = {**tabular.QUERIES}
+ORACLE_SQL: dict = {**tabular.ORACLE_SQL}
