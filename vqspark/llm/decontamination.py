@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .native_text import CORES_SQL, WORDS_SQL, cores, solid_words
+from .native_text import CORES_SQL, WORDS_SQL, cores, solid_words, starts_digit
 from .near_dups import row_key
 
 WORDS = 5
@@ -29,30 +29,42 @@ NAME = r"^\p{Lu}\p{Ll}+$"
 SENTENCE_END = r"[.!?:][\"')]*$"
 
 
-def canonical(words: Column, core: Column) -> Column:
-    """The template's tokens."""
+def canonical(words: Column, core: Column, low: Column) -> Column:
+    """The template's tokens. Cheap tests stand before regular expressions, as few words are anything but plain."""
 
     def token(w: Column, i: Column) -> Column:
-        unit = (i > 0) & F.lower(w).isin(UNITS) & F.get(core, i - 1).rlike(NUMBER)
-        name = (i > 0) & w.rlike(NAME) & ~F.get(words, i - 1).rlike(SENTENCE_END)
-        return F.when(w.rlike(NUMBER), "<num>").when(unit, "<unit>").when(name, "<name>").otherwise(F.lower(w))
+        before = F.get(core, i - 1)
+        number = starts_digit(w) & w.rlike(NUMBER)
+        unit = (i > 0) & starts_digit(before) & F.get(low, i).isin(UNITS) & before.rlike(NUMBER)
+        name = (i > 0) & (w != F.get(low, i)) & w.rlike(NAME) & ~F.get(words, i - 1).rlike(SENTENCE_END)
+        return F.when(number, "<num>").when(unit, "<unit>").when(name, "<name>").otherwise(F.get(low, i))
 
     return F.transform(core, token)
 
 
 def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, at, hash and the window's tokens and values, for windows with few placeholders; short texts are one window."""
+    """keys, the text's core words and tokens, and place and hash of windows with few placeholders.
+
+    A short text is one window. Each step is a column of its own, as expressions within lambdas would be worked out for
+    every element; for the same reason no filter looks at the tokens.
+    """
     staged = rows.select(*keys, solid_words(F.col("text")).alias("words")).select(*keys, "words", cores(F.col("words")).alias("core"))
-    staged = staged.select(*keys, "core", canonical(F.col("words"), F.col("core")).alias("tokens"))
+    staged = staged.select(*keys, "words", "core", F.transform("core", F.lower).alias("low"))
+    staged = staged.select(*keys, "core", canonical(F.col("words"), F.col("core"), F.col("low")).alias("tokens"))
+    staged = staged.select(*keys, "core", "tokens", F.exists("tokens", lambda t: t.startswith("<")).alias("typed"))
 
     def key(i: Column) -> Column:
         some = [F.get(F.col("tokens"), i + k) for k in range(WORDS)]
         slots = sum(F.coalesce(s.startswith("<").cast("int"), F.lit(0)) for s in some)
-        return F.when((slots <= MOST_SLOTS) & some[0].isNotNull(), F.xxhash64(*some))
+        return F.when(some[0].isNotNull() & (~F.col("typed") | (slots <= MOST_SLOTS)), F.xxhash64(*some))
 
     hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size("tokens") - WORDS, F.lit(0))), key)
-    spread = staged.select(*keys, "core", "tokens", F.posexplode_outer(hashes).alias("at", "hash")).filter("hash is not null")  # a filter on the tokens would have them made twice
-    return spread.select(*keys, "at", "hash", F.slice("tokens", F.col("at") + 1, WORDS).alias("tokens"), F.slice("core", F.col("at") + 1, WORDS).alias("values"))
+    return staged.select(*keys, "core", "tokens", F.posexplode_outer(hashes).alias("at", "hash")).filter("hash is not null")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The window's own tokens and values in place of the text's."""
+    return df.withColumns({"tokens": F.slice("tokens", F.col("at") + 1, WORDS), "values": F.slice("core", F.col("at") + 1, WORDS)}).drop("core")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -62,14 +74,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts match nothing. An item_id or doc_id with several texts has its best pair; equal rows give one. An item without
     any window (all of them mostly placeholders) can't be found. reparameterised tells whether some slot differs.
     """
-    items = _windows(benchmark, ["item_id", "text"]).withColumn("item_key", F.xxhash64("item_id", "text")).drop("text")
+    items = _cut(_windows(benchmark, ["item_id", "text"])).withColumn("item_key", F.xxhash64("item_id", "text")).drop("text")
     items = items.dropDuplicates(["item_key", "at"])
     sizes = items.groupBy("item_key").agg(F.countDistinct("hash").alias("n_windows"))
     items = items.join(sizes, "item_key").select("item_key", "item_id", "n_windows", F.col("at").alias("item_at"), "hash", F.col("tokens").alias("item_tokens"), F.col("values").alias("item_values"))
     if items.count() <= MOST_BROADCAST:
         items = F.broadcast(items)
     keyed = docs.select("doc_id", row_key().alias("row_key"), "text")
-    hits = _windows(keyed, ["doc_id", "row_key"]).join(items, "hash").filter("tokens = item_tokens")
+    # Windows are cut once they have met: the join is by hash, and unequal tokens of equal hashes go after it.
+    hits = _cut(_windows(keyed, ["doc_id", "row_key"]).join(items, "hash"))
+    hits = hits.filter(~F.exists(F.zip_with("tokens", "item_tokens", lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
     pair = ["doc_id", "row_key", "item_key", "item_id", "n_windows"]
     hits = hits.withColumn("aligned", F.col("at") - F.col("item_at"))
     slots = F.filter(F.arrays_zip("tokens", "values", "item_values"), lambda s: s["tokens"].startswith("<"))
