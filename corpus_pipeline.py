@@ -27,10 +27,9 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted to be toxic. A null id is looked up as such; equal ids share the worst score."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    toxic = scored.filter("predicted = 1").select("doc_id").distinct()
-    return _columns(docs.join(toxic, docs.doc_id.eqNullSafe(toxic.doc_id), "left_anti"))
+    """Rows that aren't predicted to be toxic, by their own text."""
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), carry=("text", "lang", "source", "n_chars"))
+    return _columns(scored.filter("predicted = 0"))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+from array import array
 from base64 import b64decode
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -23,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textops as T
-from .common import parts, table
+from .common import parts, table, trim
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Slices that a worker keeps with their ids.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: Slices up to the last width are merged many at a time, in arrays of these widths; longer ones one by one, uncached.
 WIDTHS = (8, 16, 40)
 KEY = (1 << 63) - 1
@@ -44,13 +45,15 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 @lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """Class of every code point, by the Unicode tables that the pattern's own library uses."""
-    points = [i for i in range(sys.maxunicode + 1) if not 0xD800 <= i <= 0xDFFF]
-    text = "".join(map(chr, points))
     out = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
-    at = np.array(points)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
-        for m in regex.finditer(pattern, text):
-            out[at[m.start() : m.end()]] = kind
+    patterns = [(k, regex.compile(p)) for k, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+"))]
+    for first in range(0, sys.maxunicode + 1, 0x800):
+        if 0xD800 <= first <= 0xDFFF:
+            continue
+        text = "".join(map(chr, range(first, first + 0x800)))
+        for kind, pattern in patterns:
+            for m in pattern.finditer(text):
+                out[first + m.start() : first + m.end()] = kind
     out[0x20] = SPACE
     out[0x27] = QUOTE
     return out
@@ -228,9 +231,13 @@ class Encoder:
     @cached_property
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """An open hash table from a pair of ids to the rank of their joined bytes."""
-        ranks = self.ranks
-        found = [(a << 20 | b, r) for token, r in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
-        keys, values = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
+        ranks, keys, values = self.ranks, array("q"), array("q")
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
+                    keys.append(a << 20 | b)
+                    values.append(rank)
+        keys, values = np.array(keys), np.array(values)
         held, to = np.full(TABLE, -1, dtype=np.int64), np.full(TABLE, NONE, dtype=np.int32)
         at = _slot(keys)
         while len(keys):
@@ -416,6 +423,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str | None = None, keep_ids:
                     [batch.column("doc_id"), pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["offsets"], pa.list_(pa.int32())), pa.array(np.concatenate(out["n"]) if out["n"] else [], pa.int64()), pa.array(out["ids_sha"], pa.string()), pa.array(out["decoded_sha"], pa.string())],
                     names=["doc_id", "ids", "offsets", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
 

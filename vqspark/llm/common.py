@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
+_libc = ctypes.CDLL(None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -52,6 +55,13 @@ def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 24) -> Iterator[p
         row = end
 
 
+def trim() -> None:
+    """Hands freed memory back, as a Python worker stays for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def held_out() -> F.Column:
     """True for the rows whose labels are never learnt from."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0

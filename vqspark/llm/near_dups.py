@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import textops as T
-from .common import durable, table
+from .common import durable, table, trim
 from .components import components
 
 #: Bands, rows of a band, and so permutations: a pair at 85 in 100 is missed with a chance of (1 - 0.85**5)**20, below 1e-5.
@@ -88,6 +88,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["row_key", "n_shingles", "digest", "bands", "signature"],
             )
+    trim()
 
 
 def _fixed(values: np.ndarray) -> pa.Array:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import held_out, table
+from .common import held_out, table, trim
 from .labelled import SAMPLE, labelled_sample
 
 #: Lengths in bytes of the word beginnings that are terms beside whole words.
@@ -192,10 +192,10 @@ def _examples(sample: DataFrame, terms: list[int]) -> tuple[np.ndarray, np.ndarr
     return np.array([r.doc_id for r in rows], dtype=np.int64), np.array([r.label for r in rows], dtype=np.int64), counts
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted, evidence (ids of the nearest examples).
 
-    `docs` needs doc_id and text, `labels` doc_id and toxic; other columns are not looked at. Labels are learnt from
+    `docs` needs doc_id and text, `labels` doc_id and toxic; of other columns, those named in `carry` come along. Labels are learnt from
     the rows that aren't held out alone, at most `most` of them. A text without any term, also a null or empty one, gets
     the rate of toxic examples without terms. Without labels of both kinds every row gets the base rate. Examples that
     tie with the last neighbour all vote. Rows keep their number.
@@ -220,10 +220,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Da
                     value, near = index.score(term[cut[r] : cut[r + 1]], count[cut[r] : cut[r + 1]])
                     scores.append(value)
                     evidence.append(near)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "evidence"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), *(batch.column(c) for c in carry)], names=["doc_id", "held_out", "score", "evidence", *carry])
+        trim()
 
-    scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(work, "doc_id bigint, held_out boolean, score double, evidence array<bigint>")
-    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
+    types = dict(docs.dtypes)
+    schema = "doc_id bigint, held_out boolean, score double, evidence array<bigint>" + "".join(f", {c} {types[c]}" for c in carry)
+    scored = docs.select("doc_id", held_out().alias("held_out"), *dict.fromkeys(["text", *carry])).mapInArrow(work, schema)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence", *carry)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
