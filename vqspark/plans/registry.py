@@ -1,6 +1,6 @@
 """All queries outside the training-data subpackage."""
 
-from . import tabular
+from . import tabular, vector_queries
 
-QUERIES: dict = {**tabular.QUERIES}
-ORACLE_SQL: dict = {**tabular.ORACLE_SQL}
+QUERIES: dict = {**tabular.QUERIES, **vector_queries.QUERIES}
+ORACLE_SQL: dict = {**tabular.ORACLE_SQL, **vector_queries.ORACLE_SQL}
