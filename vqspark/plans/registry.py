@@ -1,6 +1,6 @@
 """All queries outside the training-data subpackage."""
 
-from . import tabular, vector_queries
+from . import stream_queries, tabular, text_queries, vector_queries
 
-QUERIES: dict = {**tabular.QUERIES, **vector_queries.QUERIES}
-ORACLE_SQL: dict = {**tabular.ORACLE_SQL, **vector_queries.ORACLE_SQL}
+QUERIES: dict = {**tabular.QUERIES, **text_queries.QUERIES, **stream_queries.QUERIES, **vector_queries.QUERIES}
+ORACLE_SQL: dict = {**tabular.ORACLE_SQL, **text_queries.ORACLE_SQL, **stream_queries.ORACLE_SQL, **vector_queries.ORACLE_SQL}

@@ -297,8 +297,8 @@ def _recall_sql(bits: int) -> str:
 
 _add("ann_recall", lambda s, d: _recall(s, d, 2), _recall_sql(2))
 _add("ann_recall_sweep", lambda s, d: _recall(s, d, 1).unionByName(_recall(s, d, 3)), f"SELECT * FROM ({_recall_sql(1)}) UNION ALL BY NAME SELECT * FROM ({_recall_sql(3)})")
-_add("gram_moment", lambda s, d: K.second_moments(X.kv_states(s, d), ["layer", "side"]).filter("i <= j and j < 8").withColumn("value", F.round("value", 6)),
-     f"WITH {X.KV_CTE}, u AS (SELECT layer, side, list_transform(vec, lambda x: x / sqrt({_sq('vec')})) AS u FROM kv) SELECT layer, side, CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(avg(u[i] * u[j]), 6) AS value FROM u, range(1, 9) a(i), range(1, 9) b(j) WHERE i <= j GROUP BY ALL")
+_add("gram_moment", lambda s, d: K.second_moments(X.kv_states(s, d), ["layer", "side"]).filter("i <= j").withColumn("value", F.round("value", 6)),
+     f"WITH {X.KV_CTE}, u AS (SELECT layer, side, list_transform(vec, lambda x: x / sqrt({_sq('vec')})) AS u FROM kv) SELECT layer, side, CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(avg(u[i] * u[j]), 6) AS value FROM u, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY ALL")
 for _k in ("pca", "whiten", "second_hadamard"):
     _add(f"transform_{_k}", lambda s, d, k=_k: K.orthogonality(K.transforms(K.second_moments(X.kv_states(s, d), ["side"]), ["side"], k), ["side"], D).withColumn("distance", F.round("distance", 4)))
 _add("static_channel_scores", lambda s, d: K.static_scores(X.kv_states(s, d), "seq_id").withColumn("score", F.round("score", 6)),
