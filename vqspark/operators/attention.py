@@ -5,10 +5,13 @@ The last t queries of a sequence meet all its keys by an equi-join on (seq, laye
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codec import dot
+from .segments import pick_by_segment
 
 SCALING = 0.125
 QUERY = ["seq_id", "layer", "q_head", "q_pos"]
@@ -108,3 +111,16 @@ def guard_by_entropy(segments: DataFrame, ratios: DataFrame, keys: list[str], li
     rows = segments.join(ratios, keys, "left")
     good = F.col("entropy_ratio") <= limit if below else ~(F.col("entropy_ratio") > limit)
     return rows.withColumn("kind", F.when(F.coalesce(good, F.lit(False)), kind).otherwise(base))
+
+
+def pick_by_attention(q: DataFrame, candidates: dict[str, DataFrame], keys: list[str], t: int = 1) -> DataFrame:
+    """Per segment the candidate (rows with vec and vec_hat) of the least attention error of its keys: kind and vec_hat.
+
+    Serves every kind that chooses between codings by this proxy; segments without queries keep the first candidate.
+    """
+    names = list(candidates)
+    errors = [key_error(q, c, keys, t).withColumnRenamed("error", f"sse_{n}") for n, c in candidates.items()]
+    segments = candidates[names[0]].select(*keys).distinct()
+    chosen = segments.join(pick_by_segment(reduce(lambda a, b: a.join(b, keys), errors), keys, names), keys, "left").fillna(names[0], ["kind"])
+    common = [*dict.fromkeys([*keys, "vec_id", "head", "pos", "vec", "vec_hat"])]
+    return reduce(DataFrame.unionByName, [c.select(*common).join(chosen.filter(F.col("kind") == n), keys) for n, c in candidates.items()])

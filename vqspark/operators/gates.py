@@ -96,3 +96,18 @@ def verify_existing(made: DataFrame, existing: DataFrame, tolerance: float = 1e-
     """Rows of both whose scores differ by more than the tolerance, or where just one is null."""
     pair = made.select("dataset", "index", F.col("score").alias("made")).join(existing.select("dataset", "index", F.col("score").alias("held")), ["dataset", "index"])
     return pair.filter(F.coalesce(F.abs(F.col("made") - F.col("held")) > tolerance, ~F.col("made").eqNullSafe(F.col("held"))))
+
+
+def regime_kind(kind: str, bits: float) -> Column:
+    """What a kind that depends on rate, side and layer stands for; other kinds stand for themselves."""
+    low = bits < 3
+    value = F.col("side") == "value"
+    fine = F.lit("learned_unit_mse_block2")
+    made = {
+        "distortion_regime_mse": F.lit("gain_mse") if bits <= 2 else fine,
+        "gain_unit_regime_mse": F.lit("gain_mse" if bits <= 2 else "unit_mse"),
+        "rate_regime_mse": F.lit("gain_mse") if low else fine,
+        "hadamard_rate_regime_mse": F.when(value, "margin_vector_outlier_hadamard_mse").otherwise("mse") if low else fine,
+        "rate_hadamard_value_mse": F.when(~value, "mse").when(F.lit(low), "margin_vector_outlier_hadamard_mse").when(F.col("layer") >= 16, "outlier_hadamard_mse").otherwise("mse"),
+    }
+    return made.get(kind, F.lit(kind))

@@ -10,6 +10,7 @@ from ..functions import constants as C
 from ..operators import attention as A
 from ..operators import calibration as K
 from ..operators import codec as V
+from ..operators import gates as G
 from ..operators import protection as P
 from ..operators import search as N
 from ..operators import segments as S
@@ -313,3 +314,36 @@ _add("phase_kind", lambda s, d: E.phase_kind(X.kv_states(s, d).filter("pos >= 7
 _add("crop", lambda s, d: E.crop(X.kv_states(s, d), 8, -3).groupBy("layer", "side").agg(F.count("*").alias("n"), F.max("pos").alias("last")), f"WITH {X.KV_CTE} SELECT layer, side, count(*) AS n, max(pos) AS last FROM kv WHERE pos < 5 GROUP BY 1, 2")
 _add("reorder", lambda s, d: E.reorder(X.kv_states(s, d), s.createDataFrame([(0, 1), (1, 1), (2, 0)], "new_seq long, old_seq long")).groupBy("seq_id", "layer").agg(F.count("*").alias("n"), F.sum("vec_id").alias("total")),
      f"WITH {X.KV_CTE} SELECT n AS seq_id, layer, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS total FROM kv JOIN (VALUES (0, 1), (1, 1), (2, 0)) b(n, o) ON seq_id = o GROUP BY 1, 2")
+
+
+def _picked(s, d, made):  # noqa: ANN001, ANN202
+    keys = _keys(s, d)
+    m = V.codec("mse", D, 2)
+    plain = V.decode(V.encode(keys, "vec", m), m)
+    return A.pick_by_attention(X.q_states(s, d), {"mse": plain, "other": made(keys)}, ["seq_id", "layer"]).groupBy("layer", "kind").agg(F.round(F.avg(S.squared_error()), 6).alias("mse"), F.count("*").alias("n"))
+
+
+for _n, _f in (("outlier_hadamard", lambda k: S.outlier_hadamard(k, 2, keys=SEG)), ("rotated_outlier", lambda k: S.rotated_outliers(k, 2.5, SEG)), ("hadamard_residual", lambda k: S.hadamard_residual(k, 2.5, SEG)), ("regular_gain", lambda k: S.encode_fractional(k, 2.5, kinds=("gain_mse", "mse"), keys=SEG)), ("rotation_bank", lambda k: S.rotation_bank(k, 2, 4, "segment", SEG))):
+    _add(f"attention_pick_{_n}", lambda s, d, f=_f: _picked(s, d, f))
+_add("regime_kinds", lambda s, d: X.kv_states(s, d).withColumn("layer", F.col("layer") * 8).select("layer", "side", G.regime_kind("rate_hadamard_value_mse", 3.5).alias("high"), G.regime_kind("hadamard_rate_regime_mse", 2.5).alias("low")).distinct(),
+     f"WITH {X.KV_CTE} SELECT DISTINCT layer * 8 AS layer, side, CASE WHEN side = 'key' THEN 'mse' WHEN layer * 8 >= 16 THEN 'outlier_hadamard_mse' ELSE 'mse' END AS high, CASE WHEN side = 'value' THEN 'margin_vector_outlier_hadamard_mse' ELSE 'mse' END AS low FROM kv")
+_add("choose_rotation", lambda s, d: S.rotation_bank(X.kv_states(s, d), 2, 4, "segment", ["layer", "side"]).groupBy("layer", "side", "rotation_id").agg(F.count("*").alias("n")))
+
+
+def _protect_attention(s, d):  # noqa: ANN001, ANN202
+    weights = A.token_errors(X.q_states(s, d), _coded(s, d, "key"), _coded(s, d, "value")).withColumnRenamed("error", "weight")
+    return _spots(P.protect(X.kv_states(s, d), P.raw_by_ratio(F.col("length"), 2.0, 0.5), "attention_error", 1, importance=weights)).groupBy("side").agg(F.sum(F.col("is_raw").cast("long")).alias("n_raw"))
+
+
+_add("protect_attention_error", _protect_attention)
+
+
+def _transform_comparison(s, d):  # noqa: ANN001, ANN202
+    """Error by label of random, Hadamard and scrambled transforms, and the reduction against the random one."""
+    names = {"rotation": "mse", "hadamard": "hadamard_mse", "srht": "srht_mse"}
+    rows = V.roundtrip(_plain(s, d), "vec", {n: V.codec(k, D, 2) for n, k in names.items()}).groupBy("label").agg(*[F.avg(f"sse_{n}").alias(n) for n in names])
+    return rows.select("label", *[F.round(n, 6).alias(n) for n in names], F.round(1 - F.col("hadamard") / F.col("rotation"), 6).alias("reduction"))
+
+
+_add("transform_comparison", _transform_comparison, f"""WITH {_PLAIN}, {_hat('a', 'base', 'vec', ROT, 2, tag='a')}, {_hat('b', 'a', 'vec', HAD, 2, tag='b')}, {_hat('c', 'b', 'vec', C.srht(D, 0), 2, tag='c')},
+e AS (SELECT label, """ + ", ".join(f"avg({_apart('vec', f'list_transform(u{t}, lambda x: x * nrm{t})')}) AS {n}" for t, n in (("a", "rotation"), ("b", "hadamard"), ("c", "srht"))) + " FROM c GROUP BY 1) SELECT label, round(rotation, 6) AS rotation, round(hadamard, 6) AS hadamard, round(srht, 6) AS srht, round(1 - hadamard / rotation, 6) AS reduction FROM e")
