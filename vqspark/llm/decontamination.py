@@ -51,15 +51,16 @@ def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
     staged = rows.select(*keys, solid_words(F.col("text")).alias("words")).select(*keys, "words", cores(F.col("words")).alias("core"))
     staged = staged.select(*keys, "words", "core", F.transform("core", F.lower).alias("low"))
     staged = staged.select(*keys, "core", canonical(F.col("words"), F.col("core"), F.col("low")).alias("tokens"))
-    staged = staged.select(*keys, "core", "tokens", F.exists("tokens", lambda t: t.startswith("<")).alias("typed"))
 
     def key(i: Column) -> Column:
         some = [F.get(F.col("tokens"), i + k) for k in range(WORDS)]
         slots = sum(F.coalesce(s.startswith("<").cast("int"), F.lit(0)) for s in some)
-        return F.when(some[0].isNotNull() & (~F.col("typed") | (slots <= MOST_SLOTS)), F.xxhash64(*some))
+        return F.when(some[0].isNotNull() & (slots <= MOST_SLOTS), F.xxhash64(*some))
 
     hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size("tokens") - WORDS, F.lit(0))), key)
-    return staged.select(*keys, "core", "tokens", F.posexplode_outer(hashes).alias("at", "hash")).filter("hash is not null")
+    # The hashes too: a generator that holds a lambda isn't compiled, and then every window copies its whole text.
+    staged = staged.select(*keys, "core", "tokens", hashes.alias("hashes"))
+    return staged.select(*keys, "core", "tokens", F.posexplode_outer("hashes").alias("at", "hash")).filter("hash is not null")
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -81,9 +82,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if items.count() <= MOST_BROADCAST:
         items = F.broadcast(items)
     keyed = docs.select("doc_id", row_key().alias("row_key"), "text")
-    # Windows are cut once they have met: the join is by hash, and unequal tokens of equal hashes go after it.
-    hits = _cut(_windows(keyed, ["doc_id", "row_key"]).join(items, "hash"))
-    hits = hits.filter(~F.exists(F.zip_with("tokens", "item_tokens", lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
+    # Windows are cut once they have met. Tokens are compared by order, since as an equality they would become join keys and
+    # be cut for every window; a lambda here would keep the join from being compiled.
+    hits = _windows(keyed, ["doc_id", "row_key"]).join(items, "hash")
+    for k in range(WORDS):
+        own, other = F.coalesce(F.get("tokens", F.col("at") + k), F.lit("")), F.coalesce(F.get("item_tokens", F.lit(k)), F.lit(""))
+        hits = hits.filter((own >= other) & (own <= other))
+    hits = _cut(hits)
     pair = ["doc_id", "row_key", "item_key", "item_id", "n_windows"]
     hits = hits.withColumn("aligned", F.col("at") - F.col("item_at"))
     slots = F.filter(F.arrays_zip("tokens", "values", "item_values"), lambda s: s["tokens"].startswith("<"))
