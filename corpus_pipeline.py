@@ -56,7 +56,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of all documents: doc_id, n_tokens, ids, ids_sha256, decoded_sha256."""
-    return encode_decode(docs).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return encode_decode(docs, keep_offsets=False).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textops as T
-from .common import parts, table, trim
+from .common import table, trim
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Slices that a worker keeps with their ids.
@@ -385,45 +385,39 @@ def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 SCHEMA = "doc_id bigint, ids array<int>, offsets array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str | None = None, keep_ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary_path: str | None = None, keep_ids: bool = True, keep_offsets: bool = True) -> DataFrame:
     """One row per row of `docs`: doc_id, ids, offsets, n_tokens, ids_sha256, decoded_sha256.
 
     `docs` needs doc_id and text; other columns are not looked at. offsets holds the byte at which each token's bytes
     start, so that any token can be found in its text. A null text counts as empty: no ids, digests of the empty string.
     The decoded digest is taken over the bytes that the ids give, never over the text. Without `keep_ids`, ids and
-    offsets are null. The vocabulary (below 1 MB) is read by the driver and broadcast.
+    offsets are null, without `keep_offsets` the latter. The vocabulary (below 1 MB) is read by the driver and broadcast.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary_path or public_tokenizers.path(VOCABULARY)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks)
-        for whole in batches:
-            for batch in parts(whole, "text"):
-                data, offsets = T.text_bytes(batch.column("text"))
-                out: dict[str, list] = {k: [] for k in ("ids", "offsets", "n", "ids_sha", "decoded_sha")}
-                for a, b in T.slices(offsets):
-                    part = data[offsets[a] : offsets[b]]
-                    starts, first = piece_spans(part, offsets[a : b + 1] - offsets[a])
-                    ids, counts = encoder.ids(part, starts)
-                    ends = np.r_[0, np.cumsum(counts, dtype=np.int64)][first[1:]]
-                    numbers, number_at = encoder.names.runs(ids, ends)
-                    decoded, decoded_at = encoder.tokens.runs(ids, ends)
-                    for row in range(b - a):
-                        out["ids_sha"].append(hashlib.sha256(numbers[number_at[row] : max(number_at[row], number_at[row + 1] - 1)]).hexdigest())
-                        out["decoded_sha"].append(hashlib.sha256(decoded[decoded_at[row] : decoded_at[row + 1]]).hexdigest())
-                    out["n"].append(np.diff(np.r_[0, ends]))
-                    if keep_ids:
-                        where = np.cumsum(encoder.tokens.count[ids], dtype=np.int64) - encoder.tokens.count[ids]
-                        for row, (s, e) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
-                            out["ids"].append(ids[s:e])
-                            out["offsets"].append((where[s:e] - decoded_at[row]).astype(np.int32))
-                if not keep_ids:
-                    out["ids"] = out["offsets"] = [None] * batch.num_rows
-                yield pa.record_batch(
-                    [batch.column("doc_id"), pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["offsets"], pa.list_(pa.int32())), pa.array(np.concatenate(out["n"]) if out["n"] else [], pa.int64()), pa.array(out["ids_sha"], pa.string()), pa.array(out["decoded_sha"], pa.string())],
-                    names=["doc_id", "ids", "offsets", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-        trim()
+        for batch in batches:
+            data, offsets = T.text_bytes(batch.column("text"))
+            for a, b in T.slices(offsets):
+                part, n = data[offsets[a] : offsets[b]], b - a
+                starts, first = piece_spans(part, offsets[a : b + 1] - offsets[a])
+                ids, counts = encoder.ids(part, starts)
+                ends = np.r_[0, np.cumsum(counts, dtype=np.int64)][first]
+                numbers, number_at = encoder.names.runs(ids, ends[1:])
+                decoded, decoded_at = encoder.tokens.runs(ids, ends[1:])
+                ids_sha = [hashlib.sha256(numbers[s : max(s, e - 1)]).hexdigest() for s, e in zip(number_at, number_at[1:], strict=False)]
+                decoded_sha = [hashlib.sha256(decoded[s:e]).hexdigest() for s, e in zip(decoded_at, decoded_at[1:], strict=False)]
+                lists = [pa.nulls(n, pa.list_(pa.int32()))] * 2
+                if keep_ids:
+                    cut = pa.array(ends.astype(np.int32))
+                    lists[0] = pa.ListArray.from_arrays(cut, pa.array(ids))
+                    if keep_offsets:
+                        size = encoder.tokens.count[ids]
+                        where = np.cumsum(size, dtype=np.int64) - size - np.repeat(decoded_at[:-1], np.diff(ends))
+                        lists[1] = pa.ListArray.from_arrays(cut, pa.array(where.astype(np.int32)))
+                yield pa.record_batch([batch.column("doc_id").slice(a, n), *lists, pa.array(np.diff(ends)), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())], names=["doc_id", "ids", "offsets", "n_tokens", "ids_sha256", "decoded_sha256"])
+            trim()
 
     return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
 
