@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import constants as C
 from ..session import ship
@@ -128,6 +130,7 @@ def map_vectors(df: DataFrame, column: str, outputs: str, work: Callable[[np.nda
     ship(df.sparkSession)
     names = df.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", " + outputs
+    more = to_arrow_schema(StructType.fromDDL(outputs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +141,7 @@ def map_vectors(df: DataFrame, column: str, outputs: str, work: Callable[[np.nda
                 yield pa.record_batch([*some.columns, *made.values()], names=[*names, *made])
             rest = batch.filter(pc.invert(valid))
             if rest.num_rows:
-                more = [f.split()[0] for f in outputs.split(", ")]
-                yield pa.record_batch([*rest.columns, *(pa.nulls(rest.num_rows) for _ in more)], names=[*names, *more])
+                yield pa.record_batch([*rest.columns, *(pa.nulls(rest.num_rows, f.type) for f in more)], names=[*names, *more.names])
 
     return df.mapInArrow(run, schema)
 
