@@ -41,6 +41,17 @@ def test_held_out_labels_do_not_matter(spark):
     assert a == b
 
 
+def test_toxicity_with_few_labels(spark, data):
+    """About ten toxic labels: those held out are found, and no clean text is."""
+    docs, labels = labelled(spark, 45)
+    for d, x in ((spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")), (docs, labels)):
+        truth = {r.doc_id: r.toxic for r in x.filter("toxic in (0, 1)").collect()}
+        held = [r for r in toxicity.score_toxicity(d, x).collect() if r.held_out and r.doc_id in truth]
+        learnt = {r.doc_id for r in toxicity.labelled_sample(d, x, "toxic").filter("label = 1").collect()}
+        assert 5 <= len(learnt) <= 15 and any(truth[r.doc_id] for r in held)
+        assert all(r.predicted == truth[r.doc_id] for r in held)
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (2, None, None), (77, 3, 9)], "doc_id long, quality int, toxic int")
     for docs, n in ((edge_docs(spark), len(TEXTS) + 3), (empty_docs(spark), 0)):

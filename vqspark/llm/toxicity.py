@@ -9,6 +9,7 @@ reach the k-th similarity, which is exact. Votes are weighted by distance and sh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from .labelled import SAMPLE, labelled_sample
 PREFIXES = (4, 5, 6, 7)
 #: The most terms; the least contexts of a term in toxic examples; the least deviation from chance.
 TERMS, CONTEXTS, DEVIATION = 256, 8, 8.0
+#: With few toxic examples, contexts in this share of their number are enough, but two at least.
+SHARE = 0.4
 NEIGHBOURS, BLOCK = 25, 64
 
 
@@ -63,15 +66,36 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(t.view(np.int64)), pa.array((c >> np.uint64(1)).view(np.int64)), pa.array((c & np.uint64(1)).astype(np.int32))], names=["term", "context", "label"])
 
 
+def _toxic_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct term of each toxic text."""
+    for batch in batches:
+        data, offsets = T.text_bytes(batch.column("text"))
+        for a, b in T.slices(offsets):
+            low = T.lower_ascii(data[offsets[a] : offsets[b]])
+            starts, ends, row = _words(low, offsets[a : b + 1] - offsets[a])
+            for which, term in _terms(low, starts, ends) if len(starts) else ():
+                t, _ = T.distinct(term, row[which].astype(np.uint64))
+                yield pa.record_batch([pa.array(t.view(np.int64))], names=["term"])
+
+
 def choose_terms(sample: DataFrame) -> list[int]:
-    """Hashes of the terms that point to toxic examples, the strongest first; at most TERMS."""
+    """Hashes of the terms that point to toxic examples, the strongest first; at most TERMS.
+
+    A term needs CONTEXTS toxic contexts and DEVIATION. Where SHARE of the number of toxic examples is less than CONTEXTS,
+    it needs so many toxic contexts, in as many toxic texts, and at most the deviation that they have if all are toxic.
+    """
     seen = sample.select("text", "label").mapInArrow(_contexts, "term bigint, context bigint, label int").groupBy("term", "context").agg(F.max("label").alias("label"))
     per_term = seen.groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
     base = per_term.agg(F.sum("toxic") / F.sum("n")).first()[0]
     if not base or base >= 1:
         return []
+    contexts = min(CONTEXTS, max(2, math.ceil(SHARE * sample.filter("label = 1").count())))
+    least = DEVIATION if contexts == CONTEXTS else min(DEVIATION, math.sqrt(contexts * (1 - base) / base) - 1e-9)
     deviation = (F.col("toxic") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
-    strong = per_term.filter(F.col("toxic") >= CONTEXTS).withColumn("z", deviation).filter((F.col("z") >= DEVIATION) & (F.col("toxic") > 0.5 * F.col("n")))
+    strong = per_term.filter(F.col("toxic") >= contexts).withColumn("z", deviation).filter((F.col("z") >= least) & (F.col("toxic") > 0.5 * F.col("n")))
+    if contexts < CONTEXTS:
+        texts = sample.filter("label = 1").select("text").mapInArrow(_toxic_texts, "term bigint").groupBy("term").count()
+        strong = strong.join(texts.filter(F.col("count") >= contexts), "term", "left_semi")
     return [r.term for r in strong.orderBy(F.desc("z"), "term").limit(TERMS).select("term").collect()]
 
 
