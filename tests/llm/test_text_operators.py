@@ -8,7 +8,9 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -203,6 +205,17 @@ def test_licenses(spark):
     assert licenses.scan_licenses(edge_docs(spark), licenses.known_templates(spark)).count() == 0
 
 
+def test_licenses_anywhere(spark):
+    """Every notice at the start, middle and end of many texts, against the SQL."""
+    random.seed(6)
+    prose = lambda n: " ".join("".join(random.choices("abcdefgh", k=5)) for _ in range(n))
+    rows = [" ".join((prose(a), notice, prose(b))) for _, notice in licenses.TEMPLATES for _ in range(40) for a, b in ((0, 30), (random.randint(5, 30), 30), (30, 0))]
+    documents = pd.DataFrame({"doc_id": range(len(rows)), "text": rows})
+    wanted = {r[:2] for r in duckdb.sql(licenses.OP4_SQL).fetchall()}
+    found = {(r.doc_id, r.license_id) for r in licenses.scan_licenses(spark.createDataFrame(documents), licenses.known_templates(spark)).collect()}
+    assert len(wanted) >= len(rows) and found == wanted
+
+
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, "If Alice walks 12 km and Bob walks 7 km then how far does Alice walk more than Bob today"), (2, None), (3, "")], "item_id long, text string")
     docs = [(1, "Well. If Carol walks 99 km and Dave walks 3 km then how far does Carol walk more than Dave today ok"), (2, "If Carol walks 99 km and Dave walks 3 km then how far does Frank walk more than Dave today"), (3, "If Alice walks 12 km and Bob walks 7 km then how far does Alice walk more than Bob today"), (4, None), (5, ""), (6, "nothing of that kind here")]

@@ -3,7 +3,8 @@
 Text windows have WINDOW five-word shingles and start STEP shingles apart; templates are cut at every shingle. So of any run
 of WINDOW + STEP - 1 template shingles that stands in a text, some text window is a template window itself, and of a notice
 with three shingles alone a window holds all three: its bands of one row agree with a chance of 3/4 each, and all miss with
-one of (1/4)**BANDS. A notice with two shingles is missed with a chance of (1/2)**BANDS, below 0.4 %.
+one of (1/4)**BANDS. Templates that are found only with all their shingles (up to four, at a containment of 0.8) are also
+looked up by their first shingle itself, among all shingles of the texts, so that none of them is missed.
 """
 
 from __future__ import annotations
@@ -73,10 +74,14 @@ def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
     # `least` skips what lies beyond a template's end, so short templates have one window.
     cuts = kept.select("license_id", "in_order", F.explode(F.sequence(F.lit(0), F.greatest(F.size("in_order") - WINDOW, F.lit(0)))).alias("i"))
     wanted = cuts.select("license_id", F.explode(bands(F.col("in_order"), F.col("i"))).alias("value")).distinct()
+    whole = kept.filter(F.size("t") - 1 < CONTAINMENT * F.size("t")).select("license_id", F.get("in_order", F.lit(0)).alias("value"))
+    wanted = wanted.union(whole).distinct()
     texts = with_shingles(docs.select("doc_id", row_key().alias("row_key"), "text"), "s")
     # An outer explode keeps Spark from computing the shingles once more for a filter.
     windows = texts.select("doc_id", "row_key", "s", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)), F.lit(STEP))).alias("i"))
-    marks = windows.select("doc_id", "row_key", "s", F.explode(bands(F.col("s"), F.col("i"))).alias("value"))
+    # Windows start STEP shingles apart, so their first STEP shingles are all that a text has.
+    single = F.array(*[F.get("s", F.col("i") + k) for k in range(STEP)])
+    marks = windows.select("doc_id", "row_key", "s", F.explode(F.concat(bands(F.col("s"), F.col("i")), single)).alias("value"))
     found = marks.join(F.broadcast(wanted), "value").groupBy("doc_id", "row_key", "license_id").agg(F.first("s").alias("s"))
     matched = found.join(F.broadcast(kept.select("license_id", "t")), "license_id").select("doc_id", "license_id", F.size(F.array_intersect("t", "s")).cast("long").alias("n_matched"), F.size("t").cast("long").alias("n_shingles"))
     matched = matched.withColumn("containment", F.col("n_matched") / F.col("n_shingles")).filter(F.col("containment") >= CONTAINMENT)
