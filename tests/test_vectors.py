@@ -87,3 +87,15 @@ def test_keyed_sets(spark):
     a = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "index long, line long, v string")
     b = spark.createDataFrame([(2, 0, "d")], "index long, line long, v string")
     assert sorted(map(tuple, T.merge_shards([a, b]).collect())) == [(1, "b"), (2, "d")]
+
+
+def test_auto_kinds_weigh_the_learned_blocks(spark, tmp_path):
+    """On vectors of few directions the learnt blocks are all but exact, so they have the least error in every segment."""
+    from vqspark.plans import vector_queries  # its columns need a session
+
+    some = np.random.default_rng(0).standard_normal((2, 64)).astype(np.float32)
+    rows = [(i, i % 3, some[i // 4 % 2].tolist()) for i in range(256)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("auto_kind", "attention_auto_kind"):
+        picked = {r.kind for r in vector_queries.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert picked == {"learned_unit_mse_block2"}, name

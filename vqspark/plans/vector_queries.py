@@ -181,8 +181,10 @@ _add("resolve_bits", lambda s, d: s.createDataFrame([(b, p, *C.resolve_bits(b, D
 
 
 def _auto(s, d):  # noqa: ANN001, ANN202
-    names = ["mse", "unit_mse", "selected_gain_mse"]
-    return S.pick_by_segment(V.roundtrip(X.kv_states(s, d), "vec", {k: V.codec(k, D, 2) for k in names}), SEG, names)
+    names = ["mse", "unit_mse", "selected_gain_mse", "learned_unit_mse_block2"]
+    rows = X.kv_states(s, d)
+    blocks = V.fit_blocks(rows, "vec", 2)
+    return S.pick_by_segment(V.roundtrip(rows, "vec", {k: V.codec(k, D, 2, blocks=blocks if "learned" in k else None) for k in names}), SEG, names)
 
 
 _add("auto_kind", _auto)
@@ -229,9 +231,14 @@ _add("attention_channels", lambda s, d: S.select_channels(S.channel_scores(_keys
 
 
 def _attention_pick(s, d):  # noqa: ANN001, ANN202
-    errors = [A.key_error(X.q_states(s, d), _coded(s, d, "key", k), ["seq_id", "layer"]).withColumnRenamed("error", f"sse_{k}") for k in ("mse", "gain_mse", "unit_mse")]
-    both = errors[0].join(errors[1], ["seq_id", "layer"]).join(errors[2], ["seq_id", "layer"])
-    return S.pick_by_segment(both, ["seq_id", "layer"], ["mse", "gain_mse", "unit_mse"])
+    names, keys = ["mse", "gain_mse", "unit_mse", "learned_unit_mse_block2"], _keys(s, d)
+    blocks = V.fit_blocks(keys, "vec", 2)
+    made = {k: V.codec(k, D, 2, blocks=blocks if "learned" in k else None) for k in names}
+    errors = [A.key_error(X.q_states(s, d), V.decode(V.encode(keys, "vec", m), m), ["seq_id", "layer"]).withColumnRenamed("error", f"sse_{k}") for k, m in made.items()]
+    every = errors[0]
+    for e in errors[1:]:
+        every = every.join(e, ["seq_id", "layer"])
+    return S.pick_by_segment(every, ["seq_id", "layer"], names)
 
 
 _add("attention_auto_kind", _attention_pick)
