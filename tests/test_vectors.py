@@ -99,3 +99,12 @@ def test_auto_kinds_weigh_the_learned_blocks(spark, tmp_path):
     for name in ("auto_kind", "attention_auto_kind"):
         picked = {r.kind for r in vector_queries.QUERIES[name](spark, str(tmp_path)).collect()}
         assert picked == {"learned_unit_mse_block2"}, name
+
+
+def test_learned_blocks_use_the_default_rounds(spark, data, monkeypatch):
+    from vqspark.plans import vector_queries  # its columns need a session
+
+    given = []
+    monkeypatch.setattr(vector_queries.V, "fit_blocks", lambda *a, **more: given.append((a, more)) or np.zeros((16, 2)))
+    vector_queries.QUERIES["learned_blocks"](spark, data)
+    assert len(given) == 1 and len(given[0][0]) == 3 and "most_rounds" not in given[0][1]
