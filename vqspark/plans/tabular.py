@@ -28,7 +28,11 @@ def _variant(s, d, bits=2.5):  # noqa: ANN001, ANN202
     return X.results(s, d).filter(f"method = 'variant' and bits = {bits}")
 
 
-RULE = G.gate(300, 20000, 15, 80)
+def _rule() -> F.Column:
+    """A function, as columns can be made in a session only and this module is imported without one."""
+    return G.gate(300, 20000, 15, 80)
+
+
 RULE_SQL = "(prompt_tokens > 300 AND NOT code_like AND prompt_tokens <= 20000 AND (passage_count = 0 OR passage_count <= 15) AND question_marks <= 80)"
 LOOSE_SQL = "(prompt_tokens > 300 AND NOT code_like AND (passage_count = 0 OR question_marks <= 80))"
 
@@ -66,7 +70,7 @@ _add("prompt_features", lambda s, d: G.prompt_features(X.table(s, d, "documents"
      length(text) - length(replace(text, chr(10), '')) AS newlines, len(regexp_extract_all(text, '[.!?]')) AS sentences,
      round(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_matches(w, '^[A-Z]'))) / greatest(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')), 1), 6) AS capitalized_ratio,
      round(length(text) / greatest(len(regexp_extract_all(lower(text), '\bpassage\s+\d+\s*:')), 1), 6) AS avg_passage_chars FROM documents""")
-_add("route_gate", lambda s, d: G.route(_base(s, d), RULE, "regular_gain_mse", "mse").select("dataset", "index", "effective_kind"), _with(X.RESULTS_CTE) + f"SELECT dataset, index, CASE WHEN {RULE_SQL} THEN 'regular_gain_mse' ELSE 'mse' END AS effective_kind FROM results WHERE method = 'base' AND bits = 2.5")
+_add("route_gate", lambda s, d: G.route(_base(s, d), _rule(), "regular_gain_mse", "mse").select("dataset", "index", "effective_kind"), _with(X.RESULTS_CTE) + f"SELECT dataset, index, CASE WHEN {RULE_SQL} THEN 'regular_gain_mse' ELSE 'mse' END AS effective_kind FROM results WHERE method = 'base' AND bits = 2.5")
 _add("route_gate_passages", lambda s, d: G.route(_base(s, d), G.gate(300, None, None, 80, True), "a", "b").groupBy("dataset", "effective_kind").agg(F.count("*").alias("n")), _with(X.RESULTS_CTE) + f"SELECT dataset, CASE WHEN {LOOSE_SQL} THEN 'a' ELSE 'b' END AS effective_kind, count(*) AS n FROM results WHERE method = 'base' AND bits = 2.5 GROUP BY 1, 2")
 _add("code_prompts", lambda s, d: X.table(s, d, "documents").select("doc_id", G.code_prompt(F.col("source"), F.col("text"), ("licensed under",), ("the ", "License", "Version")).alias("is_code")),
      "SELECT doc_id, source IN ('lcc', 'repobench-p') OR contains(substr(lower(text), 1, 2048), 'licensed under') OR (contains(lower(text), 'licensed under') AND contains(text, 'the ')::INT + contains(text, 'License')::INT + contains(text, 'Version')::INT >= 3) AS is_code FROM documents")
@@ -97,7 +101,7 @@ def _compare(s, d, active=None):  # noqa: ANN001, ANN202
 
 
 _add("method_delta", _compare, _compare_sql("true"))
-_add("gated_comparison", lambda s, d: _compare(s, d, RULE), _compare_sql(RULE_SQL))
+_add("gated_comparison", lambda s, d: _compare(s, d, _rule()), _compare_sql(RULE_SQL))
 _add("content_adaptive_comparison", lambda s, d: _compare(s, d, G.gate(300, None, None, 80, True)), _compare_sql(LOOSE_SQL))
 _add("mismatched_indexes", lambda s, d: R.mismatched_indexes(X.results(s, d).filter("method = 'base'"), X.results(s, d).filter("method = 'variant'")),
      _with(X.RESULTS_CTE) + "SELECT dataset, index, bits, a IS NOT NULL AS in_base FROM (SELECT DISTINCT dataset, index, bits, 1 AS a FROM results WHERE method = 'base') FULL JOIN (SELECT DISTINCT dataset, index, bits, 1 AS b FROM results WHERE method = 'variant') USING (dataset, index, bits) WHERE a IS NULL OR b IS NULL")
@@ -124,10 +128,10 @@ _add("gate_search", lambda s, d: G.gate_search(X.results(s, d), X.tasks(s), G.ru
           SELECT *, prompt_tokens > t AND NOT code_like AND (passage_count = 0 OR passage_count <= p) AND question_marks <= q AS holds FROM pairs JOIN tasks USING (dataset),
             (SELECT CAST(row_number() OVER (ORDER BY t, p, q) - 1 AS INT) AS rule, t, p, q FROM (SELECT unnest({_GRID[0]}) AS t), (SELECT unnest({_GRID[1]}) AS p), (SELECT unnest({_GRID[2]}) AS q)))
         GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) GROUP BY rule) WHERE least_gain > 0 ORDER BY least_gain DESC, best_gain DESC, rule LIMIT 20""")
-_add("materialize_gate", lambda s, d: G.materialize_gate(_base(s, d), _variant(s, d), RULE), _with(X.RESULTS_CTE) + f"""SELECT b.dataset, b.index, {RULE_SQL} AS active, CASE WHEN {RULE_SQL} THEN v.vs ELSE b.score END AS score,
+_add("materialize_gate", lambda s, d: G.materialize_gate(_base(s, d), _variant(s, d), _rule()), _with(X.RESULTS_CTE) + f"""SELECT b.dataset, b.index, {RULE_SQL} AS active, CASE WHEN {RULE_SQL} THEN v.vs ELSE b.score END AS score,
     CASE WHEN {RULE_SQL} THEN 'variant' ELSE 'base' END AS origin, {RULE_SQL} AND v.vs IS NULL AS missing
     FROM results b LEFT JOIN (SELECT dataset, index, score AS vs FROM results WHERE method = 'variant' AND bits = 2.5) v USING (dataset, index) WHERE b.method = 'base' AND b.bits = 2.5""")
-_add("prefill_inactive", lambda s, d: G.prefill_inactive(_variant(s, d).filter("index % 3 = 0"), _base(s, d), RULE), _with(X.RESULTS_CTE) + f"""SELECT dataset, index, score, 'existing' AS origin FROM results WHERE method = 'variant' AND bits = 2.5 AND index % 3 = 0
+_add("prefill_inactive", lambda s, d: G.prefill_inactive(_variant(s, d).filter("index % 3 = 0"), _base(s, d), _rule()), _with(X.RESULTS_CTE) + f"""SELECT dataset, index, score, 'existing' AS origin FROM results WHERE method = 'variant' AND bits = 2.5 AND index % 3 = 0
     UNION ALL SELECT dataset, index, score, 'base' FROM results b WHERE method = 'base' AND bits = 2.5 AND NOT {RULE_SQL} AND NOT EXISTS (SELECT 1 FROM results v WHERE v.method = 'variant' AND v.bits = 2.5 AND v.index % 3 = 0 AND v.dataset = b.dataset AND v.index = b.index)""")
 _add("verify_existing", lambda s, d: G.verify_existing(_base(s, d), _variant(s, d)), _with(X.RESULTS_CTE, _PAIRS) + "SELECT dataset, index, score AS made, variant_score AS held FROM pairs WHERE bits = 2.5 AND abs(score - variant_score) > 1e-9")
 _add("task_progress", lambda s, d: R.task_progress(X.results(s, d), X.tasks(s)).withColumn("score", F.round("score", 6)), _with(X.TASKS_CTE, X.RESULTS_CTE) + """SELECT method, bits, dataset, coalesce(n, 0) AS n, expected, CASE WHEN coalesce(n, 0) >= expected THEN 'complete' WHEN n > 0 THEN 'partial' ELSE 'missing' END AS state,
