@@ -18,7 +18,7 @@ import tiktoken
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import TEXTS, edge_docs, empty_docs
 
-from vqspark.llm import bpe, decontamination, fingerprints, licenses, near_dups, pii, repeats, sharding, suffix_arrays
+from vqspark.llm import bpe, decontamination, fingerprints, licenses, near_dups, pii, repeats, sharding, suffix_arrays, textops
 
 
 def shingles(text):
@@ -69,6 +69,55 @@ def test_near_duplicates_star(spark, monkeypatch):
     assert found == sorted(brute_components(rows, 85))
 
 
+def test_near_duplicates_clusters(spark, monkeypatch):
+    """Clusters apart from each other in the same buckets: each gets a leader, and few pairs are ever listed."""
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    random.seed(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for cluster in range(4):
+        form = list(base)
+        for at in range(5, 200, 40):
+            form[at] = f"form{cluster}_{at}"
+        for i in range(50):
+            words = list(form)
+            words[random.randrange(200)] = f"own{cluster}_{i}"
+            rows.append((cluster * 50 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, near_dups.near_duplicates(docs, 85).select("doc_id", "n_shingles", "component_id").collect()))
+    assert found == sorted(brute_components(rows, 85))
+    assert len({c for _, _, c in found}) == 4
+    sketches = docs.selectExpr("xxhash64(doc_id, text) as row_key", "text").mapInArrow(near_dups._sketch, near_dups.SKETCH)
+    assert near_dups.links(docs, sketches, 85).count() < 200 * 49 / 2
+
+
+def test_hashes_of_structured_texts():
+    """Thue-Morse words and their complements, which collide under polynomials modulo a power of two."""
+    word = bytes(97 + i.bit_count() % 2 for i in range(1024))
+    other = bytes(195 - c for c in word)
+    for n in (8, 64, 512, 1024):
+        data = np.frombuffer(word[:n] + other[:n] + word[:n], dtype=np.uint8)
+        starts = np.array([0, n, 2 * n])
+        h = textops.spans_hash(data, starts, starts + n)
+        assert h[0] == h[2] != h[1]
+    encoder = bpe.Encoder(bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY)))
+    data = np.frombuffer(word + other, dtype=np.uint8)
+    ids, counts = encoder.ids(data, np.array([0, 1024]))
+    assert tuple(ids[: counts[0]]) == encoder.merge(word) and tuple(ids[counts[0] :]) == encoder.merge(other)
+
+
+def test_bpe_when_keys_collide(monkeypatch):
+    """Slices of one key are told apart by their marks."""
+    monkeypatch.setattr(bpe.Encoder, "hashes", staticmethod(lambda data, starts, ends: (np.zeros(len(starts), dtype=np.int64), textops.spans_hash(data, starts, ends, salt=1))))
+    encoder = bpe.Encoder(bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY)))
+    words = [b"one", b" two", b" three", b" one", b" two"]
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    starts = np.cumsum([0, *map(len, words)])[:-1]
+    for _ in range(2):
+        ids, counts = encoder.ids(data, starts)
+        assert [tuple(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == [encoder.merge(w) for w in words]
+
+
 def test_bpe(spark):
     ranks = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -127,17 +176,34 @@ def test_pii_rules_and_table(spark, data):
     assert len(found) == len(TEXTS) + 3 and any(r.redacted == "mail me: [EMAIL] or [PHONE], [IP]" for r in found)
 
 
+def ends_paragraph(word):
+    data = np.frombuffer(word, dtype=np.uint8)
+    return int(textops.spans_hash(data, np.array([0]), np.array([len(word)]))[0]) % fingerprints.PARAGRAPH_WORDS == 0
+
+
 def paragraphs(t):
-    seen, out = Counter(), set()
+    seen, out, known = Counter(), set(), {}
     for line in t.split("\n"):
+        part = []
         words = line.encode().split()
-        for k in range(0, len(words), fingerprints.PARAGRAPH_WORDS):
-            p = tuple(words[k : k + fingerprints.PARAGRAPH_WORDS])
-            seen[p] += 1
-            out.add((p, seen[p]))
+        for i, word in enumerate(words):
+            part.append(word)
+            known.setdefault(word, None)
+            if known[word] is None:
+                known[word] = ends_paragraph(word)
+            if known[word] or i + 1 == len(words):
+                seen[tuple(part)] += 1
+                out.add((tuple(part), seen[tuple(part)]))
+                part = []
     return out
 
 
+def test_paragraphs_move_with_an_inserted_word():
+    words = [f"w{i * 7919 % 1000}" for i in range(400)]
+    old, new = paragraphs(" ".join(words)), paragraphs(" ".join([*words[:3], "inserted", *words[3:]]))
+    assert len(old & new) >= len(old) - 2
+
+
 def test_fingerprints(spark):
     docs = edge_docs(spark)
     rows = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect()), key=lambda r: (r[0], r[1]))

@@ -29,7 +29,7 @@ from .common import table, trim
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Slices that a worker keeps with their ids.
 CACHE_ENTRIES = 300_000
-#: Slices up to the last width are merged many at a time, in arrays of these widths; longer ones one by one, uncached.
+#: Slices up to the last width are merged many at a time, in arrays of these widths; longer ones one by one.
 WIDTHS = (8, 16, 40)
 KEY = (1 << 63) - 1
 #: Slots of the table of pairs, and the rank of a pair that doesn't join.
@@ -204,7 +204,7 @@ class Encoder:
     def ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all slices of `data`, laid end to end, and how many ids each slice has."""
         ends = np.r_[starts[1:], len(data)]
-        keys = T.spans_hash(data, starts, ends).view(np.int64) & KEY
+        keys, marks = self.hashes(data, starts, ends)
         at = self.cache.find(keys)
         missing = np.flatnonzero(at < 0)
         if len(missing):
@@ -220,9 +220,25 @@ class Encoder:
                 for cut in range(0, len(group), 1 << 14):
                     some = group[cut : cut + (1 << 14)]
                     pieces = [raw[starts[i] : ends[i]] for i in missing[first[some]]]
-                    self.cache.add(new[some], *(self._merge_many(pieces, WIDTHS[w]) if w < len(WIDTHS) else self._merge_each(pieces)))
+                    self.cache.add(new[some], marks[missing[first[some]]], *(self._merge_many(pieces, WIDTHS[w]) if w < len(WIDTHS) else self._merge_each(pieces)))
             at[missing] = self.cache.find(keys[missing])
-        return self.cache.values(at)
+        ids, counts = self.cache.values(at)
+        other = np.flatnonzero(self.cache.mark[at] != marks)  # the entry is another slice's: same key, other mark
+        if len(other):
+            return self._replaced(ids, counts, other, [data[starts[i] : ends[i]].tobytes() for i in other])
+        return ids, counts
+
+    @staticmethod
+    def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The key of each slice in the cache, and an independent hash that tells slices of one key apart."""
+        return T.spans_hash(data, starts, ends).view(np.int64) & KEY, T.spans_hash(data, starts, ends, salt=1)
+
+    def _replaced(self, ids: np.ndarray, counts: np.ndarray, which: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The slices at `which` merged on their own, in place of what the cache gave."""
+        runs = np.split(ids, np.cumsum(counts)[:-1])
+        for i, piece in zip(which, pieces, strict=True):
+            runs[i] = np.array(self.merge(piece), dtype=np.int32)
+        return np.concatenate(runs), np.array([len(r) for r in runs])
 
     def _merge_each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [self.merge(p) for p in pieces]
@@ -307,13 +323,14 @@ class Encoder:
 
 
 class _Cache:
-    """Ids by the 64-bit hash of a slice: an open hash table into one array of ids."""
+    """Ids by the hash of a slice, with a mark that tells whether it is that slice: an open hash table into one array of ids."""
 
     def __init__(self, most: int) -> None:
         self.size = 1 << (2 * most).bit_length()
         self.held = np.full(self.size, -1, dtype=np.int64)
         self.to = np.zeros(self.size, dtype=np.int32)
         self.start, self.count = np.zeros(most, dtype=np.int32), np.zeros(most, dtype=np.int32)
+        self.mark = np.zeros(most, dtype=np.uint64)
         self.pool, self.used, self.entries = np.zeros(1 << 20, dtype=np.int32), 0, 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -327,14 +344,14 @@ class _Cache:
             left, keys, at = left[on], keys[on], (at[on] + 1) & (self.size - 1)
         return out
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Distinct keys that aren't held, with their ids laid end to end."""
+    def add(self, keys: np.ndarray, marks: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct keys that aren't held, with their marks and their ids laid end to end."""
         n = len(keys)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
         self.pool[self.used : self.used + len(ids)] = ids
         entry = np.arange(self.entries, self.entries + n, dtype=np.int32)
-        self.start[entry], self.count[entry] = self.used + np.cumsum(counts) - counts, counts
+        self.start[entry], self.count[entry], self.mark[entry] = self.used + np.cumsum(counts) - counts, counts, marks
         self.used, self.entries = self.used + len(ids), self.entries + n
         at = keys & (self.size - 1)
         while len(keys):

@@ -21,8 +21,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         hooked = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        # A root takes the smallest label that any of its nodes has seen.
-        roots = hooked.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("up"))
+        # A root takes the smallest label that any of its nodes has seen. Both sides of the join are shuffled tables, so
+        # that Spark can split a root with many nodes.
+        hooked = durable(hooked)
+        roots = durable(hooked.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("up")))
         moved = hooked.join(roots, hooked.root == roots.r).select("node", "root", F.least("low", "up").alias("new"))
         step = durable(moved)
         follow = step.select(F.col("node").alias("new"), F.col("new").alias("far"))

@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraphs.
 
-A paragraph is a line, or every PARAGRAPH_WORDS words of a longer one; a paragraph that a text repeats counts by its
+A paragraph is a line, cut after words whose hash says so (one in PARAGRAPH_WORDS): cuts move along with the words, so an
+inserted or lost word changes its own paragraph only. A paragraph that a text repeats counts by its
 occurrences, so that texts are sets of digests. Every digest goes to one cell in each of three parts of a table; a cell
 holds a count, the exclusive or of its digests and that of their checks. Tables of two versions subtract cell by cell; what
 both have cancels out, and peeling (take a digest from a cell that has just one, drop it from its other cells) recovers
@@ -33,14 +34,13 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(starts):
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
     line = np.cumsum(data == 10)[starts]
-    head = np.r_[True, (row[1:] != row[:-1]) | (line[1:] != line[:-1])]
+    words = T.spans_hash(data, starts, ends)
+    last = words % np.uint64(PARAGRAPH_WORDS) == 0
+    head = np.r_[True, (row[1:] != row[:-1]) | (line[1:] != line[:-1]) | last[:-1]]
     first = np.flatnonzero(head)
     place = np.arange(len(starts)) - np.repeat(first, np.diff(np.r_[first, len(starts)]))
-    head = place % PARAGRAPH_WORDS == 0
-    first = np.flatnonzero(head)
     with np.errstate(over="ignore"):
-        words = T.spans_hash(data, starts, ends) * T.seeds(PARAGRAPH_WORDS, 11)[place % PARAGRAPH_WORDS]
-        digest = T.mix(np.add.reduceat(words, first))
+        digest = T.mix(np.add.reduceat(words * (T.mix(place.astype(np.uint64) + np.uint64(11)) | np.uint64(1)), first))
         row = row[first]
         order = np.lexsort((digest, row))
         r, d = row[order], digest[order]

@@ -10,14 +10,20 @@ How groups of any size stay affordable and whole:
 * A bucket of at most BLOCK classes gives its pairs; after an estimate from the signatures they are verified.
 * A larger bucket never gives its pairs. Its most central member is its leader, and each member is compared with the
   leader alone, which yields the symmetric difference of both sets. For two members x and y the difference of their
-  sets is the difference of these differences. Members that link to the leader are in one component. A member x that
-  doesn't can link to y only if their differences share over half of y's, so a join on y's rarest elements (a prefix
-  filter, exact) finds every such pair without a quadratic list.
+  sets is the difference of these differences. Members that link to the leader are in one component.
+* What doesn't link to the leader is a bucket of its own, with a new leader, and so on: each round settles a cluster. A
+  member x that is left can link to a settled one y only if their differences share over half of y's, so a join on y's
+  rarest elements (a prefix filter, exact) finds every such pair without a quadratic list. A bucket whose leader
+  settles less than one member in FRUITFUL has no clusters to speak of; its remaining pairs come from the same filter.
+* Texts move once, and only those of one member of each class that has a candidate; a leader that many members meet is
+  one key of a join with both sides shuffled, which Spark splits when it is skewed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,31 +31,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import ship
 from . import textops as T
 from .common import durable, table, trim
 from .components import components
 
-#: Bands, rows of a band, and so permutations: a pair at 85 in 100 is missed with a chance of (1 - 0.85**5)**20, below 1e-5.
+#: Bands, rows of a band, and so permutations: a pair is missed with a chance of (1 - s**5)**20,
+#: below 2e-5 at a similarity of 85 in 100 and 4e-4 at 80; copies in groups have many chances.
 BANDS, ROWS = 20, 5
 PERMUTATIONS = BANDS * ROWS // 2
 #: The largest bucket whose pairs are listed.
 BLOCK = 32
-#: Pairs whose signatures agree this much less than the threshold aren't verified: over six standard deviations.
+#: Pairs whose signatures agree this much less than the threshold aren't verified: five standard deviations at 80 in 100.
 SLACK = 0.2
+#: A leader that settles fewer than one in so many members isn't followed by another one.
+FRUITFUL = 16
 
 SKETCH = "row_key bigint, n_shingles bigint, digest binary, bands array<bigint>, signature binary"
 
 
-def set_digest(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """128 bits that tell a row's set of hashes; rows without any get zeros."""
-    out = np.zeros((n, 2), dtype=np.uint64)
-    if len(value):
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        with np.errstate(over="ignore"):
-            count = np.diff(np.r_[starts, len(row)]).astype(np.uint64)
-            for k, salt in enumerate(T.seeds(2, 21)):
-                out[row[starts], k] = T.mix(np.add.reduceat(T.mix(value ^ salt), starts) + count * salt)
-    return out
+def shingle_sets(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of each distinct shingle, sorted by both, and each row's digest (two numbers).
+
+    The digest is a cryptographic one over two independent hashes of every shingle, so that equal digests are equal sets;
+    rows without shingles get zeros.
+    """
+    n = len(offsets) - 1
+    row, value, other = T.shingle_hashes(low, offsets, salts=(0, 1))
+    order = np.lexsort((value, row))
+    row, value, other = row[order], value[order], other[order]
+    keep = np.r_[True, (row[1:] != row[:-1]) | (value[1:] != value[:-1])] if len(row) else np.empty(0, dtype=bool)
+    row, value, pairs = row[keep], value[keep], np.stack([value[keep], other[keep]], axis=1)
+    cut = np.searchsorted(row, np.arange(n + 1))
+    empty = bytes(16)
+    digests = b"".join(hashlib.blake2b(pairs[a:b].tobytes(), digest_size=16).digest() if b > a else empty for a, b in zip(cut, cut[1:], strict=False))
+    return row, value, np.frombuffer(digests, dtype=np.uint64).reshape(n, 2)
 
 
 def signatures(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -71,7 +87,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = T.text_bytes(batch.column("text"))
         for a, b in T.slices(offsets):
             low = T.lower_ascii(data[offsets[a] : offsets[b]])
-            row, value = T.distinct(*T.shingle_hashes(low, offsets[a : b + 1] - offsets[a]))
+            row, value, digest = shingle_sets(low, offsets[a : b + 1] - offsets[a])
             n = b - a
             sizes = np.bincount(row, minlength=n).astype(np.int64)
             marks = signatures(row, value, n)
@@ -82,7 +98,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column("row_key").slice(a, n),
                     pa.array(sizes),
-                    _fixed(set_digest(row, value, n)),
+                    _fixed(digest),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64))),
                     _fixed(short),
                 ],
@@ -99,20 +115,18 @@ def _fixed(values: np.ndarray) -> pa.Array:
 
 
 class _Sets:
-    """Shingle sets and digests of texts; the last few are held, as pairs come sorted by their second text."""
+    """Shingle sets of texts by their digest; the last few are held, as pairs come sorted by their second text."""
 
     def __init__(self) -> None:
-        self.held: dict[str, tuple[np.ndarray, bytes]] = {}
+        self.held: dict[bytes, np.ndarray] = {}
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, bytes]:
-        text = text or ""
-        if text not in self.held:
+    def __call__(self, digest: bytes, text: str | None) -> np.ndarray:
+        if digest not in self.held:
             if len(self.held) >= 64:
                 self.held.clear()
-            data = np.frombuffer(text.encode(), dtype=np.uint8)
-            row, value = T.distinct(*T.shingle_hashes(T.lower_ascii(data), np.array([0, len(data)])))
-            self.held[text] = value, set_digest(row, value, 1).tobytes()
-        return self.held[text]
+            data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+            self.held[digest] = shingle_sets(T.lower_ascii(data), np.array([0, len(data)]))[1]
+        return self.held[digest]
 
 
 VERIFIED = "a binary, b binary, n_a bigint, n_b bigint, common bigint, gone array<bigint>, added array<bigint>"
@@ -123,9 +137,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("a", "b", "n_a", "n_b", "common", "gone", "added")}
         for a, b, text_a, text_b, hot in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b", "hot")), strict=True):
-            (x, x_digest), (y, y_digest) = sets(text_a), sets(text_b)
-            if (x_digest, y_digest) != (a, b):  # another row with the same key
-                continue
+            x, y = sets(a, text_a), sets(b, text_b)
             common = len(np.intersect1d(x, y, assume_unique=True))
             gone, added = (np.setdiff1d(p, q, assume_unique=True).view(np.int64) if hot else None for p, q in ((y, x), (x, y)))
             for k, v in zip(out, (a, b, len(x), len(y), common, gone, added), strict=True):
@@ -150,57 +162,72 @@ def _agree(a: str, b: str) -> F.Column:
 
 def links(docs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """(a, b): set digests of linked classes, enough of them that components are those of all links."""
+    linked = f"100 * common >= {threshold} * (n_a + n_b - common)"
     classes = durable(sketches.filter("n_shingles > 0").groupBy("digest").agg(F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     buckets = classes.select("digest", "n", F.posexplode("bands").alias("band", "value"))
-    counts = buckets.groupBy("band", "value").count().filter("count > 1")
-    buckets = durable(buckets.join(counts, ["band", "value"]).select("digest", "n", "band", "value", F.col("count").alias("size")))
+    counts = buckets.groupBy("band", "value").count().filter("count > 1").withColumnRenamed("count", "size")
+    buckets = durable(buckets.join(counts, ["band", "value"]).select("digest", "n", "band", "value", "size"))
+    # One text of each class that has a candidate; rows of equal keys are equal.
+    wanted = classes.select("digest", "row_key").join(buckets.select("digest").distinct(), "digest")
+    texts = durable(docs.select(row_key().alias("row_key"), "text").join(wanted, "row_key").select("digest", "text").dropDuplicates(["digest"]))
+
+    def verified(pairs: DataFrame, hot: bool) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(texts.withColumnsRenamed({"digest": side, "text": f"text_{side}"}), side)
+        return durable(pairs.withColumn("hot", F.lit(hot)).mapInArrow(_verify, VERIFIED))
+
+    small = buckets.filter(f"size <= {BLOCK}")
+    large = buckets.filter(f"size > {BLOCK}")
+    found = []
+    while not large.isEmpty():
+        # Each member with the bucket's leader, the member that shares the most with the large buckets.
+        central = large.groupBy("digest").agg(F.sum("size").alias("weight"))
+        leaders = durable(large.join(central, "digest").groupBy("band", "value").agg(F.max_by("digest", F.struct("weight", "digest")).alias("leader")))
+        led = large.join(leaders, ["band", "value"]).filter("digest <> leader")
+        stars = verified(led.select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct(), hot=True).withColumn("apart", ~F.expr(linked))
+        fruit = durable(stars.groupBy("b").agg((F.count("*") <= FRUITFUL * F.sum((~F.col("apart")).cast("int"))).alias("fruitful")))
+        stars = durable(stars.join(fruit, "b"))
+        found += [stars.filter("not apart").select("a", "b"), durable(_across(stars, threshold))]
+        rest = led.join(stars.filter("apart and fruitful").select(F.col("a").alias("digest"), F.col("b").alias("leader")), ["digest", "leader"]).select("digest", "n", "band", "value")
+        sizes = durable(rest.groupBy("band", "value").agg(F.count("*").alias("size")).filter("size > 1"))
+        rest = durable(rest.join(sizes, ["band", "value"]))
+        small = small.unionByName(rest.filter(f"size <= {BLOCK}"))
+        large = rest.filter(f"size > {BLOCK}")
+    # Small buckets: their pairs, if sizes allow a link at all and the signatures don't speak against it.
     ratio = threshold / 100.0
-    # Small buckets: their pairs, if sizes allow a link at all.
-    x, y = buckets.filter(f"size <= {BLOCK}").alias("x"), buckets.filter(f"size <= {BLOCK}").alias("y")
-    small = x.join(y, ["band", "value"]).filter("x.digest < y.digest").filter(f"least(x.n, y.n) >= {ratio} * greatest(x.n, y.n)")
-    small = small.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+    x, y = small.alias("x"), small.alias("y")
+    pairs = x.join(y, ["band", "value"]).filter("x.digest < y.digest").filter(f"least(x.n, y.n) >= {ratio} * greatest(x.n, y.n)")
+    pairs = pairs.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
     marks = classes.select("digest", "signature")
-    small = small.join(marks.withColumnsRenamed({"digest": "a", "signature": "s"}), "a").join(marks.withColumnsRenamed({"digest": "b", "signature": "t"}), "b")
-    small = small.filter(_agree("s", "t") >= ratio - SLACK).select("a", "b", F.lit(False).alias("hot"))
-    # Large buckets: each member with the bucket's leader, the member that shares the most with the large buckets.
-    large = buckets.filter(f"size > {BLOCK}")
-    central = large.groupBy("digest").agg(F.sum("size").alias("weight"))
-    large = large.join(central, "digest")
-    leaders = large.groupBy("band", "value").agg(F.max_by("digest", F.struct("weight", "digest")).alias("leader"))
-    stars = large.join(leaders, ["band", "value"]).filter("digest <> leader").select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct().withColumn("hot", F.lit(True))
-    pairs = stars.unionByName(small).groupBy("a", "b").agg(F.max("hot").alias("hot"))
-    keys = classes.select("digest", "row_key")
-    texts = docs.select(row_key().alias("row_key"), "text")
-    for side in ("a", "b"):
-        own = pairs.join(keys.withColumnsRenamed({"digest": side}), side)
-        pairs = own.join(texts.withColumnsRenamed({"text": f"text_{side}"}), "row_key").drop("row_key")
-    verified = durable(pairs.mapInArrow(_verify, VERIFIED).dropDuplicates(["a", "b"]))
-    linked = f"100 * common >= {threshold} * (n_a + n_b - common)"
-    found = verified.filter(linked).select("a", "b")
-    return found.unionByName(_between_members(verified.filter("gone is not null"), linked, threshold))
+    pairs = pairs.join(marks.withColumnsRenamed({"digest": "a", "signature": "s"}), "a").join(marks.withColumnsRenamed({"digest": "b", "signature": "t"}), "b")
+    pairs = pairs.filter(_agree("s", "t") >= ratio - SLACK).select("a", "b")
+    found.append(verified(pairs, hot=False).filter(linked).select("a", "b"))
+    return reduce(DataFrame.unionByName, found)
 
 
-def _between_members(stars: DataFrame, linked: str, threshold: int) -> DataFrame:
-    """Links of members that don't link to their leader with other members of its group.
+def _across(stars: DataFrame, threshold: int) -> DataFrame:
+    """Links of members that don't link to their leader with settled members, and with each other if no leader follows.
 
     With d the size of a symmetric difference, a link of x and y means d(x, y) * (100 + t) <= (100 - t) * (n_x + n_y).
     """
     per = (100 - threshold) / (100 + threshold)
-    stars = stars.select("b", "a", "n_a", "n_b", "gone", "added", (F.size("gone") + F.size("added")).alias("d"), (~F.expr(linked)).alias("apart"))
+    stars = stars.select("b", "a", "n_a", "n_b", "gone", "added", (F.size("gone") + F.size("added")).alias("d"), "apart", "fruitful")
     # Over half of y's difference, about, is also in that of any x that is apart from the leader.
     stars = stars.withColumn("need", F.floor((F.col("d") + per * (F.col("n_b") - F.col("n_a"))) / 2) + 1)
+    seconds = stars.filter("not (apart and fruitful)")
     # What y has lost may be lost by others too; of what it has gained, only what others have gained can count.
     gains = stars.select("b", "a", "apart", F.explode("added").alias("e"))
     others = gains.groupBy("b", "e").agg(F.count("*").alias("held"), F.max("apart").alias("wanted")).filter("held > 1 and wanted")
     gained = gains.join(others.select("b", "e"), ["b", "e"], "left_semi").groupBy("b", "a").agg(F.count("*").alias("gained"))
-    ys = stars.join(gained, ["b", "a"], "left").filter(F.size("gone") + F.coalesce("gained", F.lit(0)) >= F.col("need"))
+    ys = seconds.join(gained, ["b", "a"], "left").filter(F.size("gone") + F.coalesce("gained", F.lit(0)) >= F.col("need"))
     held = stars.select("b", "apart", F.explode(F.concat("gone", "added")).alias("e")).groupBy("b", "e").agg(F.count("*").alias("held"), F.max("apart").alias("wanted"))
-    spans = ys.select("b", "a", "n_a", "d", "need", F.explode(F.concat("gone", "added")).alias("e")).join(held.filter("held > 1 and wanted"), ["b", "e"])
+    spans = ys.select("b", "a", "apart", "n_a", "d", "need", F.explode(F.concat("gone", "added")).alias("e")).join(held.filter("held > 1 and wanted"), ["b", "e"])
     spans = spans.withColumn("rank", F.row_number().over(Window.partitionBy("b", "a").orderBy("held", "e"))).withColumn("own", F.count("*").over(Window.partitionBy("b", "a")))
-    y = spans.filter(F.col("rank") <= F.col("own") - F.col("need") + 1).select("b", "e", F.col("a").alias("y"), F.col("d").alias("d_y"), F.col("n_a").alias("n_y"), (F.col("own") - F.col("rank") + 1).alias("left_y"))
+    y = spans.filter(F.col("rank") <= F.col("own") - F.col("need") + 1).select("b", "e", F.col("a").alias("y"), F.col("apart").alias("y_apart"), F.col("d").alias("d_y"), F.col("n_a").alias("n_y"), (F.col("own") - F.col("rank") + 1).alias("left_y"))
     x = stars.filter("apart").select("b", F.col("a").alias("x"), F.col("d").alias("d_x"), F.col("n_a").alias("n_x"), F.explode(F.concat("gone", "added")).alias("e"))
     enough = F.col("left_y") * 2 >= F.col("d_x") + F.col("d_y") - per * (F.col("n_x") + F.col("n_y")) - 1e-6
-    pairs = x.join(y, ["b", "e"]).filter((F.col("x") != F.col("y")) & enough).select("b", "x", "y", "d_x", "d_y", "n_x", "n_y").distinct()
+    # Of two members that are both apart, one order will do.
+    pairs = x.join(y, ["b", "e"]).filter((F.col("x") != F.col("y")) & (~F.col("y_apart") | (F.col("x") < F.col("y"))) & enough).select("b", "x", "y", "d_x", "d_y", "n_x", "n_y").distinct()
     deltas = stars.select("b", "a", F.concat("gone", "added").alias("delta"))
     pairs = pairs.join(deltas.withColumnsRenamed({"a": "x", "delta": "delta_x"}), ["b", "x"]).join(deltas.withColumnsRenamed({"a": "y", "delta": "delta_y"}), ["b", "y"])
     apart = F.col("d_x") + F.col("d_y") - 2 * F.size(F.array_intersect("delta_x", "delta_y"))
@@ -218,6 +245,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     are ignored for it, and rows of a component without any other have null. kept tells whether doc_id is component_id;
     rows that repeat both id and text have the same result. An empty table gives an empty one.
     """
+    ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     keyed = docs.select("doc_id", row_key().alias("row_key"), "text")
     sketches = durable(keyed.select("row_key", "text").mapInArrow(_sketch, SKETCH))
@@ -227,7 +255,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     rows = ids.join(known, "row_key").join(found.withColumnsRenamed({"node": "digest"}), "digest", "left")
     # Rows without shingles are components of their own.
     rows = rows.withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "digest")))
-    least = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Written, so that the join below has two shuffled sides and a root with many rows can be split.
+    least = durable(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")))
     rows = rows.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return rows.select("doc_id", "row_key", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
