@@ -271,8 +271,10 @@ def test_licenses(spark):
     assert licenses.scan_licenses(edge_docs(spark), licenses.known_templates(spark)).count() == 0
 
 
-def test_licenses_anywhere(spark):
-    """Every notice at the start, middle and end of many texts, against the SQL."""
+@pytest.mark.parametrize("broadcast", [licenses.MOST_BROADCAST, 0])
+def test_licenses_anywhere(spark, monkeypatch, broadcast):
+    """Every notice at the start, middle and end of many texts, against the SQL; also with shuffled templates."""
+    monkeypatch.setattr(licenses, "MOST_BROADCAST", broadcast)
     random.seed(6)
     prose = lambda n: " ".join("".join(random.choices("abcdefgh", k=5)) for _ in range(n))
     rows = [" ".join((prose(a), notice, prose(b))) for _, notice in licenses.TEMPLATES for _ in range(40) for a, b in ((0, 30), (random.randint(5, 30), 30), (30, 0))]
@@ -290,6 +292,54 @@ def test_decontamination(spark):
     assert decontamination.contaminated(edge_docs(spark), items).count() == 0
 
 
+def test_short_notices_with_a_lost_end(spark):
+    """A notice of five shingles of which one is lost has 0.8 of them, at whatever place it stands."""
+    notice = "terms apply to every copy of this thing here"
+    templates = spark.createDataFrame([("five", notice), ("none", None), (None, notice)], "license_id string, text string")
+    cut = [" ".join(notice.split()[1:]), " ".join(notice.split()[:-1])]
+    docs = [(i, " ".join([*(f"x{i}y{k}" for k in range(i % 9)), cut[i % 2], *(f"z{i}y{k}" for k in range(9))])) for i in range(400)]
+    found = licenses.scan_licenses(spark.createDataFrame(docs + docs[:5], "doc_id long, text string"), templates).collect()
+    assert sorted((r.doc_id, r.license_id, r.n_matched) for r in found) == [(i, "five", 4) for i in range(400)]
+
+
+ITEMS = [
+    (1, "Natalia sold 48 clips to her friends in April and then she sold half as many in May. Natalia wants to know how many clips she sold in all."),
+    (2, "12 13 14 15 16 17 18 19"),
+    (3, "blue whales sing"),
+    (4, "Yes"),
+    (5, "Compute 3 4 5 6 7 8 and tell Bob the sum of all the numbers that you have seen here."),
+    (6, None),
+]
+CASES = [
+    (1, "Lead. Maria sold 51 clips to her friends in June and then she sold half as many in July. Maria wants to know how many clips she sold in all. End."),
+    (2, "Maria sold 51 clips to her friends in June and then she sold half as many in July. Petra wants to know how many clips she sold in all."),
+    (3, "The row is 12 13 14 15 16 17 18 19 and no more"),
+    (4, "The row is 22 13 14 15 16 17 18 29 and no more"),
+    (5, "It is said that blue whales sing at night"),
+    (6, "It is said that blue birds sing at night"),
+    (7, "yes"),
+    (8, "Well yes of course it is"),
+    (9, "Compute 3 4 5 6 7 8 and tell Bob the sum of all the numbers that you have seen here."),
+    (10, "Compute 3 4 5 9 7 8 and tell Eve the sum of all the numbers that you have seen here."),
+    (11, "Natalia sold 48 clips to her friends in April and then she sold half as many in May. Natalia wants to know how many clips she sold in all. " * 3),
+]
+
+
+@pytest.mark.parametrize("broadcast", [decontamination.MOST_BROADCAST, -1])
+def test_decontamination_recall(spark, monkeypatch, broadcast):
+    """Rewritten sentence-initial names, rows of numbers, short items, repeated rows; by both joins, against the SQL."""
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", broadcast)
+    random.seed(8)
+    prose = lambda n: " ".join("".join(random.choices("abcdefgh", k=5)) for _ in range(n))
+    rows = CASES + [(100 + i, f"{prose(i % 7)} {t} {prose(i % 5)}") for i, (_, t) in enumerate(CASES * 5)] + [(300, None), (301, ""), CASES[0]]
+    documents, benchmark = pd.DataFrame(rows, columns=["doc_id", "text"]), pd.DataFrame(ITEMS, columns=["item_id", "text"])
+    wanted = sorted(duckdb.sql(decontamination.OP7_SQL).fetchall())
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = sorted(map(tuple, decontamination.contaminated(docs, items.union(items)).collect()))
+    assert found == [(d, i, n, m, pytest.approx(c), r) for d, i, n, m, c, r in wanted]
+    assert {(d, i, r) for d, i, _, _, _, r in found if d < 100} == {(1, 1, True), (3, 2, False), (5, 3, False), (7, 4, False), (9, 5, False), (10, 5, True), (11, 1, False)}
+
+
 def test_sharding(spark):
     names = [f"s{k}" for k in range(5)]
     lookup = sharding.lookup_table(spark, names, 101)

@@ -1,10 +1,10 @@
 """License notices by min-hash bands over overlapping windows, verified by exact shingle containment.
 
 Text windows have WINDOW five-word shingles and start STEP shingles apart; templates are cut at every shingle. So of any run
-of WINDOW + STEP - 1 template shingles that stands in a text, some text window is a template window itself, and of a notice
-with three shingles alone a window holds all three: its bands of one row agree with a chance of 3/4 each, and all miss with
-one of (1/4)**BANDS. Templates that are found only with all their shingles (up to four, at a containment of 0.8) are also
-looked up by their first shingle itself, among all shingles of the texts, so that none of them is missed.
+of WINDOW + STEP - 1 template shingles that stands in a text, some text window is a template window itself, and all its
+bands agree. An edit within a notice breaks four shingles or more, so a notice of ten shingles or more that keeps
+CONTAINMENT of them keeps such a run. Shorter notices may not: of a notice with up to SHORT shingles as many as can't all be
+missing are looked up by their own hash too, among all shingles of the texts, so that none of these notices is missed.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from .near_dups import row_key
 
 WINDOW, STEP, BANDS = 4, 2, 8
 CONTAINMENT = 0.8
-#: Templates that may be broadcast.
-MOST_TEMPLATES = 20_000
+#: Templates up to this number of shingles are also looked up shingle by shingle.
+SHORT = 9
+#: Shingles of all templates up to which these are broadcast; each gives some BANDS rows of about 60 bytes.
+MOST_BROADCAST = 200_000
 
 # Public license notices.
 TEMPLATES = [
@@ -55,37 +57,47 @@ def with_shingles(df: DataFrame, name: str) -> DataFrame:
 
 
 def bands(values: Column, first: Column) -> Column:
-    """The window's least hash under each of BANDS permutations (exclusive or with a constant)."""
+    """The window's least hash under each of BANDS independent hash functions; a place beyond the end counts for nothing."""
     window = [F.get(values, first + k) for k in range(WINDOW)]
-    return F.array(*[F.least(*[w.bitwiseXOR(F.lit(int(s))) for w in window]) for s in T.seeds(BANDS, 41).view("int64")])
+    hashed = lambda w, s: F.xxhash64(F.lit(int(s)), w)
+    least = lambda s: F.least(hashed(window[0], s), *[F.when(w.isNotNull(), hashed(w, s)) for w in window[1:]])
+    return F.array(*[least(s) for s in T.seeds(BANDS, 41).view("int64")])
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """doc_id, license_id, n_matched, n_shingles, containment: notices with CONTAINMENT of their shingles in a text.
 
     `docs` needs doc_id and text, `templates` license_id and text; other columns are not looked at. Null and empty texts
-    match nothing, null or wordless templates are left out. Of equal rows one result stays; a doc_id with several texts has
-    its best one. There may be MOST_TEMPLATES templates (checked), so that they can be broadcast; the documents are
-    scanned in one pass and only candidates move.
+    match nothing, null or wordless templates and those without license_id are left out. Of equal rows one result stays; a
+    doc_id with several texts, or a license_id with several templates, has its best one. Templates of up to MOST_BROADCAST
+    shingles (checked) are broadcast, and the documents scanned in one pass, of which candidates alone move. Beyond that,
+    windows' hashes are shuffled, without their texts.
     """
-    kept = with_shingles(templates.select("license_id", "text"), "in_order").withColumn("t", F.array_distinct("in_order")).filter("size(t) > 0")
-    if kept.count() > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    kept = with_shingles(templates.filter("license_id is not null").select("license_id", F.xxhash64("license_id", "text").alias("template"), "text"), "in_order")
+    kept = kept.withColumn("t", F.array_distinct("in_order")).filter("size(t) > 0").dropDuplicates(["template"])
+    few = (kept.agg(F.sum(F.size("in_order"))).first()[0] or 0) <= MOST_BROADCAST
+    held = F.broadcast if few else (lambda df: df)
     # `least` skips what lies beyond a template's end, so short templates have one window.
-    cuts = kept.select("license_id", "in_order", F.explode(F.sequence(F.lit(0), F.greatest(F.size("in_order") - WINDOW, F.lit(0)))).alias("i"))
-    wanted = cuts.select("license_id", F.explode(bands(F.col("in_order"), F.col("i"))).alias("value")).distinct()
-    whole = kept.filter(F.size("t") - 1 < CONTAINMENT * F.size("t")).select("license_id", F.get("in_order", F.lit(0)).alias("value"))
-    wanted = wanted.union(whole).distinct()
+    cuts = kept.select("template", "in_order", F.explode(F.sequence(F.lit(0), F.greatest(F.size("in_order") - WINDOW, F.lit(0)))).alias("i"))
+    wanted = cuts.select("template", F.explode(bands(F.col("in_order"), F.col("i"))).alias("value"))
+    enough = F.ceil(F.size("t") * CONTAINMENT - 1e-9)
+    single = kept.filter(F.size("t") <= SHORT).select("template", F.explode(F.slice("t", F.lit(1), (F.size("t") - enough + 1).cast("int"))).alias("value"))
+    wanted = held(wanted.union(single).distinct())
     texts = with_shingles(docs.select("doc_id", row_key().alias("row_key"), "text"), "s")
     # An outer explode keeps Spark from computing the shingles once more for a filter.
     windows = texts.select("doc_id", "row_key", "s", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("s") - 1, F.lit(0)), F.lit(STEP))).alias("i"))
     # Windows start STEP shingles apart, so their first STEP shingles are all that a text has.
     single = F.array(*[F.get("s", F.col("i") + k) for k in range(STEP)])
     marks = windows.select("doc_id", "row_key", "s", F.explode(F.concat(bands(F.col("s"), F.col("i")), single)).alias("value"))
-    found = marks.join(F.broadcast(wanted), "value").groupBy("doc_id", "row_key", "license_id").agg(F.first("s").alias("s"))
-    matched = found.join(F.broadcast(kept.select("license_id", "t")), "license_id").select("doc_id", "license_id", F.size(F.array_intersect("t", "s")).cast("long").alias("n_matched"), F.size("t").cast("long").alias("n_shingles"))
+    if few:
+        found = marks.join(wanted, "value").groupBy("doc_id", "row_key", "template").agg(F.first("s").alias("s"))
+    else:
+        pairs = marks.select("row_key", "value").join(wanted, "value").select("row_key", "template").distinct()
+        found = pairs.join(texts.dropDuplicates(["row_key"]), "row_key")
+    matched = found.join(held(kept.select("template", "license_id", "t")), "template").select("doc_id", "license_id", F.size(F.array_intersect("t", "s")).cast("long").alias("n_matched"), F.size("t").cast("long").alias("n_shingles"))
     matched = matched.withColumn("containment", F.col("n_matched") / F.col("n_shingles")).filter(F.col("containment") >= CONTAINMENT)
-    return matched.groupBy("doc_id", "license_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_shingles").alias("n_shingles"), F.max("containment").alias("containment"))
+    best = matched.groupBy("doc_id", "license_id").agg(F.max(F.struct("containment", "n_matched", "n_shingles")).alias("best"))
+    return best.select("doc_id", "license_id", "best.n_matched", "best.n_shingles", "best.containment")
 
 
 def known_templates(spark: SparkSession) -> DataFrame:
