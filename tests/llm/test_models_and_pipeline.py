@@ -59,18 +59,51 @@ def test_edges(spark):
         assert quality.score_quality(docs, labels).count() == n
 
 
+def dense_index(counts, labels, idf):
+    row, term = np.nonzero(counts)
+    index = toxicity.Index(np.arange(len(counts)), labels, row, term, counts[row, term], idf)
+    vectors = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
+    return index, vectors[index.ids] / np.linalg.norm(vectors[index.ids], axis=1, keepdims=True)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
     counts = rng.poisson(0.3, (700, 12))
-    index = toxicity.Index(np.arange(700), rng.integers(0, 2, 700), counts, np.linspace(1, 3, 12))
+    index, vectors = dense_index(counts, rng.integers(0, 2, 700), np.linspace(1, 3, 12))
+    assert set(index.ids) == set(np.flatnonzero(counts.any(axis=1)))
     for _ in range(50):
         terms = np.sort(rng.choice(12, rng.integers(1, 5), replace=False))
         weights = rng.random(len(terms))
         weights /= np.linalg.norm(weights)
         at, near = index.nearest(terms, weights)
-        every = index.vectors[:, terms] @ weights
+        every = vectors[:, terms] @ weights
         least = np.sort(every)[-toxicity.NEIGHBOURS]
         assert sorted(at.tolist()) == np.flatnonzero((every >= least - 1e-9) & (every > 0)).tolist()
+        assert np.allclose(near, every[at])
+
+
+def test_votes_are_calibrated():
+    """Where terms tell half of the truth, scores on new texts are near the shares that they stand for."""
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(0.5, (4000, 8))
+    chance = 1 / (1 + np.exp(3 - 1.2 * counts[:, :4].sum(axis=1)))
+    labels = (rng.random(4000) < chance).astype(int)
+    index, _ = dense_index(counts[:2000], labels[:2000], np.ones(8))
+    index.calibrate()
+    scores = np.array([index.score(np.flatnonzero(c), c[np.flatnonzero(c)])[0] for c in counts[2000:]])
+    for low, high in ((0, 0.2), (0.2, 0.5), (0.5, 1.01)):
+        some = (scores >= low) & (scores < high)
+        assert some.sum() > 50 and abs(scores[some].mean() - labels[2000:][some].mean()) < 0.1
+    assert index.slope != 1.0
+
+
+def test_terms_have_no_cap(spark):
+    """Hundreds of telling words, each in a few texts, are all terms."""
+    rng = np.random.default_rng(3)
+    words = lambda form, n: " ".join(f"{rng.integers(1e9)} {form}{rng.integers(300)}x" for _ in range(n))
+    rows = [(i, words("bad", 8) if i % 10 == 0 else words("good", 8), int(i % 10 == 0)) for i in range(6000)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert len(toxicity.choose_terms(sample)) >= 300
 
 
 def test_boosting():

@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from . import textops as T
 from .common import table, trim
 
@@ -410,6 +411,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str | None = None, keep_ids:
     The decoded digest is taken over the bytes that the ids give, never over the text. Without `keep_ids`, ids and
     offsets are null, without `keep_offsets` the latter. The vocabulary (below 1 MB) is read by the driver and broadcast.
     """
+    ship(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary_path or public_tokenizers.path(VOCABULARY)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,6 +454,7 @@ def _encoder(ranks) -> Encoder:  # noqa: ANN001  a Spark broadcast
 
 def decode(tokens: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id and the text that `ids` give; null ids give a null text, bytes that aren't UTF-8 a replacement sign."""
+    ship(tokens.sparkSession)
     ranks = tokens.sparkSession.sparkContext.broadcast(load_ranks(vocabulary_path or public_tokenizers.path(VOCABULARY)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import textops as T
 from .common import held_out, table
 from .labelled import SAMPLE, labelled_sample
@@ -52,16 +53,18 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = T.text_bytes(batch.column("text"))
         for a, b in T.slices(offsets):
             row, at = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            cut = pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32))
-            yield pa.record_batch([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.ListArray.from_arrays(cut, pa.array(at))], names=["doc_id", "label", "at"])
+            pair, count = np.unique(row.astype(np.int64) << 32 | at, return_counts=True)
+            cut = pa.array(np.searchsorted(pair >> 32, np.arange(b - a + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (pair & 0xFFFFFFFF, count)]
+            yield pa.record_batch([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), *lists], names=["doc_id", "label", "at", "count"])
 
 
 def train(sample: DataFrame) -> tuple[np.ndarray, float]:
     """Weights and bias after EPOCHS passes over the bounded sample, in an order that its ids fix."""
-    rows = sorted(sample.mapInArrow(_featurise, "doc_id bigint, label int, at array<int>").collect(), key=lambda r: r.doc_id)
+    rows = sorted(sample.mapInArrow(_featurise, "doc_id bigint, label int, at array<int>, count array<int>").collect(), key=lambda r: r.doc_id)
     examples = []
     for r in rows:
-        at, count = np.unique(np.array(r["at"], dtype=np.int64), return_counts=True)
+        at, count = np.array(r["at"], dtype=np.int64), np.array(r["count"], dtype=np.int64)
         examples.append((at, count / np.sqrt(max(1, count.sum())), r.label))
     mean = (sum(e[2] for e in examples) + 1) / (len(examples) + 2)
     bias = float(np.log(mean / (1 - mean)))
@@ -88,6 +91,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Dat
     the rows that aren't held out alone, at most `most` of them. A null or empty text has no n-grams: its score is that of
     the bias, the smoothed rate of good examples. Rows keep their number.
     """
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, "quality", most)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,13 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, over a block-max inverted index.
 
 Terms are words and their beginnings. Those that tell toxic from other examples are chosen on a bounded labelled sample,
-by in how many different contexts they are seen, so that copies of one text don't count again. Document frequencies come
-from all documents. The index (examples in blocks, the largest weight of each term in each block) is bounded by the
-sample and the vocabulary, and broadcast. A search takes blocks by their upper bounds and ends when no block left can
-reach the k-th similarity, which is exact. Votes are weighted by distance and shrunk to the base rate.
+by in how many different contexts they are seen, so that copies of one text don't count again; over all terms the nearest
+examples are those of the same topic and say little (figures in the README). Document frequencies come from all documents.
+The index holds, for every term, the examples with it and their weights, block by block with the largest weight of each
+block. It is bounded by the sample, and broadcast. A search adds up the blocks' bounds over the text's terms, takes blocks
+from the highest on and ends when no block left can reach the k-th similarity, which is exact. Votes are weighted by
+distance, shrunk to the base rate and calibrated by a logistic curve that is fitted to the examples' own votes, each
+without itself.
 """
 
 from __future__ import annotations
@@ -17,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from . import textops as T
 from .common import held_out, table, trim
 from .labelled import SAMPLE, labelled_sample
 
 #: Lengths in bytes of the word beginnings that are terms beside whole words.
 PREFIXES = (4, 5, 6, 7)
-#: The most terms; the least contexts of a term in toxic examples; the least deviation from chance.
-TERMS, CONTEXTS, DEVIATION = 256, 8, 8.0
+#: The least contexts of a term in toxic examples; the least deviation from chance.
+CONTEXTS, DEVIATION = 8, 8.0
 #: With few toxic examples, contexts in this share of their number are enough, but two at least.
 SHARE = 0.4
 NEIGHBOURS, BLOCK = 25, 64
@@ -79,7 +83,7 @@ def _toxic_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_terms(sample: DataFrame) -> list[int]:
-    """Hashes of the terms that point to toxic examples, the strongest first; at most TERMS.
+    """Hashes of the terms that point to toxic examples, the strongest first; as many as the sample gives.
 
     A term needs CONTEXTS toxic contexts and DEVIATION. Where SHARE of the number of toxic examples is less than CONTEXTS,
     it needs so many toxic contexts, in as many toxic texts, and at most the deviation that they have if all are toxic.
@@ -96,7 +100,7 @@ def choose_terms(sample: DataFrame) -> list[int]:
     if contexts < CONTEXTS:
         texts = sample.filter("label = 1").select("text").mapInArrow(_toxic_texts, "term bigint").groupBy("term").count()
         strong = strong.join(texts.filter(F.col("count") >= contexts), "term", "left_semi")
-    return [r.term for r in strong.orderBy(F.desc("z"), "term").limit(TERMS).select("term").collect()]
+    return [r.term for r in strong.orderBy(F.desc("z"), "term").select("term").collect()]
 
 
 class Vocabulary:
@@ -148,37 +152,94 @@ def document_frequencies(docs: DataFrame, terms: list[int]) -> tuple[int, np.nda
 
 
 class Index:
-    """Examples as unit vectors, by blocks, and the largest weight of every term in every block."""
+    """Examples as sparse unit vectors in blocks: postings by term and block, and the largest weight of each such run.
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> None:
+    `row`, `term` and `count` list the terms of the examples; `ids` and `labels` are those of the examples.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray) -> None:
         self.idf, self.base = idf, (labels.sum() + 1) / (len(labels) + 2)
-        vectors = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
-        norm = np.sqrt((vectors**2).sum(axis=1)) if len(ids) else np.zeros(0)
+        weight = (1 + np.log(count)) * idf[term]
+        norm = np.sqrt(np.bincount(row, weight**2, len(ids)))
         plain = norm == 0
         self.plain = (labels[plain].sum() + self.base) / (plain.sum() + 1)
-        vectors, ids, labels = vectors[~plain] / norm[~plain, None], ids[~plain], labels[~plain]
-        order = np.lexsort((ids, vectors.argmax(axis=1))) if len(ids) else np.zeros(0, dtype=np.int64)
-        self.vectors, self.ids, self.labels = vectors[order], ids[order], labels[order]
-        self.blocks = -(-len(ids) // BLOCK)
-        self.bounds = np.array([self.vectors[k * BLOCK : (k + 1) * BLOCK].max(axis=0) for k in range(self.blocks)]).reshape(self.blocks, len(idf))
+        # Examples whose heaviest term is the same stand together, so that blocks have tight bounds.
+        heaviest = np.full(len(ids), len(idf), dtype=np.int64)
+        by_weight = np.argsort(weight, kind="stable")
+        heaviest[row[by_weight]] = term[by_weight]
+        order = np.lexsort((ids, heaviest, plain))[: int((~plain).sum())]
+        place = np.full(len(ids), -1, dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.ids, self.labels = ids[order], labels[order]
+        self.blocks = -(-len(order) // BLOCK)
+        turn = np.lexsort((place[row], term))
+        self.example, self.weight, term = place[row][turn], (weight / np.where(plain, 1, norm)[row])[turn], term[turn]
+        block = self.example // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.empty(0, dtype=np.int64)
+        self.run, self.run_block = np.r_[first, len(term)], block[first]
+        self.run_most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.runs_of = np.searchsorted(term[first], np.arange(len(idf) + 1))
+        self.slope, self.shift = 1.0, 0.0
         self.known: dict[bytes, tuple[float, list[int]]] = {}
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and similarities of the NEIGHBOURS nearest examples, and of all that tie with the last."""
-        upper = self.bounds[:, terms] @ weights
-        at, best, least = [], np.zeros(0), -1.0
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and similarities of the k nearest examples that share a term, and of all that tie with the last."""
+        upper = np.zeros(self.blocks)
+        runs = [np.arange(self.runs_of[t], self.runs_of[t + 1]) for t in terms]
+        for r, w in zip(runs, weights, strict=True):
+            upper[self.run_block[r]] += w * self.run_most[r]
+        at, best, least = [], np.zeros(0), 0.0
         for block in np.argsort(-upper, kind="stable"):
-            if len(best) >= NEIGHBOURS and upper[block] < least - 1e-9:
+            if upper[block] <= 0 or (len(best) >= k and upper[block] < least - 1e-9):
                 break
-            here = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(self.ids)))
-            at.append(here)
-            best = np.r_[best, self.vectors[here[:, None], terms] @ weights]
-            if len(best) >= NEIGHBOURS:
-                least = np.partition(best, -NEIGHBOURS)[-NEIGHBOURS]
+            score = np.zeros(BLOCK)
+            for r, w in zip(runs, weights, strict=True):
+                i = np.searchsorted(self.run_block[r], block)
+                if i < len(r) and self.run_block[r[i]] == block:
+                    here = slice(self.run[r[i]], self.run[r[i] + 1])
+                    score[self.example[here] - block * BLOCK] += w * self.weight[here]
+            found = np.flatnonzero(score > 0)
+            at.append(block * BLOCK + found)
+            best = np.r_[best, score[found]]
+            if len(best) >= k:
+                least = np.partition(best, -k)[-k]
         if not at:
             return np.zeros(0, dtype=np.int64), best
-        found = np.flatnonzero((best >= least - 1e-9) & (best > 0))
-        return np.concatenate(at)[found], best[found]
+        near = np.flatnonzero(best >= least - 1e-9)
+        return np.concatenate(at)[near], best[near]
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """The shrunk share of toxic neighbours, and the neighbours; `without` is an example that has no vote."""
+        weights = (1 + np.log(counts)) * self.idf[terms]
+        at, near = self.nearest(terms, weights / np.sqrt((weights**2).sum()), NEIGHBOURS + (without >= 0))
+        at, near = at[at != without], near[at != without]
+        votes = 1 / (1.05 - np.minimum(near, 1))
+        return float((votes @ self.labels[at] + self.base) / (votes.sum() + 1)), at, near
+
+    def calibrate(self) -> None:
+        """Fits the curve from votes to probabilities on the examples' votes, by Newton steps; its prior is no change."""
+        term = np.repeat(np.arange(len(self.idf)), self.run[self.runs_of[1:]] - self.run[self.runs_of[:-1]])
+        order = np.argsort(self.example, kind="stable")
+        cut = np.searchsorted(self.example[order], np.arange(len(self.ids) + 1))
+        votes = np.zeros(len(self.ids))
+        for i in range(len(self.ids)):
+            own = order[cut[i] : cut[i + 1]]
+            # the stored weights are the products that `vote` would make, so counts aren't needed
+            at, near = self.nearest(term[own], self.weight[own], NEIGHBOURS + 1)
+            at, near = at[at != i], near[at != i]
+            w = 1 / (1.05 - np.minimum(near, 1))
+            votes[i] = (w @ self.labels[at] + self.base) / (w.sum() + 1)
+        if len(votes) < 20 or self.labels.min() == self.labels.max():
+            return
+        x = np.stack([np.log(votes / (1 - votes)), np.ones(len(votes))], axis=1)
+        prior = np.array([1.0, 0.0])
+        theta = prior.copy()
+        for _ in range(25):
+            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+            gradient = x.T @ (p - self.labels) + 4 * (theta - prior)
+            theta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 4 * np.eye(2), gradient)
+        if np.isfinite(theta).all() and theta[0] > 0:
+            self.slope, self.shift = map(float, theta)
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
         """Calibrated vote and the ids of up to three nearest examples."""
@@ -186,19 +247,17 @@ class Index:
             return float(self.plain), []
         key = terms.tobytes() + counts.tobytes()
         if key not in self.known:
-            weights = (1 + np.log(counts)) * self.idf[terms]
-            at, near = self.nearest(terms, weights / np.sqrt((weights**2).sum()))
-            votes = 1 / (1.05 - np.minimum(near, 1))
-            value = (votes @ self.labels[at] + self.base) / (votes.sum() + 1)
+            value, at, near = self.vote(terms, counts)
+            value = 1 / (1 + math.exp(-self.slope * math.log(value / (1 - value)) - self.shift))
             evidence = self.ids[at[np.lexsort((self.ids[at], -np.round(near, 9)))[:3]]].tolist()
             if len(self.known) >= 50_000:
                 self.known.clear()
-            self.known[key] = float(value), evidence
+            self.known[key] = value, evidence
         return self.known[key]
 
 
-def _examples(sample: DataFrame, terms: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, labels and term counts of the bounded sample, by doc_id."""
+def _examples(sample: DataFrame, terms: list[int]) -> tuple[np.ndarray, ...]:
+    """Ids and labels of the bounded sample, by doc_id, and its terms: row, term, count."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(terms)
@@ -210,10 +269,9 @@ def _examples(sample: DataFrame, terms: list[int]) -> tuple[np.ndarray, np.ndarr
                 yield pa.record_batch([batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.ListArray.from_arrays(cut, pa.array(term)), pa.ListArray.from_arrays(cut, pa.array(count))], names=["doc_id", "label", "terms", "counts"])
 
     rows = sorted(sample.mapInArrow(work, "doc_id bigint, label int, terms array<bigint>, counts array<bigint>").collect())
-    counts = np.zeros((len(rows), len(terms)))
-    for i, r in enumerate(rows):
-        counts[i, r.terms] = r.counts
-    return np.array([r.doc_id for r in rows], dtype=np.int64), np.array([r.label for r in rows], dtype=np.int64), counts
+    whole = lambda c: np.array([x for r in rows for x in r[c]], dtype=np.int64)
+    ids, labels = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("doc_id", "label"))
+    return ids, labels, np.repeat(np.arange(len(rows)), [len(r.terms) for r in rows] or 0), whole("terms"), whole("counts")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -224,12 +282,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, carry
     the rate of toxic examples without terms. Without labels of both kinds every row gets the base rate. Examples that
     tie with the last neighbour all vote. Rows keep their number.
     """
+    ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", most)
     terms = choose_terms(sample)
     n, held = document_frequencies(docs, terms)
     idf = np.log((n + 1) / (held + 1)) + 1
     examples = _examples(sample, terms)
     index = Index(*examples, idf)
+    index.calibrate()
     held_index = docs.sparkSession.sparkContext.broadcast(index)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
