@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -176,6 +177,45 @@ def test_pii_rules_and_table(spark, data):
     assert len(found) == len(TEXTS) + 3 and any(r.redacted == "mail me: [EMAIL] or [PHONE], [IP]" for r in found)
 
 
+def test_pii_proposals_take_linear_time():
+    """Long runs without spaces, dense signs and many spans."""
+    for text in ("1" * 1_000_000, "a." * 500_000, "x@" * 300_000, "a@b.c " * 50_000, "key=abc123def456 " * 30_000, "-1" * 400_000, "(at)" * 200_000):
+        start = time.process_time()
+        rules, offered = pii.rule_spans(text), pii.proposals(text)
+        pii.choose(rules, offered, np.full(len(offered), 0.9), [0.5] * 5)
+        assert time.process_time() - start < 20, text[:10]
+
+
+def test_pii_choice():
+    """Against trying every span in turn, with ties."""
+    random.seed(7)
+    for _ in range(300):
+        rules = sorted({(k, s, s + random.randint(1, 9)) for k, s in ((random.randint(0, 3), random.randint(0, 60)) for _ in range(4))})
+        offered = sorted({(k, s, s + random.randint(1, 9)) for k, s in ((random.randint(0, 4), random.randint(0, 60)) for _ in range(12))})
+        p = np.array([random.choice([0.2, 0.6, 0.6, 0.9]) for _ in offered])
+        want = list(rules)
+        for i in sorted(range(len(offered)), key=lambda i: (-p[i], offered[i])):
+            if p[i] >= 0.5 and all(offered[i][2] <= s or e <= offered[i][1] for _, s, e in want):
+                want.append(offered[i])
+        assert pii.choose(rules, offered, p, [0.5] * 5) == sorted(want)
+
+
+def test_pii_finds_what_rules_miss(spark):
+    """Keys without a telling name are found by their form, as learnt from named ones; plain long words aren't taken."""
+    random.seed(9)
+    key = lambda: "".join(random.choices("abcdef0123456789", k=40))
+    word = lambda: "".join(random.choices("aeioubcdlmnrst", k=random.randint(3, 9)))
+    rows = []
+    for i in range(600):
+        prose = [word() for _ in range(20)]
+        prose.insert(5, f"token={key()}" if i % 3 == 0 else f"section{i}of{word()}{i % 7}")
+        rows.append((i, " ".join(prose)))
+    rows += [(1000 + i, f"some {word()} {key()} text") for i in range(30)]
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("secret:" in found[1000 + i] for i in range(30)) >= 28
+    assert sum("secret:" in found[i] for i in range(600) if i % 3) <= 12
+
+
 def ends_paragraph(word):
     data = np.frombuffer(word, dtype=np.uint8)
     return int(textops.spans_hash(data, np.array([0]), np.array([len(word)]))[0]) % fingerprints.PARAGRAPH_WORDS == 0
