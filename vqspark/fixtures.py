@@ -86,8 +86,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """One file is one task: heavy work on a small file is dealt out first."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """A scan of fewer partitions than cores is dealt out first; a larger one stays as it is, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 VECTORS_CTE = """vectors AS (

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..session import ship
 from .codec import matrix
+from .segments import channel_sums, group_rows
 
 
 def static_scores(df: DataFrame, example: str, column: str = "vec") -> DataFrame:
     """layer, side, ch, score: mean over examples of an example's mean squared activation."""
-    spread = df.select("layer", "side", example, F.posexplode(column).alias("ch", "x"))
-    each = spread.groupBy("layer", "side", example, "ch").agg(F.avg(F.col("x") ** 2).alias("m"))
+    sums = channel_sums(df, column, ["layer", "side", example], lambda x, _: x * x)
+    each = sums.select("layer", "side", example, "ch", (F.col("total") / F.col("n")).alias("m"))
     return each.groupBy("layer", "side", "ch").agg(F.avg("m").alias("score"))
 
 
@@ -35,9 +36,7 @@ def second_moments(df: DataFrame, keys: list[str], column: str = "vec", unit: bo
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             d = x.shape[1]
             i, j = (v.reshape(-1).astype(np.int32) for v in np.meshgrid(np.arange(d), np.arange(d), indexing="ij"))
-            labels = np.array([repr(k) for k in zip(*(batch.column(k).to_pylist() for k in keys), strict=True)])
-            for label in np.unique(labels):
-                rows = np.flatnonzero(labels == label)
+            for rows in (lambda groups: (np.flatnonzero(groups == g) for g in range(groups.max() + 1)))(group_rows(batch, keys)[1]):
                 at = pa.array(np.full(d * d, rows[0]))
                 yield pa.record_batch([*(batch.column(k).take(at) for k in keys), pa.array(i), pa.array(j), pa.array((x[rows].T @ x[rows]).reshape(-1)), pa.array(np.full(d * d, len(rows)))], names=[*keys, "i", "j", "part", "n"])
 

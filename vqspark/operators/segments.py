@@ -30,8 +30,8 @@ def channel_sums(df: DataFrame, column: str, keys: list[str], work: Callable[[np
             if not batch.num_rows:
                 continue
             values = work(matrix(batch.column(column)), batch)
-            groups, first, at = np.unique(np.array([repr(k) for k in zip(*(batch.column(k).to_pylist() for k in keys), strict=True)]), return_index=True, return_inverse=True)
-            sums = np.zeros((len(groups), values.shape[1]))
+            first, at = group_rows(batch, keys)
+            sums = np.zeros((len(first), values.shape[1]))
             np.add.at(sums, at, values)
             n, d = sums.shape
             taken = pa.array(np.repeat(first, d))
@@ -41,11 +41,22 @@ def channel_sums(df: DataFrame, column: str, keys: list[str], work: Callable[[np
     return df.filter(F.col(column).isNotNull()).mapInArrow(partial, schema).groupBy(*keys, "ch").agg(F.sum("part").alias("total"), F.sum("rows").alias("n"))
 
 
-def channel_scores(df: DataFrame, policy: str, bits: float, keys: list[str] | None = None, column: str = "vec", static: DataFrame | None = None, power: float = 1.0, weight: str | None = None) -> DataFrame:
+def group_rows(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of every group of equal keys (nulls are equal), and each row's group number."""
+    at = np.zeros(batch.num_rows, dtype=np.int64)
+    for k in keys:
+        codes = batch.column(k).dictionary_encode(null_encoding="encode")
+        # numbers stay dense, so they can't overflow however many keys there are
+        at = np.unique(at * max(1, len(codes.dictionary)) + codes.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    return np.unique(at, return_index=True)[1], at
+
+
+def channel_scores(df: DataFrame, policy: str, bits: float, keys: list[str] | None = None, column: str = "vec", static: DataFrame | None = None, power: float = 1.0, weight: str | None = None, energy: str | None = None) -> DataFrame:
     """keys, ch, score under an outlier policy.
 
     `dynamic_absmean`: mean size. `error_gain`: mean squared error at the low less that at the high width, per channel.
-    `attention_error_gain`: positive error gains weighted by a column of token weights. `static_score`: a table by layer,
+    `attention_error_gain`: positive error gains weighted by a column of token weights, and by one of channel weights
+    (`energy`) if given. `static_score`: a table by layer,
     side and channel. `sensitivity_error_gain`: positive gain times a power of the static score. With `head_` in front,
     each head chooses for itself.
     """
@@ -63,7 +74,10 @@ def channel_scores(df: DataFrame, policy: str, bits: float, keys: list[str] | No
             low, high, _ = C.resolve_bits(bits, x.shape[1])
             errors = [(x - m.decode(*m.encode(x))) ** 2 for m in (codec("mse", x.shape[1], b) for b in (low, high))]
             out = errors[0] - errors[1]
-            return np.maximum(out, 0) * batch.column(weight).to_numpy(zero_copy_only=False)[:, None] if weighted else out
+            if not weighted:
+                return out
+            out = np.maximum(out, 0) * batch.column(weight).to_numpy(zero_copy_only=False)[:, None]
+            return out * matrix(batch.column(energy)) if energy else out
 
         sums = channel_sums(df, column, keys, gains)
     scores = sums.select(*keys, "ch", (F.col("total") / F.col("n")).alias("score"))
@@ -153,7 +167,7 @@ def uniform(df: DataFrame, bits: int, axis: str = "token", keys: list[str] | Non
 
 def centers(df: DataFrame, keys: list[str], column: str = "vec") -> DataFrame:
     """keys and the mean vector over their rows."""
-    means = df.select(*keys, F.posexplode(column).alias("ch", "x")).groupBy(*keys, "ch").agg(F.avg("x").alias("m"))
+    means = channel_sums(df, column, keys, lambda x, _: x).select(*keys, "ch", (F.col("total") / F.col("n")).alias("m"))
     return means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ch", "m"))).alias("c")).select(*keys, F.col("c.m").alias("center"))
 
 
@@ -230,10 +244,11 @@ def _groups(values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield pattern, np.flatnonzero(at.reshape(-1) == k)
 
 
-def rotated_outliers(df: DataFrame, bits: float, keys: list[str] | None = None, shared: bool = False, seed: int = 0, d: int = 64, transform: np.ndarray | None = None) -> DataFrame:
+def rotated_outliers(df: DataFrame, bits: float, keys: list[str] | None = None, shared: bool = False, seed: int = 0, d: int = 64, transform: np.ndarray | None = None, transforms: dict | None = None, weighted: bool = False) -> DataFrame:
     """High width for the rotated coordinates whose error it lowers most; least-squares scale.
 
-    `shared` chooses one set of coordinates for both sides of a segment, by scores over their side's mean.
+    `shared` chooses one set of coordinates for both sides of a segment, by scores over their side's mean. `transforms`
+    has a matrix by (layer, side). `weighted` multiplies gains by squared norms and the columns `weight` and `energy`.
     """
     keys = list(keys or KEYS)
     low, high, n = C.resolve_bits(bits, d)
@@ -247,12 +262,25 @@ def rotated_outliers(df: DataFrame, bits: float, keys: list[str] | None = None,
         c, middles = cuts(width)
         return c[np.searchsorted(middles, y)]
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS) @ forward.T
-
-    def gains(x: np.ndarray, _: pa.RecordBatch) -> np.ndarray:
-        y = unit(x)
-        return (y - snap(y, low)) ** 2 - (y - snap(y, high)) ** 2
+    def turned(x: np.ndarray, batch: pa.RecordBatch, back: bool = False) -> np.ndarray:
+        if not transforms:
+            return x @ (forward if back else forward.T)
+        out = np.empty_like(x)
+        labels = list(zip(batch.column("layer").to_pylist(), batch.column("side").to_pylist(), strict=True))
+        for label in set(labels):
+            rows, m = [i for i, k in enumerate(labels) if k == label], transforms.get(label, forward)
+            out[rows] = x[rows] @ (m if back else m.T)
+        return out
+
+    def unit(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        return turned(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS), batch)
+
+    def gains(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        y = unit(x, batch)
+        out = (y - snap(y, low)) ** 2 - (y - snap(y, high)) ** 2
+        if not weighted:
+            return out
+        return np.maximum(out, 0) * (x * x).sum(1, keepdims=True) * batch.column("weight").to_numpy(zero_copy_only=False)[:, None] * matrix(batch.column("energy"))
 
     scores = channel_sums(df, "vec", keys, gains).select(*keys, "ch", (F.col("total") / F.col("n")).alias("score"))
     if shared:
@@ -264,8 +292,8 @@ def rotated_outliers(df: DataFrame, bits: float, keys: list[str] | None = None,
         masks = select_channels(scores, keys, n)
 
     def work(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        y = unit(x)
-        hat = np.where(matrix(batch.column("mask")) > 0, snap(y, high), snap(y, low)) @ forward
+        y = unit(x, batch)
+        hat = turned(np.where(matrix(batch.column("mask")) > 0, snap(y, high), snap(y, low)), batch, back=True)
         fit = (x * hat).sum(1) / np.maximum((hat * hat).sum(1), EPS)
         return {"vec_hat": lists(hat * fit[:, None])}
 
@@ -340,8 +368,11 @@ def head_hadamard(df: DataFrame, bits: int, heads: int = 2, seed: int = 0) -> Da
     return df.join(out, [*at, "head"]).unionByName(alone.select(*df.columns, "vec_hat"))
 
 
-def hadamard_residual(df: DataFrame, bits: float, keys: list[str] | None = None, d: int = 64, seed: int = 3) -> DataFrame:
-    """Whole bits for all, and signs of the n largest Hadamard coefficients of the residual (by segment) with one scale."""
+def hadamard_residual(df: DataFrame, bits: float, keys: list[str] | None = None, d: int = 64, seed: int = 3, weights: str | None = None) -> DataFrame:
+    """Whole bits for all, and signs of the n largest Hadamard coefficients of the residual (by segment) with one scale.
+
+    `weights` is a column of coefficient weights that sizes are multiplied by when the n are chosen.
+    """
     keys = list(keys or KEYS)
     low, _, n = C.resolve_bits(bits, d)
     h, m = C.signed_hadamard(d, seed), codec("mse", d, low)
@@ -351,7 +382,11 @@ def hadamard_residual(df: DataFrame, bits: float, keys: list[str] | None = None,
         size = np.maximum(np.linalg.norm(x - base, axis=1, keepdims=True), EPS)
         return base, size, (x - base) / size @ h.T
 
-    masks = select_channels(channel_sums(df, "vec", keys, lambda x, _: np.abs(rest(x)[2])).select(*keys, "ch", F.col("total").alias("score")), keys, n)
+    def sizes(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        c = np.abs(rest(x)[2])
+        return c * matrix(batch.column(weights)) if weights else c
+
+    masks = select_channels(channel_sums(df, "vec", keys, sizes).select(*keys, "ch", F.col("total").alias("score")), keys, n)
 
     def work(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
         base, size, c = rest(x)

@@ -58,7 +58,13 @@ def _shards(s, d):  # noqa: ANN001, ANN202
 
 _add("merge_shards", _shards, "SELECT doc_id % 500 AS index, arg_max(n_chars, (doc_id % 3 = 0)::INT * 1000000000 + doc_id) AS n_chars, arg_max(lang, (doc_id % 3 = 0)::INT * 1000000000 + doc_id) AS lang FROM documents GROUP BY 1")
 _add("duplicate_report", lambda s, d: S.duplicate_report(X.table(s, d, "labels").select((F.col("doc_id") % 211).alias("index"))), "SELECT doc_id % 211 AS index, count(*) AS n FROM labels GROUP BY 1 HAVING count(*) > 1")
-_add("missing_report", lambda s, d: S.missing_report(X.table(s, d, "labels").select(F.col("doc_id").alias("index")), 0, 1000), "SELECT range AS index FROM range(0, 1000) WHERE range NOT IN (SELECT doc_id FROM labels)")
+def _missing(s, d):  # noqa: ANN001, ANN202
+    """Ids without labels in the range of all documents' ids."""
+    first, last = X.table(s, d, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    return S.missing_report(X.table(s, d, "labels").select(F.col("doc_id").alias("index")), first or 0, 0 if last is None else last + 1)
+
+
+_add("missing_report", _missing, "SELECT r AS index FROM (SELECT unnest(range(min(doc_id), max(doc_id) + 1)) AS r FROM documents) WHERE r NOT IN (SELECT doc_id FROM labels)")
 _add("pending", lambda s, d: S.pending(X.table(s, d, "documents").select(F.col("doc_id").alias("index"), "source"), X.table(s, d, "labels").select(F.col("doc_id").alias("index"))), "SELECT doc_id AS index, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 _add("stratified_head", lambda s, d: S.stratified_head(X.needle(s, d), ["needle_position", "distractor_lang"], 3, {"needle_position": X.POSITIONS}).select("needle_position", "distractor_lang", "index"),
      _with(X.NEEDLE_CTE) + "SELECT needle_position, distractor_lang, index FROM (SELECT *, row_number() OVER (PARTITION BY needle_position, distractor_lang ORDER BY index) AS n FROM needle WHERE needle_position <> 'other') WHERE n <= 3")

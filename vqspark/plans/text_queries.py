@@ -84,8 +84,10 @@ def _needles(s, d):  # noqa: ANN001, ANN202
     head = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(3)])
     items = X.table(s, d, "benchmark").select("item_id", F.split("text", " ").alias("sentence")).withColumn("head", head(F.col("sentence"), F.lit(0)))
     docs = X.table(s, d, "documents").select("doc_id", F.split("text", " ").alias("words"))
-    heads = docs.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: head(F.col("words"), i))).alias("spot", "head"))
-    found = heads.join(items, "head").filter(F.slice("words", F.col("spot") + 1, F.size("sentence")) == F.col("sentence"))
+    # Places of three-word heads move, not texts; what has met gets its texts afterwards.
+    heads = docs.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: head(F.col("words"), i))).alias("spot", "head"))
+    met = heads.join(items.select("item_id", "head"), "head").select("doc_id", "item_id", "spot")
+    found = met.join(items.select("item_id", "sentence"), "item_id").join(docs, "doc_id").filter(F.slice("words", F.col("spot") + 1, F.size("sentence")) == F.col("sentence"))
     found = found.groupBy("doc_id", "item_id").agg(F.min("spot").alias("at"), F.first("words").alias("words"), F.first("sentence").alias("sentence"))
     return found.crossJoin(s.createDataFrame([(60,), (120,)], "target int")).select("doc_id", "item_id", "target", "at", F.when(F.col("target") == 60, P.needle_crop(F.col("words"), F.col("at"), F.size("sentence"), 60)).otherwise(P.needle_crop(F.col("words"), F.col("at"), F.size("sentence"), 120)).alias("kept"))
 

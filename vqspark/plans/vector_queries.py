@@ -118,12 +118,24 @@ _add("codebooks", lambda s, d: C.codebook_table(s, D, [1, 2, 3]).join(X.table(s,
 
 
 def _prod(s, d):  # noqa: ANN001, ANN202
+    """Mean and variance of inner-product errors over all pairs of rows and queries (ids divisible by 50).
+
+    They follow from the first and second moments of both sides, so pairs are never made: with residuals r and queries q,
+    the mean of (r q) is the product of means, that of (r q)^2 the sum over products of second moments.
+    """
     rows = _plain(s, d)
-    q = F.broadcast(rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("vec").alias("q")))  # a stated query set
     made = V.prod_encode(rows, "vec", 3).select("vec_id", "vec", F.col("vec_hat").alias("prod_hat"))
     made = V.decode(V.encode(made, "vec", V.codec("mse", D, 3)), V.codec("mse", D, 3), "mse_hat")
-    pairs = made.crossJoin(q).select(*(( V.dot("vec", "q") - V.dot(h, "q")).alias(h) for h in ("mse_hat", "prod_hat")))
-    return pairs.agg(*[F.round(f(h), 6).alias(f"{n}_{h}") for h in ("mse_hat", "prod_hat") for n, f in (("mean", F.avg), ("var", F.var_pop))])
+    gap = lambda h: F.zip_with("vec", h, lambda a, b: a - b)
+    sides = [made.select(F.lit(h).alias("h"), gap(h).alias("vec")) for h in ("mse_hat", "prod_hat")] + [rows.filter("vec_id % 50 = 0").select(F.lit("q").alias("h"), "vec")]
+    sides = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    first = S.channel_sums(sides, "vec", ["h"], lambda x, _: x).select("h", "ch", (F.col("total") / F.col("n")).alias("m"))
+    second = K.second_moments(sides, ["h"], unit=False)
+    q1, q2 = (x.filter("h = 'q'").drop("h").withColumnRenamed(c, "q") for x, c in ((first, "m"), (second, "value")))
+    mean = first.filter("h <> 'q'").join(q1, "ch").groupBy("h").agg(F.sum(F.col("m") * F.col("q")).alias("mean"))
+    square = second.filter("h <> 'q'").join(q2, ["i", "j"]).groupBy("h").agg(F.sum(F.col("value") * F.col("q")).alias("square"))
+    both = mean.join(square, "h").withColumn("var", F.col("square") - F.col("mean") ** 2)
+    return both.agg(*[F.round(F.max(F.when(F.col("h") == h, F.col(c))), 6).alias(f"{c}_{h}") for h in ("mse_hat", "prod_hat") for c in ("mean", "var")])
 
 
 _sk = np.random.default_rng(17).standard_normal((D, D))
@@ -282,11 +294,12 @@ _add("compression_summary", lambda s, d: P.compression_summary(_stored(s, d), ["
 
 
 def _sets(s, d):  # noqa: ANN001, ANN202
+    """All rows, and as queries those whose id is divisible by 20."""
     rows = _plain(s, d)
-    return rows.filter("vec_id % 10 <> 0"), rows.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    return rows, rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
 
 
-_EXACT = f"sc AS (SELECT q.vec_id AS query_id, b.vec_id, {_dot('q.vec', 'b.vec')} / sqrt({_sq('q.vec')} * {_sq('b.vec')}) AS score FROM base q, base b WHERE q.vec_id % 10 = 0 AND b.vec_id % 10 <> 0), ex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc)"
+_EXACT = f"sc AS (SELECT q.vec_id AS query_id, b.vec_id, {_dot('q.vec', 'b.vec')} / sqrt({_sq('q.vec')} * {_sq('b.vec')}) AS score FROM base q, base b WHERE q.vec_id % 20 = 0 AND b.vec_id <> q.vec_id), ex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc)"
 _add("exact_topk", lambda s, d: N.topk(*_sets(s, d), 3).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 5).alias("score")), f"WITH {_PLAIN}, {_EXACT} SELECT query_id, rank, vec_id, round(score, 5) AS score FROM ex WHERE rank <= 3")
 
 
@@ -299,7 +312,7 @@ def _recall(s, d, bits: int):  # noqa: ANN001, ANN202
 
 def _recall_sql(bits: int) -> str:
     return f"""WITH {_PLAIN}, {_EXACT}, {_hat('h', 'base', 'vec', ROT, bits)},
-    ap AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (SELECT q.vec_id AS query_id, h.vec_id, {_dot('q.vec', 'h.u')} / sqrt({_sq('q.vec')} * {_sq('h.u')}) AS score FROM base q, h WHERE q.vec_id % 10 = 0 AND h.vec_id % 10 <> 0))
+    ap AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (SELECT q.vec_id AS query_id, h.vec_id, {_dot('q.vec', 'h.u')} / sqrt({_sq('q.vec')} * {_sq('h.u')}) AS score FROM base q, h WHERE q.vec_id % 20 = 0 AND h.vec_id <> q.vec_id))
     SELECT CAST(k AS INT) AS k, avg((place <= k)::INT) AS recall, CAST({bits} AS INT) AS bits FROM ex JOIN ap USING (query_id, vec_id), (SELECT unnest([1, 2, 4, 8, 16]) AS k) WHERE rank = 1 GROUP BY k"""
 
 
@@ -316,11 +329,18 @@ _add("layer_bit_schedule", lambda s, d: K.layer_bit_schedule(X.kv_states(s, d).g
      f"WITH {X.KV_CTE}, {_METRIC}, m AS (SELECT layer, avg(metric) AS metric FROM metric GROUP BY 1) SELECT layer, round(metric, 5) AS metric, CASE WHEN row_number() OVER (ORDER BY metric DESC, layer) <= 2 THEN 3.5::DOUBLE ELSE 2.5 END AS bits FROM m")
 _add("strided_sample", lambda s, d: K.strided_sample(X.kv_states(s, d), ["layer"], "vec_id", 30).select("layer", "vec_id"),
      f"WITH {X.KV_CTE}, r AS (SELECT layer, vec_id, row_number() OVER (PARTITION BY layer ORDER BY vec_id) - 1 AS n, greatest(count(*) OVER (PARTITION BY layer) // 30, 1) AS st FROM kv) SELECT layer, vec_id FROM r WHERE n % st = 0 AND n // st < 30")
+def _beams(s, d):  # noqa: ANN001, ANN202
+    """Every sequence is followed by the next one's half: some old ones come twice, some never."""
+    seqs = X.table(s, d, "embeddings").select(F.expr("vec_id div 128").alias("new_seq")).distinct()
+    return seqs.select("new_seq", F.expr("new_seq div 2").alias("old_seq"))
+
+
+_BEAMS = "beams AS (SELECT DISTINCT vec_id // 128 AS new_seq, vec_id // 128 // 2 AS old_seq FROM embeddings)"
 _add("phase_kind", lambda s, d: E.phase_kind(X.kv_states(s, d).filter("pos >= 7 or layer = 0"), ["seq_id", "layer", "side"], "mse", "raw").groupBy("layer", "kind").agg(F.count("*").alias("n")),
      f"WITH {X.KV_CTE}, k AS (SELECT * FROM kv WHERE pos >= 7 OR layer = 0) SELECT layer, CASE WHEN m > 1 THEN 'mse' ELSE 'raw' END AS kind, CAST(sum(c) AS BIGINT) AS n FROM (SELECT layer, count(DISTINCT pos) AS m, count(*) AS c FROM k GROUP BY seq_id, layer, side) GROUP BY 1, 2")
 _add("crop", lambda s, d: E.crop(X.kv_states(s, d), 8, -3).groupBy("layer", "side").agg(F.count("*").alias("n"), F.max("pos").alias("last")), f"WITH {X.KV_CTE} SELECT layer, side, count(*) AS n, max(pos) AS last FROM kv WHERE pos < 5 GROUP BY 1, 2")
-_add("reorder", lambda s, d: E.reorder(X.kv_states(s, d), s.createDataFrame([(0, 1), (1, 1), (2, 0)], "new_seq long, old_seq long")).groupBy("seq_id", "layer").agg(F.count("*").alias("n"), F.sum("vec_id").alias("total")),
-     f"WITH {X.KV_CTE} SELECT n AS seq_id, layer, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS total FROM kv JOIN (VALUES (0, 1), (1, 1), (2, 0)) b(n, o) ON seq_id = o GROUP BY 1, 2")
+_add("reorder", lambda s, d: E.reorder(X.kv_states(s, d), _beams(s, d)).groupBy("seq_id", "layer").agg(F.count("*").alias("n"), F.sum("vec_id").alias("total")),
+     f"WITH {X.KV_CTE}, {_BEAMS} SELECT new_seq AS seq_id, layer, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS total FROM kv JOIN beams ON seq_id = old_seq GROUP BY 1, 2")
 
 
 def _picked(s, d, made):  # noqa: ANN001, ANN202
