@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..session import ship
-from .codec import matrix
+from .codec import codec, matrix, roundtrip
 from .segments import channel_sums, group_rows
 
 
@@ -90,3 +90,17 @@ def strided_sample(df: DataFrame, keys: list[str], order: str, most: int) -> Dat
     rows = df.withColumn("_n", F.row_number().over(w.orderBy(order)) - 1).withColumn("_all", F.count("*").over(w))
     stride = F.greatest(F.expr(f"_all div {most}"), F.lit(1))
     return rows.filter((F.col("_n") % stride == 0) & (F.col("_n") / stride < most)).drop("_n", "_all")
+
+
+def search_transforms(df: DataFrame, candidates: list[np.ndarray], widths: list[int], keys: list[str]) -> DataFrame:
+    """keys, choice and score: the candidate (an orthogonal matrix) of the least error relative to the first one's.
+
+    The score is the mean over widths of mean squared errors over those of candidate 0; the lower candidate wins ties.
+    All candidates are tried on a batch in one pass; a row leaves its errors alone.
+    """
+    d = len(candidates[0])
+    made = {f"{k}_{b}": codec("custom", d, b, transform=m, inverse=m.T) for k, m in enumerate(candidates) for b in widths}
+    means = roundtrip(df, "vec", made).groupBy(*keys).agg(*[F.avg(f"sse_{n}").alias(n) for n in made])
+    relative = lambda k: sum(F.col(f"{k}_{b}") / F.greatest(F.col(f"0_{b}"), F.lit(1e-30)) for b in widths) / len(widths)
+    best = F.array_min(F.array(*[F.struct(relative(k).alias("score"), F.lit(k).alias("choice")) for k in range(len(candidates))]))
+    return means.select(*keys, best.alias("best")).select(*keys, "best.choice", "best.score")

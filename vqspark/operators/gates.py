@@ -53,22 +53,46 @@ def paired(results: DataFrame) -> DataFrame:
     return base.join(keep, ["dataset", "index", "bits"])
 
 
+def rule_cells(examples: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
+    """Examples counted by what rules can tell apart: features are replaced by the thresholds next to them.
+
+    The result has at most as many rows as there are groups (`by`) and combinations of thresholds, however many examples
+    there are, and rules hold on its rows as they hold on the examples: columns prompt_tokens, passage_count (0 stays 0),
+    question_marks, code_like, n and delta (a sum).
+    """
+    cuts = rules.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in ("min_tokens", "max_passages", "max_questions")]).first()
+    most = F.lit(2**31 - 1)
+    below = F.greatest(F.lit(-1), *[F.when(F.col("prompt_tokens") > t, t + 1) for t in cuts.min_tokens])
+    above = lambda column, values: F.coalesce(F.least(most, *[F.when(F.col(column) <= v, v) for v in values]), most)
+    cells = examples.select(
+        *by, "code_like", below.alias("prompt_tokens"), F.when(F.col("passage_count") == 0, 0).otherwise(F.greatest(above("passage_count", cuts.max_passages), F.lit(1))).alias("passage_count"),
+        above("question_marks", cuts.max_questions).alias("question_marks"), "delta",
+    )
+    keys = [*by, "code_like", "prompt_tokens", "passage_count", "question_marks"]
+    return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("delta").alias("delta"))
+
+
 def gate_search(results: DataFrame, tasks: DataFrame, rules: DataFrame, k: int = 20) -> DataFrame:
-    """Rules by the least gain over bit widths: rules are the broadcast side, so examples are read once.
+    """Rules by the least gain over bit widths; the examples are first counted by what rules can tell apart.
 
     The gain of a rule at a width is the macro average, over categories and their tasks, of score changes where it holds.
+    A rule without max_passages limits questions only where there are passages. Rules are a fixed grid and broadcast.
     """
     examples = paired(results).join(tasks, "dataset").withColumn("delta", F.col("variant_score") - F.col("score"))
-    r = F.broadcast(rules)
-    holds = (F.col("prompt_tokens") > F.col("min_tokens")) & ~F.col("code_like") & ((F.col("passage_count") == 0) | (F.col("passage_count") <= F.col("max_passages"))) & (F.col("question_marks") <= F.col("max_questions"))
-    per_task = examples.crossJoin(r).groupBy("rule", "bits", "category", "dataset").agg(F.avg(F.when(holds, F.col("delta")).otherwise(0.0)).alias("gain"), F.avg(holds.cast("double")).alias("active"))
+    cells = rule_cells(examples, rules, ["bits", "category", "dataset"])
+    passages, questions = F.col("passage_count"), F.col("question_marks") <= F.col("max_questions")
+    limits = F.when(F.col("max_passages").isNull(), (passages == 0) | questions).otherwise(((passages == 0) | (passages <= F.col("max_passages"))) & questions)
+    holds = (F.col("prompt_tokens") > F.col("min_tokens")) & ~F.col("code_like") & limits
+    share = lambda x: F.sum(F.when(holds, F.col(x)).otherwise(0.0)) / F.sum("n")
+    per_task = cells.crossJoin(F.broadcast(rules)).groupBy("rule", "bits", "category", "dataset").agg(share("delta").alias("gain"), share("n").alias("active"))
     per_category = per_task.groupBy("rule", "bits", "category").agg(F.avg("gain").alias("gain"), F.avg("active").alias("active"))
     wide = per_category.groupBy("rule", "bits").agg(F.avg("gain").alias("gain"), F.avg("active").alias("active"))
     both = wide.groupBy("rule").agg(F.min("gain").alias("least_gain"), F.max("gain").alias("best_gain"), F.avg("active").alias("activation"))
-    return both.filter("least_gain > 0").orderBy(F.desc("least_gain"), F.desc("best_gain"), "rule").limit(k)
+    return both.filter("least_gain > 0").orderBy(F.round("least_gain", 9).desc(), F.round("best_gain", 9).desc(), "rule").limit(k)
 
 
 def rule_grid(spark, tokens: list[int], passages: list[int], questions: list[int]) -> DataFrame:  # noqa: ANN001
+    """All rules of three thresholds; None among the passages stands for rules that limit questions alone."""
     rows = [(i, *r) for i, r in enumerate((t, p, q) for t in tokens for p in passages for q in questions)]
     return spark.createDataFrame(rows, "rule int, min_tokens int, max_passages int, max_questions int")
 
@@ -111,3 +135,16 @@ def regime_kind(kind: str, bits: float) -> Column:
         "rate_hadamard_value_mse": F.when(~value, "mse").when(F.lit(low), "margin_vector_outlier_hadamard_mse").when(F.col("layer") >= 16, "outlier_hadamard_mse").otherwise("mse"),
     }
     return made.get(kind, F.lit(kind))
+
+
+def code_passthrough(base: DataFrame, code_datasets: tuple[str, ...] = ("lcc", "repobench-p")) -> DataFrame:
+    """Base rows of code tasks as a gated run has them: never active, with the columns that tell so."""
+    rows = base.filter(F.col("dataset").isin(*code_datasets))
+    return rows.select("dataset", "index", "score", F.lit(False).alias("active"), F.lit("base").alias("origin"), F.lit("code").alias("reason"))
+
+
+def feature_profile(features: DataFrame, scores: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
+    """dataset, n, n_scored, score, and mean, least and largest of every feature; rows without a score count in the features."""
+    rows = features.join(scores.select(*key, F.col("score").alias("_score")), key, "left")
+    stats = [f(F.col(c)).cast("double").alias(f"{n}_{c}") for c in columns for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))]
+    return rows.groupBy("dataset").agg(F.count("*").alias("n"), F.count("_score").alias("n_scored"), F.avg("_score").alias("score"), *stats)

@@ -58,3 +58,49 @@ def storage(df: DataFrame, keys: list[str], d: int, bits: Column, side_bytes: Co
 def compression_summary(segments: DataFrame, keys: list[str]) -> DataFrame:
     """How many segments of each kind, average effective bits and the distinct widths."""
     return segments.groupBy(*keys).agg(F.count("*").alias("n_segments"), F.avg("effective_bits").alias("avg_bits"), F.array_sort(F.collect_set("effective_bits")).alias("widths"), F.sum("bytes").alias("bytes"))
+
+
+def segment_table(df: DataFrame, keys: list[str], d: int) -> DataFrame:
+    """One row of metadata for each segment of rows with `kind` and `bits`: what its codes take beside the codes.
+
+    n rows, n_heads, n_pos, n_raw (rows with is_raw, if there is such a column), low and high widths and n_high channels.
+    """
+    raw = F.sum(F.col("is_raw").cast("long")) if "is_raw" in df.columns else F.lit(0).cast("long")
+    rows = df.groupBy(*keys, "kind", "bits").agg(F.count("*").alias("n"), F.count_distinct("head").alias("n_heads"), F.count_distinct("pos").alias("n_pos"), raw.alias("n_raw"))
+    low = F.floor("bits").cast("long")
+    share = F.col("bits") - low
+    return rows.withColumns({"dim": F.lit(d), "low": low, "high": low + (share > 0).cast("long"), "n_high": F.bround(share * d).cast("long")})
+
+
+def storage_by_kind(segments: DataFrame) -> DataFrame:
+    """bytes, dense_bytes, ratio and effective_bits of rows of `segment_table`, by what each kind stores.
+
+    Codes of a segment are one bit string; scales take two bytes. Beside them: uniform channel scales and centres by head,
+    channel scales, order and signs of dealt channels, a bit or a number for each row's choice, indices of chosen channels
+    or coefficients. Raw rows take 16 bits a value and, like coded ones, an index for each position.
+    """
+    n, d, bits, low = F.col("n") - F.col("n_raw"), F.col("dim"), F.col("bits"), F.col("low")
+    packed = lambda values: F.ceil(values / 8)
+    kind = F.col("kind")
+    plain = packed(n * d * low) + 2 * n
+    split = packed(n * (d - F.col("n_high")) * low) + packed(n * F.col("n_high") * F.col("high")) + 4 * n + 2 * d
+    residual = plain + packed(n * F.col("n_high")) + 2 * n + 2 * F.col("n_high")
+    whole = F.col("n_high") == 0
+    coded = (
+        F.when(kind == "raw", 2 * n * d)
+        .when(kind == "prod", packed(n * d * (low - 1)) + 2 * n + packed(n * d) + 2 * n)
+        .when(kind == "uniform_channel", packed(n * d * low) + 2 * d * F.col("n_heads"))
+        .when(kind == "centered_mse", plain + 2 * d * F.col("n_heads"))
+        .when(kind.contains("vector") & kind.contains("outlier_hadamard"), plain + 3 * d + packed(n))
+        .when(kind.contains("outlier_hadamard"), F.when(whole, plain + 3 * d).otherwise(split + 3 * d))
+        .when(kind.startswith("rms_"), F.when(whole, plain + 2 * d).otherwise(split + 2 * d))
+        .when(kind == "rotation_bank_mse", plain + n)
+        .when(kind.endswith("rotation_bank_mse"), plain + 1)
+        .when(kind.contains("hadamard_residual"), F.when(whole, plain).otherwise(residual))
+        .otherwise(F.when(whole, plain).otherwise(split))
+    )
+    raw = F.when(F.col("n_raw") > 0, 2 * F.col("n_raw") * d + 2 * F.col("n_pos")).otherwise(0)
+    size, dense = (coded + raw).cast("long"), F.col("n") * d * 2
+    share = F.col("n_raw") / F.col("n")
+    index_bits = F.when(kind == "raw", 16.0).otherwise((low * (d - F.col("n_high")) + F.col("high") * F.col("n_high")) / d)
+    return segments.withColumns({"bytes": size, "dense_bytes": dense, "ratio": size / dense, "effective_bits": share * 16 + (1 - share) * index_bits})

@@ -111,3 +111,23 @@ def compression_runs(runs: DataFrame) -> DataFrame:
     plain = runs.groupBy("run").agg(F.avg("effective_bits").alias("avg_bits"), F.min("effective_bits").alias("min_bits"), F.max("effective_bits").alias("max_bits"), F.avg("ratio").alias("ratio"))
     counts = runs.select("run", F.explode("outlier_counts").alias("c")).groupBy("run", "c").agg(F.count("*").alias("n"))
     return plain.join(counts.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("histogram")), "run", "left")
+
+
+def coverage(results: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Tasks and whether the rows have any of them: available or missing, by category."""
+    have = results.select("dataset").distinct().withColumn("there", F.lit(True))
+    return tasks.join(have, "dataset", "left").select("category", "dataset", F.when(F.col("there"), "available").otherwise("missing").alias("state"))
+
+
+def run_manifest(results: DataFrame, tasks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every wanted run (method, bits) and task with its rows and state, also of runs that have none."""
+    have = results.groupBy("method", "bits", "dataset").agg(F.count_distinct("index").alias("n"), F.max("index").alias("last"))
+    rows = runs.crossJoin(tasks).join(have, ["method", "bits", "dataset"], "left").fillna(0, ["n"])
+    state = F.when(F.col("n") >= F.col("expected"), "done").when(F.col("n") > 0, "resume").otherwise("start")
+    return rows.select("method", "bits", "dataset", "n", "expected", state.alias("state"), (F.coalesce("last", F.lit(-1)) + 1).alias("next_index"))
+
+
+def rescore_files(df: DataFrame, score: Column) -> DataFrame:
+    """Rows and mean score by the folder of the file they come from: all files of a tree in one job."""
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return df.select(folder.alias("run"), score.alias("s")).groupBy("run").agg(F.count("*").alias("n"), F.avg("s").alias("score"))

@@ -103,3 +103,25 @@ def score_prediction(df: DataFrame, key: list[str]) -> DataFrame:
     other = each.filter("metric <> 'f1'").withColumn("s", F.when(F.col("metric") == "rouge", rouge_l(F.col("text"), F.col("answer"))).when(F.col("metric") == "class", classification(F.col("text"), F.col("answer"), F.col("all_classes"))).when(F.col("metric") == "retrieval", retrieval(F.col("text"), F.col("answer"))).when(F.col("metric") == "count", numbers_equal(F.col("text"), F.col("answer"))).otherwise(code_similarity(F.col("text"), F.col("answer"))))
     best = f1.select(*key, "s").unionByName(other.select(*key, "s")).groupBy(*key).agg(F.max("s").alias("s"))
     return rows.join(best, key, "left").withColumn("score", F.when(F.col("metric").isNotNull(), F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)))).drop("s", "text", "metric")
+
+
+def f1(prediction: Column, answer: Column) -> Column:
+    """Bag F1 of normalized words as an expression of a row, for short answers."""
+    a, b = tokens(normalize(prediction)), tokens(normalize(answer))
+    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    same = F.aggregate(F.transform(F.array_distinct(b), lambda w: F.least(times(a, w), times(b, w))), F.lit(0), lambda s, x: s + x)
+    return F.when(F.size(a) + F.size(b) > 0, 2.0 * same / (F.size(a) + F.size(b))).otherwise(0.0)
+
+
+def needle_scores(df: DataFrame) -> DataFrame:
+    """df (prediction, answer, sentence) with whether and how far answer and needle sentence come back."""
+    p = F.coalesce("prediction", F.lit(""))
+    made = {}
+    for name in ("answer", "sentence"):
+        made |= {f"{name}_contains": contains_answer(p, F.array(name)), f"{name}_f1": f1(p, F.coalesce(name, F.lit("")))}
+    return df.withColumns(made)
+
+
+def backfill(df: DataFrame, tasks: DataFrame, key: list[str]) -> DataFrame:
+    """Stored rows with score and category put in, whatever they had; unknown tasks get nulls."""
+    return score_prediction(df.drop("score", "category"), key).join(tasks.select("dataset", "category"), "dataset", "left")

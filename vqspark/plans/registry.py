@@ -1,6 +1,7 @@
 """All queries outside the training-data subpackage."""
 
-from . import stream_queries, tabular, text_queries, vector_queries
+from . import kind_queries, report_queries, stream_queries, tabular, text_queries, vector_queries
 
-QUERIES: dict = {**tabular.QUERIES, **text_queries.QUERIES, **stream_queries.QUERIES, **vector_queries.QUERIES}
-ORACLE_SQL: dict = {**tabular.ORACLE_SQL, **text_queries.ORACLE_SQL, **stream_queries.ORACLE_SQL, **vector_queries.ORACLE_SQL}
+_MODULES = (tabular, text_queries, stream_queries, vector_queries, kind_queries, report_queries)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -133,7 +133,7 @@ _add("gate_search", lambda s, d: G.gate_search(X.results(s, d), X.tasks(s), G.ru
         SELECT rule, bits, category, dataset, avg(CASE WHEN holds THEN variant_score - score ELSE 0 END) AS gain, avg(holds::INT) AS active FROM (
           SELECT *, prompt_tokens > t AND NOT code_like AND (passage_count = 0 OR passage_count <= p) AND question_marks <= q AS holds FROM pairs JOIN tasks USING (dataset),
             (SELECT CAST(row_number() OVER (ORDER BY t, p, q) - 1 AS INT) AS rule, t, p, q FROM (SELECT unnest({_GRID[0]}) AS t), (SELECT unnest({_GRID[1]}) AS p), (SELECT unnest({_GRID[2]}) AS q)))
-        GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) GROUP BY rule) WHERE least_gain > 0 ORDER BY least_gain DESC, best_gain DESC, rule LIMIT 20""")
+        GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) GROUP BY rule) rules WHERE rules.least_gain > 0 ORDER BY round(rules.least_gain, 9) DESC, round(rules.best_gain, 9) DESC, rule LIMIT 20""")
 _add("materialize_gate", lambda s, d: G.materialize_gate(_base(s, d), _variant(s, d), _rule()), _with(X.RESULTS_CTE) + f"""SELECT b.dataset, b.index, {RULE_SQL} AS active, CASE WHEN {RULE_SQL} THEN v.vs ELSE b.score END AS score,
     CASE WHEN {RULE_SQL} THEN 'variant' ELSE 'base' END AS origin, {RULE_SQL} AND v.vs IS NULL AS missing
     FROM results b LEFT JOIN (SELECT dataset, index, score AS vs FROM results WHERE method = 'variant' AND bits = 2.5) v USING (dataset, index) WHERE b.method = 'base' AND b.bits = 2.5""")

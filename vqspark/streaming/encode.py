@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -44,3 +44,21 @@ def crop(df: DataFrame, length: int, most: int) -> DataFrame:
 def reorder(df: DataFrame, beams: DataFrame) -> DataFrame:
     """Sequences by (new_seq, old_seq); an old one may come several times."""
     return df.join(beams, df.seq_id == beams.old_seq).drop("seq_id", "old_seq").withColumnRenamed("new_seq", "seq_id")
+
+
+def materialize(decoded: DataFrame, keys: list[str]) -> DataFrame:
+    """All decoded segments of a layer in the order of their arrival: rows sorted within `keys`, with their place from 1."""
+    order = [c for c in ("segment_id", "pos", "vec_id") if c in decoded.columns]
+    return decoded.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def to_dense(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and `cache`: positions and vectors of a sequence, layer, side and head in order, as dense caches are handed on."""
+    cells = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "vec"))).alias("cache"))
+    return cells.select(*keys, "cache")
+
+
+def from_dense(dense: DataFrame) -> DataFrame:
+    """Rows of dense caches, one for each position, as one segment that can be coded."""
+    cells = dense.select(*[c for c in dense.columns if c != "cache"], F.explode("cache").alias("c"))
+    return cells.select("*", "c.pos", "c.vec").drop("c").withColumn("segment_id", F.lit(0).cast("long"))
