@@ -380,6 +380,26 @@ def test_decontamination_recall(spark, monkeypatch, broadcast):
     assert {(d, i, r) for d, i, _, _, _, r in found if d < 100} == {(1, 1, True), (3, 2, False), (5, 3, False), (7, 4, False), (9, 5, False), (10, 5, True), (11, 1, False)}
 
 
+def filled(names, slots):
+    """The lookup table by turns, step by step."""
+    start, step = ([int(hashlib.md5(f"{what}:{n}".encode()).hexdigest()[:8], 16) for n in names] for what in ("offset", "step"))
+    owner, seen = [None] * slots, [0] * len(names)
+    for turn in range(slots):
+        i = turn % len(names)
+        while owner[at := (start[i] % slots + seen[i] * (step[i] % (slots - 1) + 1)) % slots] is not None:
+            seen[i] += 1
+        owner[at] = names[i]
+        seen[i] += 1
+    return owner
+
+
+@pytest.mark.parametrize("shards,slots,steps", [(1, 7, 32_768), (3, 101, 50), (5, 5, 3), (24, 2039, 4096)])
+def test_lookup_table(spark, monkeypatch, shards, slots, steps):
+    monkeypatch.setattr(sharding, "STEPS", steps)
+    names = [f"n{k}" for k in range(shards)]
+    assert [r.shard for r in sharding.lookup_table(spark, names, slots).orderBy("slot").collect()] == filled(names, slots)
+
+
 def test_sharding(spark):
     names = [f"s{k}" for k in range(5)]
     lookup = sharding.lookup_table(spark, names, 101)

@@ -9,14 +9,18 @@ Adding or losing a shard moves few slots between the others, and the slots of an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 
 #: The largest lookup table that may be filled and broadcast.
 MAX_SLOTS = 65_537
 SHARDS, SLOTS = 24, 2039
+#: Steps of the fill that run as one fold.
+STEPS = 32_768
 
 
 def digest(text: Column) -> Column:
@@ -27,7 +31,10 @@ def digest(text: Column) -> Column:
 def lookup_table(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> DataFrame:
     """(slot, shard): the filled table, by SQL functions alone.
 
-    The fold's state holds the claimed slots by order of claims and how far each shard is in its preferences.
+    A step of the fold probes one slot for the shard whose turn it is: a free one is claimed and the turn passes on, else
+    the shard's next preference is due. About `slots * log(slots)` steps fill the table. They run in rounds of STEPS; the
+    state between rounds (turn, preference, how far each shard is, free slots as bytes) is one row, written to the shared
+    folder with the round's claims, so claims that are copied at every step stay few.
     `slots` must be a prime of at least the number of shards, which must be distinct and at least one.
     """
     if not shards or len(set(shards)) != len(shards):
@@ -36,30 +43,29 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int = SLOTS) ->
         raise ValueError(f"slots must be a prime from the number of shards to {MAX_SLOTS}")
     n = len(shards)
     names = F.array(*[F.lit(s) for s in shards])
-    one = spark.range(1).select(
-        names.alias("names"),
+    prefs = spark.range(1).select(
         F.transform(names, lambda s: digest(F.concat(F.lit("offset:"), s)) % slots).alias("start"),
         F.transform(names, lambda s: digest(F.concat(F.lit("step:"), s)) % (slots - 1) + 1).alias("step"),
     )
-    # The slot a shard claims in its turn: the first of its permutation that is still free.
+    # turn t; k preferences that the shard of the turn has behind it; at: the same for all shards at their last turns
+    state = prefs.select("*", F.lit(0).alias("t"), F.lit(0).cast("long").alias("k"), F.array_repeat(F.lit(0).cast("long"), n).alias("at"), F.encode(F.lit("1" * slots), "UTF-8").alias("free"))
+    own = f"cast(s.t % {n} as int) + 1"
+    slot = f"cast((element_at(start, {own}) + s.k * element_at(step, {own})) % {slots} as int)"
     fold = f"""
-      aggregate(sequence(0, {slots - 1}),
-        named_struct('free', repeat('1', {slots}), 'at', array_repeat(0L, {n}), 'got', cast(array() as array<int>)),
-        (s, t) -> transform(array(aggregate(sequence(1, {slots}),
-                    named_struct('k', element_at(s.at, cast(t % {n} as int) + 1), 'hit', false),
-                    (p, j) -> if(p.hit, p, named_struct('k', p.k + 1, 'hit',
-                       substr(s.free, cast((element_at(start, cast(t % {n} as int) + 1)
-                         + p.k * element_at(step, cast(t % {n} as int) + 1)) % {slots} as int) + 1, 1) = '1')),
-                    p -> p.k)),
-                k -> named_struct(
-                  'free', overlay(s.free placing '0' from cast((element_at(start, cast(t % {n} as int) + 1)
-                     + (k - 1) * element_at(step, cast(t % {n} as int) + 1)) % {slots} as int) + 1 for 1),
-                  'at', transform(s.at, (v, i) -> if(i = t % {n}, k, v)),
-                  'got', concat(s.got, array(cast((element_at(start, cast(t % {n} as int) + 1)
-                     + (k - 1) * element_at(step, cast(t % {n} as int) + 1)) % {slots} as int)))))[0],
-        s -> s.got)"""
-    claims = one.select("names", F.expr(fold).alias("got")).select("names", F.posexplode("got").alias("turn", "slot"))
-    return claims.select(F.col("slot").cast("long").alias("slot"), F.element_at("names", (F.col("turn") % n + 1).cast("int")).alias("shard"))
+      aggregate(sequence(1, {STEPS}), named_struct('t', t, 'k', k, 'at', at, 'free', free, 'got', cast(array() as array<int>)),
+        (s, j) -> if(s.t >= {slots}, s, if(substring(s.free, {slot} + 1, 1) = X'31',
+          named_struct('t', s.t + 1, 'k', if({n} = 1, s.k + 1, element_at(s.at, cast((s.t + 1) % {n} as int) + 1)),
+            'at', transform(s.at, (v, i) -> if(i = s.t % {n}, s.k + 1, v)),
+            'free', overlay(s.free placing X'30' from {slot} + 1 for 1), 'got', concat(s.got, array({slot}))),
+          named_struct('t', s.t, 'k', s.k + 1, 'at', s.at, 'free', s.free, 'got', s.got))))"""
+    claims, turn = [], 0
+    while turn < slots:
+        made = durable(state.select("start", "step", F.col("t").alias("first"), F.expr(fold).alias("s")))
+        claims.append(made.select("first", F.posexplode("s.got").alias("nth", "slot")))
+        state = made.select("start", "step", "s.t", "s.k", "s.at", "s.free")
+        turn = state.select("t").first().t
+    rows = reduce(DataFrame.unionByName, claims)
+    return rows.select(F.col("slot").cast("long").alias("slot"), F.element_at(names, ((F.col("first") + F.col("nth")) % n + 1).cast("int")).alias("shard"))
 
 
 def assign_shards(df: DataFrame, key: str, lookup: DataFrame, slots: int = SLOTS, spread_by: str | None = None, max_share: float = 0.02) -> DataFrame:
