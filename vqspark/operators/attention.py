@@ -124,3 +124,18 @@ def pick_by_attention(q: DataFrame, candidates: dict[str, DataFrame], keys: list
     chosen = segments.join(pick_by_segment(reduce(lambda a, b: a.join(b, keys), errors), keys, names), keys, "left").fillna(names[0], ["kind"])
     common = [*dict.fromkeys([*keys, "vec_id", "head", "pos", "vec", "vec_hat"])]
     return reduce(DataFrame.unionByName, [c.select(*common).join(chosen.filter(F.col("kind") == n), keys) for n, c in candidates.items()])
+
+
+def key_output_error(q: DataFrame, coded: DataFrame, v: DataFrame, keys: list[str], t: int = 1) -> DataFrame:
+    """Mean squared difference of attention outputs with exact and with decoded keys, over the exact values."""
+    other = causal_probs(attention_scores(q, coded, "vec_hat"), t=t).select(*QUERY, "kv_head", "pos", F.col("p").alias("p_hat"))
+    gap = attention_probs(q, coded, t).join(other, [*QUERY, "kv_head", "pos"]).select(*QUERY, "kv_head", "pos", (F.col("p") - F.col("p_hat")).alias("gap"))
+    spread = gap.join(v.withColumnRenamed("head", "kv_head").select(*HEAD, "pos", "vec"), [*HEAD, "pos"]).select(*QUERY, "gap", F.posexplode("vec").alias("ch", "x"))
+    out = spread.groupBy(*QUERY, "ch").agg(F.sum(F.col("gap") * F.col("x")).alias("o"))
+    return out.groupBy(*keys).agg(F.avg(F.col("o") ** 2).alias("error"))
+
+
+def relative_errors(coded: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the norm of all errors over the norm of all vectors."""
+    norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    return coded.groupBy(*keys).agg(F.sqrt(F.sum(_square("vec", "vec_hat")) / F.sum(norm)).alias("relative_l2"))

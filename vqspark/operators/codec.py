@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -254,9 +254,23 @@ def fit_blocks(df: DataFrame, column: str, bits: int, seed: int = 0, most_rounds
             for r in rows:
                 if r.n:
                     new[r.k] = r.a / r.n, r.b / r.n
+            # A cluster that nobody is in splits the largest one.
+            counts = {r.k: r.n for r in rows}
+            for k in (k for k in range(levels) if not counts.get(k)):
+                largest = max(counts, key=lambda c: (counts[c], -c), default=None)
+                if largest is None or counts[largest] < 2:
+                    break
+                new[k] = new[largest] * (1 + 1e-3) + 1e-6
+                counts[k] = counts[largest] = counts[largest] // 2
             moved, centers = np.abs(new - held).max(), new
             if moved < 1e-7:
                 break
         return centers
     finally:
         samples.unpersist()
+
+
+def sphere_samples(spark: SparkSession, d: int, n: int, seed: int = 0) -> DataFrame:
+    """n random unit vectors, made where they are used: what a codebook that knows no data is fitted on."""
+    rows = spark.range(n).select(F.array(*[F.randn(seed * d + k) for k in range(d)]).alias("vec"))
+    return rows.select(F.transform("vec", lambda x: x / F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, y: a + y * y))).alias("vec"))

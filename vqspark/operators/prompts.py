@@ -65,3 +65,18 @@ def find_words(words: Column, sentence: Column) -> Column:
     """Where the sentence's words start in a list of words, from 0; null if nowhere."""
     spots = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - F.size(sentence), F.lit(0))), lambda i: F.slice(words, i + 1, F.greatest(F.size(sentence), F.lit(1))) == sentence)
     return F.get(spots, F.lit(0))
+
+
+def crop_prompt(body: Column, tail: Column, sentence: Column, target: Column) -> Column:
+    """Words of a prompt cut to `target` of them: the tail (the question) stays whole, the body keeps what is around the
+    answer sentence.
+
+    A prompt that is short enough stays. Without a sentence the body's beginning is kept, with one that isn't in the body
+    its middle; a sentence longer than what is left for the body is cut itself. One word of the body stays at least.
+    """
+    n, m = F.size(body), F.size(sentence)
+    room = F.greatest(target - F.size(tail), F.lit(1))
+    at = find_words(body, sentence)
+    begin = F.when(m == 0, 0).when(at.isNull(), F.floor(n / 2) - F.floor(room / 2)).when(m >= room, at).otherwise(at - F.floor((room - m) / 2))
+    begin = F.greatest(F.least(begin, n - room), F.lit(0)).cast("int")
+    return F.when(n + F.size(tail) <= target, F.concat(body, tail)).otherwise(F.concat(F.slice(body, begin + 1, room), tail))

@@ -228,3 +228,9 @@ _add("segment_storage", lambda s, d: P.storage_by_kind(_segments(s, d)).select(*
     SELECT seq_id, layer, side, kind, n, bytes, n * 128 AS dense_bytes, round(bytes / (n * 128), 6) AS ratio, bits AS effective_bits FROM b""")
 _add("segment_table_roundtrip", lambda s, d: _segments(s, d).groupBy("kind").agg(F.count("*").alias("segments"), F.sum("n").alias("n"), F.max("low").cast("int").alias("low"), F.max("n_high").cast("int").alias("n_high")),
      f"WITH {X.KV_CTE} SELECT kind, count(*) AS segments, CAST(sum(n) AS BIGINT) AS n, CAST(CASE kind WHEN 'fractional' THEN 2 ELSE 3 END AS INT) AS low, CAST(CASE kind WHEN 'fractional' THEN 32 ELSE 0 END AS INT) AS n_high FROM (SELECT {_KIND_CASE} AS kind, count(*) AS n FROM kv GROUP BY seq_id, layer, side) GROUP BY 1")
+_add("relative_errors", lambda s, d: A.relative_errors(N._roundtrip(X.kv_states(s, d), V.codec("mse", D, 2)), ["layer", "head", "side"]).withColumn("relative_l2", F.round("relative_l2", 6)),
+     f"WITH {X.KV_CTE}, {Q._hat('h', 'kv', 'vec', Q.ROT, 2)} SELECT layer, head, side, round(sqrt(sum({Q._apart('vec', 'list_transform(u, lambda x: x * nrm)')}) / sum({Q._sq('vec')})), 6) AS relative_l2 FROM h GROUP BY 1, 2, 3")
+_add("attention_key_output_error", lambda s, d: A.key_output_error(X.q_states(s, d), Q._coded(s, d, "key"), X.kv_states(s, d).filter("side = 'value'"), ["layer"]).withColumn("error", F.round("error", 7)),
+     f"""WITH {Q._ERR}, ph AS (SELECT *, exp(sh) / sum(exp(sh)) OVER (PARTITION BY seq_id, layer, q_head, q_pos) AS p_hat FROM (SELECT pr.*, 0.125 * h.nrm * {Q._dot('pr.q', 'h.u')} AS sh FROM pr JOIN h USING (vec_id))),
+    o AS (SELECT ph.seq_id, ph.layer, q_head, q_pos, i, sum((p - p_hat) * v.vec[i]) AS o FROM ph JOIN kv v ON v.side = 'value' AND v.seq_id = ph.seq_id AND v.layer = ph.layer AND v.head = ph.kv_head AND v.pos = ph.pos, range(1, 65) t(i) GROUP BY ALL)
+    SELECT layer, round(avg(o * o), 7) AS error FROM o GROUP BY 1""")

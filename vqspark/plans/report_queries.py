@@ -89,3 +89,24 @@ def _named(s, d):  # noqa: ANN001, ANN202
 
 
 _add("task_names", _named, "SELECT doc_id, regexp_replace(coalesce(CASE WHEN doc_id % 3 = 0 THEN lang || '_e' END, CASE WHEN doc_id % 2 = 0 THEN source END, 'unnamed_e'), '_e$', '') AS name FROM documents")
+_TAIL = ["Question:", "which", "one", "is", "it?"]
+
+
+def _cropped(s, d):  # noqa: ANN001, ANN202
+    """Documents as prompt bodies at two lengths; a third each has a sentence of its own, one it lacks, and none."""
+    w = X.table(s, d, "documents").select("doc_id", F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
+    none = F.array().cast("array<string>")
+    sentence = F.when((F.col("doc_id") % 3 == 0) & (F.size("w") > 30), F.slice("w", 21, 6)).when(F.col("doc_id") % 3 == 1, F.array(F.lit("nowhere"), F.lit("there"))).otherwise(none)
+    rows = w.withColumn("sentence", sentence).withColumn("target", F.explode(F.array(F.lit(24), F.lit(60))))
+    return rows.withColumn("kept", P.crop_prompt(F.col("w"), F.array(*map(F.lit, _TAIL)), F.col("sentence"), F.col("target")))
+
+
+_CROPPED = f"""w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, w, t, {_TAIL} AS tail, CASE WHEN doc_id % 3 = 0 AND len(w) > 30 THEN w[21:26] WHEN doc_id % 3 = 1 THEN ['nowhere', 'there'] ELSE [] END AS s FROM w, (SELECT unnest([24, 60]) AS t)),
+r AS (SELECT *, greatest(t - len(tail), 1) AS room, CASE WHEN len(s) > 0 THEN list_filter(range(0, greatest(len(w) - len(s), 0) + 1), lambda i: w[i + 1:i + len(s)] = s)[1] END AS hit FROM x),
+b AS (SELECT *, greatest(least(CASE WHEN len(s) = 0 THEN 0 WHEN hit IS NULL THEN len(w) // 2 - room // 2 WHEN len(s) >= room THEN hit ELSE hit - (room - len(s)) // 2 END, len(w) - room), 0) AS bg FROM r),
+cropped AS (SELECT doc_id, t, CASE WHEN len(w) + len(tail) <= t THEN w || tail ELSE w[bg + 1:bg + room] || tail END AS kept FROM b)"""
+_add("needle_prompts", lambda s, d: _cropped(s, d).select(F.concat("doc_id", F.lit(":target"), "target").alias("id"), F.size("kept").cast("long").alias("n"), F.md5(F.array_join("kept", " ")).alias("kept")),
+     f"WITH {_CROPPED} SELECT doc_id || ':target' || t AS id, len(kept) AS n, md5(array_to_string(kept, ' ')) AS kept FROM cropped")
+_add("needle_prompt_lengths", lambda s, d: _cropped(s, d).groupBy("target").agg(F.count("*").alias("n"), F.min(F.size("kept")).cast("long").alias("least"), F.max(F.size("kept")).cast("long").alias("most"), F.round(F.avg(F.size("kept")), 6).alias("mean")),
+     f"WITH {_CROPPED} SELECT CAST(t AS INT) AS target, count(*) AS n, min(len(kept)) AS least, max(len(kept)) AS most, round(avg(len(kept)), 6) AS mean FROM cropped GROUP BY 1")
