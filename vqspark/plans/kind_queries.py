@@ -234,3 +234,71 @@ _add("attention_key_output_error", lambda s, d: A.key_output_error(X.q_states(s,
      f"""WITH {Q._ERR}, ph AS (SELECT *, exp(sh) / sum(exp(sh)) OVER (PARTITION BY seq_id, layer, q_head, q_pos) AS p_hat FROM (SELECT pr.*, 0.125 * h.nrm * {Q._dot('pr.q', 'h.u')} AS sh FROM pr JOIN h USING (vec_id))),
     o AS (SELECT ph.seq_id, ph.layer, q_head, q_pos, i, sum((p - p_hat) * v.vec[i]) AS o FROM ph JOIN kv v ON v.side = 'value' AND v.seq_id = ph.seq_id AND v.layer = ph.layer AND v.head = ph.kv_head AND v.pos = ph.pos, range(1, 65) t(i) GROUP BY ALL)
     SELECT layer, round(avg(o * o), 7) AS error FROM o GROUP BY 1""")
+# SQL for queries of the vector module whose choices it can follow.
+_FACTORS = {
+    "half_gain_mse": f"nrma * {1 + (C.gain(32, 2) - 1) / 2!r}",
+    "clipped_gain_mse": f"nrma * least(greatest({Q._dot('lo', 'ua')} / {Q._sq('ua')} / nrma, 1), {C.gain(32, 2)!r})",
+}
+for _kind, _factor in _FACTORS.items():
+    ORACLE_SQL[f"regular_{_kind}"] = f"""WITH {X.KV_CTE}, {Q._LONG}, {Q._TOP.format(n=32)}, {_HALVES}, {Q._hat('a', 'parts', 'lo', C.rotation(32, 0), 2, 32, 'a')}, {Q._hat('b', 'a', 'hi', C.rotation(32, 0), 3, 32, 'b')},
+    c AS MATERIALIZED (SELECT *, {_factor} AS f FROM b) SELECT layer, side, round(avg({Q._apart('lo', 'list_transform(ua, lambda x: x * f)')} + {Q._apart('hi', 'list_transform(ub, lambda x: x * nrmb)')}), 6) AS mse, count(*) AS n FROM c GROUP BY 1, 2"""
+ORACLE_SQL["regular_selected_gain_mse"] = f"""WITH {X.KV_CTE}, {Q._LONG}, {Q._TOP.format(n=32)}, {_HALVES}, {Q._hat('a', 'parts', 'lo', C.rotation(32, 0), 2, 32, 'a')}, {Q._hat('b', 'a', 'hi', C.rotation(32, 0), 3, 32, 'b')}
+SELECT layer, side, round(avg(least({Q._apart('lo', 'list_transform(ua, lambda x: x * nrma)')}, {Q._apart('lo', f'list_transform(ua, lambda x: x * nrma * {C.gain(32, 2)!r})')}) + {Q._apart('hi', 'list_transform(ub, lambda x: x * nrmb)')}), 6) AS mse, count(*) AS n FROM b GROUP BY 1, 2"""
+ORACLE_SQL["quarter_high2_mse"] = f"""WITH {X.KV_CTE}, {Q._LONG}, {Q._TOP.format(n=16)}, {_HALVES}, {Q._hat('a', 'parts', 'lo', C.rotation(48, 0), 2, 48, 'a')}, {Q._hat('b', 'a', 'hi', C.rotation(16, 0), 4, 16, 'b')}
+SELECT layer, side, round(avg({Q._apart('lo', 'list_transform(ua, lambda x: x * nrma)')} + {Q._apart('hi', 'list_transform(ub, lambda x: x * nrmb)')}), 6) AS mse, count(*) AS n FROM b GROUP BY 1, 2"""
+_BANK = ", ".join(Q._hat(f"b{k}", f"b{k - 1}" if k else "kv", "vec", C.rotation(D, k), 2, tag=f"_{k}") for k in range(4))
+_BANK_E = ", ".join(f"{Q._apart('vec', f'list_transform(u_{k}, lambda x: x * nrm_{k})')} AS e{k}" for k in range(4))
+
+
+def _bank_sql(keys: str) -> str:
+    """Rotation of the least summed error by the given keys, for every row."""
+    return f"WITH {X.KV_CTE}, {_BANK}, e AS MATERIALIZED (SELECT vec_id, seq_id, layer, side, {_BANK_E} FROM b3), c AS (SELECT {keys}, [sum(e0), sum(e1), sum(e2), sum(e3)] AS e FROM e GROUP BY ALL), p AS (SELECT *, CAST(list_position(e, list_min(e)) - 1 AS INT) AS rotation_id FROM c)"
+
+
+ORACLE_SQL["bank4_segment"] = _bank_sql("seq_id, layer, side") + " SELECT layer, side, rotation_id, round(avg([e0, e1, e2, e3][rotation_id + 1]), 6) AS mse, count(*) AS n FROM e JOIN p USING (seq_id, layer, side) GROUP BY 1, 2, 3"
+ORACLE_SQL["choose_rotation"] = _bank_sql("layer, side") + " SELECT layer, side, rotation_id, count(*) AS n FROM e JOIN p USING (layer, side) GROUP BY 1, 2, 3"
+ORACLE_SQL["head_rotation_mse"] = f"WITH {X.KV_CTE}, " + ", ".join(f"k{h} AS (SELECT * FROM kv WHERE head = {h}), {Q._hat(f'h{h}', f'k{h}', 'vec', C.rotation(D, 100 + h), 2)}" for h in range(2)) + " SELECT layer, side, head, round(avg(" + Q._apart("vec", "list_transform(u, lambda x: x * nrm)") + "), 6) AS mse, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT layer, side, head, vec, u, nrm FROM h{h}" for h in range(2)) + ") GROUP BY 1, 2, 3"
+_SH = f"sh AS MATERIALIZED (SELECT pr.*, 0.125 * h.nrm * {Q._dot('pr.q', 'h.u')} AS sh FROM pr JOIN h USING (vec_id)), ph AS MATERIALIZED (SELECT *, exp(sh) / sum(exp(sh)) OVER (PARTITION BY seq_id, layer, q_head, q_pos) AS p_hat FROM sh)"
+ORACLE_SQL["attention_error_metrics"] = f"""WITH {Q._ERR}, {_SH}, per AS (SELECT layer, q_head, seq_id, q_pos, avg(abs(score - sh)) AS mae, avg((score - sh) ** 2) AS mse, avg(abs(p - p_hat)) AS pm, sum(abs(p - p_hat)) AS pl,
+(arg_max(pos, score) = arg_max(pos, sh))::INT AS top1 FROM ph GROUP BY ALL) SELECT layer, q_head, round(avg(mae), 6) AS score_mae, round(sqrt(avg(mse)), 6) AS score_rmse, round(avg(pm), 6) AS prob_mae, round(avg(pl), 6) AS prob_l1, round(avg(top1), 6) AS top1_match FROM per GROUP BY 1, 2"""
+_MEET = "h.side = 'value' AND h.seq_id = w.seq_id AND h.layer = w.layer AND h.head = w.kv_head AND h.pos = w.pos"
+ORACLE_SQL["token_errors"] = f"""WITH {Q._ERR}, {_SH}, w AS (SELECT seq_id, layer, kv_head, pos, avg(p) AS w FROM pr GROUP BY ALL)
+SELECT seq_id, layer, pos, round(avg(p * abs(score - sh)), 6) AS error, 'key' AS side FROM ph GROUP BY 1, 2, 3
+UNION ALL SELECT h.seq_id, h.layer, h.pos, round(avg(w.w * {Q._apart('h.vec', 'list_transform(h.u, lambda x: x * h.nrm)')}), 6), 'value' FROM h JOIN w ON {_MEET} GROUP BY 1, 2, 3"""
+ORACLE_SQL["attention_output_error"] = f"""WITH {Q._ERR}, o AS (SELECT w.seq_id, w.layer, q_head, q_pos, i, sum(w.p * (h.vec[i] - h.nrm * h.u[i])) AS o FROM pr w JOIN h ON {_MEET}, range(1, 65) t(i) GROUP BY ALL) SELECT layer, round(avg(o * o), 7) AS error FROM o GROUP BY 1"""
+ORACLE_SQL["entropy_guard"] = f"""{Q._ATT}, r AS (SELECT seq_id, layer, avg(CASE WHEN n > 1 THEN h / ln(n) ELSE 0 END) AS r FROM (SELECT seq_id, layer, q_head, q_pos, -sum(p * ln(p)) AS h, count(*) AS n FROM pr GROUP BY ALL) GROUP BY 1, 2)
+SELECT DISTINCT seq_id, layer, CASE WHEN r <= 0.999 THEN 'outlier_hadamard_mse' ELSE 'mse' END AS kind FROM kv LEFT JOIN r USING (seq_id, layer)"""
+ORACLE_SQL["protect_attention_error"] = f"{Q._SPOTS} SELECT side, CAST(sum(k) AS BIGINT) AS n_raw FROM (SELECT side, max({Q._NRAW}) AS k FROM c GROUP BY seq_id, layer, side) GROUP BY 1"
+_GAINS = f"WITH {X.KV_CTE}, {Q._hat('h2', 'kv', 'vec', Q.ROT, 2, tag='2')}, {Q._hat('h3', 'h2', 'vec', Q.ROT, 3, tag='3')}, g AS MATERIALIZED (SELECT seq_id, layer, side, i, avg((vec[i] - nrm2 * u2[i]) ** 2 - (vec[i] - nrm3 * u3[i]) ** 2) AS g FROM h3, range(1, 65) t(i) GROUP BY ALL)"
+_add("error_gain_masks", lambda s, d: Q._mask_text(S.select_channels(S.channel_scores(X.kv_states(s, d), "error_gain", 2.5, list(SEG)), list(SEG), 32)),
+     f"{_GAINS}, t AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY g DESC, i) <= 32 AS hot FROM g) SELECT seq_id, layer, side, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3")
+_add("sensitivity_masks", lambda s, d: Q._mask_text(S.select_channels(S.channel_scores(X.kv_states(s, d), "sensitivity_error_gain", 2.5, list(SEG), static=Q._static(s, d), power=0.5), list(SEG), 24)),
+     f"""{_GAINS}, v AS (SELECT *, greatest(g, 0) * sqrt(((i - 1) * 7 + layer * 3 + (side = 'key')::INT) % 13) AS v FROM g), t AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY v DESC, i) <= 24 AS hot FROM v)
+    SELECT seq_id, layer, side, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3""")
+_add("joint_masks", lambda s, d: Q._mask_text(S.joint_channels(S.channel_scores(X.kv_states(s, d), "error_gain", 2.5, list(SEG)), 64, D, list(SEG))),
+     f"""{_GAINS}, n AS (SELECT *, greatest(g, 0) / greatest(avg(greatest(g, 0)) OVER (PARTITION BY seq_id, layer, side), 1e-30) AS v FROM g), p AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY v DESC, i) AS place FROM n),
+    t AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer ORDER BY place > 1, place = 64, v DESC, side, i) <= 64 AND place < 64 AS hot FROM p) SELECT seq_id, layer, side, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3""")
+_HEADS = f"WITH {X.KV_CTE}, {Q._LONG}, c AS (SELECT seq_id, layer, side, head, i, avg(abs(x)) AS s FROM long GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer, side, head ORDER BY round(s, 9) DESC, i) <= 32 AS hot FROM c)"
+_add("head_masks", lambda s, d: S.select_channels(S.channel_scores(X.kv_states(s, d), "head_dynamic_absmean", 2.5, list(SEG)), [*SEG, "head"], 32).select(*SEG, "head", F.array_join(F.transform("mask", lambda m: m.cast("int").cast("string")), "").alias("mask")),
+     _HEADS + " SELECT seq_id, layer, side, head, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3, 4")
+
+
+def _snap(value: str, bits: int) -> str:
+    """The nearest centroid of a rotated unit coordinate, the lower one on ties."""
+    c = C.codebook(D, bits)[0]
+    return "CASE " + " ".join(f"WHEN {value} <= {(a + b) / 2!r} THEN {a!r}::DOUBLE" for a, b in zip(c, c[1:], strict=False)) + f" ELSE {c[-1]!r} END"
+
+
+def _rotated_sql(shared: bool) -> str:
+    score = "greatest(g, 0) / greatest(avg(greatest(g, 0)) OVER (PARTITION BY seq_id, layer, side), 1e-30)" if shared else "g"
+    pool = "SELECT seq_id, layer, i, sum(v) AS v FROM n GROUP BY ALL" if shared else "SELECT seq_id, layer, side, i, v FROM n"
+    keys = "seq_id, layer" if shared else "seq_id, layer, side"
+    return f"""WITH {X.KV_CTE}, y AS MATERIALIZED (SELECT kv.*, list_transform(m, lambda r: {Q._dot('r', 'vec')} / greatest(sqrt({Q._sq('vec')}), {V.EPS!r})) AS y FROM kv, (SELECT {Q._matrix(Q.ROT)} AS m)),
+    z AS MATERIALIZED (SELECT vec_id, seq_id, layer, side, i, y[i] AS y, {_snap('y[i]', 2)} AS lo, {_snap('y[i]', 3)} AS hi FROM y, range(1, 65) t(i)),
+    g AS (SELECT seq_id, layer, side, i, avg((y - lo) ** 2 - (y - hi) ** 2) AS g FROM z GROUP BY ALL), n AS (SELECT *, {score} AS v FROM g), pool AS ({pool}),
+    t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY v DESC, i) <= 32 AS hot FROM pool),
+    f AS (SELECT layer, side, vec_id, sum(y * CASE WHEN hot THEN hi ELSE lo END) AS yh, sum((CASE WHEN hot THEN hi ELSE lo END) ** 2) AS hh FROM z JOIN t USING ({keys}, i) GROUP BY ALL)
+    SELECT f.layer, f.side, round(avg({Q._sq('vec')} * (1 - yh * yh / hh)), 6) AS mse, count(*) AS n FROM f JOIN kv USING (vec_id) GROUP BY 1, 2"""
+
+
+ORACLE_SQL["rotated_outlier_2p5_own"], ORACLE_SQL["rotated_outlier_2p5_shared"] = _rotated_sql(False), _rotated_sql(True)
