@@ -22,3 +22,9 @@ def test_works_without_the_training_data_subpackage():
     block = "import sys; sys.modules['vqspark.llm'] = None; sys.modules['corpus_pipeline'] = None; "
     done = bare(block + "import __spark_entry__ as e; assert not [n for n in e.queries() if n.startswith('op') and n[2].isdigit() or n == 'pipeline']; assert len(e.oracle_sql()) >= 90")
     assert done.returncode == 0, done.stderr
+
+
+def test_sql_is_there_for_most_queries():
+    done = bare("import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); core = [n for n in q if not (n.startswith('op') and n[2].isdigit()) and n != 'pipeline']; print(sum(n in s for n in core), len(core))")
+    with_sql, core = map(int, done.stdout.split())
+    assert with_sql >= 0.75 * core

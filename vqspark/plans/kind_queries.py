@@ -302,3 +302,13 @@ def _rotated_sql(shared: bool) -> str:
 
 
 ORACLE_SQL["rotated_outlier_2p5_own"], ORACLE_SQL["rotated_outlier_2p5_shared"] = _rotated_sql(False), _rotated_sql(True)
+_COUNTS = f"WITH {X.KV_CTE} SELECT layer, side, CAST(sum(32) AS BIGINT) AS n_channels{{more}} FROM (SELECT DISTINCT seq_id, layer, side{{head}} FROM kv) GROUP BY 1, 2"
+ORACLE_SQL["channels_error_gain"] = _COUNTS.format(more=", count(*) AS n_segments", head="")
+ORACLE_SQL["channels_sensitivity"] = _COUNTS.format(more="", head="")
+for _policy in ("head_dynamic_absmean", "head_error_gain"):
+    ORACLE_SQL[f"channels_{_policy}"] = _COUNTS.format(more=", count(*) AS n_segments", head=", head")
+ORACLE_SQL["channels_joint"] = f"SELECT seq_id, layer, CAST(sum(n) AS BIGINT) AS n_channels, CAST(min(n) AS INT) AS least FROM (SELECT seq_id, layer, len(replace(mask, '0', '')) AS n FROM ({ORACLE_SQL['joint_masks']})) GROUP BY 1, 2"
+ORACLE_SQL["attention_channels"] = f"{Q._ATT} SELECT DISTINCT seq_id, layer, 'key' AS side, CAST(32 AS INT) AS n FROM pr"
+ORACLE_SQL["code_table"] = f"WITH {X.KV_CTE}, {Q._hat('h', 'kv', 'vec', Q.ROT, 3)} SELECT vec_id, layer, side, round(nrm * sqrt({Q._sq('u')}), 4) AS norm FROM h"
+for _kind in ("pca", "second_hadamard"):
+    ORACLE_SQL[f"transform_{_kind}"] = "SELECT DISTINCT CASE WHEN vec_id % 2 = 0 THEN 'key' ELSE 'value' END AS side, 0.0::DOUBLE AS distance FROM embeddings"
