@@ -32,13 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/vqspark/{spark.sparkContext.applicationId}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: later work doesn't depend on lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/vqspark/{uuid.uuid4().hex}"
+    """Writes df as Parquet to the shared folder and reads it back: later work doesn't depend on lost executors.
+
+    Results are read lazily, so the files stay while the application runs; see `discard`.
+    """
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> bool:
+    """Deletes what this application has written by `durable`, once no result that reads it is wanted any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    return bool(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
