@@ -17,7 +17,7 @@ from .common import table
 from .native_text import CORES_SQL, WORDS_SQL, cores, solid_words
 from .near_dups import row_key
 
-WINDOW, STEP, BANDS = 4, 2, 8
+WINDOW, STEP, BANDS, SHIFT = 4, 2, 8, 6
 CONTAINMENT = 0.8
 #: Templates up to this number of shingles are also looked up shingle by shingle.
 SHORT = 9
@@ -57,11 +57,13 @@ def with_shingles(df: DataFrame, name: str) -> DataFrame:
 
 
 def bands(values: Column, first: Column) -> Column:
-    """The window's least hash under each of BANDS independent hash functions; a place beyond the end counts for nothing."""
+    """The window's least hash under each of BANDS shifts; a place beyond the end counts for nothing (`least` skips it).
+
+    A shift by SHIFT bits more compares the mixed hashes by other bits, so the bands' minima are nearly independent; the
+    bits that are left name the shingle well enough, as candidates are verified.
+    """
     window = [F.get(values, first + k) for k in range(WINDOW)]
-    hashed = lambda w, s: F.xxhash64(F.lit(int(s)), w)
-    least = lambda s: F.least(hashed(window[0], s), *[F.when(w.isNotNull(), hashed(w, s)) for w in window[1:]])
-    return F.array(*[least(s) for s in T.seeds(BANDS, 41).view("int64")])
+    return F.array(*[F.least(*[F.shiftleft(w, SHIFT * band) for w in window]) for band in range(BANDS)])
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame) -> DataFrame:
