@@ -11,10 +11,11 @@ How groups of any size stay affordable and whole:
 * A larger bucket never gives its pairs. Its most central member is its leader, and each member is compared with the
   leader alone, which yields the symmetric difference of both sets. For two members x and y the difference of their
   sets is the difference of these differences. Members that link to the leader are in one component.
-* What doesn't link to the leader is a bucket of its own, with a new leader, and so on: each round settles a cluster. A
-  member x that is left can link to a settled one y only if their differences share over half of y's, so a join on y's
-  rarest elements (a prefix filter, exact) finds every such pair without a quadratic list. A bucket whose leader
-  settles less than one member in FRUITFUL has no clusters to speak of; its remaining pairs come from the same filter.
+* A member x that is left can link to another one y only if their differences share over half of y's, so a join on y's
+  rarest elements (a prefix filter, exact) finds every such pair without a quadratic list, as edits are mostly one's own.
+  Where many of those left share theirs (a cluster of its own), the join would list all their pairs: these are counted
+  first, and if there are over CROWD for each member, those left are a bucket with a new leader, and so on. Each round
+  settles a cluster; a leader that settles less than one member in FRUITFUL isn't followed by another one.
 * Texts move once, and only those of one member of each class that has a candidate; a leader that many members meet is
   one key of a join with both sides shuffled, which Spark splits when it is skewed.
 """
@@ -44,8 +45,9 @@ PERMUTATIONS = BANDS * ROWS // 2
 BLOCK = 32
 #: Pairs whose signatures agree this much less than the threshold aren't verified: five standard deviations at 80 in 100.
 SLACK = 0.2
-#: A leader that settles fewer than one in so many members isn't followed by another one.
-FRUITFUL = 16
+#: Pairs of a bucket's unsettled members, for each of them, from which on another leader is better than listing them; a
+#: leader that settles fewer than one in FRUITFUL members isn't followed by another one, the first excepted.
+CROWD, FRUITFUL = 64, 16
 
 SKETCH = "row_key bigint, n_shingles bigint, digest binary, bands array<bigint>, signature binary"
 
@@ -178,17 +180,21 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
 
     small = buckets.filter(f"size <= {BLOCK}")
     large = buckets.filter(f"size > {BLOCK}")
-    found = []
+    found, first = [], True
     while not large.isEmpty():
         # Each member with the bucket's leader, the member that shares the most with the large buckets.
         central = large.groupBy("digest").agg(F.sum("size").alias("weight"))
-        leaders = durable(large.join(central, "digest").groupBy("band", "value").agg(F.max_by("digest", F.struct("weight", "digest")).alias("leader")))
+        leaders = large.join(central, "digest").groupBy("band", "value").agg(F.max_by("digest", F.struct("weight", "digest")).alias("leader"))
+        leaders = durable(_shared_leaders(large, leaders, central))
         led = large.join(leaders, ["band", "value"]).filter("digest <> leader")
         stars = verified(led.select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct(), hot=True).withColumn("apart", ~F.expr(linked))
-        fruit = durable(stars.groupBy("b").agg((F.count("*") <= FRUITFUL * F.sum((~F.col("apart")).cast("int"))).alias("fruitful")))
-        stars = durable(stars.join(fruit, "b"))
-        found += [stars.filter("not apart").select("a", "b"), durable(_across(stars, threshold))]
-        rest = led.join(stars.filter("apart and fruitful").select(F.col("a").alias("digest"), F.col("b").alias("leader")), ["digest", "leader"]).select("digest", "n", "band", "value")
+        found.append(stars.filter("not apart").select("a", "b"))
+        stars = durable(_recentred(stars, threshold))
+        found.append(stars.filter("close").select("a", "b"))
+        pairs, crowded = _across(stars, threshold, first)
+        found.append(pairs)
+        again = stars.filter("apart").join(crowded, "led_by").select(F.col("a").alias("digest"), F.col("led_by").alias("leader"))
+        rest, first = led.join(again, ["digest", "leader"]).select("digest", "n", "band", "value"), False
         sizes = durable(rest.groupBy("band", "value").agg(F.count("*").alias("size")).filter("size > 1"))
         rest = durable(rest.join(sizes, ["band", "value"]))
         small = small.unionByName(rest.filter(f"size <= {BLOCK}"))
@@ -205,26 +211,80 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _across(stars: DataFrame, threshold: int) -> DataFrame:
-    """Links of members that don't link to their leader with settled members, and with each other if no leader follows.
+def _shared_leaders(large: DataFrame, leaders: DataFrame, central: DataFrame) -> DataFrame:
+    """(band, value, leader): for each bucket the weightiest leader that half of its members have, by any of their buckets.
+
+    A cluster fills buckets of many bands, which mostly hold the same members; so they get one leader, and a member is
+    compared with few. A leader needn't be in a bucket that it leads.
+    """
+    members = large.select("digest", "band", "value").join(leaders, ["band", "value"])
+    known = durable(members.select("digest", "leader").distinct())
+    votes = large.select("digest", "band", "value", "size").join(known, "digest").groupBy("band", "value", "leader").agg((2 * F.count("*") >= F.first("size")).alias("most"))
+    votes = votes.join(central.withColumnRenamed("digest", "leader"), "leader")
+    return votes.groupBy("band", "value").agg(F.max_by("leader", F.struct("most", "weight", "leader")).alias("leader"))
+
+
+def _recentred(stars: DataFrame, threshold: int) -> DataFrame:
+    """The members of each leader's star as seen from the settled one that is nearest to what most of them have in common.
+
+    A leader with edits of its own gives all others the same differences, which say nothing. The majority's set differs from
+    the leader's by the elements that over half of the settled members differ in; the member nearest to it is the new centre
+    (b), and differences follow from those to the leader (led_by) without texts. close: linked to the centre; apart: linked
+    to neither.
+    """
+    delta = F.concat("gone", "added")
+    empty = F.array().cast("array<bigint>")
+    leaders = stars.groupBy("b").agg(F.first("n_b").alias("n_b")).select(F.col("b").alias("a"), "b", F.col("n_b").alias("n_a"), "n_b", empty.alias("gone"), empty.alias("added"), F.lit(False).alias("apart"))
+    rows = stars.select("a", "b", "n_a", "n_b", "gone", "added", "apart").unionByName(leaders)
+    near = rows.filter("not apart")
+    held = near.select("b", F.explode(delta).alias("e")).groupBy("b", "e").agg(F.count("*").alias("held"))
+    most = near.groupBy("b").agg(F.count("*").alias("of"))
+    # Written, so that the joins below have two shuffled sides and a leader with many members can be split.
+    shift = durable(held.join(most, "b").filter("2 * held > of").groupBy("b").agg(F.collect_list("e").alias("shift")))
+    far = F.size(delta) - 2 * F.size(F.array_intersect(delta, F.coalesce("shift", empty)))
+    centre = F.min_by(F.struct("a", "n_a", "gone", "added"), F.struct(far, "a")).alias("c")
+    centres = durable(near.join(shift, "b", "left").groupBy("b").agg(centre))
+    rows = rows.join(centres, "b").filter(F.col("a") != F.col("c.a"))
+    only = F.array_except
+    rows = rows.select(
+        "a", F.col("b").alias("led_by"), F.col("c.a").alias("b"), "n_a", F.col("c.n_a").alias("n_b"), "apart",
+        F.concat(only("gone", "c.gone"), only("c.added", "added")).alias("gone"), F.concat(only("added", "c.added"), only("c.gone", "gone")).alias("added"),
+    )
+    both, d = F.col("n_a") + F.col("n_b"), F.size("gone") + F.size("added")
+    close = 100 * (both - d) >= threshold * (both + d)
+    return rows.withColumn("close", close).withColumn("apart", F.col("apart") & ~close)
+
+
+def _across(stars: DataFrame, threshold: int, first: bool) -> tuple[DataFrame, DataFrame]:
+    """Links of members apart from their star's centre with all others, and the leaders (led_by) whose members apart are
+    too alike for that: of these, links with settled members alone.
 
     With d the size of a symmetric difference, a link of x and y means d(x, y) * (100 + t) <= (100 - t) * (n_x + n_y).
     """
     per = (100 - threshold) / (100 + threshold)
-    stars = stars.select("b", "a", "n_a", "n_b", "gone", "added", (F.size("gone") + F.size("added")).alias("d"), "apart", "fruitful")
-    # Over half of y's difference, about, is also in that of any x that is apart from the leader.
+    stars = stars.select(F.col("led_by").alias("b"), "a", "n_a", "n_b", "gone", "added", (F.size("gone") + F.size("added")).alias("d"), "apart")
+    # Over half of y's difference, about, is also in that of any x that is apart from the centre.
     stars = stars.withColumn("need", F.floor((F.col("d") + per * (F.col("n_b") - F.col("n_a"))) / 2) + 1)
-    seconds = stars.filter("not (apart and fruitful)")
+    # Every difference once as rows; `new` tells what a member has that the centre lacks.
+    sides = F.concat(F.transform("gone", lambda e: F.struct(e.alias("e"), F.lit(False).alias("new"))), F.transform("added", lambda e: F.struct(e.alias("e"), F.lit(True).alias("new"))))
+    cells = durable(stars.select("b", "a", "n_a", "d", "apart", "need", F.explode(sides).alias("c")).select("b", "a", "n_a", "d", "apart", "need", "c.e", "c.new"))
     # What y has lost may be lost by others too; of what it has gained, only what others have gained can count.
-    gains = stars.select("b", "a", "apart", F.explode("added").alias("e"))
+    gains = cells.filter("new").select("b", "a", "apart", "e")
     others = gains.groupBy("b", "e").agg(F.count("*").alias("held"), F.max("apart").alias("wanted")).filter("held > 1 and wanted")
     gained = gains.join(others.select("b", "e"), ["b", "e"], "left_semi").groupBy("b", "a").agg(F.count("*").alias("gained"))
-    ys = seconds.join(gained, ["b", "a"], "left").filter(F.size("gone") + F.coalesce("gained", F.lit(0)) >= F.col("need"))
-    held = stars.select("b", "apart", F.explode(F.concat("gone", "added")).alias("e")).groupBy("b", "e").agg(F.count("*").alias("held"), F.max("apart").alias("wanted"))
-    spans = ys.select("b", "a", "apart", "n_a", "d", "need", F.explode(F.concat("gone", "added")).alias("e")).join(held.filter("held > 1 and wanted"), ["b", "e"])
+    ys = stars.join(gained, ["b", "a"], "left").filter(F.size("gone") + F.coalesce("gained", F.lit(0)) >= F.col("need")).select("b", "a")
+    held = cells.groupBy("b", "e").agg(F.count("*").alias("held"), F.sum(F.col("apart").cast("int")).alias("wanted"))
+    held = durable(held.filter("held > 1 and wanted > 0"))
+    spans = cells.drop("new").join(ys, ["b", "a"], "left_semi").join(held, ["b", "e"])
     spans = spans.withColumn("rank", F.row_number().over(Window.partitionBy("b", "a").orderBy("held", "e"))).withColumn("own", F.count("*").over(Window.partitionBy("b", "a")))
-    y = spans.filter(F.col("rank") <= F.col("own") - F.col("need") + 1).select("b", "e", F.col("a").alias("y"), F.col("apart").alias("y_apart"), F.col("d").alias("d_y"), F.col("n_a").alias("n_y"), (F.col("own") - F.col("rank") + 1).alias("left_y"))
-    x = stars.filter("apart").select("b", F.col("a").alias("x"), F.col("d").alias("d_x"), F.col("n_a").alias("n_x"), F.explode(F.concat("gone", "added")).alias("e"))
+    y = durable(spans.filter(F.col("rank") <= F.col("own") - F.col("need") + 1).select("b", "e", "wanted", F.col("a").alias("y"), F.col("apart").alias("y_apart"), F.col("d").alias("d_y"), F.col("n_a").alias("n_y"), (F.col("own") - F.col("rank") + 1).alias("left_y")))
+    # What the join would list among the members apart, and how many these and the settled ones are.
+    listed = y.filter("y_apart").groupBy("b").agg(F.sum("wanted").alias("listed"))
+    counts = stars.groupBy("b").agg(F.sum(F.col("apart").cast("int")).alias("left"), F.count("*").alias("of"))
+    fruitful = F.lit(first) | (FRUITFUL * (F.col("of") - F.col("left")) >= F.col("of"))
+    crowded = durable(listed.join(counts, "b").filter((F.col("listed") > CROWD * F.col("left")) & fruitful).select("b"))
+    y = y.join(crowded.withColumn("crowded", F.lit(True)), "b", "left").filter("crowded is null or not y_apart")
+    x = cells.filter("apart").select("b", F.col("a").alias("x"), F.col("d").alias("d_x"), F.col("n_a").alias("n_x"), "e")
     enough = F.col("left_y") * 2 >= F.col("d_x") + F.col("d_y") - per * (F.col("n_x") + F.col("n_y")) - 1e-6
     # Of two members that are both apart, one order will do.
     pairs = x.join(y, ["b", "e"]).filter((F.col("x") != F.col("y")) & (~F.col("y_apart") | (F.col("x") < F.col("y"))) & enough).select("b", "x", "y", "d_x", "d_y", "n_x", "n_y").distinct()
@@ -233,7 +293,8 @@ def _across(stars: DataFrame, threshold: int) -> DataFrame:
     apart = F.col("d_x") + F.col("d_y") - 2 * F.size(F.array_intersect("delta_x", "delta_y"))
     both = F.col("n_x") + F.col("n_y")
     # intersection (both - d) / 2 against union (both + d) / 2, in whole numbers
-    return pairs.filter(100 * (both - apart) >= threshold * (both + apart)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    pairs = pairs.filter(100 * (both - apart) >= threshold * (both + apart)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return durable(pairs), crowded.withColumnRenamed("b", "led_by")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
