@@ -8,8 +8,8 @@ How groups of any size stay affordable and whole:
 
 * Texts with equal shingle sets are one class from the start (grouped by a 128-bit digest, with partial aggregation).
 * A bucket of at most BLOCK classes gives its pairs; after an estimate from the signatures they are verified.
-* A larger bucket never gives its pairs. Its most central member is its leader, and each member is compared with the
-  leader alone, which yields the symmetric difference of both sets. For two members x and y the difference of their
+* A larger bucket never gives its pairs. Its most central member is its leader, which buckets with mostly the same members
+  share (see `_shared_leaders`), and each member is compared with the leader alone, which yields the symmetric difference of both sets. For two members x and y the difference of their
   sets is the difference of these differences. Members that link to the leader are in one component.
 * A member x that is left can link to another one y only if their differences share over half of y's, so a join on y's
   rarest elements (a prefix filter, exact) finds every such pair without a quadratic list, as edits are mostly one's own.
@@ -184,7 +184,8 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     while not large.isEmpty():
         # Each member with the bucket's leader, the member that shares the most with the large buckets.
         central = large.groupBy("digest").agg(F.sum("size").alias("weight"))
-        leaders = large.join(central, "digest").groupBy("band", "value").agg(F.max_by("digest", F.struct("weight", "digest")).alias("leader"))
+        # Written, so that the joins of buckets with their leaders have two shuffled sides and a large one can be split.
+        leaders = durable(large.join(central, "digest").groupBy("band", "value").agg(F.max_by("digest", F.struct("weight", "digest")).alias("leader")))
         leaders = durable(_shared_leaders(large, leaders, central))
         led = large.join(leaders, ["band", "value"]).filter("digest <> leader")
         stars = verified(led.select(F.col("digest").alias("a"), F.col("leader").alias("b")).distinct(), hot=True).withColumn("apart", ~F.expr(linked))
