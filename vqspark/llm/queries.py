@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, for the entry module."""
 
-from . import bpe, decontamination, fingerprints, licenses, near_dups, pii, quality, repeats, sharding, toxicity
+from . import bpe, decontamination, fingerprints, licenses, near_dups, pii, quality, repeats, sharding, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_personal_data": pii.op9_personal_data,
     "op10_repeats": repeats.op10_repeats,
+    "op13_topk": topk.op13_topk,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op2_near_duplicates": near_dups.OP2_SQL,
     "op4_licenses": licenses.OP4_SQL,
     "op7_decontamination": decontamination.OP7_SQL,
+    "op13_topk": topk.OP13_SQL,
 }
