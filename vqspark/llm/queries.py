@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, for the entry module."""
 
-from . import bpe, decontamination, fingerprints, licenses, near_dups, pii, quality, repeats, resampling, sharding, topk, toxicity
+from . import alignment, bpe, decontamination, fingerprints, licenses, near_dups, pii, quality, repeats, resampling, sharding, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_personal_data": pii.op9_personal_data,
     "op10_repeats": repeats.op10_repeats,
+    "op11_alignment": alignment.op11_alignment,
     "op12_resampling": resampling.op12_resampling,
     "op13_topk": topk.op13_topk,
 }
