@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ..session import ship
+
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Which score a task takes.
 METRICS = {
@@ -15,6 +17,14 @@ METRICS = {
     "trec": "class", "lsht": "class", "passage_retrieval_en": "retrieval", "passage_retrieval_zh": "retrieval", "passage_count": "count", "lcc": "code", "repobench-p": "code",
 }
 FIRST_LINE = ("trec", "triviaqa", "samsum", "lsht")
+# The classes of trec, for rows that name none.
+TREC_CLASSES = [
+    "Description of something", "Entity", "Expression abbreviated", "Individual", "Group or organization of person", "Title of a person", "Description of a person", "Reason",
+    "Definition of something", "Animal", "Body", "Color", "Creative piece", "Currency name", "Disease and medicine", "Event", "Food", "Musical instrument", "Language", "Letter",
+    "Other entity", "Plant", "Product", "Religion", "Sport", "Element and substance", "Symbol", "Techniques and method", "Equivalent term", "Vehicle", "Word with a special property",
+    "Numerical value", "Code", "Number of something", "Date", "Distance, linear measure", "Price", "Order, rank", "Lasting time of somethin", "Percent, fraction", "Speed",
+    "Temperature", "Size, area and volume", "Weight", "Location", "City", "Country", "Mountain", "Other location", "State",
+]
 
 
 def normalize(text: Column) -> Column:
@@ -49,11 +59,27 @@ def lcs_length(a: list, b: list) -> int:
 
 
 @F.pandas_udf(IntegerType())
-def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two lists, for whole Arrow batches."""
     return pd.Series([lcs_length(list(x), list(y)) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)])
 
 
+def lcs(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two list columns."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+    return _lcs(a, b)
+
+
+def without_line_feeds(text: Column) -> Column:
+    return F.ltrim(text, F.lit("\n"))
+
+
+def task(dataset: Column) -> Column:
+    """A task's name without the suffix of its shorter variant."""
+    return F.regexp_replace(dataset, "_e$", "")
+
+
 def rouge_l(prediction: Column, answer: Column) -> Column:
     """F-measure of the longest common subsequence of white-space words; 0 if either has none."""
     a, b = (F.filter(F.split(F.coalesce(x, F.lit("")), r"\s+"), lambda t: t != "") for x in (prediction, answer))
@@ -79,7 +105,7 @@ def retrieval(prediction: Column, answer: Column) -> Column:
 
 def code_similarity(prediction: Column, answer: Column) -> Column:
     """Twice the common subsequence of characters over both lengths, in whole percent, for the first line that is code."""
-    lines = F.filter(F.split(F.ltrim(F.lit("\n"), prediction), "\n"), lambda x: ~(x.contains("`") | x.contains("#") | x.contains("//")))
+    lines = F.filter(F.split(without_line_feeds(prediction), "\n"), lambda x: ~(x.contains("`") | x.contains("#") | x.contains("//")))
     a, b = (F.filter(F.split(F.coalesce(x, F.lit("")), ""), lambda c: c != "") for x in (F.get(lines, F.lit(0)), answer))
     return F.when(F.size(a) + F.size(b) > 0, F.round(200 * lcs(a, b) / (F.size(a) + F.size(b))) / 100).otherwise(0.0)
 
@@ -93,16 +119,20 @@ def contains_answer(prediction: Column, answers: Column) -> Column:
 def score_prediction(df: DataFrame, key: list[str]) -> DataFrame:
     """df (dataset, prediction, answers, all_classes) with score: the best over answers; null for an unknown task.
 
-    Words are counted and joined for F1; the other scores are expressions of a row.
+    Words are counted and joined for F1; the other scores are expressions of a row. Null predictions are empty ones, null
+    or empty answers give 0; the shorter variant of a task (its name and `_e`) is scored like the task.
     """
-    cut = F.when(F.col("dataset").isin(*FIRST_LINE), F.get(F.split(F.ltrim(F.lit("\n"), "prediction"), "\n"), F.lit(0))).otherwise(F.col("prediction"))
-    metric = F.element_at(F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv]), F.col("dataset"))
-    rows = df.withColumn("text", F.coalesce(cut, F.lit(""))).withColumn("metric", metric)
-    each = rows.select(*key, "metric", "text", "all_classes", F.posexplode("answers").alias("nth", "answer"))
+    ship(df.sparkSession)
+    name = task(F.col("dataset"))
+    cut = F.when(name.isin(*FIRST_LINE), F.get(F.split(without_line_feeds(F.col("prediction")), "\n"), F.lit(0))).otherwise(F.col("prediction"))
+    metric = F.element_at(F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv]), name)
+    classes = F.coalesce("all_classes", F.when(name == "trec", F.array(*map(F.lit, TREC_CLASSES))))
+    rows = df.withColumns({"text": F.coalesce(cut, F.lit("")), "metric": metric, "classes": classes})
+    each = rows.select(*key, "metric", "text", "classes", F.posexplode("answers").alias("nth", "answer"))
     f1 = with_f1(each.filter("metric = 'f1'"), "text", "answer", [*key, "nth"], "s")
-    other = each.filter("metric <> 'f1'").withColumn("s", F.when(F.col("metric") == "rouge", rouge_l(F.col("text"), F.col("answer"))).when(F.col("metric") == "class", classification(F.col("text"), F.col("answer"), F.col("all_classes"))).when(F.col("metric") == "retrieval", retrieval(F.col("text"), F.col("answer"))).when(F.col("metric") == "count", numbers_equal(F.col("text"), F.col("answer"))).otherwise(code_similarity(F.col("text"), F.col("answer"))))
+    other = each.filter("metric <> 'f1'").withColumn("s", F.when(F.col("metric") == "rouge", rouge_l(F.col("text"), F.col("answer"))).when(F.col("metric") == "class", classification(F.col("text"), F.col("answer"), F.col("classes"))).when(F.col("metric") == "retrieval", retrieval(F.col("text"), F.col("answer"))).when(F.col("metric") == "count", numbers_equal(F.col("text"), F.col("answer"))).otherwise(code_similarity(F.col("text"), F.col("answer"))))
     best = f1.select(*key, "s").unionByName(other.select(*key, "s")).groupBy(*key).agg(F.max("s").alias("s"))
-    return rows.join(best, key, "left").withColumn("score", F.when(F.col("metric").isNotNull(), F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)))).drop("s", "text", "metric")
+    return rows.join(best, key, "left").withColumn("score", F.when(F.col("metric").isNotNull(), F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)))).drop("s", "text", "metric", "classes")
 
 
 def f1(prediction: Column, answer: Column) -> Column:
@@ -124,4 +154,5 @@ def needle_scores(df: DataFrame) -> DataFrame:
 
 def backfill(df: DataFrame, tasks: DataFrame, key: list[str]) -> DataFrame:
     """Stored rows with score and category put in, whatever they had; unknown tasks get nulls."""
-    return score_prediction(df.drop("score", "category"), key).join(tasks.select("dataset", "category"), "dataset", "left")
+    scored = score_prediction(df.drop("score", "category"), key).withColumn("_task", task(F.col("dataset")))
+    return scored.join(tasks.select(F.col("dataset").alias("_task"), "category"), "_task", "left").drop("_task")

@@ -50,16 +50,69 @@ def _classes(s, d):  # noqa: ANN001, ANN202
 
 _add("classification_score", lambda s, d: _classes(s, d).select("doc_id", S.classification(F.col("p"), F.col("answer"), F.col("c")).alias("score")),
      "SELECT doc_id, CASE WHEN contains(p, answer) THEN 1.0::DOUBLE / len(list_filter(['de', 'en', 'es', 'fr'], lambda c: contains(p, c) AND NOT (contains(answer, c) AND c <> answer))) ELSE 0 END AS score FROM (SELECT a.doc_id, a.lang || ' text' AS p, b.lang AS answer FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)")
-_add("rouge_l", lambda s, d: _pairs(s, d).select("conv_id", "turn", F.round(S.rouge_l(F.col("prediction"), F.col("asked")), 6).alias("rouge")))
-_add("code_similarity", lambda s, d: _pairs(s, d).select("conv_id", "turn", S.code_similarity(F.col("prediction"), F.col("asked")).alias("similarity")))
 
 
-def _predictions(s, d):  # noqa: ANN001, ANN202
-    names = F.array(*[F.lit(x) for x in ("hotpotqa", "passage_count", "unknown", "trec")])
-    return _pairs(s, d).select("conv_id", "turn", F.element_at(names, (F.col("conv_id") % 4 + 1).cast("int")).alias("dataset"), "prediction", F.array("asked", F.substring("prediction", 1, 40)).alias("answers"), F.array("asked").alias("all_classes"))
+def _lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two lists: the places of b's items in a, each item's from the last one on,
+    are taken into an ascending list, each in the place of the first that isn't smaller."""
+    smaller = "list_filter(s, lambda x: x < p[1])"
+    places = f"flatten(list_transform({b}, lambda y: list_transform(list_reverse(list_filter(range(1, len({a}) + 1), lambda i: {a}[i] = y)), lambda i: [i])))"
+    return f"len(list_reduce(list_prepend([]::BIGINT[], {places}), lambda s, p: list_concat({smaller}, p, s[len({smaller}) + 2:])))"
+
+
+_WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')"
+_ROUGE = f"CASE WHEN len(p) > 0 AND len(g) > 0 THEN 2.0 * {_lcs_sql('p', 'g')} / (len(p) + len(g)) ELSE 0 END"
+_LINE = r"coalesce(list_filter(string_split(ltrim({}, chr(10)), chr(10)), lambda x: NOT (contains(x, '`') OR contains(x, '#') OR contains(x, '//')))[1], '')"
+_LETTERS = "list_filter(string_split({}, ''), lambda x: x <> '')"
+_CODE = f"CASE WHEN len(p) + len(g) > 0 THEN round(200.0 * {_lcs_sql('p', 'g')} / (len(p) + len(g))) / 100 ELSE 0 END"
+_add("rouge_l", lambda s, d: _pairs(s, d).select("conv_id", "turn", F.round(S.rouge_l(F.col("prediction"), F.col("asked")), 6).alias("rouge")),
+     f"WITH {_PAIRS}, t AS (SELECT conv_id, turn, {_WORDS.format('prediction')} AS p, {_WORDS.format('asked')} AS g FROM pairs) SELECT conv_id, turn, round({_ROUGE}, 6) AS rouge FROM t")
+
 
+def _lined(s, d):  # noqa: ANN001, ANN202
+    """Predictions whose sentences are lines, every other one after line feeds, every third one with a comment first."""
+    n = F.col("conv_id") + F.col("turn")
+    text = F.regexp_replace("prediction", "[.] ", "\n")
+    return _pairs(s, d).withColumn("prediction", F.concat(F.when(n % 2 == 0, "\n\n").otherwise(""), F.when(n % 3 == 0, "# note\n").otherwise(""), text))
 
-_add("score_prediction", lambda s, d: S.score_prediction(_predictions(s, d), ["conv_id", "turn"]).select("conv_id", "turn", "dataset", F.round("score", 6).alias("score")))
+
+_LINED = f"""{_PAIRS}, lined AS (SELECT conv_id, turn, asked, CASE WHEN (conv_id + turn) % 2 = 0 THEN chr(10) || chr(10) ELSE '' END || CASE WHEN (conv_id + turn) % 3 = 0 THEN '# note' || chr(10) ELSE '' END || replace(prediction, '. ', chr(10)) AS prediction FROM pairs)"""
+_add("code_similarity", lambda s, d: _lined(s, d).select("conv_id", "turn", S.code_similarity(F.col("prediction"), F.col("asked")).alias("similarity")),
+     f"WITH {_LINED}, t AS (SELECT conv_id, turn, {_LETTERS.format(_LINE.format('prediction'))} AS p, {_LETTERS.format('asked')} AS g FROM lined) SELECT conv_id, turn, {_CODE} AS similarity FROM t")
+_TASK_NAMES = [*S.METRICS, "unknown", "lcc_e"]
+
+
+def _predictions(s, d):  # noqa: ANN001, ANN202
+    """A task for every pair: all there are, one that isn't known and one of a shorter variant."""
+    names = F.array(*[F.lit(x) for x in _TASK_NAMES])
+    dataset = F.element_at(names, ((F.col("conv_id") * 5 + F.col("turn")) % len(_TASK_NAMES) + 1).cast("int"))
+    number = (F.col("conv_id") % 3).cast("string")
+    paragraph = F.concat(F.lit("\nParagraph "), number, F.lit(" is "))
+    rows = _lined(s, d).withColumn("dataset", dataset).withColumn("prediction", F.when(dataset.startswith("passage"), F.concat(paragraph, "prediction")).otherwise(F.col("prediction")))
+    first = F.get(F.split(S.without_line_feeds(F.col("prediction")), "\n"), F.lit(0))
+    answers = F.when(dataset == "passage_count", F.array(number)).when(dataset.startswith("passage"), F.array(F.concat(F.lit("Paragraph "), number))).otherwise(F.array("asked", F.substring(first, 1, 40)))
+    return rows.select("conv_id", "turn", "dataset", "prediction", answers.alias("answers"), F.when(F.col("conv_id") % 2 == 0, F.array("asked", F.substring(first, 1, 40))).alias("all_classes"))
+
+
+_SCORE_SQL = f"""WITH {_LINED}, named AS (SELECT *, {_TASK_NAMES}[(conv_id * 5 + turn) % {len(_TASK_NAMES)} + 1] AS dataset FROM lined),
+    m(task, metric) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in S.METRICS.items())}),
+    raw AS (SELECT conv_id, turn, asked, dataset, regexp_replace(dataset, '_e$', '') AS task, CASE WHEN starts_with(dataset, 'passage') THEN chr(10) || 'Paragraph ' || conv_id % 3 || ' is ' ELSE '' END || prediction AS prediction FROM named),
+    firsts AS (SELECT *, string_split(ltrim(prediction, chr(10)), chr(10))[1] AS line FROM raw),
+    cut AS (SELECT conv_id, turn, metric, asked, dataset, line, CASE WHEN task IN {S.FIRST_LINE} THEN line ELSE prediction END AS text,
+        CASE WHEN dataset = 'passage_count' THEN [(conv_id % 3)::VARCHAR] WHEN starts_with(dataset, 'passage') THEN ['Paragraph ' || conv_id % 3] ELSE [asked, substr(line, 1, 40)] END AS answers,
+        CASE WHEN conv_id % 2 = 0 THEN [asked, substr(line, 1, 40)] WHEN task = 'trec' THEN {S.TREC_CLASSES} END AS classes FROM firsts LEFT JOIN m USING (task)),
+    each AS (SELECT * EXCLUDE (answers), unnest(answers) AS answer FROM cut),
+    f AS (SELECT conv_id, turn, {_TOK.format(_norm('text'))} AS p, {_TOK.format(_norm('answer'))} AS g FROM each WHERE metric = 'f1'),
+    r AS (SELECT conv_id, turn, {_WORDS.format('text')} AS p, {_WORDS.format('answer')} AS g FROM each WHERE metric = 'rouge'),
+    c AS (SELECT conv_id, turn, {_LETTERS.format(_LINE.format('text'))} AS p, {_LETTERS.format('answer')} AS g FROM each WHERE metric = 'code'),
+    n AS (SELECT conv_id, turn, regexp_extract_all(text, '[0-9]+') AS found, CASE WHEN metric = 'count' THEN answer ELSE regexp_extract(answer, 'Paragraph ([0-9]+)', 1) END AS wanted FROM each WHERE metric IN ('count', 'retrieval')),
+    k AS (SELECT conv_id, turn, answer, list_filter(classes, lambda x: contains(text, x) AND NOT (contains(answer, x) AND x <> answer)) AS named FROM each WHERE metric = 'class'),
+    s AS (SELECT conv_id, turn, coalesce(2.0 * list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))) / (len(p) + len(g)), 0) AS s FROM f
+        UNION ALL SELECT conv_id, turn, {_ROUGE} FROM r UNION ALL SELECT conv_id, turn, {_CODE} FROM c
+        UNION ALL SELECT conv_id, turn, CASE WHEN len(found) > 0 THEN len(list_filter(found, lambda x: x = wanted)) / len(found) ELSE 0 END FROM n
+        UNION ALL SELECT conv_id, turn, CASE WHEN list_contains(named, answer) THEN 1.0 / len(named) ELSE 0 END FROM k)
+    SELECT conv_id, turn, dataset, round(max(s)::DOUBLE, 6) AS score FROM cut LEFT JOIN s USING (conv_id, turn) GROUP BY 1, 2, 3"""
+_add("score_prediction", lambda s, d: S.score_prediction(_predictions(s, d), ["conv_id", "turn"]).select("conv_id", "turn", "dataset", F.round("score", 6).alias("score")), _SCORE_SQL)
 
 
 def _tasked(s, d):  # noqa: ANN001, ANN202
