@@ -43,9 +43,10 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, also not with other numbers, units or names."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return _columns(docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti"))
+    """Rows that hold no benchmark item, also not with other numbers, units or names; each row goes by its own text."""
+    rows = docs.withColumn("row_key", row_key())
+    found = contaminated(rows.select(F.col("row_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _columns(rows.join(found.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", "left_anti"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
