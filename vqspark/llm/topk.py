@@ -128,7 +128,7 @@ def _pivots(rows: DataFrame, d: int) -> np.ndarray:
     held = rows.select("id", "vec").orderBy(F.xxhash64("id"), "id", "vec").limit(SAMPLE).select("vec").toArrow()
     x = integers(held.column("vec").combine_chunks(), d).astype(np.float64) if held.num_rows else np.zeros((0, d))
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centers = x[: min(PIVOTS, len(x))].copy()
+    centers = x[:PIVOTS].copy() if len(x) else np.zeros((1, d))
     for _ in range(ROUNDS if len(x) else 0):
         at = (x @ centers.T).argmax(axis=1)
         sums = np.zeros_like(centers)
