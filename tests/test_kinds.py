@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vqspark import fixtures as X
 from vqspark.functions import constants as C
-from vqspark.operators import kinds, search, segments
+from vqspark.operators import attention, kinds, search, segments
 from vqspark.operators.codec import codec
 
 D = 64
@@ -223,7 +223,8 @@ def test_attention_scales_and_weights(few, plain):
             energy.append(((q @ rot.T) ** 2).mean(0) if seg[2] == "key" else np.ones(D))
         return np.array(w)[:, None], np.stack(energy)
 
-    def rotated(own, v, seg):
+    def rotated(own, v, seg, paired=False):
+        rot = C.rotation(D, 0 if paired or seg[2] == "key" else kinds.VALUE_SEED)
         y = v / np.linalg.norm(v, axis=1, keepdims=True) @ rot.T
         w, energy = weights(own, seg)
         gain = np.maximum((y - snap(y, low)) ** 2 - (y - snap(y, high)) ** 2, 0) * (v * v).sum(1, keepdims=True) * w * energy
@@ -231,6 +232,11 @@ def test_attention_scales_and_weights(few, plain):
         return hat * ((v * hat).sum(1) / (hat * hat).sum(1))[:, None]
 
     same(coded(few, "attention_rotated_outlier_mse", 2.5, True), by_segment(rows, rotated))
+    paired = by_segment(rows, lambda own, v, seg: rotated(own, v, seg, True))
+    plain_mse = by_segment(rows, lambda own, v, seg: halves(v, top(np.abs(v).mean(0), 32), lambda x: code(x, "mse", 2), lambda x: code(x, "mse", 3)))
+    error = lambda hats, seg: attention_error(plain, hats, seg)
+    same(coded(few, "attention_adaptive_paired_rotated_outlier_mse", 2.5, True), chosen(plain, [plain_mse, paired], error))
+    same(coded(few, "attention_adaptive_rotated_outlier_mse", 2.5, True), chosen(plain, [plain_mse, by_segment(rows, rotated)], error))
 
     def residual(own, v, seg):
         h, base = C.signed_hadamard(D, 3), code(v, "mse", 2)
@@ -270,6 +276,64 @@ def test_every_kind_codes_all_rows(few, plain, kind):
     assert set(made) == {r[0] for r in rows} and error < 0.35
 
 
+def test_fractional_widths_of_whole_space_kinds(few, plain):
+    """Sub-spaces are coded by the kind itself; banks choose one rotation for both; heads have masks of their own."""
+    rows, _ = plain
+    split = lambda low, high: by_segment(rows, lambda own, v, seg: halves(v, top(np.abs(v).mean(0), 32), low, high))
+    hats = lambda v, bits: np.stack([code(v, "mse", bits, seed=k) for k in range(4)])
+    best = lambda v, bits: (lambda h: h[((h - v) ** 2).sum(-1).argmin(0), np.arange(len(v))])(hats(v, bits))
+    same(coded(few, "rotation_bank_mse", 2.5), split(lambda v: best(v, 2), lambda v: best(v, 3)))
+    bank = [split(lambda v, k=k: code(v, "mse", 2, seed=k), lambda v, k=k: code(v, "mse", 3, seed=k)) for k in range(4)]
+    same(coded(few, "segment_rotation_bank_mse", 2.5), chosen(plain, bank, squared(rows)))
+    same(coded(few, "attention_rotation_bank_mse", 2.5, True), chosen(plain, bank, lambda h, seg: attention_error(plain, h, seg)))
+
+    def by_head(own, v, seg, work):
+        out, heads = np.empty_like(v), np.array([r[2] for r in own])
+        for h in np.unique(heads):
+            out[heads == h] = work(v[heads == h], int(h))
+        return out
+
+    heads = lambda x, h: halves(x, top(np.abs(x).mean(0), 32), lambda y: code(y, "mse", 2, seed=100 + h), lambda y: code(y, "mse", 3, seed=100 + h))
+    same(coded(few, "head_rotation_mse", 2.5), by_segment(rows, lambda own, v, seg: by_head(own, v, seg, heads)))
+    same(coded(few, "head_rotation_mse", 2), by_segment(rows, lambda own, v, seg: by_head(own, v, seg, lambda x, h: code(x, "mse", 2, seed=100 + h))))
+    center = lambda own, seg: (lambda x, h: x.mean(0) + halves(x - x.mean(0), masks[seg], lambda y: code(y, "mse", 2), lambda y: code(y, "mse", 3)))
+    masks = {seg: top(np.abs(np.stack([r[4] for r in rows if r[1] == seg])).mean(0), 32) for seg in {r[1] for r in rows}}
+    same(coded(few, "centered_mse", 2.5), by_segment(rows, lambda own, v, seg: by_head(own, v, seg, center(own, seg))))
+    mixed = coded(few, "head_hadamard_mse", 2.5)
+    places = {(r[1], r[3], r[2]): r for r in rows}
+    h, made = C.signed_hadamard(2, 0), {}
+    for seg in masks:
+        both = sorted({r[3] for r in rows if r[1] == seg and all((seg, r[3], k) in places for k in (0, 1))})
+        y = np.stack([h @ np.stack([places[seg, pos, k][4] for k in (0, 1)]) for pos in both]).reshape(-1, D)
+        assert 2 * len(both) == sum(r[1] == seg for r in rows)
+        back = halves(y, top(np.abs(y).mean(0), 32), lambda v: code(v, "mse", 2), lambda v: code(v, "mse", 3)).reshape(-1, 2, D)
+        for pos, pair in zip(both, back, strict=True):
+            made |= {places[seg, pos, k][0]: v for k, v in enumerate(h.T @ pair)}
+    same(mixed, made)
+
+
+@pytest.mark.parametrize("kind", ["rotation_bank_mse", "segment_rotation_bank_mse", "head_rotation_mse", "head_hadamard_mse", "centered_mse", "rms_rotation_mse", "prod", "uniform_token", "uniform_channel", "scheduled_rotation_mse", "attention_rotation_bank_mse", "attention_scale_mse", "rotated_outlier_mse"])
+def test_a_fractional_width_lies_between_whole_ones(few, plain, kind):
+    rows, _ = plain
+    low = 3 if kind == "uniform_token" else 2
+    error = lambda bits: sum(((r[4] - made[r[0]]) ** 2).sum() for made in [coded(few, kind, bits, kind.startswith("attention"), rotations={(0, "key"): 3})] for r in rows)
+    two, half, three = error(low), error(low + 0.5), error(low + 1)
+    # A scale for each sub-space, or codes without the queries' scale, can beat the next whole width.
+    assert half < two and (three < half or kind in ("uniform_token", "attention_scale_mse"))
+
+
+def test_softmax_has_no_window_and_holds_for_long_ranges_of_scores(spark):
+    scores = [(0, 0, q, 0, 0, pos, s) for q, row in enumerate([[-500.0, 400.0, 401.5], [0.0, 0.0, 0.0], [31.99, 32.0, 64.01], [-1e3, -1.0e3, -2e3]]) for pos, s in enumerate(row)]
+    df = spark.createDataFrame(scores, "seq_id long, layer long, q_head long, q_pos long, kv_head long, pos long, score double")
+    probs = attention.causal_probs(df)
+    assert "Window" not in probs._jdf.queryExecution().optimizedPlan().toString()
+    for q in range(4):
+        row = np.array([s[6] for s in scores if s[2] == q])
+        e = np.exp(row - row.max())
+        got = [r.p for r in probs.filter(f"q_head = {q}").orderBy("pos").collect()]
+        assert np.allclose(got, e / e.sum(), atol=1e-12)
+
+
 def test_protection_schedules_and_errors(few, plain):
     kv, _ = few
     rows, _ = plain
@@ -278,8 +342,11 @@ def test_protection_schedules_and_errors(few, plain):
     hats = code(np.stack([r[4] for r in rows]), "mse", 2)
     for r, hat in zip(rows, hats, strict=True):
         assert np.allclose(made[r[0]][1], r[4] if r[3] < 2 and r[1][2] == "key" else hat)
-    some = kinds.encode_scheduled(kv, [(0, "key", 2, "mse"), (1, "value", 3, "gain_mse")], setting()).select("layer", "side").distinct().collect()
-    assert {tuple(r) for r in some} == {(0, "key"), (1, "value")}
+    schedule = [(0, "key", 2, "mse"), (1, "value", 3, "gain_mse"), (0, "value", 2.5, "mse"), (1, "key", 2, "mse"), (9, "key", 2, "mse")]
+    assert kinds.encode_scheduled(kv, schedule, setting()).count() == kv.count()
+    for wrong in (schedule[1:], [*schedule, schedule[0]]):
+        with pytest.raises(ValueError):
+            kinds.encode_scheduled(kv, wrong, setting())
     with pytest.raises(ValueError):
         kinds.encode_kind(kv, "no_such_kind", 2, setting())
     assert kinds.encode_kind(kv.limit(0), "adaptive_outlier_hadamard_mse", 2, setting()).count() == 0

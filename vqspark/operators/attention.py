@@ -1,4 +1,4 @@
-"""Attention proxies as joins and windows: scores, probabilities, and the error that coding makes in them.
+"""Attention proxies as joins and sums: scores, probabilities, and the error that coding makes in them.
 
 The last t queries of a sequence meet all its keys by an equi-join on (seq, layer, head), so the result is linear in keys.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .codec import dot
@@ -24,12 +24,23 @@ def attention_scores(q: DataFrame, keys: DataFrame, column: str = "vec", scaling
     return q.join(k, HEAD).select(*QUERY, "kv_head", "pos", (dot("q", "k") * scaling).alias("score"))
 
 
+#: Scores are summed by steps of this size, so that a partial sum stays below e^STEP for each key.
+STEP = 32.0
+
+
 def causal_probs(scores: DataFrame, length: int = 8, t: int = 1) -> DataFrame:
-    """Softmax over the keys a query may see: all for one query, else those up to its own position."""
+    """Softmax over the keys a query may see: all for one query, else those up to its own position.
+
+    A query's keys are never in one task: exp(score - step) is summed by query and step of the score, which tasks add up
+    before the shuffle; the few steps of a query make one sum, which is joined back.
+    """
     seen = scores if t == 1 else scores.filter(F.col("pos") <= F.col("q_pos"))
-    w = Window.partitionBy(*QUERY)
-    e = seen.withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
-    return e.withColumn("p", F.col("e") / F.sum("e").over(w)).drop("e")
+    step = F.floor(F.col("score") / STEP)
+    sums = seen.groupBy(*QUERY, step.alias("step")).agg(F.sum(F.exp(F.col("score") - step * STEP)).alias("s"))
+    steps = sums.groupBy(*QUERY).agg(F.max("step").alias("top"), F.collect_list(F.struct("step", "s")).alias("steps"))
+    whole = F.aggregate("steps", F.lit(0.0), lambda a, x: a + x["s"] * F.exp((x["step"] - F.col("top")) * STEP))
+    norms = steps.select(*QUERY, "top", whole.alias("whole"))
+    return seen.join(norms, QUERY).withColumn("p", F.exp(F.col("score") - F.col("top") * STEP) / F.col("whole")).drop("top", "whole").select(*scores.columns, "p")
 
 
 def attention_probs(q: DataFrame, keys: DataFrame, t: int = 1, scaling: float = SCALING) -> DataFrame:

@@ -7,6 +7,7 @@ are independent, so results don't depend on partitions.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from ..session import ship
 
 SCALES = {
     "mse": "norm", "unit_mse": "unit", "lsq_unit_mse": "unit", "lsq_mse": "lsq", "gain_mse": "gain", "half_gain_mse": "half", "clipped_gain_mse": "clipped",
-    "selected_gain_mse": "selected", "dot_gain_mse": "dot", "hadamard_mse": "norm", "srht_mse": "norm", "head_rotation_mse": "norm", "calibrated_rotation_mse": "norm",
+    "selected_gain_mse": "selected", "dot_gain_mse": "dot", "hadamard_mse": "norm", "srht_mse": "norm",
 }
 EPS = float(np.finfo(np.float32).eps)
 
@@ -146,6 +147,46 @@ def map_vectors(df: DataFrame, column: str, outputs: str, work: Callable[[np.nda
     return df.mapInArrow(run, schema)
 
 
+Work = Callable[[np.ndarray, pa.RecordBatch], np.ndarray]
+
+
+@dataclass(frozen=True)
+class Coder:
+    """Decoded vectors from the vectors of a batch and its columns.
+
+    `metadata` holds tables of what the work reads beside the vectors, one row for each segment, with the columns that they
+    are joined on. Their other columns have names of their own (see `fresh`), so that coders can meet on the same rows.
+    """
+
+    work: Work
+    metadata: tuple[tuple[DataFrame, tuple[str, ...]], ...] = ()
+
+
+_numbers = itertools.count()
+
+
+def fresh(name: str) -> str:
+    return f"_{name}_{next(_numbers)}"
+
+
+def of_codec(m: Codec) -> Coder:
+    return Coder(lambda x, _: m.decode(*m.encode(x)))
+
+
+def with_metadata(df: DataFrame, *coders: Coder) -> DataFrame:
+    """df joined with the tables of all coders; a table that several share comes once."""
+    tables = {id(table): (table, keys) for c in coders for table, keys in c.metadata}
+    for table, keys in tables.values():
+        df = df.join(table, list(keys))
+    return df
+
+
+def apply(df: DataFrame, coder: Coder) -> DataFrame:
+    """df with vec_hat."""
+    work = coder.work
+    return map_vectors(with_metadata(df, coder), "vec", "vec_hat array<double>", lambda x, batch: {"vec_hat": lists(work(x, batch))}).select(*df.columns, "vec_hat")
+
+
 def encode(df: DataFrame, column: str, made: Codec) -> DataFrame:
     """df with codes and scale."""
     return map_vectors(df, column, "codes array<smallint>, scale double", lambda x, _: dict(zip(("codes", "scale"), (lambda c, s: (lists(c, pa.int16()), pa.array(s)))(*made.encode(x)), strict=True)))
@@ -200,20 +241,25 @@ def unpack(packed: DataFrame, bits: int, n: int) -> DataFrame:
     return packed.mapInArrow(run, schema)
 
 
+def prod_parts(x: np.ndarray, bits: int, seed: int = 0) -> tuple[np.ndarray, ...]:
+    """Codes, scale, signs, residual norm and decoded vectors of product codes."""
+    d = x.shape[1]
+    base, sketch = Codec(d, bits - 1, "norm", C.rotation(d, seed)), np.random.default_rng(seed + 17).standard_normal((d, d))
+    codes, scale = base.encode(x)
+    hat = base.decode(codes, scale)
+    rest = x - hat
+    signs = np.where(rest @ sketch.T >= 0, 1.0, -1.0)
+    size = np.linalg.norm(rest, axis=1)
+    return codes, scale, signs, size, hat + np.sqrt(np.pi / 2) / d * size[:, None] * (signs @ sketch)
+
+
 def prod_encode(df: DataFrame, column: str, bits: int, seed: int = 0) -> DataFrame:
     """Codes of one bit less, signs of a Gaussian sketch of the residual, and its norm: unbiased inner products."""
     if bits < 2:
         raise ValueError("product codes need two bits")
-    d_of = lambda x: x.shape[1]
 
     def work(x: np.ndarray, _: pa.RecordBatch) -> dict[str, pa.Array]:
-        base = Codec(d_of(x), bits - 1, "norm", C.rotation(d_of(x), seed))
-        sketch = np.random.default_rng(seed + 17).standard_normal((d_of(x), d_of(x)))
-        codes, scale = base.encode(x)
-        rest = x - base.decode(codes, scale)
-        signs = np.where(rest @ sketch.T >= 0, 1.0, -1.0)
-        size = np.linalg.norm(rest, axis=1)
-        hat = base.decode(codes, scale) + np.sqrt(np.pi / 2) / d_of(x) * size[:, None] * (signs @ sketch)
+        codes, scale, signs, size, hat = prod_parts(x, bits, seed)
         return {"codes": lists(codes, pa.int16()), "scale": pa.array(scale), "signs": lists(signs.astype(np.int8), pa.int8()), "resid_norm": pa.array(size), "vec_hat": lists(hat)}
 
     return map_vectors(df, column, "codes array<smallint>, scale double, signs array<tinyint>, resid_norm double, vec_hat array<double>", work)

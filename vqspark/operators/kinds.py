@@ -1,28 +1,32 @@
 """Every kind by name: from rows with `vec` to rows with `vec_hat`, for whole, fractional and raw widths.
 
-A kind is a composition of the operators of this package. Kinds that choose between codings do so by segment: candidates
-are summed to one error for each segment, the least wins (the first on ties), and the choice is joined back. The error is
-the mean squared one or, where queries are given, that of attention.
+A kind is a coder (see `codec.Coder`) put together from those of this package: at a fractional width two of them, one for
+each sub-space of channels. Kinds that choose between codings do so by segment: one pass over the rows codes all candidates
+and leaves their errors, which are summed to one choice for each segment (the first on ties); a second pass codes each row
+the way of its segment. The error is the mean squared one or, where queries are given, that of attention.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from . import attention as A
 from . import segments as S
-from .codec import EPS, SCALES, Codec, codec, fit_blocks, lists, map_vectors, matrix
+from .codec import EPS, SCALES, Codec, Coder, apply, codec, fit_blocks, fresh, lists, map_vectors, matrix, of_codec, prod_parts, with_metadata
 
 #: Widths from which rows stay as they are.
 RAW_BITS = 16
+#: Rotations of a bank, and the first one of values where sides don't share theirs.
+BANK, VALUE_SEED = 4, 500
 GAINED = {"regular_gain_mse": "gain_mse", "regular_half_gain_mse": "half_gain_mse", "regular_selected_gain_mse": "selected_gain_mse", "regular_clipped_gain_mse": "clipped_gain_mse"}
 LEARNED = ("learned_mse_block2", "learned_unit_mse_block2")
 
@@ -53,73 +57,126 @@ class Setting:
 
 
 def _roundtrip(df: DataFrame, m: Codec) -> DataFrame:
-    return map_vectors(df, "vec", "vec_hat array<double>", lambda x, _: {"vec_hat": lists(m.decode(*m.encode(x)))})
+    return apply(df, of_codec(m))
 
 
-def plain(df: DataFrame, kind: str, bits: int, d: int) -> DataFrame:
-    """A kind that looks at rows alone, at a whole width; learned blocks are fitted on the rows."""
-    blocks = fit_blocks(df, "vec", bits) if kind in LEARNED else None
-    return _roundtrip(df, codec(kind, d, bits, blocks=blocks))
+def by_layer(df: DataFrame, bits: int, d: int, transforms: dict[tuple, np.ndarray], rotations: dict[tuple, int]) -> DataFrame:
+    return apply(df, layer_coder(bits, d, transforms, rotations))
 
 
-def by_layer(df: DataFrame, bits: int, d: int, transforms: dict[tuple, np.ndarray], rotations: dict[tuple, int]) -> DataFrame:
+def layer_coder(bits: int, d: int, transforms: dict[tuple, np.ndarray], rotations: dict[tuple, int]) -> Coder:
     """Rows coded under the transform of their layer and side; without one, under the usual rotation."""
     made = {k: codec("custom", d, bits, transform=m, inverse=m.T) for k, m in transforms.items()}
     made |= {k: codec("mse", d, bits, seed) for k, seed in rotations.items()}
     usual = codec("mse", d, bits)
 
-    def work(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    def work(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
         out = np.empty_like(x)
         for key, rows in _row_groups(batch, ["layer", "side"]):
             m = made.get(key, usual)
             out[rows] = m.decode(*m.encode(x[rows]))
-        return {"vec_hat": lists(out)}
+        return out
+
+    return Coder(work)
+
+
+def _row_groups(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Values of the columns and the rows that have them."""
+    first, at = S.group_rows(batch, columns)
+    for group, row in enumerate(first):
+        yield tuple(batch.column(c)[int(row)].as_py() for c in columns), np.flatnonzero(at == group)
+
+
+def halves(masks: tuple[DataFrame, tuple[str, ...], str], regular: Coder, outlier: Coder) -> Coder:
+    """Channels in and out of a segment's mask through a coder each. `masks`: a table, its keys and its column of masks."""
+    table, keys, name = masks
+    low, high = regular.work, outlier.work
+
+    def work(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        on, out = matrix(batch.column(name)) > 0, np.empty_like(x)
+        for part, code in ((~on, low), (on, high)):
+            out[part] = code(x[part].reshape(len(x), -1), batch).reshape(-1)
+        return out
+
+    return Coder(work, ((table, keys), *regular.metadata, *outlier.metadata))
 
-    return map_vectors(df, "vec", "vec_hat array<double>", work)
 
+def sub_space(df: DataFrame, masks: tuple[DataFrame, tuple[str, ...], str], outlier: bool) -> DataFrame:
+    """df with the channels in (or out of) the mask as vec: what statistics of a sub-space are made from."""
+    table, keys, name = masks
 
-def _row_groups(batch: pa.RecordBatch, columns: list[str]):  # noqa: ANN202
-    labels = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
-    for label in sorted(set(labels), key=repr):
-        yield label, np.array([i for i, x in enumerate(labels) if x == label])
+    def cut(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {"part": lists(x[(matrix(batch.column(name)) > 0) == outlier].reshape(len(x), -1))}
+
+    return map_vectors(df.join(table, list(keys)), "vec", "part array<double>", cut).drop("vec", name).withColumnRenamed("part", "vec")
 
 
-def segment_errors(coded: DataFrame, at: Setting, exact: DataFrame | None = None) -> DataFrame:
-    """keys and error of each segment: mean squared, or that of attention where the setting has queries.
+def _with_queries(df: DataFrame, at: Setting) -> DataFrame:
+    """df with `met`: the probability and the vector of every query that sees the row's position in its head.
 
-    Keys: mean of p (s - s')^2 over queries and keys. Values: mean over tokens of mean p^2 times the squared error, with
-    probabilities from the key rows of `exact` (or of `coded` itself). Segments that no query meets aren't in the result.
+    A position meets the t last queries of its head's group: a handful.
     """
-    keys = list(at.keys)
-    if at.q is None:
-        return coded.groupBy(*keys).agg(F.avg(S.squared_error()).alias("error"))
-    rest = [k for k in keys if k not in A.HEAD and k != "side"]
-    own = coded.filter("side = 'key'").withColumnRenamed("head", "kv_head").select(*A.HEAD, "pos", *rest, "vec", "vec_hat")
-    pairs = at.q.join(own, A.HEAD).select(*A.QUERY, "kv_head", "pos", *rest, (A.dot("q", "vec") * A.SCALING).alias("score"), (A.dot("q", "vec_hat") * A.SCALING).alias("other"))
-    probs = A.causal_probs(pairs, t=at.t)
-    group = [k for k in keys if k != "side"]
-    key_side = probs.groupBy(*group).agg(F.avg(F.col("p") * (F.col("score") - F.col("other")) ** 2).alias("error")).withColumn("side", F.lit("key"))
-    k = coded if exact is None else exact
-    weights = A.token_weights(at.q, k.filter("side = 'key'"), squared=True, t=at.t)
-    v = coded.filter("side = 'value'").join(weights, ["seq_id", "layer", "head", "pos"])
-    value_side = v.groupBy(*keys).agg(F.avg(F.col("weight") * S.squared_error()).alias("error"))
-    return key_side.select(*keys, "error").unionByName(value_side.select(*keys, "error"))
-
-
-def pick(candidates: dict[str, DataFrame], at: Setting, exact: DataFrame | None = None) -> DataFrame:
-    """The rows of the candidate that codes their segment best, with `kind`; segments without queries go by squared error."""
-    keys, names = list(at.keys), list(candidates)
-    errors = []
-    for i, name in enumerate(names):
-        own = segment_errors(candidates[name], at, exact)
-        if at.q is not None:
-            spare = segment_errors(candidates[name], replace(at, q=None)).withColumnRenamed("error", "spare")
-            own = spare.join(own, keys, "left").select(*keys, F.struct(F.col("error").isNull(), F.coalesce("error", "spare")).alias("error"))
-        errors.append(own.select(*keys, F.struct("error", F.lit(i).alias("i")).alias("e")))
-    best = reduce(DataFrame.unionByName, errors).groupBy(*keys).agg(F.min("e")["i"].alias("i"))
-    chosen = best.select(*keys, F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("kind"))
-    columns = [c for c in candidates[names[0]].columns if all(c in df.columns for df in candidates.values())]
-    return reduce(DataFrame.unionByName, [df.select(*columns).join(chosen.filter(F.col("kind") == n), keys) for n, df in candidates.items()])
+    place = ["seq_id", "layer", "head", "pos"]
+    probs = A.attention_probs(at.q, df.filter("side = 'key'"), at.t)
+    seen = probs.select(*A.QUERY, "kv_head", "pos", "p").join(at.q.select(*A.QUERY, "kv_head", "q"), [*A.QUERY, "kv_head"])
+    met = seen.withColumnRenamed("kv_head", "head").groupBy(*place).agg(F.collect_list(F.struct("p", "q")).alias("met"))
+    return df.join(met, place, "left")
+
+
+def candidate_errors(df: DataFrame, coders: dict[str, Coder], at: Setting) -> DataFrame:
+    """keys and, for each candidate in order, `error` (an array) and `spare`: one pass over the rows codes them all.
+
+    error: mean of p (s - s')^2 over queries and key positions, or mean over value positions of the mean squared
+    probability times the squared error; null without queries, and for segments that none meets. spare: squared error.
+    """
+    keys, works, by_query = list(at.keys), [c.work for c in coders.values()], at.q is not None
+    rows = with_metadata(_with_queries(df, at) if by_query else df, *coders.values())
+
+    def work(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        gaps = [code(x, batch) - x for code in works]
+        plain = np.stack([(g * g).sum(1) for g in gaps], axis=1)
+        if not by_query:
+            return {"error": lists(np.zeros_like(plain)), "n": pa.array(np.zeros(len(x), dtype=np.int64)), "spare": lists(plain)}
+        met = batch.column("met")
+        row = np.repeat(np.arange(len(x)), pa.compute.fill_null(pa.compute.list_value_length(met), 0).to_numpy(zero_copy_only=False))
+        held = met.flatten()
+        p, q = held.field("p").to_numpy(zero_copy_only=False), matrix(held.field("q")) if len(row) else np.zeros((0, x.shape[1]))
+        count, key = np.bincount(row, minlength=len(x)), np.array(batch.column("side").to_pylist()) == "key"
+        weight = np.bincount(row, p * p, len(x)) / np.maximum(count, 1)
+        scored = np.stack([np.bincount(row, p * ((q * g[row]).sum(1) * A.SCALING) ** 2, len(x)) for g in gaps], axis=1)
+        error = np.where(key[:, None], scored, weight[:, None] * plain)
+        return {"error": lists(error), "n": pa.array(np.where(key, count, count > 0).astype(np.int64)), "spare": lists(plain)}
+
+    made = map_vectors(rows, "vec", "error array<double>, n bigint, spare array<double>", work)
+    sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}_{i}") for c in ("error", "spare") for i in range(len(works))]
+    total = made.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("spare").alias("rows"), *sums)
+    mean = lambda c, n: F.array(*[F.col(f"{c}_{i}") / F.col(n) for i in range(len(works))])
+    return total.select(*keys, F.when(F.col("n") > 0, mean("error", "n")).alias("error"), mean("spare", "rows").alias("spare"))
+
+
+def choices(df: DataFrame, coders: dict[str, Coder], at: Setting) -> DataFrame:
+    """keys and `choice`: the number of the candidate that codes the segment best; without queries, by squared error."""
+    errors = candidate_errors(df, coders, at).withColumn("by", F.coalesce("error", "spare"))
+    return errors.select(*at.keys, (F.array_position("by", F.array_min("by")) - 1).cast("int").alias("choice"))
+
+
+def chosen(coders: dict[str, Coder], table: DataFrame, keys: tuple[str, ...], name: str = "choice") -> Coder:
+    """Every row coded once, by the coder whose number its segment has in the table; nulls take the first."""
+    works, column = [c.work for c in coders.values()], fresh(name)
+
+    def work(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        number, out = pa.compute.fill_null(batch.column(column), 0).to_numpy(zero_copy_only=False), np.empty_like(x)
+        for k in np.unique(number):
+            rows = np.flatnonzero(number == k)
+            out[rows] = works[k](x[rows], batch.take(pa.array(rows)))
+        return out
+
+    return Coder(work, ((table.withColumnRenamed(name, column), keys), *(m for c in coders.values() for m in c.metadata)))
+
+
+def pick(df: DataFrame, coders: dict[str, Coder], at: Setting) -> Coder:
+    """The coder of the least error of each segment: one pass before the choice, one after."""
+    return chosen(coders, choices(df, coders, at), at.keys)
 
 
 def channel_masks(df: DataFrame, bits: float, at: Setting) -> DataFrame:
@@ -167,51 +224,6 @@ def attention_weighted(df: DataFrame, at: Setting, turn: np.ndarray | None = Non
     return out.withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "energy": F.coalesce("energy", ones)})
 
 
-def fractional(df: DataFrame, bits: float, kinds: tuple[str, str], at: Setting, whole: str | None = None) -> DataFrame:
-    """Two sub-spaces of channels with a kind each; a whole width is one space under `whole` (the outliers' kind)."""
-    low, high, n = C.resolve_bits(bits, at.d, at.allocation)
-    if n == 0:
-        return plain(df, whole or kinds[1], low, at.d)
-    masks = channel_masks(df, bits, at)
-    if not any(k in LEARNED for k in kinds):
-        return S.encode_split(df, masks, bits, kinds, list(at.keys), policy=at.allocation).drop("mask")
-    sizes = (at.d - n, n)
-    return on_channels(df, masks, lambda rows: plain(rows, kinds[0], low, sizes[0]), lambda rows: plain(rows, kinds[1], high, sizes[1]), at)
-
-
-def on_channels(df: DataFrame, masks: DataFrame, regular: Callable[[DataFrame], DataFrame], outlier: Callable[[DataFrame], DataFrame], at: Setting) -> DataFrame:
-    """Regular and outlier channels through an operator each (from `vec` to `vec_hat`, by rows that keep their columns)."""
-
-    def cut(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        on = matrix(batch.column("mask")) > 0
-        return {"lo": lists(x[~on].reshape(len(x), -1)), "hi": lists(x[on].reshape(len(x), -1))}
-
-    def merge(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        on, out = matrix(batch.column("mask")) > 0, np.empty_like(x)
-        out[~on], out[on] = matrix(batch.column("lo_hat")).reshape(-1), matrix(batch.column("hi_hat")).reshape(-1)
-        return {"vec_hat": lists(out)}
-
-    columns = df.columns
-    rows = map_vectors(df.join(masks, list(at.keys)), "vec", "lo array<double>, hi array<double>", cut).withColumnRenamed("vec", "whole")
-    for part, work in (("lo", regular), ("hi", outlier)):
-        held = rows.columns
-        rows = work(rows.withColumnRenamed(part, "vec")).withColumnsRenamed({"vec": part, "vec_hat": f"{part}_hat"}).select(*held, f"{part}_hat")
-    rows = map_vectors(rows, "whole", "vec_hat array<double>", merge).drop("lo", "hi", "lo_hat", "hi_hat", "mask")
-    return rows.withColumnRenamed("whole", "vec").select(*columns, "vec_hat")
-
-
-def _flat(df: DataFrame, bits: int, at: Setting, mode: str = "always", margin: float = 1.0) -> DataFrame:
-    return S.outlier_hadamard(df, bits, mode, margin, list(at.keys), at.block).select(*df.columns, "vec_hat")
-
-
-def flattened(df: DataFrame, bits: float, at: Setting, mode: str = "always", margin: float = 1.0) -> DataFrame:
-    """Outlier-Hadamard codes; at a fractional width in both sub-spaces."""
-    low, high, n = C.resolve_bits(bits, at.d, at.allocation)
-    if n == 0:
-        return _flat(df, low, at, mode, margin)
-    return on_channels(df, channel_masks(df, bits, at), lambda r: _flat(r, low, at, mode, margin), lambda r: _flat(r, high, at, mode, margin), at)
-
-
 def attention_scaled(df: DataFrame, bits: int, d: int, at: Setting, masks: DataFrame | None = None) -> DataFrame:
     """Keys decoded with the factor that fits their scores best; values, and keys that no query meets, as plain codes.
 
@@ -231,47 +243,146 @@ def attention_scaled(df: DataFrame, bits: int, d: int, at: Setting, masks: DataF
     return out.withColumn("vec_hat", scaled).select(*df.columns, "vec_hat")
 
 
-def weighted_residual(df: DataFrame, bits: float, at: Setting) -> DataFrame:
+def weighted_residual(df: DataFrame, bits: float, at: Setting) -> Coder:
     """Hadamard residuals whose coefficients, for keys, are chosen by the sum of p |q| |r| in that basis; else by size."""
     if at.q is None:
-        return S.hadamard_residual(df, bits, list(at.keys), at.d).drop("mask")
+        return S.residual_coder(df, bits, list(at.keys), at.d)
     h = C.signed_hadamard(at.d, 3)
-    keys = df.filter("side = 'key'")
-    turned = map_vectors(at.q, "q", "y array<double>", lambda x, _: {"y": lists(np.abs(x @ h.T))})
-    p = A.attention_probs(at.q, keys, at.t)
-    # A key's queries are t positions of its head's group: a handful.
-    met = p.select(*A.QUERY, "kv_head", "pos", "p").join(turned.select(*A.QUERY, "kv_head", "y"), [*A.QUERY, "kv_head"])
-    added = lambda a, x: F.zip_with(a, x["y"], lambda u, v: u + v * x["p"])
-    weights = met.groupBy(*A.HEAD, "pos").agg(F.aggregate(F.collect_list(F.struct("y", "p")), F.array_repeat(F.lit(0.0), at.d), added).alias("weights"))
-    weights = weights.select("seq_id", "layer", F.col("kv_head").alias("head"), "pos", F.lit("key").alias("side"), "weights")
-    rows = df.join(weights, ["seq_id", "layer", "head", "pos", "side"], "left").withColumn("weights", F.coalesce("weights", F.array_repeat(F.lit(1.0), at.d)))
-    return S.hadamard_residual(rows, bits, list(at.keys), at.d, weights="weights").select(*df.columns, "vec_hat")
-
-
-def rotated(df: DataFrame, bits: float, at: Setting, **options) -> DataFrame:  # noqa: ANN003
-    """High widths for rotated coordinates; a whole width is plain."""
-    low, _, n = C.resolve_bits(bits, at.d)
-    if n == 0:
-        return by_layer(df, low, at.d, options.get("transforms") or {}, {})
-    return S.rotated_outliers(df, bits, list(at.keys), d=at.d, **options).select(*df.columns, "vec_hat")
+
+    def weights(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        met, out = batch.column("met"), np.ones_like(x)
+        size = pa.compute.fill_null(pa.compute.list_value_length(met), 0).to_numpy(zero_copy_only=False)
+        held, row = met.flatten(), np.repeat(np.arange(len(x)), size)
+        if len(row):
+            sums = np.zeros_like(x)
+            np.add.at(sums, row, held.field("p").to_numpy(zero_copy_only=False)[:, None] * np.abs(matrix(held.field("q")) @ h.T))
+            key = (np.array(batch.column("side").to_pylist()) == "key") & (size > 0)
+            out[key] = sums[key]
+        return {"weights": lists(out)}
+
+    rows = map_vectors(_with_queries(df, at), "vec", "weights array<double>", weights)
+    return S.residual_coder(rows, bits, list(at.keys), at.d, weights="weights")
+
+
+#: Kinds of the regular channels, of the outliers and of all channels, where these aren't the same.
+PARTS = {kind: (gained, "mse", "mse") for kind, gained in GAINED.items()} | {
+    "regular_outlier_hadamard_mse": ("outlier_hadamard_mse", "mse", "mse"), "outlier_only_hadamard_mse": ("mse", "outlier_hadamard_mse", "mse"),
+    "rms_regular_gain_mse": ("rms_gain_mse", "rms_rotation_mse", "rms_rotation_mse"), "calibrated_rotation_mse": ("mse", "mse", "calibrated_rotation_mse"),
+    "regular_attention_scale_mse": ("attention_scale_mse", "mse", "attention_scale_mse"),
+}
+#: Kinds that choose by segment: their candidates, and whether attention decides.
+CHOICES = {
+    "auto_mse": (("mse", "unit_mse", "selected_gain_mse", "learned_unit_mse_block2"), False), "attention_auto_mse": (("mse", "gain_mse", "unit_mse", "learned_unit_mse_block2"), True),
+    "adaptive_regular_gain_mse": (("mse", "regular_gain_mse"), False), "attention_adaptive_regular_gain_mse": (("mse", "regular_gain_mse"), True),
+    "adaptive_outlier_hadamard_mse": (("mse", "outlier_hadamard_mse"), False), "attention_outlier_hadamard_mse": (("mse", "outlier_hadamard_mse"), True),
+    "attention_adaptive_outlier_hadamard_mse": (("mse", "outlier_hadamard_mse"), True), "attention_hadamard_residual_mse": (("mse", "hadamard_residual_mse"), True),
+    "attention_adaptive_rotated_outlier_mse": (("mse", "attention_rotated_outlier_mse"), True),
+    "attention_adaptive_paired_rotated_outlier_mse": (("mse", "attention_paired_rotated_outlier_mse"), True),
+    "segment_rotation_bank_mse": (tuple(f"rotation_{k}" for k in range(BANK)), False), "attention_rotation_bank_mse": (tuple(f"rotation_{k}" for k in range(BANK)), True),
+}
+#: Kinds that entropy routes: the kind of low entropy and the sides that are routed.
+GUARDED = {"entropy_guarded_outlier_hadamard_mse": ("outlier_hadamard_mse", ("value",)), "entropy_guarded_paired_rotated_outlier_mse": ("paired_rotated_outlier_mse", ("key", "value"))}
+ROTATED = ("rotated_outlier_mse", "paired_rotated_outlier_mse", "shared_rotated_outlier_mse", "calibrated_rotated_outlier_mse", "attention_rotated_outlier_mse", "attention_paired_rotated_outlier_mse")
+
+
+def _kind_at(kind: str, bits: int) -> str:
+    """What a kind that goes by the width of its sub-space stands for."""
+    if kind in ("distortion_regime_mse", "gain_unit_regime_mse"):
+        return "gain_mse" if bits <= 2 else "learned_unit_mse_block2" if kind.startswith("distortion") else "unit_mse"
+    return kind
+
+
+def whole_coder(df: DataFrame, kind: str, bits: int, d: int, at: Setting) -> Coder:
+    """A kind at a whole width, on all channels of df or on those of a sub-space."""
+    kind, keys = _kind_at(kind, bits), list(at.keys)
+    if d == 1:
+        return Coder(lambda x, _: x)  # a single channel stays as it is
+    if kind in LEARNED:
+        return of_codec(codec(kind, d, bits, blocks=fit_blocks(df, "vec", bits)))
+    if kind in SCALES or kind == "mse_block2" or kind.startswith("lowbit_"):
+        return of_codec(codec(kind, d, bits))
+    if kind.startswith("rotation_") and kind.removeprefix("rotation_").isdigit():
+        return of_codec(codec("mse", d, bits, int(kind.removeprefix("rotation_"))))
+    made: dict[str, Callable[[], Coder]] = {
+        "outlier_hadamard_mse": lambda: S.hadamard_coder(df, bits, keys, at.block),
+        "vector_adaptive_outlier_hadamard_mse": lambda: S.hadamard_coder(df, bits, keys, at.block, 1.0),
+        "margin_vector_outlier_hadamard_mse": lambda: S.hadamard_coder(df, bits, keys, at.block, at.margin),
+        "rotation_bank_mse": lambda: S.bank_coder(bits, BANK),
+        "head_rotation_mse": lambda: S.head_coder(bits),
+        "centered_mse": lambda: S.centered_coder(df, bits, keys),
+        "rms_rotation_mse": lambda: S.rms_coder(df, bits, keys),
+        "rms_gain_mse": lambda: S.rms_coder(df, bits, keys, "gain_mse"),
+        "scheduled_rotation_mse": lambda: layer_coder(bits, d, {}, at.rotations),
+        "calibrated_rotation_mse": lambda: layer_coder(bits, d, at.transforms, {}),
+        "uniform_token": lambda: S.uniform_coder(df, bits, "token", keys),
+        "uniform_channel": lambda: S.uniform_coder(df, bits, "channel", keys),
+        "prod": lambda: Coder(lambda x, _: prod_parts(x, bits)[-1]),
+    }
+    if kind not in made:
+        raise ValueError(f"unknown kind {kind}")
+    if kind == "prod" and bits < 2:
+        raise ValueError("product codes need two bits")
+    return made[kind]()
 
 
-def _attention_rotated(df: DataFrame, bits: float, at: Setting) -> DataFrame:
-    if at.q is None or C.resolve_bits(bits, at.d)[2] == 0:
-        return rotated(df, bits, at)
-    return rotated(attention_weighted(df, at, C.rotation(at.d, 0)), bits, at, weighted=True).select(*df.columns, "vec_hat")
+def coder(df: DataFrame, kind: str, bits: float, at: Setting, held: dict | None = None) -> Coder:
+    """The coder of a kind for the rows of df. `held` keeps masks, so that candidates of one choice share them."""
+    held = {} if held is None else held
+    low, high, n = C.resolve_bits(bits, at.d, at.allocation)
+    if kind == "bitwidth_attention_outlier_hadamard_mse":
+        kind = "outlier_hadamard_mse" if low <= 2 else "attention_outlier_hadamard_mse"
+    if kind == "rate_regime_mse":
+        kind = "gain_mse" if bits < 3 else "learned_unit_mse_block2"
+    if kind == "attention_rotation_bank_mse" and at.q is None:
+        kind = "rotation_bank_mse"
+    if n == 0 and kind in ("hadamard_residual_mse", "attention_hadamard_residual_mse", "attention_weighted_hadamard_residual_mse", "shared_rotated_outlier_mse"):
+        kind = "mse"
+    if kind in CHOICES:
+        names, by_attention = CHOICES[kind]
+        return pick(df, {k: coder(df, k, bits, at, held) for k in names}, at if by_attention else replace(at, q=None))
+    if kind in GUARDED:
+        name, sides = GUARDED[kind]
+        return coder(df, "mse", bits, at, held) if at.q is None else entropy_route(df, at, coder(df, name, bits, at, held), coder(df, "mse", bits, at, held), sides)
+    if kind in ROTATED:
+        return _rotated(df, kind, bits, at)
+    if kind == "hadamard_residual_mse":
+        return S.residual_coder(df, bits, list(at.keys), at.d)
+    if kind == "attention_weighted_hadamard_residual_mse":
+        return weighted_residual(df, bits, at)
+    parts = PARTS.get(kind, (kind, kind, kind))
+    if n == 0:
+        return whole_coder(df, parts[2], low, at.d, at)
+    own = replace(at, keys=(*at.keys, "head")) if kind == "head_rotation_mse" else at  # each head has its own outliers
+    key = (bits, own.keys)
+    if key not in held:
+        table = channel_masks(df, bits, own)
+        name = fresh("mask")
+        held[key] = (table.withColumnRenamed("mask", name), tuple(c for c in table.columns if c != "mask"), name)
+    masks = held[key]
+    return halves(masks, whole_coder(sub_space(df, masks, False), parts[0], low, at.d - n, own), whole_coder(sub_space(df, masks, True), parts[1], high, n, own))
+
+
+def _rotated(df: DataFrame, kind: str, bits: float, at: Setting) -> Coder:
+    """High widths for rotated coordinates; a whole width is plain. Sides have a rotation each unless they are paired."""
+    low, _, n = C.resolve_bits(bits, at.d)
+    keys = list(at.keys)
+    if kind == "calibrated_rotated_outlier_mse":
+        return S.rotated_coder(df, bits, keys, d=at.d, transforms=at.transforms) if n else layer_coder(low, at.d, at.transforms, {})
+    if n == 0:
+        return of_codec(codec("mse", at.d, low))
+    own = {} if "paired" in kind or "shared" in kind else {"value": C.rotation(at.d, VALUE_SEED)}
+    if kind.startswith("attention") and at.q is not None:
+        return S.rotated_coder(attention_weighted(df, at, C.rotation(at.d, 0)), bits, keys, d=at.d, transforms=own, weighted=True)
+    return S.rotated_coder(df, bits, keys, d=at.d, transforms=own, shared="shared" in kind)
 
 
-def entropy_route(df: DataFrame, at: Setting, low: DataFrame, high: DataFrame, sides: tuple[str, ...]) -> DataFrame:
+def entropy_route(df: DataFrame, at: Setting, low: Coder, high: Coder, sides: tuple[str, ...]) -> Coder:
     """`low` for segments (of these sides) whose attention entropy ratio is at most the limit, `high` for all others."""
-    seq = ["seq_id", "layer"]
-    if at.q is None:
-        return high
-    ratios = A.entropy_ratio(A.attention_probs(at.q, df.filter("side = 'key'"), at.t), seq)
-    good = ratios.filter(F.col("entropy_ratio") <= at.entropy_limit).select(*seq)
-    some = low.filter(F.col("side").isin(*sides)).join(good, seq, "left_semi")
-    rest = high.filter(~F.col("side").isin(*sides)).unionByName(high.filter(F.col("side").isin(*sides)).join(good, seq, "left_anti"))
-    return some.unionByName(rest)
+    ratios = A.entropy_ratio(A.attention_probs(at.q, df.filter("side = 'key'"), at.t), ["seq_id", "layer"])
+    every = F.explode(F.array(*map(F.lit, sides))).alias("side")
+    good = ratios.filter(F.col("entropy_ratio") <= at.entropy_limit).select("seq_id", "layer", F.lit(1).alias("choice"), every)
+    segments = df.select("seq_id", "layer", "side").distinct().join(good, ["seq_id", "layer", "side"], "left")
+    return chosen({"high": high, "low": low}, segments, ("seq_id", "layer", "side"))
 
 
 def _split_by(df: DataFrame, condition, one: Callable[[DataFrame], DataFrame], other: Callable[[DataFrame], DataFrame]) -> DataFrame:  # noqa: ANN001
@@ -282,99 +393,49 @@ def _split_by(df: DataFrame, condition, one: Callable[[DataFrame], DataFrame], o
 def encode_kind(df: DataFrame, kind: str, bits: float, at: Setting | None = None) -> DataFrame:
     """df with vec_hat under any kind of the catalogue; df has seq_id, layer, side, segment_id, head, pos and vec.
 
-    Widths of RAW_BITS and more keep rows as they are. Attention kinds without queries choose by squared error. An unknown
-    kind, or a width that a kind can't have, is an error before any job. An empty table gives an empty one.
+    Widths of RAW_BITS and more keep rows as they are. At a fractional width, channels are split and each sub-space is coded
+    by the kind at its own whole width; kinds that choose do so for both sub-spaces together, kinds of heads mask by head.
+    Attention kinds without queries choose by squared error. An unknown kind, or a width that a kind can't have, is an error
+    before any job. An empty table gives an empty one; rows with a null vector have a null vec_hat.
     """
     at = at or Setting()
     if bits >= RAW_BITS:
         return df.withColumn("vec_hat", F.col("vec"))
-    columns = [*df.columns, "vec_hat"]
     low, high, n = C.resolve_bits(bits, at.d, at.allocation)
-    go = lambda k, b=bits: encode_kind(df, k, b, at)
-    plainly = lambda rows, k, b: plain(rows, k, b, at.d)
-    regime = lambda fine: lambda b: "gain_mse" if b <= 2 else fine
-
-    def chosen(*names: str, by_attention: bool = False) -> DataFrame:
-        made = {k: go(k) for k in names}
-        return pick(made, at if by_attention else replace(at, q=None)).drop("kind").select(*columns)
-
-    if kind in ("distortion_regime_mse", "gain_unit_regime_mse"):
-        rule = regime("learned_unit_mse_block2" if kind.startswith("distortion") else "unit_mse")
-        return fractional(df, bits, (rule(low), rule(high)), at)
-    if kind == "rate_regime_mse":
-        return go("gain_mse" if bits < 3 else "learned_unit_mse_block2")
+    go = lambda k, rows: encode_kind(rows, k, bits, at)
     if kind == "hadamard_rate_regime_mse":
-        if bits >= 3:
-            return go("learned_unit_mse_block2")
-        return _split_by(df, F.col("side") == "value", lambda r: encode_kind(r, "margin_vector_outlier_hadamard_mse", bits, at), lambda r: encode_kind(r, "mse", bits, at))
+        return go("learned_unit_mse_block2", df) if bits >= 3 else _split_by(df, F.col("side") == "value", lambda r: go("margin_vector_outlier_hadamard_mse", r), lambda r: go("mse", r))
     if kind == "rate_hadamard_value_mse":
         value = "margin_vector_outlier_hadamard_mse" if bits < 3 else "outlier_hadamard_mse"
         there = (F.col("side") == "value") if bits < 3 else (F.col("side") == "value") & (F.col("layer") >= at.value_layer)
-        return _split_by(df, there, lambda r: encode_kind(r, value, bits, at), lambda r: encode_kind(r, "mse", bits, at))
-    if kind in GAINED:
-        return fractional(df, bits, (GAINED[kind], "mse"), at, "mse")
-    if kind == "calibrated_rotation_mse":
-        return by_layer(df, low, at.d, at.transforms, {}) if n == 0 else fractional(df, bits, ("mse", "mse"), at)
-    if kind == "scheduled_rotation_mse":
-        return by_layer(df, low, at.d, {}, at.rotations)
-    if kind in SCALES or kind in LEARNED or kind == "mse_block2" or kind.startswith("lowbit_"):
-        return fractional(df, bits, (kind, kind), at)
-    keys = list(at.keys)
-    made: dict[str, Callable[[], DataFrame]] = {
-        "auto_mse": lambda: chosen("mse", "unit_mse", "selected_gain_mse", "learned_unit_mse_block2"),
-        "attention_auto_mse": lambda: chosen("mse", "gain_mse", "unit_mse", "learned_unit_mse_block2", by_attention=True),
-        "adaptive_regular_gain_mse": lambda: chosen("mse", "regular_gain_mse"),
-        "attention_adaptive_regular_gain_mse": lambda: chosen("mse", "regular_gain_mse", by_attention=True),
-        "outlier_hadamard_mse": lambda: flattened(df, bits, at),
-        "adaptive_outlier_hadamard_mse": lambda: chosen("mse", "outlier_hadamard_mse"),
-        "attention_outlier_hadamard_mse": lambda: chosen("mse", "outlier_hadamard_mse", by_attention=True),
-        "attention_adaptive_outlier_hadamard_mse": lambda: chosen("mse", "outlier_hadamard_mse", by_attention=True),
-        "bitwidth_attention_outlier_hadamard_mse": lambda: go("outlier_hadamard_mse" if low <= 2 else "attention_outlier_hadamard_mse"),
-        "vector_adaptive_outlier_hadamard_mse": lambda: flattened(df, bits, at, "vector"),
-        "margin_vector_outlier_hadamard_mse": lambda: flattened(df, bits, at, "vector", at.margin),
-        "regular_outlier_hadamard_mse": lambda: on_channels(df, channel_masks(df, bits, at), lambda r: _flat(r, low, at), lambda r: plain(r, "mse", high, n), at) if n else go("mse"),
-        "outlier_only_hadamard_mse": lambda: on_channels(df, channel_masks(df, bits, at), lambda r: plain(r, "mse", low, at.d - n), lambda r: _flat(r, high, at), at) if n else go("mse"),
-        "entropy_guarded_outlier_hadamard_mse": lambda: entropy_route(df, at, go("outlier_hadamard_mse").select(*columns), go("mse").select(*columns), ("value",)),
-        "rotated_outlier_mse": lambda: rotated(df, bits, at),
-        "paired_rotated_outlier_mse": lambda: rotated(df, bits, at),  # both sides share the rotation as it is
-        "shared_rotated_outlier_mse": lambda: rotated(df, bits, at, shared=True) if n else go("mse"),
-        "calibrated_rotated_outlier_mse": lambda: rotated(df, bits, at, transforms=at.transforms),
-        "attention_rotated_outlier_mse": lambda: _attention_rotated(df, bits, at),
-        "attention_adaptive_rotated_outlier_mse": lambda: chosen("mse", "attention_rotated_outlier_mse", by_attention=True),
-        "attention_adaptive_paired_rotated_outlier_mse": lambda: chosen("mse", "attention_rotated_outlier_mse", by_attention=True),
-        "entropy_guarded_paired_rotated_outlier_mse": lambda: entropy_route(df, at, go("paired_rotated_outlier_mse").select(*columns), go("mse").select(*columns), ("key", "value")),
-        "rotation_bank_mse": lambda: S.rotation_bank(df, low, keys=keys).select(*columns),
-        "segment_rotation_bank_mse": lambda: S.rotation_bank(df, low, choose="segment", keys=keys).select(*columns),
-        "attention_rotation_bank_mse": lambda: pick({f"rotation_{k}": _roundtrip(df, codec("mse", at.d, low, k)) for k in range(4)}, at).select(*columns) if at.q is not None else go("rotation_bank_mse"),
-        "head_rotation_mse": lambda: S.head_rotation(df, low).select(*columns),
-        "head_hadamard_mse": lambda: S.head_hadamard(df, low).select(*columns),
-        "hadamard_residual_mse": lambda: S.hadamard_residual(df, bits, keys, at.d).select(*columns) if n else go("mse"),
-        "attention_hadamard_residual_mse": lambda: chosen("mse", "hadamard_residual_mse", by_attention=True) if n else go("mse"),
-        "attention_weighted_hadamard_residual_mse": lambda: weighted_residual(df, bits, at).select(*columns) if n else go("mse"),
-        "attention_scale_mse": lambda: attention_scaled(df, low, at.d, at).select(*columns),
-        "regular_attention_scale_mse": lambda: _regular_scaled(df, bits, at) if n else go("attention_scale_mse"),
-        "centered_mse": lambda: S.centered(df, low, keys).select(*columns),
-        "rms_rotation_mse": lambda: S.rms_rotation(df, low, keys).select(*columns),
-        "rms_regular_gain_mse": lambda: on_channels(df, channel_masks(df, bits, at), lambda r: S.rms_rotation(r, low, keys, "gain_mse"), lambda r: S.rms_rotation(r, high, keys, "mse"), at) if n else S.rms_rotation(df, low, keys).select(*columns),
-        "prod": lambda: _prod(df, low).select(*columns),
-        "uniform_token": lambda: S.uniform(df, low, "token", keys).select(*columns),
-        "uniform_channel": lambda: S.uniform(df, low, "channel", keys).select(*columns),
-    }
-    if kind not in made:
-        raise ValueError(f"unknown kind {kind}")
-    return made[kind]()
+        return _split_by(df, there, lambda r: go(value, r), lambda r: go("mse", r))
+    if kind == "head_hadamard_mse":
+        return S.mixed_heads(df, lambda rows: go("mse", rows))
+    if kind == "attention_scale_mse":
+        # Without the queries of its channels a sub-space has plain codes.
+        return apply(df, coder(df, "mse", bits, at)) if n else attention_scaled(df, low, at.d, at).select(*df.columns, "vec_hat")
+    if kind == "regular_attention_scale_mse":
+        return _regular_scaled(df, bits, at) if n else go("attention_scale_mse", df)
+    return apply(df, coder(df, kind, bits, at))
 
 
 def _regular_scaled(df: DataFrame, bits: float, at: Setting) -> DataFrame:
+    """Regular channels by attention scale, outliers plain: their rows are cut apart and laid together again."""
     low, high, n = C.resolve_bits(bits, at.d, at.allocation)
     masks = channel_masks(df, bits, at)
-    return on_channels(df, masks, lambda r: attention_scaled(r, low, at.d - n, at, masks), lambda r: plain(r, "mse", high, n), at)
 
+    def cut(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        on = matrix(batch.column("mask")) > 0
+        return {"lo": lists(x[~on].reshape(len(x), -1)), "hi": lists(x[on].reshape(len(x), -1))}
 
-def _prod(df: DataFrame, bits: int) -> DataFrame:
-    from .codec import prod_encode
+    def merge(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        on, out = matrix(batch.column("mask")) > 0, np.empty_like(x)
+        out[~on], out[on] = matrix(batch.column("lo_hat")).reshape(-1), S.plain_hat(matrix(batch.column("hi")), high).reshape(-1)
+        return {"vec_hat": lists(out)}
 
-    return prod_encode(df, "vec", bits).drop("codes", "scale", "signs", "resid_norm")
+    rows = map_vectors(df.join(masks, list(at.keys)), "vec", "lo array<double>, hi array<double>", cut).withColumnsRenamed({"vec": "whole", "lo": "vec"})
+    scaled = attention_scaled(rows, low, at.d - n, at, masks).withColumnRenamed("vec_hat", "lo_hat")
+    return map_vectors(scaled.drop("vec"), "whole", "vec_hat array<double>", merge).withColumnRenamed("whole", "vec").select(*df.columns, "vec_hat")
 
 
 #: Presets of plain integer baselines: kinds of keys and values, and their width.
@@ -393,7 +454,16 @@ def encode_protected(flagged: DataFrame, kind: str, bits: float, at: Setting | N
 
 
 def encode_scheduled(df: DataFrame, schedule: list[tuple], at: Setting | None = None) -> DataFrame:
-    """Rows by a schedule of (layer, side, bits, kind): one pass for each distinct (bits, kind); others are left out."""
+    """Rows by a schedule of (layer, side, bits, kind): one pass for each distinct (bits, kind).
+
+    A layer and side of the rows that the schedule lacks is an error; so are two entries for one.
+    """
+    known = [(layer, side) for layer, side, _, _ in schedule]
+    if len(known) != len(set(known)):
+        raise ValueError("a layer and side stands twice in the schedule")
+    there = {tuple(r) for r in df.select("layer", "side").distinct().collect()}  # one row for each layer and side
+    if missing := sorted(there - set(known), key=repr):
+        raise ValueError(f"no schedule for {missing}")
     parts = []
     for bits, kind in sorted({(b, k) for _, _, b, k in schedule}):
         where = [(F.col("layer") == layer) & (F.col("side") == side) for layer, side, b, k in schedule if (b, k) == (bits, kind)]

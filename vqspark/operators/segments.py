@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..session import ship
-from .codec import EPS, Codec, codec, lists, map_vectors, matrix
+from .codec import EPS, Codec, Coder, apply, codec, fresh, lists, map_vectors, matrix, of_codec
 
 KEYS = ["seq_id", "layer", "side", "segment_id"]
 
 
-def channel_sums(df: DataFrame, column: str, keys: list[str], work: Callable[[np.ndarray, pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """keys, ch, total, n: sums over a segment's rows of what `work` gives for every row and channel."""
+def channel_sums(df: DataFrame, column: str, keys: list[str], work: Callable[[np.ndarray, pa.RecordBatch], np.ndarray], most: bool = False) -> DataFrame:
+    """keys, ch, total, n: sums (or the most) over a segment's rows of what `work` gives for every row and channel."""
     ship(df.sparkSession)
     types = dict(df.dtypes)
 
@@ -31,14 +31,14 @@ def channel_sums(df: DataFrame, column: str, keys: list[str], work: Callable[[np
                 continue
             values = work(matrix(batch.column(column)), batch)
             first, at = group_rows(batch, keys)
-            sums = np.zeros((len(first), values.shape[1]))
-            np.add.at(sums, at, values)
+            sums = np.full((len(first), values.shape[1]), -np.inf if most else 0.0)
+            (np.maximum if most else np.add).at(sums, at, values)
             n, d = sums.shape
             taken = pa.array(np.repeat(first, d))
             yield pa.record_batch([*(batch.column(k).take(taken) for k in keys), pa.array(np.tile(np.arange(d, dtype=np.int32), n)), pa.array(sums.reshape(-1)), pa.array(np.repeat(np.bincount(at, minlength=n), d).astype(np.int64))], names=[*keys, "ch", "part", "rows"])
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", ch int, part double, rows bigint"
-    return df.filter(F.col(column).isNotNull()).mapInArrow(partial, schema).groupBy(*keys, "ch").agg(F.sum("part").alias("total"), F.sum("rows").alias("n"))
+    return df.filter(F.col(column).isNotNull()).mapInArrow(partial, schema).groupBy(*keys, "ch").agg((F.max if most else F.sum)("part").alias("total"), F.sum("rows").alias("n"))
 
 
 def group_rows(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,10 +159,25 @@ def uniform(df: DataFrame, bits: int, axis: str = "token", keys: list[str] | Non
     most = (1 << bits - 1) - 1
     if axis == "token":
         return df.withColumn("scale", F.array_max(F.transform(column, F.abs)) / most).withColumn("vec_hat", F.transform(column, lambda x: F.when(F.col("scale") == 0, 0.0).otherwise(F.round(x / F.col("scale")) * F.col("scale"))))
-    keys = list(keys or KEYS) + ["head"]
-    peak = df.select(*keys, F.posexplode(column).alias("ch", "x")).groupBy(*keys, "ch").agg((F.max(F.abs("x")) / most).alias("s"))
-    scales = peak.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ch", "s"))).alias("m")).select(*keys, F.col("m.s").alias("scales"))
-    return df.join(scales, keys).withColumn("vec_hat", F.zip_with(column, "scales", lambda x, s: F.when(s == 0, 0.0).otherwise(F.round(x / s) * s)))
+    return apply(df, uniform_coder(df, bits, axis, list(keys or KEYS), column))
+
+
+def uniform_coder(df: DataFrame, bits: int, axis: str, keys: list[str], column: str = "vec") -> Coder:
+    """Whole numbers, halves away from zero."""
+    if bits < 2:
+        raise ValueError("uniform codes need two bits")
+    most = (1 << bits - 1) - 1
+
+    def snap(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        steps = x / np.where(scale == 0, 1, scale)
+        return np.where(scale == 0, 0, np.trunc(steps + np.copysign(0.5, steps)) * scale)
+
+    if axis == "token":
+        return Coder(lambda x, _: snap(x, np.abs(x).max(axis=1, keepdims=True) / most))
+    keys, name = [*keys, "head"], fresh("scales")
+    peaks = channel_sums(df, column, keys, lambda x, _: np.abs(x), most=True)
+    scales = peaks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ch", (F.col("total") / most).alias("s")))).alias("m")).select(*keys, F.col("m.s").alias(name))
+    return Coder(lambda x, batch: snap(x, matrix(batch.column(name))), ((scales, tuple(keys)),))
 
 
 def centers(df: DataFrame, keys: list[str], column: str = "vec") -> DataFrame:
@@ -173,13 +188,17 @@ def centers(df: DataFrame, keys: list[str], column: str = "vec") -> DataFrame:
 
 def centered(df: DataFrame, bits: int, keys: list[str] | None = None) -> DataFrame:
     """Residuals from the mean over positions are coded; the mean is metadata of (keys, head)."""
-    keys = list(keys or KEYS) + ["head"]
+    return apply(df, centered_coder(df, bits, list(keys or KEYS)))
 
-    def work(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        c, m = matrix(batch.column("center")), codec("mse", x.shape[1], bits)
-        return {"vec_hat": lists(c + m.decode(*m.encode(x - c)))}
 
-    return map_vectors(df.join(centers(df, keys), keys), "vec", "vec_hat array<double>", work)
+def centered_coder(df: DataFrame, bits: int, keys: list[str]) -> Coder:
+    keys, name = [*keys, "head"], fresh("center")
+
+    def work(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        c, m = matrix(batch.column(name)), codec("mse", x.shape[1], bits)
+        return c + m.decode(*m.encode(x - c))
+
+    return Coder(work, ((centers(df, keys).withColumnRenamed("center", name), tuple(keys)),))
 
 
 def rms_scales(df: DataFrame, keys: list[str], column: str = "vec") -> DataFrame:
@@ -191,13 +210,17 @@ def rms_scales(df: DataFrame, keys: list[str], column: str = "vec") -> DataFrame
 
 
 def rms_rotation(df: DataFrame, bits: int, keys: list[str] | None = None, kind: str = "mse") -> DataFrame:
-    keys = list(keys or KEYS)
+    return apply(df, rms_coder(df, bits, list(keys or KEYS), kind))
 
-    def work(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        r, m = matrix(batch.column("rms")), codec(kind, x.shape[1], bits)
-        return {"vec_hat": lists(m.decode(*m.encode(x / r)) * r)}
 
-    return map_vectors(df.join(rms_scales(df, keys), keys), "vec", "vec_hat array<double>", work)
+def rms_coder(df: DataFrame, bits: int, keys: list[str], kind: str = "mse") -> Coder:
+    name = fresh("rms")
+
+    def work(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        r, m = matrix(batch.column(name)), codec(kind, x.shape[1], bits)
+        return m.decode(*m.encode(x / r)) * r
+
+    return Coder(work, ((rms_scales(df, keys).withColumnRenamed("rms", name), tuple(keys)),))
 
 
 def outlier_order(df: DataFrame, keys: list[str], block: int, column: str = "vec") -> DataFrame:
@@ -208,6 +231,36 @@ def outlier_order(df: DataFrame, keys: list[str], block: int, column: str = "vec
     return ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((F.col("place") % blocks).alias("b"), (F.col("place") / blocks).cast("int").alias("i"), "ch"))).alias("a")).select(*keys, F.col("a.ch").alias("dealt"))
 
 
+def flattened(x: np.ndarray, dealt: np.ndarray, bits: int, block: int, seed: int = 0) -> np.ndarray:
+    """Vectors coded after Hadamard blocks over channels in the order of `dealt`."""
+    d = x.shape[1]
+    flat, mix, hat = Codec(d, bits, "norm", np.eye(d)), C.block_hadamard(d, block, seed), np.empty_like(x)
+    for order, rows in _groups(dealt.astype(np.int64)):
+        y = x[rows][:, order] @ mix.T
+        hat[np.ix_(rows, order)] = flat.decode(*flat.encode(y)) @ mix
+    return hat
+
+
+def plain_hat(x: np.ndarray, bits: int, seed: int = 0) -> np.ndarray:
+    m = codec("mse", x.shape[1], bits, seed)
+    return m.decode(*m.encode(x))
+
+
+def hadamard_coder(df: DataFrame, bits: int, keys: list[str], block: int = 16, margin: float | None = None) -> Coder:
+    """Codes behind Hadamard blocks; with a margin, by row, only where the plain error times it is beaten."""
+    name = fresh("dealt")
+
+    def work(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        hat = flattened(x, matrix(batch.column(name)), bits, block)
+        if margin is None:
+            return hat
+        base = plain_hat(x, bits)
+        better = ((x - hat) ** 2).sum(1) < margin * ((x - base) ** 2).sum(1)
+        return np.where(better[:, None], hat, base)
+
+    return Coder(work, ((outlier_order(df, keys, block).withColumnRenamed("dealt", name), tuple(keys)),))
+
+
 def outlier_hadamard(df: DataFrame, bits: int, mode: str = "always", margin: float = 1.0, keys: list[str] | None = None, block: int = 16, seed: int = 0) -> DataFrame:
     """Sizes are evened out by Hadamard blocks over dealt channels, then coded.
 
@@ -217,14 +270,7 @@ def outlier_hadamard(df: DataFrame, bits: int, mode: str = "always", margin: flo
     keys = list(keys or KEYS)
 
     def work(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        d = x.shape[1]
-        plain, flat = codec("mse", d, bits), Codec(d, bits, "norm", np.eye(d))
-        mix, hat = C.block_hadamard(d, block, seed), np.empty_like(x)
-        for order, rows in _groups(matrix(batch.column("dealt")).astype(np.int64)):
-            y = x[rows][:, order] @ mix.T
-            back = flat.decode(*flat.encode(y)) @ mix
-            hat[np.ix_(rows, order)] = back
-        base = plain.decode(*plain.encode(x))
+        hat, base = flattened(x, matrix(batch.column("dealt")), bits, block, seed), plain_hat(x, bits)
         return {"flat": lists(hat), "plain": lists(base), "sse_flat": pa.array(((x - hat) ** 2).sum(1)), "sse_plain": pa.array(((x - base) ** 2).sum(1))}
 
     rows = map_vectors(df.join(outlier_order(df, keys, block), keys), "vec", "flat array<double>, plain array<double>, sse_flat double, sse_plain double", work)
@@ -244,15 +290,18 @@ def _groups(values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield pattern, np.flatnonzero(at.reshape(-1) == k)
 
 
-def rotated_outliers(df: DataFrame, bits: float, keys: list[str] | None = None, shared: bool = False, seed: int = 0, d: int = 64, transform: np.ndarray | None = None, transforms: dict | None = None, weighted: bool = False) -> DataFrame:
+def rotated_outliers(df: DataFrame, bits: float, keys: list[str] | None = None, **options) -> DataFrame:  # noqa: ANN003
+    return apply(df, rotated_coder(df, bits, list(keys or KEYS), **options))
+
+
+def rotated_coder(df: DataFrame, bits: float, keys: list[str], shared: bool = False, seed: int = 0, d: int = 64, transform: np.ndarray | None = None, transforms: dict | None = None, weighted: bool = False) -> Coder:
     """High width for the rotated coordinates whose error it lowers most; least-squares scale.
 
     `shared` chooses one set of coordinates for both sides of a segment, by scores over their side's mean. `transforms`
-    has a matrix by (layer, side). `weighted` multiplies gains by squared norms and the columns `weight` and `energy`.
+    has a matrix by (layer, side) or by side. `weighted` multiplies gains by squared norms and the columns `weight` and `energy`.
     """
-    keys = list(keys or KEYS)
     low, high, n = C.resolve_bits(bits, d)
-    forward = C.rotation(d, seed) if transform is None else transform
+    forward, name = C.rotation(d, seed) if transform is None else transform, fresh("mask")
 
     def cuts(width: int) -> tuple[np.ndarray, np.ndarray]:
         c = np.array(C.codebook(d, width)[0])
@@ -268,7 +317,7 @@ def rotated_outliers(df: DataFrame, bits: float, keys: list[str] | None = None,
         out = np.empty_like(x)
         labels = list(zip(batch.column("layer").to_pylist(), batch.column("side").to_pylist(), strict=True))
         for label in set(labels):
-            rows, m = [i for i, k in enumerate(labels) if k == label], transforms.get(label, forward)
+            rows, m = [i for i, k in enumerate(labels) if k == label], transforms.get(label, transforms.get(label[1], forward))
             out[rows] = x[rows] @ (m if back else m.T)
         return out
 
@@ -291,13 +340,13 @@ def rotated_outliers(df: DataFrame, bits: float, keys: list[str] | None = None,
     else:
         masks = select_channels(scores, keys, n)
 
-    def work(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    def work(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
         y = unit(x, batch)
-        hat = turned(np.where(matrix(batch.column("mask")) > 0, snap(y, high), snap(y, low)), batch, back=True)
+        hat = turned(np.where(matrix(batch.column(name)) > 0, snap(y, high), snap(y, low)), batch, back=True)
         fit = (x * hat).sum(1) / np.maximum((hat * hat).sum(1), EPS)
-        return {"vec_hat": lists(hat * fit[:, None])}
+        return hat * fit[:, None]
 
-    return map_vectors(df.join(masks, keys), "vec", "vec_hat array<double>", work)
+    return Coder(work, ((masks.withColumnRenamed("mask", name), tuple(keys)),))
 
 
 def rotation_bank(df: DataFrame, bits: int, size: int = 4, choose: str = "vector", keys: list[str] | None = None) -> DataFrame:
@@ -329,51 +378,76 @@ def rotation_bank(df: DataFrame, bits: int, size: int = 4, choose: str = "vector
     return map_vectors(df.join(picked, keys), "vec", "vec_hat array<double>", one)
 
 
+def bank_coder(bits: int, size: int = 4) -> Coder:
+    """The best of `size` rotations for every row."""
+
+    def work(x: np.ndarray, _: pa.RecordBatch) -> np.ndarray:
+        hats = np.stack([plain_hat(x, bits, seed) for seed in range(size)])
+        return hats[((hats - x) ** 2).sum(-1).argmin(0), np.arange(len(x))]
+
+    return Coder(work)
+
+
 def head_rotation(df: DataFrame, bits: int) -> DataFrame:
     """Every head has its own rotation."""
+    return apply(df, head_coder(bits))
 
-    def work(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+
+def head_coder(bits: int) -> Coder:
+    def work(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
         heads, out = batch.column("head").to_numpy(), np.empty_like(x)
         for h in np.unique(heads):
-            m = codec("mse", x.shape[1], bits, 100 + int(h))
-            out[heads == h] = m.decode(*m.encode(x[heads == h]))
-        return {"vec_hat": lists(out)}
+            out[heads == h] = plain_hat(x[heads == h], bits, 100 + int(h))
+        return out
+
+    return Coder(work)
 
-    return map_vectors(df, "vec", "vec_hat array<double>", work)
+
+PLACE = ["seq_id", "layer", "side", "segment_id", "pos"]
 
 
 def head_hadamard(df: DataFrame, bits: int, heads: int = 2, seed: int = 0) -> DataFrame:
-    """Heads are mixed at each position by a signed Hadamard transform, coded, and mixed back: one row per head again.
+    """Heads are mixed at each position by a signed Hadamard transform, coded, and mixed back: one row per head again."""
+    return mixed_heads(df, lambda rows: map_vectors(rows, "vec", "vec_hat array<double>", lambda x, _: {"vec_hat": lists(plain_hat(x, bits))}), heads, seed)
+
+
+def mixed_heads(df: DataFrame, code: Callable[[DataFrame], DataFrame], heads: int = 2, seed: int = 0) -> DataFrame:
+    """df with vec_hat: `code` (from vec to vec_hat) works on heads mixed by position.
 
     The number of heads is a parameter (a power of two above one); positions that lack a head are coded as they are.
     """
     if heads < 2 or heads & (heads - 1):
         raise ValueError("heads must be a power of two above one")
-    at = ["seq_id", "layer", "side", "segment_id", "pos"]
-    together = df.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("head", "vec"))).alias("rows"))
-    flat = together.select(*at, F.col("rows.head").alias("heads"), F.flatten("rows.vec").alias("vecs"), (F.size("rows") == heads).alias("whole"))
-
-    def mixed(x: np.ndarray) -> np.ndarray:
-        h, d = C.signed_hadamard(heads, seed), x.shape[1] // heads
-        m = codec("mse", d, bits)
-        y = np.einsum("gh,nhd->ngd", h, x.reshape(-1, heads, d)).reshape(-1, d)
-        return np.einsum("gh,ngd->nhd", h, m.decode(*m.encode(y)).reshape(-1, heads, d)).reshape(len(x), -1)
-
-    whole = map_vectors(flat.filter("whole"), "vecs", "hats array<double>", lambda x, _: {"hats": lists(mixed(x))})
-    n = F.size("hats") / F.size("heads")
-    out = whole.select(*at, F.posexplode("heads").alias("i", "head"), "heads", "hats").select(*at, "head", F.slice("hats", (F.col("i") * n).cast("int") + 1, n.cast("int")).alias("vec_hat"))
-    rest = df.join(flat.filter("not whole").select(*at), at, "left_semi")
-    m = lambda x: (lambda k: k.decode(*k.encode(x)))(codec("mse", x.shape[1], bits))
-    alone = map_vectors(rest, "vec", "vec_hat array<double>", lambda x, _: {"vec_hat": lists(m(x))})
-    return df.join(out, [*at, "head"]).unionByName(alone.select(*df.columns, "vec_hat"))
-
-
-def hadamard_residual(df: DataFrame, bits: float, keys: list[str] | None = None, d: int = 64, seed: int = 3, weights: str | None = None) -> DataFrame:
+    h, slot = C.signed_hadamard(heads, seed), ["head", "vec"]
+
+    def mixed(rows: DataFrame, column: str, back: bool) -> DataFrame:
+        """PLACE, head and the mixed column, of the positions that have all heads."""
+        m = h.T if back else h
+        flat = rows.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("head", column))).alias("r")).filter(F.size("r") == heads)
+        flat = flat.select(*PLACE, F.col("r.head").alias("heads"), F.flatten(f"r.{column}").alias("flat"))
+        turn = lambda x, _: {"mixed": lists(np.einsum("gh,nhd->ngd", m, x.reshape(len(x), heads, -1)).reshape(len(x), -1))}
+        made = map_vectors(flat, "flat", "mixed array<double>", turn)
+        n = (F.size("mixed") / heads).cast("int")
+        each = made.select(*PLACE, F.posexplode("heads").alias("i", "head"), "mixed").select(*PLACE, "head", F.slice("mixed", F.col("i") * n + 1, n).alias(column))
+        return each
+
+    whole = mixed(df.select(*PLACE, *slot), "vec", False)
+    alone = df.join(whole.select(*PLACE).distinct(), PLACE, "left_anti").select(*PLACE, *slot)
+    coded = code(whole.withColumn("joint", F.lit(True)).unionByName(alone.withColumn("joint", F.lit(False))))
+    back = mixed(coded.filter("joint").select(*PLACE, "head", "vec_hat"), "vec_hat", True)
+    return df.join(back.unionByName(coded.filter("not joint").select(*PLACE, "head", "vec_hat")), [*PLACE, "head"]).select(*df.columns, "vec_hat")
+
+
+def hadamard_residual(df: DataFrame, bits: float, keys: list[str] | None = None, d: int = 64, seed: int = 3) -> DataFrame:
+    return apply(df, residual_coder(df, bits, list(keys or KEYS), d, seed))
+
+
+def residual_coder(df: DataFrame, bits: float, keys: list[str], d: int = 64, seed: int = 3, weights: str | None = None) -> Coder:
     """Whole bits for all, and signs of the n largest Hadamard coefficients of the residual (by segment) with one scale.
 
     `weights` is a column of coefficient weights that sizes are multiplied by when the n are chosen.
     """
-    keys = list(keys or KEYS)
+    name = fresh("mask")
     low, _, n = C.resolve_bits(bits, d)
     h, m = C.signed_hadamard(d, seed), codec("mse", d, low)
 
@@ -388,13 +462,13 @@ def hadamard_residual(df: DataFrame, bits: float, keys: list[str] | None = None,
 
     masks = select_channels(channel_sums(df, "vec", keys, sizes).select(*keys, "ch", F.col("total").alias("score")), keys, n)
 
-    def work(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    def work(x: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
         base, size, c = rest(x)
-        on = matrix(batch.column("mask")) > 0
+        on = matrix(batch.column(name)) > 0
         level = (np.abs(c) * on).sum(1, keepdims=True) / np.maximum(on.sum(1, keepdims=True), 1)
-        return {"vec_hat": lists(base + (np.where(c >= 0, 1.0, -1.0) * on * level) @ h * size)}
+        return base + (np.where(c >= 0, 1.0, -1.0) * on * level) @ h * size
 
-    return map_vectors(df.join(masks, keys), "vec", "vec_hat array<double>", work)
+    return Coder(work, ((masks.withColumnRenamed("mask", name), tuple(keys)),))
 
 
 def squared_error(column: str = "vec", hat: str = "vec_hat") -> F.Column:

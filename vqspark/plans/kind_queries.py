@@ -74,6 +74,30 @@ e AS (SELECT seq_id, layer, side, {Q._apart('hi', 'list_transform(ub, lambda x:
 g AS (SELECT seq_id, layer, side, count(*) AS n, least(sum(hot + plain), sum(hot + gained)) AS sse FROM e GROUP BY ALL)
 SELECT layer, side, round(sum(sse) / sum(n), 6) AS mse, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1, 2"""
 _add("kind_adaptive_regular_gain_mse", _coded("adaptive_regular_gain_mse", 2.5), _ADAPT)
+_LO_BANK = ", ".join(Q._hat(f"a{k}", f"a{k - 1}" if k else "parts", "lo", C.rotation(32, k), 2, 32, f"_a{k}") for k in range(4))
+_HI_BANK = ", ".join(Q._hat(f"b{k}", f"b{k - 1}" if k else "a3", "hi", C.rotation(32, k), 3, 32, f"_b{k}") for k in range(4))
+_BANK_PARTS = "parts AS (SELECT seq_id, layer, side, vec_id, list(x ORDER BY i) FILTER (hot) AS hi, list(x ORDER BY i) FILTER (NOT hot) AS lo FROM long JOIN top USING (seq_id, layer, side, i) GROUP BY ALL)"
+_BANK_ERRORS = ", ".join(f"{Q._apart(part, f'list_transform(u_{t}{k}, lambda x: x * nrm_{t}{k})')} AS {part}{k}" for part, t in (("lo", "a"), ("hi", "b")) for k in range(4))
+_BANK_HALVES = f"WITH {X.KV_CTE}, {Q._LONG}, {Q._TOP.format(n=32)}, {_BANK_PARTS}, {_LO_BANK}, {_HI_BANK}, e AS MATERIALIZED (SELECT seq_id, layer, side, {_BANK_ERRORS} FROM b3)"
+_add("kind_rotation_bank_2p5", _coded("rotation_bank_mse", 2.5), f"{_BANK_HALVES} SELECT layer, side, round(avg(least(lo0, lo1, lo2, lo3) + least(hi0, hi1, hi2, hi3)), 6) AS mse, count(*) AS n FROM e GROUP BY 1, 2")
+_add("kind_segment_rotation_bank_2p5", _coded("segment_rotation_bank_mse", 2.5), f"""{_BANK_HALVES}, g AS (SELECT layer, side, count(*) AS n, least(sum(lo0 + hi0), sum(lo1 + hi1), sum(lo2 + hi2), sum(lo3 + hi3)) AS sse FROM e GROUP BY seq_id, layer, side)
+SELECT layer, side, round(sum(sse) / sum(n), 6) AS mse, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1, 2""")
+
+
+def _choice(s, d):  # noqa: ANN001, ANN202
+    """Which of three codings each segment takes at 2.5 bits, and its error."""
+    kv, at, held = X.kv_states(s, d), _at(s, d), {}
+    errors = N.candidate_errors(kv, {k: N.coder(kv, k, 2.5, at, held) for k in ("mse", "unit_mse", "selected_gain_mse")}, at)
+    least = F.array_min("spare")
+    return errors.select(*SEG, (F.array_position("spare", least) - 1).cast("int").alias("choice"), F.round(least, 6).alias("mse"))
+
+
+_add("choice_of_three_2p5", _choice, f"""WITH {X.KV_CTE}, {Q._LONG}, {Q._TOP.format(n=32)}, {_BANK_PARTS}, {Q._hat('a', 'parts', 'lo', C.rotation(32, 0), 2, 32, 'a')}, {Q._hat('b', 'a', 'hi', C.rotation(32, 0), 3, 32, 'b')},
+e AS MATERIALIZED (SELECT seq_id, layer, side, {Q._apart('lo', 'list_transform(ua, lambda x: x * nrma)')} AS lo, {Q._apart('hi', 'list_transform(ub, lambda x: x * nrmb)')} AS hi,
+    {Q._apart('lo', f"list_transform(ua, lambda x: x * nrma / sqrt({Q._sq('ua')}))")} AS lo_unit, {Q._apart('hi', f"list_transform(ub, lambda x: x * nrmb / sqrt({Q._sq('ub')}))")} AS hi_unit,
+    {Q._apart('lo', f'list_transform(ua, lambda x: x * nrma * {C.gain(32, 2)!r})')} AS lo_gain, {Q._apart('hi', f'list_transform(ub, lambda x: x * nrmb * {C.gain(32, 3)!r})')} AS hi_gain FROM b),
+g AS (SELECT seq_id, layer, side, [avg(lo + hi), avg(lo_unit + hi_unit), avg(least(lo, lo_gain) + least(hi, hi_gain))] AS e FROM e GROUP BY 1, 2, 3)
+SELECT seq_id, layer, side, CAST(list_position(e, list_min(e)) - 1 AS INT) AS choice, round(list_min(e), 6) AS mse FROM g""")
 for _kind in ("auto_mse", "rms_regular_gain_mse", "regular_outlier_hadamard_mse", "outlier_only_hadamard_mse", "shared_rotated_outlier_mse", "calibrated_rotated_outlier_mse", "adaptive_outlier_hadamard_mse"):
     _add(f"kind_{_kind}", _coded(_kind, 2.5))
 for _kind in ("attention_rotated_outlier_mse", "attention_adaptive_paired_rotated_outlier_mse", "entropy_guarded_paired_rotated_outlier_mse", "entropy_guarded_outlier_hadamard_mse", "bitwidth_attention_outlier_hadamard_mse", "attention_weighted_hadamard_residual_mse", "attention_hadamard_residual_mse", "regular_attention_scale_mse", "attention_adaptive_regular_gain_mse", "attention_rotation_bank_mse"):
@@ -83,8 +107,6 @@ _SCALED = f"""WITH {Q._ERR}, f AS (SELECT pr.vec_id, greatest(sum(score * 0.125
 SELECT layer, side, round(avg({Q._apart('vec', "list_transform(u, lambda x: x * CASE WHEN side = 'key' THEN coalesce(f, nrm) ELSE nrm END)")}), 6) AS mse, count(*) AS n FROM h LEFT JOIN f USING (vec_id) GROUP BY 1, 2"""
 _add("kind_attention_scale_mse", _coded("attention_scale_mse", 2, queries=True), _SCALED)
 _add("joint_attention_channels", lambda s, d: N.channel_masks(X.kv_states(s, d), 2.5, _at(s, d, True, policy="joint_attention_error_gain")).groupBy("seq_id", "layer").agg(F.sum(F.size(F.filter("mask", lambda m: m))).alias("n_channels"), F.count("*").alias("sides")))
-_add("channels_by_side", lambda s, d: N.channel_masks(X.kv_states(s, d), 2.5, _at(s, d, policies={"key": "dynamic_absmean", "value": "error_gain"})).select(*SEG, F.size(F.filter("mask", lambda m: m)).cast("long").alias("n")),
-     f"WITH {X.KV_CTE} SELECT DISTINCT seq_id, layer, side, CAST(32 AS BIGINT) AS n FROM kv")
 
 
 def _by_layer_sql(seed: int) -> str:
@@ -272,6 +294,10 @@ ORACLE_SQL["protect_attention_error"] = f"{Q._SPOTS} SELECT side, CAST(sum(k) AS
 _GAINS = f"WITH {X.KV_CTE}, {Q._hat('h2', 'kv', 'vec', Q.ROT, 2, tag='2')}, {Q._hat('h3', 'h2', 'vec', Q.ROT, 3, tag='3')}, g AS MATERIALIZED (SELECT seq_id, layer, side, i, avg((vec[i] - nrm2 * u2[i]) ** 2 - (vec[i] - nrm3 * u3[i]) ** 2) AS g FROM h3, range(1, 65) t(i) GROUP BY ALL)"
 _add("error_gain_masks", lambda s, d: Q._mask_text(S.select_channels(S.channel_scores(X.kv_states(s, d), "error_gain", 2.5, list(SEG)), list(SEG), 32)),
      f"{_GAINS}, t AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY g DESC, i) <= 32 AS hot FROM g) SELECT seq_id, layer, side, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3")
+_add("channels_by_side", lambda s, d: Q._mask_text(N.channel_masks(X.kv_states(s, d), 2.5, _at(s, d, policies={"key": "dynamic_absmean", "value": "error_gain"}))),
+     f"""{_GAINS}, m AS (SELECT seq_id, layer, side, i, avg(abs(vec[i])) AS m FROM kv, range(1, 65) t(i) GROUP BY ALL),
+    t AS (SELECT seq_id, layer, side, i, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY CASE WHEN side = 'key' THEN round(m, 9) ELSE g END DESC, i) <= 32 AS hot FROM g JOIN m USING (seq_id, layer, side, i))
+    SELECT seq_id, layer, side, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3""")
 _add("sensitivity_masks", lambda s, d: Q._mask_text(S.select_channels(S.channel_scores(X.kv_states(s, d), "sensitivity_error_gain", 2.5, list(SEG), static=Q._static(s, d), power=0.5), list(SEG), 24)),
      f"""{_GAINS}, v AS (SELECT *, greatest(g, 0) * sqrt(((i - 1) * 7 + layer * 3 + (side = 'key')::INT) % 13) AS v FROM g), t AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY v DESC, i) <= 24 AS hot FROM v)
     SELECT seq_id, layer, side, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3""")
