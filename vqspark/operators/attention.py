@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .codec import dot
-from .segments import pick_by_segment
+from .segments import channel_sums, pick_by_segment
 
 SCALING = 0.125
 QUERY = ["seq_id", "layer", "q_head", "q_pos"]
@@ -112,9 +112,13 @@ def error_metrics(q: DataFrame, coded: DataFrame, by: list[str], t: int = 1) ->
 def output_error(q: DataFrame, k: DataFrame, v: DataFrame, keys: list[str], t: int = 1) -> DataFrame:
     """Mean squared difference of attention outputs with exact and with decoded values."""
     rows = v.withColumnRenamed("head", "kv_head").select(*HEAD, "pos", F.zip_with("vec", "vec_hat", lambda a, b: a - b).alias("gap"))
-    spread = attention_probs(q, k, t).join(rows, [*HEAD, "pos"]).select(*QUERY, "p", F.posexplode("gap").alias("ch", "g"))
-    out = spread.groupBy(*QUERY, "ch").agg(F.sum(F.col("p") * F.col("g")).alias("o"))
-    return out.groupBy(*keys).agg(F.avg(F.col("o") ** 2).alias("error"))
+    out = _outputs(attention_probs(q, k, t).join(rows, [*HEAD, "pos"]), "gap", "p")
+    return out.groupBy(*keys).agg(F.avg(F.col("total") ** 2).alias("error"))
+
+
+def _outputs(rows: DataFrame, column: str, weight: str) -> DataFrame:
+    """QUERY, ch, total: weighted sums of a query's vectors; a task sends one sum for each query and channel that it has."""
+    return channel_sums(rows, column, QUERY, lambda x, batch: x * batch.column(weight).to_numpy(zero_copy_only=False)[:, None])
 
 
 def guard_by_entropy(segments: DataFrame, ratios: DataFrame, keys: list[str], limit: float, kind: str, base: str = "mse", below: bool = True) -> DataFrame:
@@ -141,9 +145,8 @@ def key_output_error(q: DataFrame, coded: DataFrame, v: DataFrame, keys: list[st
     """Mean squared difference of attention outputs with exact and with decoded keys, over the exact values."""
     other = causal_probs(attention_scores(q, coded, "vec_hat"), t=t).select(*QUERY, "kv_head", "pos", F.col("p").alias("p_hat"))
     gap = attention_probs(q, coded, t).join(other, [*QUERY, "kv_head", "pos"]).select(*QUERY, "kv_head", "pos", (F.col("p") - F.col("p_hat")).alias("gap"))
-    spread = gap.join(v.withColumnRenamed("head", "kv_head").select(*HEAD, "pos", "vec"), [*HEAD, "pos"]).select(*QUERY, "gap", F.posexplode("vec").alias("ch", "x"))
-    out = spread.groupBy(*QUERY, "ch").agg(F.sum(F.col("gap") * F.col("x")).alias("o"))
-    return out.groupBy(*keys).agg(F.avg(F.col("o") ** 2).alias("error"))
+    out = _outputs(gap.join(v.withColumnRenamed("head", "kv_head").select(*HEAD, "pos", "vec"), [*HEAD, "pos"]), "vec", "gap")
+    return out.groupBy(*keys).agg(F.avg(F.col("total") ** 2).alias("error"))
 
 
 def relative_errors(coded: DataFrame, keys: list[str]) -> DataFrame:

@@ -274,48 +274,105 @@ def dot(a, b) -> F.Column:  # noqa: ANN001
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """Fitted block centroids, the rounds that were taken, and how far centroids moved in the last one."""
+
+    centers: np.ndarray
+    rounds: int
+    moved: float
+
+
+def product_blocks(d: int, bits: int) -> np.ndarray:
+    """Pairs of scalar centroids."""
+    c = np.array(C.codebook(d, bits)[0])
+    return np.stack(np.meshgrid(c, c, indexing="ij"), axis=-1).reshape(-1, 2)
+
+
+def lloyd_blocks(samples: DataFrame, start: np.ndarray, most_rounds: int = 60, least_move: float = 1e-7) -> Blocks:
+    """Lloyd's rounds over the pairs in the lists of `y`; a task sends sums for each centroid, the driver holds centroids.
+
+    A centroid that no pair is nearest to goes to the pair that is farthest from its own; several go to as many pairs.
+    Samples without any pair leave the start as it is.
+    """
+    ship(samples.sparkSession)
+    levels, centers, moved, k = len(start), start.copy(), 0.0, 0
+
+    def pairs_of(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+
+    def nearest(pairs: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = (pairs**2).sum(1)[:, None] - 2 * pairs @ held.T + (held**2).sum(1)
+        at = apart.argmin(1)
+        return at, apart[np.arange(len(pairs)), at]
+
+    for k in range(1, most_rounds + 1):
+        held = centers
+
+        def sums(batches: Iterator[pa.RecordBatch], held: np.ndarray = held) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((3, levels))
+            for batch in batches:
+                pairs = pairs_of(batch)
+                near = nearest(pairs, held)[0]
+                total += [np.bincount(near, w, levels) for w in (None, pairs[:, 0], pairs[:, 1])]
+            yield pa.record_batch([pa.array(np.arange(levels)), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2])], names=["k", "n", "a", "b"])
+
+        rows = samples.mapInArrow(sums, "k bigint, n bigint, a double, b double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+        centers = held.copy()
+        for r in rows:
+            if r.n:
+                centers[r.k] = r.a / r.n, r.b / r.n
+        empty = sorted(set(range(levels)) - {r.k for r in rows if r.n})
+        if len(empty) == levels:
+            return Blocks(start, k, 0.0)
+        if empty:
+
+            def far(batches: Iterator[pa.RecordBatch], held: np.ndarray = held, most: int = len(empty)) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    pairs = pairs_of(batch)
+                    apart = nearest(pairs, held)[1]
+                    top = np.argsort(-apart, kind="stable")[:most]
+                    yield pa.record_batch([pa.array(apart[top]), pa.array(pairs[top, 0]), pa.array(pairs[top, 1])], names=["apart", "a", "b"])
+
+            found = samples.mapInArrow(far, "apart double, a double, b double").distinct().orderBy(F.desc("apart"), "a", "b").limit(len(empty)).collect()
+            for at, r in zip(empty, found, strict=False):
+                centers[at] = r.a, r.b
+        moved = float(np.abs(centers - held).max())
+        if moved < least_move:
+            break
+    return Blocks(centers, k, moved)
+
+
 def fit_blocks(df: DataFrame, column: str, bits: int, seed: int = 0, most_rounds: int = 60) -> np.ndarray:
-    """Block centroids (pairs of rotated unit coordinates) by Lloyd rounds; the driver holds the centroids alone."""
-    levels = 1 << 2 * bits
+    """Block centroids for the rotated unit vectors of a table, from pairs of scalar centroids on."""
 
     def coordinates(x: np.ndarray, _: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"y": lists(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS) @ C.rotation(x.shape[1], seed).T)}
 
-    samples = map_vectors(df.select(column), column, "y array<double>", coordinates).select("y").persist()
+    samples = map_vectors(df.select(column).filter(F.col(column).isNotNull()), column, "y array<double>", coordinates).select("y").persist()
     try:
-        d = samples.select(F.size("y")).first()[0]
-        c = np.array(C.codebook(d, bits)[0])
-        centers = np.stack(np.meshgrid(c, c, indexing="ij"), axis=-1).reshape(-1, 2)
-        for _ in range(most_rounds):
-            held = centers
-
-            def sums(batches: Iterator[pa.RecordBatch], held: np.ndarray = held) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    pairs = matrix(batch.column("y")).reshape(-1, 2)
-                    near = ((pairs[:, None, :] - held) ** 2).sum(-1).argmin(-1)
-                    yield pa.record_batch([pa.array(np.arange(levels)), *(pa.array(np.bincount(near, w, levels)) for w in (None, pairs[:, 0], pairs[:, 1]))], names=["k", "n", "a", "b"])
-
-            rows = samples.mapInArrow(sums, "k bigint, n bigint, a double, b double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
-            new = held.copy()
-            for r in rows:
-                if r.n:
-                    new[r.k] = r.a / r.n, r.b / r.n
-            # A cluster that nobody is in splits the largest one.
-            counts = {r.k: r.n for r in rows}
-            for k in (k for k in range(levels) if not counts.get(k)):
-                largest = max(counts, key=lambda c: (counts[c], -c), default=None)
-                if largest is None or counts[largest] < 2:
-                    break
-                new[k] = new[largest] * (1 + 1e-3) + 1e-6
-                counts[k] = counts[largest] = counts[largest] // 2
-            moved, centers = np.abs(new - held).max(), new
-            if moved < 1e-7:
-                break
-        return centers
+        first = samples.select(F.size("y")).first()
+        return lloyd_blocks(samples, product_blocks(first[0] if first else 2, bits), most_rounds).centers
     finally:
         samples.unpersist()
 
 
+#: Random unit vectors that blocks are fitted on where no data are to be looked at; each gives d / 2 pairs.
+SPHERE_SAMPLES = 16_384
+_sphere: dict[tuple[int, int], Blocks] = {}
+
+
+def sphere_blocks(spark: SparkSession, d: int, bits: int, n: int = SPHERE_SAMPLES) -> Blocks:
+    """Block centroids for pairs of coordinates of uniform unit vectors: a constant of d and bits, fitted once a process."""
+    if (d, bits) not in _sphere:
+        samples = sphere_samples(spark, d, n).select(F.col("vec").alias("y")).persist()
+        try:
+            _sphere[d, bits] = lloyd_blocks(samples, product_blocks(d, bits))
+        finally:
+            samples.unpersist()
+    return _sphere[d, bits]
+
+
 def sphere_samples(spark: SparkSession, d: int, n: int, seed: int = 0) -> DataFrame:
     """n random unit vectors, made where they are used: what a codebook that knows no data is fitted on."""
     rows = spark.range(n).select(F.array(*[F.randn(seed * d + k) for k in range(d)]).alias("vec"))

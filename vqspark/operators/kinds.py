@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from . import attention as A
 from . import segments as S
-from .codec import EPS, SCALES, Codec, Coder, apply, codec, fit_blocks, fresh, lists, map_vectors, matrix, of_codec, prod_parts, with_metadata
+from .codec import EPS, SCALES, Codec, Coder, apply, codec, fresh, lists, map_vectors, matrix, of_codec, prod_parts, sphere_blocks, with_metadata
 
 #: Widths from which rows stay as they are.
 RAW_BITS = 16
@@ -298,7 +298,7 @@ def whole_coder(df: DataFrame, kind: str, bits: int, d: int, at: Setting) -> Cod
     if d == 1:
         return Coder(lambda x, _: x)  # a single channel stays as it is
     if kind in LEARNED:
-        return of_codec(codec(kind, d, bits, blocks=fit_blocks(df, "vec", bits)))
+        return of_codec(codec(kind, d, bits, blocks=sphere_blocks(df.sparkSession, d, bits).centers if d % 2 == 0 and bits <= 4 else None))
     if kind in SCALES or kind == "mse_block2" or kind.startswith("lowbit_"):
         return of_codec(codec(kind, d, bits))
     if kind.startswith("rotation_") and kind.removeprefix("rotation_").isdigit():

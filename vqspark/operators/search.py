@@ -19,8 +19,8 @@ from .codec import Codec, matrix
 
 #: The most query values (rows times dimensions) that are broadcast, and that a block has beyond that.
 BLOCK_VALUES = 8_000_000
-#: Rows of a chunk, and queries that are scored at once.
-CHUNK_ROWS, STEP = 200_000, 512
+#: Rows of a chunk, and its values (rows times dimensions), at most; queries that are scored at once.
+CHUNK_ROWS, CHUNK_VALUES, STEP = 200_000, 12_800_000, 512
 
 
 def _merge(score: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +60,7 @@ def topk(database: DataFrame, queries: DataFrame, k: int, made: Codec | None = N
     if found.n * (found.d or 0) <= BLOCK_VALUES:
         part = _broadcast_topk(rows, queries, k, made, column)
     else:
-        part = _blocked_topk(rows, queries, k, made, column, -(-found.n * found.d // BLOCK_VALUES))
+        part = _blocked_topk(rows, queries, k, made, column, -(-found.n * found.d // BLOCK_VALUES), found.d)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -90,8 +90,8 @@ def _candidates(ids: np.ndarray, score: np.ndarray, vec: np.ndarray) -> pa.Recor
     return pa.record_batch([pa.array(np.repeat(ids, score.shape[1]).reshape(score.shape)[good].astype(np.int64)), pa.array(vec[good].astype(np.int64)), pa.array(score[good])], names=["query_id", "vec_id", "score"])
 
 
-def _blocked_topk(rows: DataFrame, queries: DataFrame, k: int, made: Codec | None, column: str, blocks: int) -> DataFrame:
-    chunks = max(1, -(-rows.count() // CHUNK_ROWS))
+def _blocked_topk(rows: DataFrame, queries: DataFrame, k: int, made: Codec | None, column: str, blocks: int, d: int) -> DataFrame:
+    chunks = max(1, -(-rows.count() // max(1, min(CHUNK_ROWS, CHUNK_VALUES // d))))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("chunk", every(chunks))
     x = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")).withColumn("block", every(blocks))

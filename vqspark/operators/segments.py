@@ -145,6 +145,62 @@ def encode_fractional(df: DataFrame, bits: float, policy: str = "dynamic_absmean
     return encode_split(df, select_channels(scores, keys, n), bits, kinds, keys, policy=allocation)
 
 
+def split_codes(df: DataFrame, masks: DataFrame, bits: float, keys: list[str], d: int = 64, allocation: str = "blend") -> tuple[DataFrame, DataFrame]:
+    """What fractional plain codes store: rows with packed codes and a scale for each sub-space, and one row of metadata for
+    each segment (dim, low, high, places of the outliers in ascending order), without which they can't be read."""
+    low, high, n = C.resolve_bits(bits, d, allocation)
+    regular, outlier = codec("mse", d - n, low), codec("mse", n, high)
+
+    def packed(codes: np.ndarray, width: int) -> pa.Array:
+        flat = (codes.astype(np.int64)[:, :, None] >> np.arange(width) & 1).astype(np.uint8).reshape(len(codes), -1)
+        return pa.array([r.tobytes() for r in np.packbits(flat, axis=1, bitorder="little")], pa.binary())
+
+    def work(x: np.ndarray, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        on, out = matrix(batch.column("mask")) > 0, {}
+        for name, part, m in (("regular", x[~on], regular), ("outlier", x[on], outlier)):
+            codes, scale = m.encode(part.reshape(len(x), -1))
+            out |= {name: packed(codes, m.bits), f"{name}_scale": pa.array(scale)}
+        return out
+
+    rows = map_vectors(df.join(masks, keys), "vec", "regular binary, regular_scale double, outlier binary, outlier_scale double", work).drop("vec", "mask")
+    places = F.filter(F.transform("mask", lambda m, i: F.when(m, i.cast("smallint"))), lambda i: i.isNotNull())
+    return rows, masks.select(*keys, F.lit(d).alias("dim"), F.lit(low).alias("low"), F.lit(high).alias("high"), places.alias("outliers"))
+
+
+def join_codes(codes: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """vec_hat from what `split_codes` has made, of any widths and dimensions; codes without their segment are an error."""
+    ship(codes.sparkSession)
+    held = codes.join(segments, keys, "left").withColumn("outliers", F.coalesce("outliers", F.raise_error(F.lit("codes without their segment")).cast("array<smallint>")))
+    names = [c for c in codes.columns if c not in ("regular", "regular_scale", "outlier", "outlier_scale")]
+    types = dict(held.dtypes)
+    schema = ", ".join(f"`{n}` {types[n]}" for n in names) + ", vec_hat array<double>"
+
+    def unpacked(column: pa.Array, n: int, width: int) -> np.ndarray:
+        flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+        return np.unpackbits(flat, axis=1, bitorder="little")[:, : n * width].reshape(len(column), n, width) @ (1 << np.arange(width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out: list = [None] * batch.num_rows
+            n = batch.column("outliers").to_pylist()
+            shapes = list(zip(batch.column("dim").to_pylist(), map(len, n), batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True))
+            for shape in set(shapes):
+                d, count, low, high = shape
+                rows = np.array([i for i, s in enumerate(shapes) if s == shape])
+                some = batch.take(pa.array(rows))
+                on, hat = np.zeros((len(rows), d), dtype=bool), np.empty((len(rows), d))
+                on[np.arange(len(rows))[:, None], np.array([n[i] for i in rows])] = True
+                for name, part, m in (("regular", ~on, codec("mse", d - count, low)), ("outlier", on, codec("mse", count, high))):
+                    hat[part] = m.decode(unpacked(some.column(name), m.d, m.bits), some.column(f"{name}_scale").to_numpy()).reshape(-1)
+                for i, v in zip(rows, hat, strict=True):
+                    out[i] = v
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(out, pa.list_(pa.float64()))], names=[*names, "vec_hat"])
+
+    return held.mapInArrow(run, schema)
+
+
 def pick_by_segment(errors: DataFrame, keys: list[str], names: list[str], prefix: str = "sse_") -> DataFrame:
     """keys and kind: the candidate of the least summed error; the first one wins ties."""
     sums = errors.groupBy(*keys).agg(*[F.sum(prefix + n).alias(n) for n in names])

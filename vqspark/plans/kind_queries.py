@@ -186,6 +186,20 @@ _SIGN_ERRORS = ", ".join(f"avg({Q._apart('vec', f'list_transform(u_{k}_{b}, lamb
 _add("sign_search", _sign_search, f"WITH {X.KV_CTE}, {_SIGN_HATS}, e AS (SELECT layer, side, {_SIGN_ERRORS} FROM s{_SIGNS - 1}_3 GROUP BY 1, 2), c AS (SELECT layer, side, unnest([" + ", ".join(f"{{'k': {k}, 's': (e_{k}_2 / e_0_2 + e_{k}_3 / e_0_3) / 2}}" for k in range(_SIGNS)) + "]) AS c FROM e) SELECT layer, side, CAST(arg_min(c.k, c.s) AS INT) AS choice, round(min(c.s), 6) AS score FROM c GROUP BY 1, 2")
 
 
+def _fractional_signs(s, d):  # noqa: ANN001, ANN202
+    found = K.search_transforms(X.kv_states(s, d), [C.signed_hadamard(D, k) for k in range(3)], [2.5], ["layer", "side"])
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _fractional_sign_sql(k: int) -> str:
+    """Error of candidate k by layer and side at 2.5 bits: its own 32 coordinates of the high width, scales that fit best."""
+    return f"""y{k} AS MATERIALIZED (SELECT kv.*, list_transform(m, lambda r: {Q._dot('r', 'vec')} / greatest(sqrt({Q._sq('vec')}), {V.EPS!r})) AS y FROM kv, (SELECT {Q._matrix(C.signed_hadamard(D, k))} AS m)),
+    z{k} AS MATERIALIZED (SELECT vec_id, layer, side, i, y[i] AS y, {_snap('y[i]', 2)} AS lo, {_snap('y[i]', 3)} AS hi FROM y{k}, range(1, 65) t(i)),
+    t{k} AS (SELECT layer, side, i, row_number() OVER (PARTITION BY layer, side ORDER BY sum((y - lo) ** 2 - (y - hi) ** 2) DESC, i) <= 32 AS hot FROM z{k} GROUP BY 1, 2, 3),
+    f{k} AS (SELECT layer, side, vec_id, sum(y * CASE WHEN hot THEN hi ELSE lo END) AS yh, sum((CASE WHEN hot THEN hi ELSE lo END) ** 2) AS hh FROM z{k} JOIN t{k} USING (layer, side, i) GROUP BY ALL),
+    e{k} AS (SELECT f{k}.layer, f{k}.side, {k} AS k, avg({Q._sq('vec')} * (1 - yh * yh / hh)) AS e FROM f{k} JOIN kv USING (vec_id) GROUP BY 1, 2)"""
+
+
 def _rotation_by_attention(s, d):  # noqa: ANN001, ANN202
     """The rotation of the least attention output error by layer, for values."""
     kv = X.kv_states(s, d)
@@ -290,7 +304,10 @@ UNION ALL SELECT h.seq_id, h.layer, h.pos, round(avg(w.w * {Q._apart('h.vec', 'l
 ORACLE_SQL["attention_output_error"] = f"""WITH {Q._ERR}, o AS (SELECT w.seq_id, w.layer, q_head, q_pos, i, sum(w.p * (h.vec[i] - h.nrm * h.u[i])) AS o FROM pr w JOIN h ON {_MEET}, range(1, 65) t(i) GROUP BY ALL) SELECT layer, round(avg(o * o), 7) AS error FROM o GROUP BY 1"""
 ORACLE_SQL["entropy_guard"] = f"""{Q._ATT}, r AS (SELECT seq_id, layer, avg(CASE WHEN n > 1 THEN h / ln(n) ELSE 0 END) AS r FROM (SELECT seq_id, layer, q_head, q_pos, -sum(p * ln(p)) AS h, count(*) AS n FROM pr GROUP BY ALL) GROUP BY 1, 2)
 SELECT DISTINCT seq_id, layer, CASE WHEN r <= 0.999 THEN 'outlier_hadamard_mse' ELSE 'mse' END AS kind FROM kv LEFT JOIN r USING (seq_id, layer)"""
-ORACLE_SQL["protect_attention_error"] = f"{Q._SPOTS} SELECT side, CAST(sum(k) AS BIGINT) AS n_raw FROM (SELECT side, max({Q._NRAW}) AS k FROM c GROUP BY seq_id, layer, side) GROUP BY 1"
+ORACLE_SQL["protect_attention_error"] = f"""WITH {Q._ERR}, {_SH}, w AS (SELECT seq_id, layer, kv_head, pos, avg(p) AS w FROM pr GROUP BY ALL),
+e AS (SELECT seq_id, layer, pos, avg(p * abs(score - sh)) AS e, 'key' AS side FROM ph GROUP BY 1, 2, 3 UNION ALL SELECT h.seq_id, h.layer, h.pos, avg(w.w * {Q._apart('h.vec', 'list_transform(h.u, lambda x: x * h.nrm)')}), 'value' FROM h JOIN w ON {_MEET} GROUP BY 1, 2, 3),
+s AS (SELECT DISTINCT seq_id, layer, side, pos FROM kv), c AS (SELECT *, count(*) OVER (PARTITION BY seq_id, layer, side) AS n, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY pos) = 1 AS sink FROM s)
+SELECT seq_id, layer, side, pos, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY sink DESC, e DESC NULLS LAST, pos DESC) <= {Q._NRAW} AS is_raw FROM c LEFT JOIN e USING (seq_id, layer, side, pos)"""
 _GAINS = f"WITH {X.KV_CTE}, {Q._hat('h2', 'kv', 'vec', Q.ROT, 2, tag='2')}, {Q._hat('h3', 'h2', 'vec', Q.ROT, 3, tag='3')}, g AS MATERIALIZED (SELECT seq_id, layer, side, i, avg((vec[i] - nrm2 * u2[i]) ** 2 - (vec[i] - nrm3 * u3[i]) ** 2) AS g FROM h3, range(1, 65) t(i) GROUP BY ALL)"
 _add("error_gain_masks", lambda s, d: Q._mask_text(S.select_channels(S.channel_scores(X.kv_states(s, d), "error_gain", 2.5, list(SEG)), list(SEG), 32)),
      f"{_GAINS}, t AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY g DESC, i) <= 32 AS hot FROM g) SELECT seq_id, layer, side, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3")
@@ -334,7 +351,21 @@ ORACLE_SQL["channels_sensitivity"] = _COUNTS.format(more="", head="")
 for _policy in ("head_dynamic_absmean", "head_error_gain"):
     ORACLE_SQL[f"channels_{_policy}"] = _COUNTS.format(more=", count(*) AS n_segments", head=", head")
 ORACLE_SQL["channels_joint"] = f"SELECT seq_id, layer, CAST(sum(n) AS BIGINT) AS n_channels, CAST(min(n) AS INT) AS least FROM (SELECT seq_id, layer, len(replace(mask, '0', '')) AS n FROM ({ORACLE_SQL['joint_masks']})) GROUP BY 1, 2"
-ORACLE_SQL["attention_channels"] = f"{Q._ATT} SELECT DISTINCT seq_id, layer, 'key' AS side, CAST(32 AS INT) AS n FROM pr"
-ORACLE_SQL["code_table"] = f"WITH {X.KV_CTE}, {Q._hat('h', 'kv', 'vec', Q.ROT, 3)} SELECT vec_id, layer, side, round(nrm * sqrt({Q._sq('u')}), 4) AS norm FROM h"
+ORACLE_SQL["attention_channels"] = f"""WITH {X.KV_CTE}, {X.q_cte()}, {Q._PROBS}, {Q._hat('h2', 'kv', 'vec', Q.ROT, 2, tag='2')}, {Q._hat('h3', 'h2', 'vec', Q.ROT, 3, tag='3')}, w AS (SELECT vec_id, avg(p) AS w FROM pr GROUP BY 1),
+g AS (SELECT seq_id, layer, side, i, avg(w * greatest((vec[i] - nrm2 * u2[i]) ** 2 - (vec[i] - nrm3 * u3[i]) ** 2, 0)) AS g FROM h3 JOIN w USING (vec_id), range(1, 65) t(i) GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY g DESC, i) <= 32 AS hot FROM g) SELECT seq_id, layer, side, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3"""
 for _kind in ("pca", "second_hadamard"):
     ORACLE_SQL[f"transform_{_kind}"] = "SELECT DISTINCT CASE WHEN vec_id % 2 = 0 THEN 'key' ELSE 'value' END AS side, 0.0::DOUBLE AS distance FROM embeddings"
+_add("sign_search_2p5", _fractional_signs, f"WITH {X.KV_CTE}, " + ", ".join(_fractional_sign_sql(k) for k in range(3)) + """
+SELECT a.layer, a.side, CAST(arg_min(a.k, a.e) AS INT) AS choice, round(min(a.e / b.e), 6) AS score FROM (SELECT * FROM e0 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2) a JOIN e0 b ON a.layer = b.layer AND a.side = b.side GROUP BY 1, 2""")
+_FACTOR2 = {
+    "lowbit_gain_mse": f"nrm * {C.gain(D, 2)!r}", "lowbit_half_gain_mse": f"nrm * {1 + (C.gain(D, 2) - 1) / 2!r}",
+    "lowbit_clipped_gain_mse": f"nrm * least(greatest({Q._dot('vec', 'u')} / {Q._sq('u')} / nrm, 1), {C.gain(D, 2)!r})",
+}
+ORACLE_SQL["lowbit_variants_2"] = f"WITH {X.VECTORS_CTE}, {Q._hat('h', 'vectors', 'vec', Q.ROT, 2)} SELECT label, " + ", ".join(
+    [f"round(avg({Q._apart('vec', f'list_transform(u, lambda x: x * {f})')}), 5) AS {k}" for k, f in _FACTOR2.items()]
+    + [f"round(avg(least({Q._apart('vec', 'list_transform(u, lambda x: x * nrm)')}, {Q._apart('vec', 'list_transform(u, lambda x: x * ' + _FACTOR2['lowbit_gain_mse'] + ')')})), 5) AS lowbit_selected_gain_mse"]
+) + " FROM h GROUP BY 1"
+ORACLE_SQL["code_table"] = f"WITH {X.KV_CTE}, {Q._hat('h', 'kv', 'vec', Q.ROT, 3)} SELECT vec_id, layer, side, round(nrm * sqrt({Q._sq('u')}), 4) AS norm, array_to_string(codes, ',') AS codes FROM h"
+ORACLE_SQL["fractional_codes"] = Q._SPLIT_SQL.replace("GAIN", "1.0")
+ORACLE_SQL["encode_segment_stream"] = Q._SPLIT_SQL.replace("GAIN", "1.0").replace("seq_id, layer, side", "seq_id, layer, side, pos")

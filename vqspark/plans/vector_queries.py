@@ -99,6 +99,7 @@ def _gain_sql(bits: int) -> str:
 
 _add("gain_variants_mse", lambda s, d: V.roundtrip(X.vectors(s, d), "vec", {k: V.codec(k, D, 2) for k in _GAINS}).groupBy("label").agg(*[F.round(F.avg(f"sse_{k}"), 5).alias(k) for k in _GAINS]), _gain_sql(2))
 _LOW = ["lowbit_gain_mse", "lowbit_half_gain_mse", "lowbit_clipped_gain_mse", "lowbit_selected_gain_mse"]
+_add("lowbit_variants_2", lambda s, d: V.roundtrip(X.vectors(s, d), "vec", {k: V.codec(k, D, 2) for k in _LOW}).groupBy("label").agg(*[F.round(F.avg(f"sse_{k}"), 5).alias(k) for k in _LOW]))
 _add("lowbit_variants", lambda s, d: V.roundtrip(X.vectors(s, d), "vec", {k: V.codec(k, D, 3) for k in _LOW}).groupBy("label").agg(*[F.round(F.avg(f"sse_{k}"), 5).alias(k) for k in _LOW]),
      f"WITH {X.VECTORS_CTE}, {_hat('h', 'vectors', 'vec', ROT, 3)}, e AS (SELECT label, {_apart('vec', 'list_transform(u, lambda x: x * nrm)')} AS e FROM h) SELECT label, " + ", ".join(f"round(avg(e), 5) AS {k}" for k in _LOW) + " FROM e GROUP BY 1")
 _add("block2_mse", lambda s, d: V.roundtrip(_plain(s, d), "vec", {"b": V.codec("mse_block2", D, 2)}).groupBy("label").agg(F.round(F.avg("sse_b"), 6).alias("mse")),
@@ -239,7 +240,7 @@ _add("token_errors", lambda s, d: A.token_errors(X.q_states(s, d), _coded(s, d,
 _add("attention_error_metrics", lambda s, d: A.error_metrics(X.q_states(s, d), _coded(s, d, "key"), ["layer", "q_head"]).select("layer", "q_head", *(F.round(c, 6).alias(c) for c in ("score_mae", "score_rmse", "prob_mae", "prob_l1", "top1_match"))))
 _add("attention_output_error", lambda s, d: A.output_error(X.q_states(s, d), _keys(s, d), _coded(s, d, "value"), ["layer"]).withColumn("error", F.round("error", 7)))
 _add("entropy_guard", lambda s, d: A.guard_by_entropy(X.kv_states(s, d).select("seq_id", "layer").distinct(), A.entropy_ratio(A.attention_probs(X.q_states(s, d), _keys(s, d)), ["seq_id", "layer"]), ["seq_id", "layer"], 0.999, "outlier_hadamard_mse").select("seq_id", "layer", "kind"))
-_add("attention_channels", lambda s, d: S.select_channels(S.channel_scores(_keys(s, d).join(A.token_weights(X.q_states(s, d), _keys(s, d)), ["seq_id", "layer", "head", "pos"]), "attention_error_gain", 2.5, SEG, weight="weight"), SEG, 32).select(*SEG, F.size(F.filter("mask", lambda m: m)).alias("n")))
+_add("attention_channels", lambda s, d: S.select_channels(S.channel_scores(_keys(s, d).join(A.token_weights(X.q_states(s, d), _keys(s, d)), ["seq_id", "layer", "head", "pos"]), "attention_error_gain", 2.5, SEG, weight="weight"), SEG, 32).select(*SEG, F.array_join(F.transform("mask", lambda m: m.cast("int").cast("string")), "").alias("mask")))
 
 
 def _attention_pick(s, d):  # noqa: ANN001, ANN202
@@ -322,6 +323,11 @@ _add("gram_moment", lambda s, d: K.second_moments(X.kv_states(s, d), ["layer", "
      f"WITH {X.KV_CTE}, u AS (SELECT layer, side, list_transform(vec, lambda x: x / sqrt({_sq('vec')})) AS u FROM kv) SELECT layer, side, CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(avg(u[i] * u[j]), 6) AS value FROM u, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY ALL")
 for _k in ("pca", "whiten", "second_hadamard"):
     _add(f"transform_{_k}", lambda s, d, k=_k: K.orthogonality(K.transforms(K.second_moments(X.kv_states(s, d), ["side"]), ["side"], k), ["side"], D).withColumn("distance", F.round("distance", 4)))
+_add("covariance", lambda s, d: K.covariance(X.kv_states(s, d), ["layer", "side"]).filter("i <= j").withColumn("value", F.round("value", 8)),
+     f"WITH {X.KV_CTE}, u AS (SELECT layer, side, list_transform(vec, lambda x: x / sqrt({_sq('vec')})) AS u FROM kv) SELECT layer, side, CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(covar_samp(u[i], u[j]), 8) AS value, count(*) AS n FROM u, range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j GROUP BY ALL")
+_add("static_query_scores", lambda s, d: K.static_scores(X.kv_states(s, d), "seq_id", queries=X.q_states(s, d, 2)).withColumn("score", F.round("score", 6)),
+     f"""WITH {X.KV_CTE}, {X.q_cte(2)}, cells AS (SELECT layer, side, seq_id, i, vec[i] AS x FROM kv, range(1, 65) t(i) WHERE side = 'value' UNION ALL SELECT layer, 'key', seq_id, i, q[i] FROM queries, range(1, 65) t(i))
+    SELECT layer, side, CAST(i - 1 AS INT) AS ch, round(avg(m), 6) AS score FROM (SELECT layer, side, seq_id, i, avg(x * x) AS m FROM cells GROUP BY ALL) GROUP BY ALL""")
 _add("static_channel_scores", lambda s, d: K.static_scores(X.kv_states(s, d), "seq_id").withColumn("score", F.round("score", 6)),
      f"WITH {X.KV_CTE}, {_LONG} SELECT layer, side, CAST(i - 1 AS INT) AS ch, round(avg(m), 6) AS score FROM (SELECT layer, side, seq_id, i, avg(x * x) AS m FROM long GROUP BY ALL) GROUP BY ALL")
 _METRIC = "metric AS (SELECT layer, head, avg(list_sum(list_transform(vec, lambda x: x * x))) AS metric FROM kv GROUP BY ALL)"
@@ -359,7 +365,7 @@ _add("choose_rotation", lambda s, d: S.rotation_bank(X.kv_states(s, d), 2, 4, "s
 
 def _protect_attention(s, d):  # noqa: ANN001, ANN202
     weights = A.token_errors(X.q_states(s, d), _coded(s, d, "key"), _coded(s, d, "value")).withColumnRenamed("error", "weight")
-    return _spots(P.protect(X.kv_states(s, d), P.raw_by_ratio(F.col("length"), 2.0, 0.5), "attention_error", 1, importance=weights)).groupBy("side").agg(F.sum(F.col("is_raw").cast("long")).alias("n_raw"))
+    return _spots(P.protect(X.kv_states(s, d), P.raw_by_ratio(F.col("length"), 2.0, 0.5), "attention_error", 1, importance=weights))
 
 
 _add("protect_attention_error", _protect_attention)

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..session import ship
+from . import arrow_files
 
 RESULT_SCHEMA = "dataset string, index bigint, method string, bits double, prompt_tokens bigint, prediction string, answers array<string>, score double"
 
@@ -37,9 +47,42 @@ def split_database_queries(df: DataFrame, key: str, n_database: int, n_queries:
     return df.filter(F.col(key) <= a), df.filter((F.col(key) > a) & (F.col(key) <= b))
 
 
-def read_eval_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All shards as one table; columns are matched by name and may be missing."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(p) for p in paths])
+def read_shard(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """One shard by its suffix: Arrow files, JSON lines, or Parquet where there is none. A schema prunes Arrow's columns."""
+    suffix = path.rstrip("/").rpartition(".")[2]
+    if suffix in ("arrow", "feather", "ipc", "arrows"):
+        ship(spark)
+        arrow_files.register(spark)
+        reader = spark.read.format(arrow_files.NAME)
+        return (reader.schema(schema) if schema else reader).load(path)
+    if suffix in ("json", "jsonl"):
+        return (spark.read.schema(schema) if schema else spark.read).json(path)
+    found = spark.read.parquet(path)
+    return found if schema is None else found.select(*[c for c in StructType.fromDDL(schema).names if c in found.columns])
+
+
+def read_eval_rows(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
+    """All shards, of any of these forms, as one table; columns are matched by name and may be missing."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read_shard(spark, p, schema) for p in paths])
+
+
+def write_arrow(df: DataFrame, path: str) -> None:
+    """One Arrow file for each task's rows in a folder; files of a task that is run again replace those it has left."""
+    ship(df.sparkSession)
+    schema, arrow = df.schema, to_arrow_schema(df.schema)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa.fs.FileSystem.from_uri(path.replace("file:///", "/"))
+        fs.create_dir(root)
+        name, n = f"{root}/part-{TaskContext.get().partitionId():05d}.arrow", 0
+        with fs.open_output_stream(f"{name}.{TaskContext.get().taskAttemptId()}") as out, pa.ipc.new_file(out, arrow) as file:
+            for batch in batches:
+                file.write_batch(pa.record_batch(batch.columns, schema=arrow))
+                n += batch.num_rows
+        fs.move(f"{name}.{TaskContext.get().taskAttemptId()}", name)
+        yield pa.record_batch([pa.array([n])], names=["n"])
+
+    df.select(*schema.names).mapInArrow(write, "n bigint").collect()  # one number for each task
 
 
 def read_results(spark: SparkSession, paths: list[str], schema: str = RESULT_SCHEMA) -> DataFrame:
@@ -104,3 +147,23 @@ def write_codes(codes: DataFrame, path: str) -> None:
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_coded(codes: DataFrame, segments: DataFrame, path: str) -> str:
+    """Codes and the metadata of their segments as two tables of one version, which is published by a last small write.
+
+    `codes` has layer and side, by which it is partitioned. A reader sees the version that was published last, whole; what a
+    write that failed has left is never read.
+    """
+    version = uuid.uuid4().hex
+    codes.write.partitionBy("layer", "side").parquet(f"{path}/{version}/codes")
+    segments.write.parquet(f"{path}/{version}/segments")
+    codes.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{path}/published")
+    return version
+
+
+def read_coded(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Codes and segments of the version that was published last."""
+    published = spark.read.schema("version string").json(f"{path}/published").select("version", "_metadata.file_modification_time", "_metadata.file_name")
+    version = published.orderBy(F.desc("file_modification_time"), F.desc("file_name")).first().version
+    return spark.read.parquet(f"{path}/{version}/codes"), spark.read.parquet(f"{path}/{version}/segments")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.codec import Codec, encode
+from ..operators.codec import Codec, encode, pack
 from ..operators.segments import encode_fractional
 
 
@@ -25,9 +25,30 @@ def encode_segments(stream: DataFrame, bits: float, path: str, checkpoint: str)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running_sizes(stream: DataFrame, d: int, bits: int) -> DataFrame:
-    """Positions and bytes so far, by sequence and layer: a streaming aggregate for update mode."""
-    return stream.groupBy("seq_id", "layer").agg(F.count("*").alias("n"), F.sum(F.lit(-(-d * bits // 8) + 2)).alias("bytes"))
+def running_sizes(stream: DataFrame, made: Codec) -> DataFrame:
+    """Positions and bytes so far, by sequence and layer: a streaming aggregate over the packed codes and two-byte scales."""
+    coded = pack(encode(stream, "vec", made), made.bits)
+    return coded.groupBy("seq_id", "layer").agg(F.count("packed").alias("n"), F.sum(F.octet_length("packed") + 2).alias("bytes"))
+
+
+def keep_state(aggregate: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """A streaming aggregate in update mode into a table: each micro-batch writes what has changed as its own partition.
+
+    A micro-batch that is run again after a failure replaces its partition, so restarts from the checkpoint leave the same
+    rows. No row passes through the driver. See `current_state`.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return aggregate.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def current_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last row of every key that `keep_state` has written."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*")
 
 
 def phase_kind(df: DataFrame, keys: list[str], prefill: str, step: str) -> DataFrame:
