@@ -19,15 +19,14 @@ def write_file(path, batches, stream=False):
             out.write_batch(b)
 
 
-def test_arrow_files_streams_and_columns(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(arrow_files, "BATCHES", 2)
+def test_arrow_files_streams_and_columns(spark, tmp_path):
     batch = lambda a, n: pa.record_batch({"a": pa.array(range(a, a + n), pa.int64()), "b": pa.array([None if i == a else str(i) for i in range(a, a + n)], pa.string()), "c": pa.array([[float(i)] for i in range(a, a + n)], pa.list_(pa.float64()))})
     write_file(tmp_path / "one.arrow", [batch(0, 5), batch(5, 0), batch(5, 3), batch(8, 1)])
     write_file(tmp_path / "two.arrows", [batch(9, 2)], stream=True)
     write_file(tmp_path / "three.feather", [pa.record_batch({"a": pa.array([11], pa.int64()), "d": [True]})])
     (tmp_path / "_SUCCESS").write_text("")
     arrow_files.register(spark)
-    whole = spark.read.format("arrow_ipc").load(str(tmp_path))
+    whole = spark.read.format("arrow_ipc").option("batches", 2).load(str(tmp_path))
     rows = sorted(map(tuple, whole.select("a", "b", "c", "d").collect()))
     assert rows == [(i, None if i in (0, 5, 8, 9, 11) else str(i), None if i == 11 else [float(i)], True if i == 11 else None) for i in range(12)]
     assert whole.rdd.getNumPartitions() == 4  # two runs of batches of the first file

@@ -274,6 +274,10 @@ def dot(a, b) -> F.Column:  # noqa: ANN001
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Farthest pairs that are looked at for each empty centroid.
+POOL = 16
+
+
 @dataclass(frozen=True)
 class Blocks:
     """Fitted block centroids, the rounds that were taken, and how far centroids moved in the last one."""
@@ -292,7 +296,8 @@ def product_blocks(d: int, bits: int) -> np.ndarray:
 def lloyd_blocks(samples: DataFrame, start: np.ndarray, most_rounds: int = 60, least_move: float = 1e-7) -> Blocks:
     """Lloyd's rounds over the pairs in the lists of `y`; a task sends sums for each centroid, the driver holds centroids.
 
-    A centroid that no pair is nearest to goes to the pair that is farthest from its own; several go to as many pairs.
+    A centroid that no pair is nearest to goes to the pair that is farthest from all centroids; several take one after the
+    other from the POOL farthest pairs for each.
     Samples without any pair leave the start as it is.
     """
     ship(samples.sparkSession)
@@ -327,16 +332,18 @@ def lloyd_blocks(samples: DataFrame, start: np.ndarray, most_rounds: int = 60, l
             return Blocks(start, k, 0.0)
         if empty:
 
-            def far(batches: Iterator[pa.RecordBatch], held: np.ndarray = held, most: int = len(empty)) -> Iterator[pa.RecordBatch]:
+            def far(batches: Iterator[pa.RecordBatch], held: np.ndarray = held, most: int = POOL * len(empty)) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     pairs = pairs_of(batch)
                     apart = nearest(pairs, held)[1]
                     top = np.argsort(-apart, kind="stable")[:most]
                     yield pa.record_batch([pa.array(apart[top]), pa.array(pairs[top, 0]), pa.array(pairs[top, 1])], names=["apart", "a", "b"])
 
-            found = samples.mapInArrow(far, "apart double, a double, b double").distinct().orderBy(F.desc("apart"), "a", "b").limit(len(empty)).collect()
-            for at, r in zip(empty, found, strict=False):
-                centers[at] = r.a, r.b
+            found = samples.mapInArrow(far, "apart double, a double, b double").distinct().orderBy(F.desc("apart"), "a", "b").limit(POOL * len(empty)).collect()
+            pool, apart = np.array([(r.a, r.b) for r in found]), np.array([r.apart for r in found])
+            for at in empty[: len(pool)]:
+                centers[at] = pool[apart.argmax()]
+                apart = np.minimum(apart, ((pool - centers[at]) ** 2).sum(1))
         moved = float(np.abs(centers - held).max())
         if moved < least_move:
             break

@@ -2,7 +2,7 @@
 
 Files are listed by pyarrow's file systems (local, hdfs://, s3:// and others by address). A file with a footer is cut into
 runs of record batches, which are read apart; a stream is one piece. With a schema of some columns only these are read from
-files; columns that a file lacks are null.
+files; columns that a file lacks are null. The option `batches` is the number of record batches that one task reads.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 NAME = "arrow_ipc"
-#: Record batches of a file that one task reads.
+#: Record batches of a file that one task reads, unless the option `batches` says otherwise.
 BATCHES = 64
 
 
@@ -72,19 +72,19 @@ class ArrowFiles(DataSource):
         return from_arrow_schema(merged)
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ArrowReader(schema, self.options["path"])
+        return ArrowReader(schema, self.options["path"], int(self.options.get("batches", BATCHES)))
 
 
 class ArrowReader(DataSourceReader):
-    def __init__(self, schema: StructType, path: str) -> None:
-        self.columns, self.path, self.arrow = schema.names, path, to_arrow_schema(schema)
+    def __init__(self, schema: StructType, path: str, batches: int) -> None:
+        self.columns, self.path, self.arrow, self.batches = schema.names, path, to_arrow_schema(schema), batches
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for path in files(self.path):
             reader = _reader(path)
             n = getattr(reader, "num_record_batches", None)
-            out += [Piece(path, 0, None)] if n is None else [Piece(path, a, min(n, a + BATCHES)) for a in range(0, n, BATCHES)]
+            out += [Piece(path, 0, None)] if n is None else [Piece(path, a, min(n, a + self.batches)) for a in range(0, n, self.batches)]
         return out or [Piece("", 0, 0)]
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
