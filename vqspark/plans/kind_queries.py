@@ -106,7 +106,6 @@ _add("kind_attention_auto_mse", _coded("attention_auto_mse", 2, queries=True))
 _SCALED = f"""WITH {Q._ERR}, f AS (SELECT pr.vec_id, greatest(sum(score * 0.125 * {Q._dot('pr.q', 'h.u')}) / sum((0.125 * {Q._dot('pr.q', 'h.u')}) ** 2), 0) AS f FROM pr JOIN h USING (vec_id) GROUP BY 1)
 SELECT layer, side, round(avg({Q._apart('vec', "list_transform(u, lambda x: x * CASE WHEN side = 'key' THEN coalesce(f, nrm) ELSE nrm END)")}), 6) AS mse, count(*) AS n FROM h LEFT JOIN f USING (vec_id) GROUP BY 1, 2"""
 _add("kind_attention_scale_mse", _coded("attention_scale_mse", 2, queries=True), _SCALED)
-_add("joint_attention_channels", lambda s, d: N.channel_masks(X.kv_states(s, d), 2.5, _at(s, d, True, policy="joint_attention_error_gain")).groupBy("seq_id", "layer").agg(F.sum(F.size(F.filter("mask", lambda m: m))).alias("n_channels"), F.count("*").alias("sides")))
 
 
 def _by_layer_sql(seed: int) -> str:
@@ -321,6 +320,14 @@ _add("sensitivity_masks", lambda s, d: Q._mask_text(S.select_channels(S.channel_
 _add("joint_masks", lambda s, d: Q._mask_text(S.joint_channels(S.channel_scores(X.kv_states(s, d), "error_gain", 2.5, list(SEG)), 64, D, list(SEG))),
      f"""{_GAINS}, n AS (SELECT *, greatest(g, 0) / greatest(avg(greatest(g, 0)) OVER (PARTITION BY seq_id, layer, side), 1e-30) AS v FROM g), p AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY v DESC, i) AS place FROM n),
     t AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer ORDER BY place > 1, place = 64, v DESC, side, i) <= 64 AND place < 64 AS hot FROM p) SELECT seq_id, layer, side, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3""")
+_add("joint_attention_channels", lambda s, d: Q._mask_text(N.channel_masks(X.kv_states(s, d), 2.5, _at(s, d, True, policy="joint_attention_error_gain"))),
+     f"""WITH {X.KV_CTE}, {X.q_cte()}, {Q._PROBS}, {Q._hat('h2', 'kv', 'vec', Q.ROT, 2, tag='2')}, {Q._hat('h3', 'h2', 'vec', Q.ROT, 3, tag='3')},
+    w AS (SELECT seq_id, layer, kv_head AS head, pos, 'key' AS side, avg(p) AS w FROM pr GROUP BY ALL UNION ALL SELECT seq_id, layer, kv_head, pos, 'value', avg(p * p) FROM pr GROUP BY ALL),
+    en AS (SELECT seq_id, layer, kv_head AS head, 'key' AS side, i, avg(q[i] * q[i]) AS en FROM queries, range(1, 65) t(i) GROUP BY ALL),
+    r AS (SELECT h3.*, i, greatest((vec[i] - nrm2 * u2[i]) ** 2 - (vec[i] - nrm3 * u3[i]) ** 2, 0) AS gain FROM h3, range(1, 65) t(i)),
+    g AS MATERIALIZED (SELECT seq_id, layer, side, i, avg(gain * coalesce(w, 1) * coalesce(en, 1)) AS g FROM r LEFT JOIN w USING (seq_id, layer, head, pos, side) LEFT JOIN en USING (seq_id, layer, head, side, i) GROUP BY ALL),
+    n AS (SELECT *, g / greatest(avg(g) OVER (PARTITION BY seq_id, layer, side), 1e-30) AS v FROM g), p AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer, side ORDER BY v DESC, i) AS place FROM n),
+    t AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer ORDER BY place > 1, place = 64, v DESC, side, i) <= 64 AND place < 64 AS hot FROM p) SELECT seq_id, layer, side, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3""")
 _HEADS = f"WITH {X.KV_CTE}, {Q._LONG}, c AS (SELECT seq_id, layer, side, head, i, avg(abs(x)) AS s FROM long GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY seq_id, layer, side, head ORDER BY round(s, 9) DESC, i) <= 32 AS hot FROM c)"
 _add("head_masks", lambda s, d: S.select_channels(S.channel_scores(X.kv_states(s, d), "head_dynamic_absmean", 2.5, list(SEG)), [*SEG, "head"], 32).select(*SEG, "head", F.array_join(F.transform("mask", lambda m: m.cast("int").cast("string")), "").alias("mask")),
      _HEADS + " SELECT seq_id, layer, side, head, string_agg(hot::INT::VARCHAR, '' ORDER BY i) AS mask FROM t GROUP BY 1, 2, 3, 4")
