@@ -139,3 +139,70 @@ def test_pipeline_edges(spark, data):
             docs = stage(spark, docs, data)
             assert name == "tokens" or docs.columns == list(corpus_pipeline.COLUMNS)
         docs.count()
+
+
+def plain_leader(texts, labels):
+    """Follow-the-regularised-leader with dictionaries over the n-grams themselves: a function that scores a text."""
+    import re
+
+    def grams(text):
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x09-\x0d\x20]+", (text or "").encode())
+        found = {}
+        for g in [(t,) for t in tokens] + ["same" if a == b else (a, b) for a, b in zip(tokens, tokens[1:], strict=False)]:
+            found[g] = found.get(g, 0) + 1
+        total = max(1, sum(found.values()))
+        return {g: n / total**0.5 for g, n in found.items()}
+
+    z, n = {}, {}
+    mean = (sum(labels) + 1) / (len(labels) + 2)
+    bias = np.log(mean / (1 - mean))
+
+    def weight(g):
+        if abs(z.get(g, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[g] - np.sign(z[g]) * quality.L1) / ((quality.BETA + n[g] ** 0.5) / quality.ALPHA + quality.L2)
+
+    def score(text):
+        return 1 / (1 + np.exp(-(bias + sum(weight(g) * x for g, x in grams(text).items()))))
+
+    for epoch in range(quality.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(texts)):
+            p, x = score(texts[i]), grams(texts[i])
+            held = {g: weight(g) for g in x}
+            for g, v in x.items():
+                step = (p - labels[i]) * v
+                sigma = ((n.get(g, 0.0) + step * step) ** 0.5 - n.get(g, 0.0) ** 0.5) / quality.ALPHA
+                z[g] = z.get(g, 0.0) + step - sigma * held[g]
+                n[g] = n.get(g, 0.0) + step * step
+    return score
+
+
+def test_quality_equals_a_plain_follow_the_regularised_leader(spark, data):
+    """All documents' scores, learnt from the labelled rows that aren't held out, against dictionaries without hashing."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    learnt = sorted(quality.labelled_sample(docs, labels, "quality").collect(), key=lambda r: r.doc_id)
+    score = plain_leader([r.text for r in learnt], [r.label for r in learnt])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    assert set(found) == set(texts) and len(learnt) > 20
+    # Two n-grams may share one of 2^18 weights: all but a few scores are equal to the digits of a single-precision weight.
+    gaps = np.array([abs(found[d].score - score(t)) for d, t in texts.items()])
+    assert (gaps < 1e-4).mean() > 0.9 and gaps.max() < 0.05
+    assert all(found[d].predicted == (found[d].score >= 0.3) for d in texts)
+
+
+def test_decontamination_stage_judges_rows_by_their_own_text(spark, data):
+    item = spark.read.parquet(f"{data}/benchmark.parquet").first().text
+    clean = [f"nothing of the kind stands in clean row number {i} of this small table, all of its words are its own" for i in range(4)]
+    rows = [(None, f"some words before {item} and after"), (None, clean[0]), (5, clean[1]), (5, f"again {item} here"), (5, clean[2]), (6, None), (7, clean[3]), (7, clean[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.decontamination(spark, docs, data)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([r for r in rows if r[1] is None or item not in r[1]], key=str)
+
+
+def test_addresses_of_thousands_of_digits():
+    for zeros in (5, 5000, 100_000):
+        text = "at " + "0" * zeros + "1.1.1.1 and " + "9" * zeros + ".1.1.1 and 0." + "0" * zeros + ".0.255"
+        spans = [s for s in pii.rule_spans(text) if pii.KINDS[s[0]] == "ip"]
+        assert [text[a:b].replace("0", "") for _, a, b in spans] == ["1.1.1.1", "...255"]
+        assert pii.proposals(text) is not None
