@@ -29,8 +29,9 @@ from .suffix_arrays import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 48
 SIDE = LENGTH - GRAM
-#: Different contexts of one anchor in one shard, bytes of a shard, and windows of a range when runs are merged.
-CONTEXTS, SHARD_BYTES, RANGE = 4096, 1 << 21, 400_000
+#: Different contexts of one anchor in one shard, bytes of a shard (three ranks of which fit into a word), and windows of a
+#: range when runs are merged.
+CONTEXTS, SHARD_BYTES, RANGE = 4096, 7 << 18, 400_000
 
 ANCHORS = "anchor bigint, context bigint, row_key bigint, at int, before int, size int"
 

@@ -17,31 +17,35 @@ def words8(text: np.ndarray) -> np.ndarray:
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in order of their suffixes, and the words that the order began with.
 
-    Ranks by h bytes give ranks by 2h: a group of equal rank is ordered by the rank h further on. Only groups with
-    several members are touched again.
+    Ranks by h bytes give ranks by 2h: a group of equal rank is ordered by the rank h further on; where three ranks fit into
+    a word also by that 2h further on, which gives ranks by 3h. Only groups with several members are touched again.
     """
     n = len(text)
     words = words8(text)
     order = np.argsort(words)
     ordered = words[order]
     head = np.r_[True, ordered[1:] != ordered[:-1]] if n else np.zeros(0, dtype=bool)
-    rank = np.zeros(n + 1, dtype=np.int64)
-    rank[n] = -1
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0)) if n else 0
-    h = 8
+    rank = np.zeros(n + 1, dtype=np.int32 if n < 1 << 31 else np.int64)  # from 1 on; what lies behind the end has 0
+    if n:
+        rank[order] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1), 0))
+    bits, h = n.bit_length(), 8
+    steps = 2 if 3 * bits < 64 else 1
     while True:
         several = np.flatnonzero(~head | ~np.r_[head[1:], True]) if n else head
         if not len(several):
             break
         at = order[several]
-        key = rank[at] << 32 | rank[np.minimum(at + h, n)] + 1
+        key = rank[at].astype(np.int64)
+        for k in range(1, steps + 1):
+            key <<= bits
+            key |= rank[np.minimum(at + k * h, n)]
         turn = np.argsort(key)
         key, at = key[turn], at[turn]
         order[several] = at
         new = np.r_[True, key[1:] != key[:-1]]
         head[several] = new
-        rank[at] = np.maximum.accumulate(np.where(new, several, 0))
-        h *= 2
+        rank[at] = np.maximum.accumulate(np.where(new, several + 1, 0))
+        h *= steps + 1
     return order, words
 
 
