@@ -231,9 +231,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(row_key, start, end): byte ranges, possibly overlapping, that together are what repeats."""
     spark = docs.sparkSession
     keyed = docs.select(row_key().alias("row_key"), "text").filter(F.octet_length("text") >= LENGTH)
-    # Anchors are written, as they are read twice; so are those seen again, so that the join has two shuffled sides and an
-    # anchor with many places can be split.
-    every = durable(keyed.mapInArrow(_find_anchors, ANCHORS))
+    # Anchors are found twice rather than written, which would take as much disk as the texts. Those seen again are written,
+    # so that the join has two shuffled sides and an anchor with many places can be split.
+    every = keyed.mapInArrow(_find_anchors, ANCHORS)
     seen = durable(every.groupBy("anchor").count().filter("count > 1").select("anchor"))
     again = durable(every.join(seen, "anchor"))
     contexts = again.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "at", "before", "size")).alias("one"))
