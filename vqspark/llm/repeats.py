@@ -33,6 +33,9 @@ SIDE = LENGTH - GRAM
 #: range when runs are merged.
 CONTEXTS, SHARD_BYTES, RANGE = 4096, 7 << 18, 400_000
 
+#: Bits of an anchor that the sieve looks at.
+SIEVE_BITS = 27
+
 ANCHORS = "anchor bigint, context bigint, row_key bigint, at int, before int, size int"
 
 
@@ -68,14 +71,41 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": row, "at": place - offsets[row], "anchor": hashes[place].view(np.int64), "before": place - start, "size": end - start, "context": context.view(np.int64)}
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = T.text_bytes(batch.column("text"))
-        keys = batch.column("row_key").to_numpy()
         for a, b in T.slices(offsets):
-            found = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            small = [pa.array(found[k].astype(np.int32)) for k in ("at", "before", "size")]
-            yield pa.record_batch([pa.array(found["anchor"]), pa.array(found["context"]), pa.array(keys[a + found["row"]]), *small], names=["anchor", "context", "row_key", "at", "before", "size"])
+            anchor, n = np.unique(anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])["anchor"], return_counts=True)
+            yield pa.record_batch([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
+
+
+def _find_anchors(sieve):  # noqa: ANN001, ANN202  a Spark broadcast
+    """Anchors that pass the sieve: all that are seen again, and a few others."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sieve.value
+        for batch in batches:
+            data, offsets = T.text_bytes(batch.column("text"))
+            keys = batch.column("row_key").to_numpy()
+            for a, b in T.slices(offsets):
+                found = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                bit = found["anchor"].view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+                some = np.flatnonzero(words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+                found = {k: v[some] for k, v in found.items()}
+                small = [pa.array(found[k].astype(np.int32)) for k in ("at", "before", "size")]
+                yield pa.record_batch([pa.array(found["anchor"]), pa.array(found["context"]), pa.array(keys[a + found["row"]]), *small], names=["anchor", "context", "row_key", "at", "before", "size"])
+
+    return work
+
+
+def _sieve(seen: DataFrame) -> np.ndarray:
+    """A bit for the leading bits of every anchor: 16 MB, whatever the number of anchors. Words come as sums of bits."""
+    bit = F.shiftrightunsigned("anchor", 64 - SIEVE_BITS)
+    mask = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    rows = seen.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(mask).alias("mask")).toArrow()
+    out = np.zeros(1 << SIEVE_BITS - 6, dtype=np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("mask").to_numpy().view(np.uint64)
+    return out
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +261,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(row_key, start, end): byte ranges, possibly overlapping, that together are what repeats."""
     spark = docs.sparkSession
     keyed = docs.select(row_key().alias("row_key"), "text").filter(F.octet_length("text") >= LENGTH)
-    # Anchors are found twice rather than written, which would take as much disk as the texts. Those seen again are written,
-    # so that the join has two shuffled sides and an anchor with many places can be split.
-    every = keyed.mapInArrow(_find_anchors, ANCHORS)
-    seen = durable(every.groupBy("anchor").count().filter("count > 1").select("anchor"))
-    again = durable(every.join(seen, "anchor"))
+    # Anchors are found twice rather than written, which would take as much disk as the texts: first counted, then those that
+    # pass a sieve of fixed size. Those seen again are written, so that the join, which is exact, has two shuffled sides and
+    # an anchor with many places can be split.
+    counts = keyed.select("text").mapInArrow(_count_anchors, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    seen = durable(counts.filter("n > 1").select("anchor"))
+    sieve = spark.sparkContext.broadcast(_sieve(seen))
+    again = durable(keyed.mapInArrow(_find_anchors(sieve), ANCHORS).join(seen, "anchor"))
     contexts = again.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "at", "before", "size")).alias("one"))
     contexts = durable(contexts)
     several = contexts.groupBy("anchor").count().filter("count > 1").select("anchor", F.ceil(F.col("count") / CONTEXTS).alias("shards"))
