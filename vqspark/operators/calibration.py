@@ -138,6 +138,14 @@ def orthogonality(transforms: DataFrame, keys: list[str], d: int) -> DataFrame:
     return gram.groupBy(*keys).agg(F.sqrt(F.sum((F.col("g") - (F.col("i") == F.col("j")).cast("double")) ** 2)).alias("distance"))
 
 
+def transformed_moments(transforms: DataFrame, moments: DataFrame, keys: list[str], d: int) -> DataFrame:
+    """keys, k, l, value: moments in the coordinates of a transform, as two products of d x d tables."""
+    cells = transforms.select(*keys, F.posexplode("forward").alias("at", "f")).select(*keys, F.expr(f"at div {d}").alias("k"), (F.col("at") % d).alias("i"), "f")
+    half = cells.join(moments.select(*keys, "i", "j", "value"), [*keys, "i"]).groupBy(*keys, "k", "j").agg(F.sum(F.col("f") * F.col("value")).alias("value"))
+    other = cells.select(*keys, F.col("k").alias("l"), F.col("i").alias("j"), "f")
+    return half.join(other, [*keys, "j"]).groupBy(*keys, "k", "l").agg(F.sum(F.col("f") * F.col("value")).alias("value"))
+
+
 def layer_bit_schedule(metrics: DataFrame, share: float, low: float, high: float) -> DataFrame:
     """The layers of the largest mean metric (over heads) get the high width; ties go to the lower layer."""
     means = metrics.groupBy("layer").agg(F.avg("metric").alias("metric"))

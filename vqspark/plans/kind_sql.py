@@ -6,8 +6,14 @@ and choices by segment are sums over them.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .. import fixtures as X
 from ..functions import constants as C
+from ..operators import calibration as M
 from . import kind_queries as K
 from . import vector_queries as Q
 
@@ -136,3 +142,23 @@ def _picked(base: str, values: tuple[str, str]) -> str:
 
 ORACLE_SQL["attention_pick_outlier_hadamard"] = _picked(_whole(2), ("v0", "v1"))
 ORACLE_SQL["attention_pick_regular_gain"] = _picked(_split(), ("w", "g"))
+
+
+def _moments(s, d):  # noqa: ANN001, ANN202
+    """Second moments after each transform that is made from them: trace, squares on the diagonal and off it."""
+    held = M.second_moments(X.kv_states(s, d), ["side"], unit=False)
+    parts = []
+    for kind in ("pca", "whiten", "second_hadamard"):
+        made = M.transformed_moments(M.transforms(held, ["side"], kind), held, ["side"], D)
+        on = F.col("k") == F.col("l")
+        total = lambda c, v: F.round(F.sum(F.when(c, v).otherwise(0.0)), 5)
+        parts.append(made.groupBy("side").agg(total(on, F.col("value")).alias("trace"), total(on, F.col("value") ** 2).alias("diagonal"), total(~on, F.col("value") ** 2).alias("off")).withColumn("kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+QUERIES["transformed_moments"] = _moments
+# A diagonal has all of the squares; equal shares have the least; white ones are ones.
+ORACLE_SQL["transformed_moments"] = f"""WITH {X.KV_CTE}, m AS (SELECT side, i, j, avg(vec[i] * vec[j]) AS m FROM kv, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL),
+    t AS (SELECT side, sum(CASE WHEN i = j THEN m ELSE 0 END) AS tr, sum(m * m) AS sq FROM m GROUP BY 1)
+    SELECT side, 'pca' AS kind, round(tr, 5) AS trace, round(sq, 5) AS diagonal, 0.0::DOUBLE AS off FROM t UNION ALL SELECT side, 'whiten', 64.0, 64.0, 0.0 FROM t
+    UNION ALL SELECT side, 'second_hadamard', round(tr, 5), round(tr * tr / 64, 5), round(sq - tr * tr / 64, 5) FROM t"""
