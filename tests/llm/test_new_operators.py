@@ -221,10 +221,10 @@ def test_top_k_takes_no_part(spark):
 
 
 def test_scores_are_exact_or_an_error():
-    big = np.array([[1 << 31, -(1 << 30)]])
-    assert topk.scores(big, big)[0, 0] == (1 << 62) + (1 << 60) if topk.exact_type(big // 2, big // 2) is np.int64 else True
-    half = big // 4
-    assert topk.scores(half, half)[0, 0] == int(half[0, 0]) ** 2 + int(half[0, 1]) ** 2
+    big = np.array([[1 << 30, -(1 << 30) + 1]])
+    for x, kind in ((big, np.int64), (big >> 10, np.float64), (big >> 21, np.float32)):
+        assert topk.exact_type(x, x) is kind
+        assert topk.scores(x, x)[0, 0] == int(x[0, 0]) ** 2 + int(x[0, 1]) ** 2
     with pytest.raises(OverflowError):
         topk.scores(big * 2, big * 2)
 
