@@ -116,6 +116,27 @@ def test_boosting():
     assert boosting.threshold(np.array([0.9, 0.8, 0.7]), np.array([1, 1, 0]), 0.5) <= 0.8
 
 
+def test_boosting_of_a_table_equals_that_of_arrays(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "TREES", 4)
+    monkeypatch.setattr(boosting, "WRITTEN", 2)
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, 9, 3000), rng.random(3000) * 3, rng.integers(0, 2000, 3000)], axis=1).astype(float)
+    y, fold, kind = (x[:, 0] * x[:, 1] + rng.random(3000) > 8).astype(int), rng.integers(0, 3, 3000), rng.integers(0, 2, 3000)
+    rows = [(int(f), int(t), int(k), c.tobytes(), 1) for f, t, k, c in zip(fold, y, kind, boosting.cells(x), strict=True)]
+    table = spark.createDataFrame(rows, "fold int, y int, kind int, cells binary, n long")
+    plain = boosting.fit(x, y)
+    found = []
+    for direct, parts in ((32, 1), (0, 7)):
+        monkeypatch.setattr(boosting, "DIRECT", direct)
+        model, steps = boosting.fit_table(table.repartition(parts), 3, 3)
+        assert len(model.leaves) == 4
+        for name in ("columns", "cuts", "leaves"):
+            assert np.array_equal(getattr(model, name), getattr(plain, name))
+        found.append(sorted(map(tuple, steps.collect())))
+    assert found[0] == found[1]
+    assert sum(r[2] for r in found[0]) == 3000 and sum(r[3] for r in found[0]) == y.sum()
+
+
 def test_pipeline(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}

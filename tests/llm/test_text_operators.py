@@ -216,6 +216,18 @@ def test_pii_finds_what_rules_miss(spark):
     assert sum("secret:" in found[i] for i in range(600) if i % 3) <= 12
 
 
+def test_pii_learns_from_all_documents(spark):
+    """What only documents beyond the first thousands by the hash of their ids show is learnt too."""
+    random.seed(10)
+    key = lambda: "".join(random.choices("abcdef0123456789", k=40))
+    ids = [r.id for r in spark.range(5000).selectExpr("id", "xxhash64(id) h").orderBy("h", "id").collect()]
+    rows = [(i, f"see section{i}of it") for i in ids[:4200]] + [(i, f"a token={key()} b") for i in ids[4200:]]
+    rows += [(10_000 + i, f"some word {key()} text") for i in range(30)]
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("secret:" in found[10_000 + i] for i in range(30)) >= 28
+    assert not any("secret:" in found[i] for i in ids[:4200])
+
+
 def ends_paragraph(word):
     data = np.frombuffer(word, dtype=np.uint8)
     return int(textops.spans_hash(data, np.array([0]), np.array([len(word)]))[0]) % fingerprints.PARAGRAPH_WORDS == 0

@@ -2,10 +2,11 @@
 
 Rules find e-mail addresses, IP addresses, card and phone numbers; their spans always stay. Generators propose more,
 also overlapping, spans of these kinds and of secrets (keys, tokens, passwords), in time that grows with the text. Boosted
-trees judge a proposal by its format and its context. There are no labelled spans, so the trees learn on a bounded sample
-of documents from a view that their features don't have: for cards the checksum, for phones the leading plus, for IP
+trees judge a proposal by its format and its context. There are no labelled spans, so the trees learn on the proposals of
+all documents from a view that their features don't have: for cards the checksum, for phones the leading plus, for IP
 addresses the size of the numbers, for secrets the name that one is assigned to (their features are of the token alone).
-Thresholds by kind come from documents that the trees haven't seen. Of overlapping chosen spans the likelier stays.
+Thresholds by kind count all proposals, each judged by trees that haven't seen its document. Of overlapping chosen spans
+the likelier stays.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import boosting
-from .common import durable, parts, table, trim
+from .common import parts, table, trim
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Documents and proposals that the trees are fitted on at most, the precision that thresholds are set for, on so many folds.
-SAMPLE, MOST_PROPOSALS, PRECISION, FOLDS = 4000, 40_000, 0.97, 4
+#: The precision that thresholds are set for, on so many folds, and the numbers that describe a proposal.
+PRECISION, FOLDS, FEATURES = 0.97, 4, 25
 
 # The rules' patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -159,40 +160,38 @@ def _around(rules: list[tuple[int, int, int]], kind: int, start: int) -> list[tu
     return [r[1:] for r in rules[max(0, at - 2) : at] if r[0] == kind]
 
 
-def fit(docs: DataFrame, most: int = SAMPLE) -> tuple[boosting.Trees, list[float]]:
-    """Trees and thresholds by kind from at most `most` documents with digits or at signs, by a hash of doc_id."""
+def fit(docs: DataFrame) -> tuple[boosting.Trees, list[float]]:
+    """Trees and thresholds by kind from the proposals of all documents; documents are dealt to folds by doc_id."""
     ship(docs.sparkSession)
-    marked = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"))
-    chosen = marked.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
-    sample = durable(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    marked = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "y": [], "x": []}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rules = rule_spans(text or "")
-                for kind, start, end in proposals(text or ""):
-                    if (y := truth(text, kind, start, end, rules)) is None:
-                        continue
-                    out["doc_id"].append(doc_id)
-                    out["y"].append(y)
-                    out["x"].append([float(v) for v in describe(text, kind, start, end)])
-            yield pa.record_batch([pa.array(out["doc_id"], pa.int64()), pa.array(out["y"], pa.int32()), pa.array(out["x"], pa.list_(pa.float64()))], names=list(out))
-
-    seen = sample.mapInArrow(work, "doc_id bigint, y int, x array<double>").distinct()
-    rows = sorted(seen.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "y").limit(MOST_PROPOSALS).collect())
-    if not rows:
-        return boosting.Trees(), [2.0] * len(KINDS)
-    ids, y, x = np.array([r.doc_id for r in rows]), np.array([r.y for r in rows]), np.array([r.x for r in rows])
-    # Each document's probabilities come from trees that haven't seen it; the trees that are kept have seen all.
-    fold = np.array([hashlib.md5(str(i).encode()).digest()[0] % FOLDS for i in ids])
-    p = np.zeros(len(y))
-    for k in range(FOLDS):
-        if (fold == k).any():
-            p[fold == k] = boosting.fit(x[fold != k], y[fold != k]).probability(x[fold == k])
+        for whole in batches:
+            for batch in parts(whole, "text"):
+                key, x = [], []
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    rules = rule_spans(text)
+                    fold = hashlib.md5(str(doc_id).encode()).digest()[0] % FOLDS
+                    for kind, start, end in proposals(text):
+                        if (y := truth(text, kind, start, end, rules)) is not None:
+                            key.append((fold, y, kind))
+                            x.append(describe(text, kind, start, end))
+                if not key:
+                    continue
+                found = np.hstack([np.array(key, dtype="<u2"), boosting.cells(np.array(x, dtype=np.float64))])
+                found, n = np.unique(found.view(f"V{found.shape[1] * 2}").reshape(-1), return_counts=True)
+                found = found.view("<u2").reshape(len(n), -1)
+                cells = pa.array([r.tobytes() for r in np.ascontiguousarray(found[:, 3:])], pa.binary())
+                yield pa.record_batch([*(pa.array(found[:, k].astype(np.int32)) for k in range(3)), cells, pa.array(n)], names=["fold", "y", "kind", "cells", "n"])
+        trim()
+
+    seen = marked.mapInArrow(work, "fold int, y int, kind int, cells binary, n bigint")
+    trees, steps = boosting.fit_table(seen, FEATURES, FOLDS)
+    found = steps.toArrow()
+    kind, step, n, hits = (found.column(c).to_numpy() for c in ("kind", "step", "n", "hits"))
+    limits = [boosting.threshold(step[kind == k] / boosting.STEPS, hits[kind == k], PRECISION, n[kind == k]) for k in range(len(KINDS))]
     # Where too few proposals are known to prove the precision, the trees' own probability must reach it.
-    limits = [boosting.threshold(p[x[:, 0] == k], y[x[:, 0] == k], PRECISION) for k in range(len(KINDS))]
-    return boosting.fit(x, y), [v if v <= 1 else PRECISION for v in limits]
+    return trees, [v if v <= 1 else PRECISION for v in limits]
 
 
 def choose(rules: list[tuple[int, int, int]], offered: list[tuple[int, int, int]], probability: np.ndarray, limits: list[float]) -> list[tuple[int, int, int]]:
