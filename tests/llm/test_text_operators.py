@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -306,6 +307,37 @@ def test_repeats(spark, monkeypatch, hot):
     assert found == [(i, *r) for i, r in enumerate(brute_repeats(texts))]
 
 
+def test_repeats_shards_keep_ranks_and_places_in_a_word(monkeypatch):
+    """A shard is closed before the contexts of the next anchor take it beyond its bytes, wherever batches end."""
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
+    made = []
+    monkeypatch.setattr(repeats, "_shard", lambda batch, hot: iter([made.append((batch.column("anchor").to_pylist(), hot))]))
+    names = ["anchor", "salt", "shards", "size"]
+    rows = [(a, s, n, 300) for a, s, n, k in ((1, 0, 1, 4), (2, 0, 1, 4), (3, 0, 1, 2), (4, 0, 2, 3), (4, 1, 2, 1), (5, 0, 1, 9), (6, 0, 1, 1)) for _ in range(k)]
+    whole = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+    for step in (1, 3, 7, 100):
+        made.clear()
+        list(repeats._shards(whole.slice(i, step) for i in range(0, whole.num_rows, step)))
+        assert made == [([1] * 4, False), ([2] * 4 + [3] * 2, False), ([4] * 3, True), ([4], True), ([5] * 9, False), ([6], False)]
+
+
+@pytest.mark.parametrize("symbols", [2, 60, 256])
+def test_order_by_prefix(symbols):
+    """Suffixes in order of their first bytes, whatever the alphabet and the length of the text."""
+    rng = np.random.default_rng(symbols)
+    for n, length in ((0, 5), (1, 5), (40, 3), (900, 200), (900, 30), (5000, 200)):
+        block = rng.integers(0, symbols, max(1, n // 3)).astype(np.uint8)
+        text = np.resize(block, n)
+        text[rng.integers(0, n, n // 200) if n else []] = 1
+        at = np.flatnonzero(rng.random(n) < 0.7)
+        order, head = suffix_arrays.ordered_by_prefix(text, at, length)
+        cut = [text[i : i + length].tobytes() for i in order]
+        assert sorted(order) == at.tolist() and cut == sorted(cut)
+        assert head.tolist() == [not i or cut[i] != cut[i - 1] for i in range(len(cut))]
+    order, head = suffix_arrays._sorted(np.array([7, 5, 7], dtype=np.uint64) << np.uint64(40), np.arange(3, dtype=np.uint64), 21, 44)
+    assert order[0] == 1 and head.tolist() == [True, True, False]
+
+
 def test_suffix_array():
     text = np.frombuffer(b"banana bandana banana ban", dtype=np.uint8)
     order, words = suffix_arrays.suffix_array(text)

@@ -5,8 +5,8 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 1. Every string of LENGTH bytes holds an anchor, the GRAM bytes of the least hash in it, at the same place wherever it
    stands. Only anchors that occur again, with the bytes around them (their context), can be part of a repeat.
 2. Occurrences whose whole contexts are equal repeat throughout; one of each such class stands for all.
-3. The different contexts of an anchor are dealt to shards by anchor. A shard builds its suffix array by refinement,
-   takes common prefixes, and finds the windows that two of its contexts share.
+3. The different contexts of an anchor are dealt to shards by anchor. A shard builds the suffix array of its windows'
+   starts by refinement, to the depth of a window, and finds the windows that two of its contexts share.
 4. An anchor with very many different contexts is dealt to several shards; these hand on their windows' digests as
    sorted runs, cut into ranges, and for each range the runs are merged by binary search.
 """
@@ -25,12 +25,12 @@ from ..session import ship
 from . import textops as T
 from .common import durable, partitions, table
 from .near_dups import row_key
-from .suffix_arrays import common_prefixes, suffix_array
+from .suffix_arrays import ordered_by_prefix
 
 LENGTH, GRAM = 200, 48
 SIDE = LENGTH - GRAM
-#: Different contexts of one anchor in one shard, bytes of a shard (three ranks of which fit into a word), and windows of a
-#: range when runs are merged.
+#: Different contexts of one anchor in one shard, bytes of a shard (two ranks and a place of which fit into a word), and
+#: windows of a range when runs are merged.
 CONTEXTS, SHARD_BYTES, RANGE = 4096, 7 << 18, 400_000
 
 #: Bits of an anchor that the sieve looks at.
@@ -123,42 +123,49 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 FOUND = "anchor bigint, context bigint, windows array<int>, run int, digests array<bigint>, owners array<bigint>, places array<bigint>, offsets array<int>, settled array<boolean>"
 
 
-def shared_windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """For a shard of contexts, in order of anchors: context number and offset of the windows that repeat, and of all."""
+def shared_windows(batch: pa.RecordBatch, all_of_them: bool = True) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """For a shard of contexts: the starts of the windows that repeat, in order, and columns of all windows.
+
+    Without `all_of_them` the columns leave out windows whose bytes stand at one start alone.
+    """
     raw = batch.column("bytes").cast(pa.large_binary())
     at = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
     text = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[at[0] : at[-1]]
     at = at - at[0]
     size = np.diff(at)
-    order, words = suffix_array(text)
-    prefix = common_prefixes(text, order, words, at[:-1], size, LENGTH)
-    group = np.cumsum(prefix < LENGTH)
-    number = np.repeat(np.arange(len(size)), size)[order]
+    starts = np.flatnonzero(np.arange(len(text)) + LENGTH <= np.repeat(at[1:], size))
+    order, head = ordered_by_prefix(text, starts, LENGTH)
+    columns = {k: batch.column(k).to_numpy() for k in ("row_key", "start", "copies")}
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    alone = head & np.r_[head[1:], np.ones(min(1, len(head)), dtype=bool)]
+    single = order[alone & (columns["copies"] > 1)[owner[order]]]
+    if not all_of_them:
+        order, head = order[~alone], head[~alone]
+    number = owner[order]
     offset = order - at[number]
-    valid = offset + LENGTH <= size[number]
-    group, number, offset = group[valid], number[valid], offset[valid]
-    columns = {k: batch.column(k).to_numpy() for k in ("anchor", "row_key", "start", "copies")}
-    _, anchor = np.unique(columns["anchor"], return_inverse=True)
-    kind = group * (anchor.max() + 1 if len(anchor) else 1) + anchor[number]
     with np.errstate(over="ignore"):
         place = T.mix(columns["row_key"][number].view(np.uint64) + T.mix((columns["start"][number] + offset).astype(np.uint64)))
-    turn = np.argsort(kind, kind="stable")
-    kind, number, offset, place = kind[turn], number[turn], offset[turn], place[turn]
-    first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(kind) else np.empty(0, dtype=np.int64)
-    count = np.diff(np.r_[first, len(kind)])
+    first = np.flatnonzero(head)
+    count = np.diff(np.r_[first, len(head)])
     repeats = np.zeros(0, dtype=bool)
     if len(first):
         repeats = np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
         repeats |= np.maximum.reduceat(columns["copies"][number], first) > 1
     every = np.repeat(repeats, count)
-    return number[every], offset[every], {"number": number, "offset": offset, "place": place, "first": first, "repeats": every, "text": text, "at": at}
+    found = np.zeros(len(text), dtype=bool)
+    found[order[every]] = True
+    found[single] = True
+    return np.flatnonzero(found), {"number": number, "offset": offset, "place": place, "first": first, "repeats": every, "text": text, "at": at}
 
 
 def _shard(batch: pa.RecordBatch, hot: bool) -> Iterator[pa.RecordBatch]:
-    number, offset, every = shared_windows(batch)
-    turn = np.lexsort((offset, number))
-    cut = np.searchsorted(number[turn], np.arange(batch.num_rows + 1)).astype(np.int32)
-    windows = pa.ListArray.from_arrays(pa.array(cut), pa.array(offset[turn].astype(np.int32)))
+    found, every = shared_windows(batch, hot)
+    # Windows of a context all overlap, so the first and the last one tell what they cover.
+    low, high = np.searchsorted(found, every["at"][:-1]), np.searchsorted(found, every["at"][1:])
+    some = high > low
+    cut = np.r_[0, np.cumsum(2 * some)].astype(np.int32)
+    ends = np.stack([found[low[some]], found[high[some] - 1]], axis=1) - every["at"][:-1][some, None]
+    windows = pa.ListArray.from_arrays(pa.array(cut), pa.array(ends.reshape(-1).astype(np.int32)))
     none = {k: pa.nulls(batch.num_rows, t) for k, t in (("run", pa.int32()), ("digests", pa.list_(pa.int64())), ("owners", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32())), ("settled", pa.list_(pa.bool_())))}
     yield pa.record_batch([batch.column("anchor"), batch.column("context"), windows, *none.values()], names=["anchor", "context", "windows", *none])
     if not hot:
@@ -184,20 +191,27 @@ def _shard(batch: pa.RecordBatch, hot: bool) -> Iterator[pa.RecordBatch]:
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor and salt: many anchors make a shard, or a part of one that is dealt to several."""
     held: list[pa.RecordBatch] = []
-    size, last = 0, None
+    rows, size, last = 0, 0, None
+    begin = (0, 0)  # rows and bytes that are held before the group that is being read
     for batch in batches:
         anchor, salt, shards = (batch.column(k).to_numpy() for k in ("anchor", "salt", "shards"))
-        weight = np.cumsum(batch.column("size").to_numpy())
+        weight = np.r_[0, np.cumsum(batch.column("size").to_numpy())]
         head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])])
-        for a, b in zip(head, np.r_[head[1:], len(anchor)], strict=True):
-            group = (anchor[a], salt[a], shards[a] > 1)
-            if held and group[:2] != last[:2] and (group[2] or last[2] or size >= SHARD_BYTES):
-                yield from _shard(pa.Table.from_batches(held).combine_chunks().to_batches()[0], last[2])
-                held, size = [], 0
-            held.append(batch.slice(a, b - a))
-            size += int(weight[b - 1] - (weight[a - 1] if a else 0))
-            last = group
-    if held:
+        taken = 0
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(anchor)], strict=True):
+            group = (anchor[a], salt[a], bool(shards[a] > 1))
+            new = int(weight[b] - weight[a])
+            other = last is not None and group[:2] != last[:2]
+            if other:
+                begin = (rows, size)
+            if begin[0] and (size + new > SHARD_BYTES or (other and (group[2] or last[2]))):
+                held.append(batch.slice(taken, a - taken))
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield from _shard(whole.slice(0, begin[0]), last[2])
+                held, rows, size, begin, taken = [whole.slice(begin[0])], rows - begin[0], size - begin[1], (0, 0), a
+            rows, size, last = rows + b - a, size + new, group
+        held.append(batch.slice(taken))
+    if rows:
         yield from _shard(pa.Table.from_batches(held).combine_chunks().to_batches()[0], last[2])
 
 

@@ -1,4 +1,4 @@
-"""Suffix arrays in numpy: Larsson-Sadakane refinement and Kasai's common prefixes."""
+"""Suffix arrays in numpy: refinement by doubling, to the end or to a given length, and Kasai's common prefixes."""
 
 from __future__ import annotations
 
@@ -85,3 +85,53 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, words: np.ndarray, star
         held[:live] = np.minimum(h, most)
         out[j] = held[:live]
     return out
+
+
+def ordered_by_prefix(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The given positions in order of their suffixes' first `length` bytes, and where those bytes differ from the ones before.
+
+    The suffix array as far as `length` bytes need it: ranks by h bytes of two positions give the rank by up to 2h. As no
+    two suffixes need be told apart beyond, no common prefixes have to be walked: those of `length` bytes have one rank.
+    Sorted are whole numbers that hold the ranks and, where it fits, the position, so that no order has to be looked up.
+    """
+    n = len(text)
+    bits = int(n).bit_length()
+    place = np.arange(n, dtype=np.uint64)
+    # The first ranks: as many bytes as a word holds, by their numbers among the different bytes of the text.
+    used = np.flatnonzero(np.bincount(text, minlength=256))
+    wide = max(1, int(len(used)).bit_length())
+    symbol = np.zeros(256, dtype=np.uint64)
+    symbol[used] = np.arange(1, len(used) + 1)
+    symbols = symbol[text]
+    h = max(1, min(length, (64 - bits) // wide))
+    key = np.zeros(n, dtype=np.uint64)
+    for k in range(h):
+        key <<= np.uint64(wide)
+        key[: max(n - k, 0)] |= symbols[k:]
+    if h >= length:
+        key, place = key[at], at.astype(np.uint64)
+    order, head = _sorted(key, place, bits, h * wide)
+    while h < length:
+        rank = np.zeros(n + length, dtype=np.uint64)  # from 1 on; what lies behind the end has 0
+        rank[order] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1, dtype=np.uint64), np.uint64(0)))
+        step = min(h, length - h)
+        h += step
+        if h >= length:
+            place = at.astype(np.uint64)
+            key = rank[at] << np.uint64(bits) | rank[at + step]
+        else:
+            key = rank[:n] << np.uint64(bits) | rank[step : n + step]
+        order, head = _sorted(key, place, bits, 2 * bits)
+    return order, head
+
+
+def _sorted(key: np.ndarray, place: np.ndarray, bits: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `bits` bits in order of keys of `wide` bits, and where a new key starts."""
+    if bits + wide <= 64:
+        key = np.sort(key << np.uint64(bits) | place)
+        order = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+        key >>= np.uint64(bits)
+    else:
+        turn = np.argsort(key)
+        key, order = key[turn], place[turn].astype(np.int64)
+    return order, np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, dtype=bool)
