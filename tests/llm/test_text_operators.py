@@ -424,6 +424,22 @@ def test_decontamination_recall(spark, monkeypatch, broadcast):
     assert {(d, i, r) for d, i, _, _, _, r in found if d < 100} == {(1, 1, True), (3, 2, False), (5, 3, False), (7, 4, False), (9, 5, False), (10, 5, True), (11, 1, False)}
 
 
+@pytest.mark.parametrize(("piece", "broadcast"), [(1, decontamination.MOST_BROADCAST), (7, decontamination.MOST_BROADCAST), (7, -1)])
+def test_decontamination_of_long_texts_in_pieces(spark, monkeypatch, piece, broadcast):
+    """No row holds the words of a whole long text, and items that lie across the ends of pieces are found as by the SQL."""
+    monkeypatch.setattr(decontamination, "PIECE", piece)
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", broadcast)
+    random.seed(9)
+    prose = lambda n: " ".join("".join(random.choices("abcdefgh", k=5)) for _ in range(n))
+    rows = [(i, f"{prose(n)} {t}{' ' + prose(2 * n) if i % 2 else ''}") for i, (n, (_, t)) in enumerate((n, c) for n in (1, 5, 13, 20) for c in CASES)]
+    documents, benchmark = pd.DataFrame(rows, columns=["doc_id", "text"]), pd.DataFrame(ITEMS, columns=["item_id", "text"])
+    wanted = sorted(duckdb.sql(decontamination.OP7_SQL).fetchall())
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert len(wanted) > 16 and sorted(map(tuple, decontamination.contaminated(docs, items).collect())) == [(d, i, n, m, pytest.approx(c), r) for d, i, n, m, c, r in wanted]
+    most = decontamination._tokens(docs, ["doc_id"]).selectExpr("max(size(tokens))", "max(size(core))").first()
+    assert max(most) <= piece + decontamination.WORDS
+
+
 def filled(names, slots):
     """The lookup table by turns, step by step."""
     start, step = ([int(hashlib.md5(f"{what}:{n}".encode()).hexdigest()[:8], 16) for n in names] for what in ("offset", "step"))

@@ -18,6 +18,8 @@ from .native_text import CORES_SQL, WORDS_SQL, cores, solid_words, starts_digit
 from .near_dups import row_key
 
 WORDS = 5
+#: Windows of a text that are made at a time: what a word costs beside its letters is never held for a whole long text.
+PIECE = 2048
 #: The share of an item's windows that a document must hold, and the fewest plain words of a window that stays a template.
 COVERAGE, LEAST_WORDS = 0.8, 2
 #: Bytes of benchmark windows up to which these are broadcast (checked), with what a row costs beside its words.
@@ -53,17 +55,30 @@ def canonical(words: Column, core: Column, low: Column) -> Column:
 
 
 def _tokens(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, and the text's core words, these in lower case, and tokens.
+    """keys, and for each piece of the text its base, core words, these in lower case, and tokens.
 
-    Each step is a column of its own, as expressions within lambdas would be worked out for every element.
+    A piece starts with the word before its first window, if there is one, and ends with the last word of its last; `base`
+    is the place of its first word in the text. Each step is a column of its own, as expressions within lambdas would be
+    worked out for every element.
     """
-    staged = rows.select(*keys, solid_words(F.col("text")).alias("words")).select(*keys, "words", cores(F.col("words")).alias("core"))
+    whole = rows.select(*keys, solid_words(F.col("text")).alias("whole"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("whole") - WORDS, F.lit(0)), F.lit(PIECE))
+    whole = whole.select(*keys, "whole", F.explode(starts).alias("start")).withColumn("base", F.greatest(F.col("start") - 1, F.lit(0)))
+    words = F.slice("whole", F.col("base") + 1, F.col("start") - F.col("base") + PIECE + WORDS - 1)
+    keys = [*keys, "base"]
+    staged = whole.select(*keys, words.alias("words"))
+    staged = staged.select(*keys, "words", cores(F.col("words")).alias("core"))
     staged = staged.select(*keys, "words", "core", F.transform("core", F.lower).alias("low"))
     return staged.select(*keys, "core", "low", canonical(F.col("words"), F.col("core"), F.col("low")).alias("tokens"))
 
 
+def _first() -> Column:
+    """Place of a piece's first window: all pieces but a text's first have a word before it."""
+    return (F.col("base") > 0).cast("int")
+
+
 def _windows(tokens: DataFrame, *columns: str) -> DataFrame:
-    """`columns` of the rows of `_tokens`, and place and hash of each window; a text below WORDS words is one window.
+    """`columns` and base of the rows of `_tokens`, and place in the piece and hash of each window; a text below WORDS words is one window.
 
     Windows of many placeholders are hashed by their words. No filter looks at the tokens, as Spark would work them out twice.
     """
@@ -74,17 +89,21 @@ def _windows(tokens: DataFrame, *columns: str) -> DataFrame:
         plain = F.xxhash64(F.lit(0), *[F.get(F.col("low"), i + k) for k in range(WORDS)])
         return F.when(some[0].isNotNull(), F.when(words >= LEAST_WORDS, F.xxhash64(*some)).otherwise(plain))
 
-    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size("tokens") - WORDS, F.lit(0))), key)
+    hashes = F.transform(F.sequence(_first(), F.greatest(F.size("tokens") - WORDS, F.lit(0))), key)
     # The hashes are a column too: a generator that holds a lambda isn't compiled, and then every window copies its text.
+    columns = [*columns, "base"]
     staged = tokens.select(*dict.fromkeys([*columns, "tokens"]), hashes.alias("hashes"))
-    return staged.select(*columns, F.posexplode_outer("hashes").alias("at", "hash")).filter("hash is not null")
+    staged = staged.select(*columns, F.posexplode_outer("hashes").alias("nth", "hash")).filter("hash is not null")
+    return staged.select(*columns, (F.col("nth") + _first()).alias("at"), "hash")
 
 
 def _short_runs(tokens: DataFrame, n: int, *columns: str) -> DataFrame:
-    """Place and hash of each run of n words as they stand, for benchmark items of n words."""
-    hashes = F.transform(F.sequence(F.lit(0), F.size("low") - n), lambda i: F.xxhash64(F.lit(n), *[F.get(F.col("low"), i + k) for k in range(n)]))
+    """Place and hash of each run of n words as they stand, for benchmark items of n words; those where pieces meet may stand twice."""
+    columns = [*columns, "base"]
+    hashes = F.transform(F.sequence(_first(), F.size("low") - n), lambda i: F.xxhash64(F.lit(n), *[F.get(F.col("low"), i + k) for k in range(n)]))
     staged = tokens.filter(F.size("low") >= n).select(*columns, hashes.alias("hashes"))
-    return staged.select(*columns, F.posexplode("hashes").alias("at", "hash"))
+    staged = staged.select(*columns, F.posexplode("hashes").alias("nth", "hash"))
+    return staged.select(*columns, (F.col("nth") + _first()).alias("at"), "hash")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -104,7 +123,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     dense = (F.size(F.filter("tokens", lambda t: ~t.startswith("<"))) < LEAST_WORDS) | (F.col("span") < WORDS)
     rows = rows.withColumn("dense", dense).withColumn("form", F.when(F.col("dense"), F.col("low")).otherwise(F.col("tokens")))
     sizes = rows.groupBy("item_key").agg(F.countDistinct("part").alias("n_windows"), F.countDistinct(F.when(~F.col("dense"), F.col("part"))).alias("n_sparse"))
-    return rows.join(sizes, "item_key").select("item_key", "item_id", F.col("at").alias("item_at"), "hash", "span", "part", "dense", "form", F.col("tokens").alias("kinds"), F.col("low").alias("item_values"), "n_windows", "n_sparse")
+    return rows.join(sizes, "item_key").select("item_key", "item_id", (F.col("base") + F.col("at")).alias("item_at"), "hash", "span", "part", "dense", "form", F.col("tokens").alias("kinds"), F.col("low").alias("item_values"), "n_windows", "n_sparse")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -116,13 +135,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Items below five words are found as whole texts of the same form and, from two words on, as runs of their words; a
     single word only as the whole text. reparameterised tells whether some slot differs.
 
-    Benchmark windows of up to MOST_BROADCAST bytes (checked) are broadcast, and texts aren't shuffled; beyond that the
-    documents' window hashes are shuffled alone, and what they hit is joined with its texts afterwards.
+    Texts are worked on in pieces of PIECE windows. Benchmark windows of up to MOST_BROADCAST bytes (checked) are broadcast,
+    and texts aren't shuffled; beyond that the documents' window hashes are shuffled alone, what they hit is written, and
+    then joined with the words of the texts that have hits.
     """
     items = durable(benchmark_windows(benchmark))
     words = sum(F.octet_length(F.array_join(c, " ", "")) for c in ("form", "kinds", "item_values"))
     size, spans = items.agg(F.sum(words + ROW_BYTES), F.collect_set(F.when(F.col("span") < WORDS, F.col("span")))).first()
-    tokens = _tokens(docs.select("doc_id", row_key().alias("row_key"), "text"), ["doc_id", "row_key"])
+    docs = docs.select("doc_id", row_key().alias("row_key"), "text")
+    tokens = _tokens(docs, ["doc_id", "row_key"])
     few = (size or 0) <= MOST_BROADCAST
     carried = ["doc_id", "row_key", "core", "tokens"] if few else ["row_key"]
     windows = _windows(tokens, *carried)
@@ -131,7 +152,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if few:
         hits = windows.join(F.broadcast(items), "hash")
     else:
-        hits = windows.join(items, "hash").join(tokens.select("doc_id", "row_key", "core", "tokens").dropDuplicates(["row_key"]), "row_key")
+        hits = durable(windows.join(items, "hash"))
+        texts = docs.join(hits.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+        hits = hits.join(_tokens(texts, ["doc_id", "row_key"]).select("doc_id", "row_key", "base", "core", "tokens"), ["row_key", "base"])
     # Hits are compared by order, since as an equality the words would become join keys and be cut for every window; a
     # lambda here would keep the join from being compiled.
     for k in range(WORDS):
@@ -140,7 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hits = hits.filter((F.col("span") <= k) | ((own >= other) & (own <= other)))
     hits = hits.withColumn("values", F.transform(F.slice("core", F.col("at") + 1, WORDS), F.lower)).drop("core", "tokens")
     pair = ["doc_id", "row_key", "item_key", "item_id", "n_windows", "n_sparse"]
-    hits = hits.withColumn("aligned", F.col("at") - F.col("item_at"))
+    hits = hits.withColumn("aligned", F.col("base") + F.col("at") - F.col("item_at"))
     slots = F.filter(F.arrays_zip("kinds", "values", "item_values"), lambda s: s["kinds"].startswith("<"))
     runs = hits.groupBy(*pair, "aligned").agg(F.collect_set(F.struct("part", "dense")).alias("parts"), F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
     # Consistent: as many different (kind, item value) as (kind, item value, document value).
