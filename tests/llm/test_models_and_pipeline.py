@@ -222,6 +222,18 @@ def test_decontamination_stage_judges_rows_by_their_own_text(spark, data):
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([r for r in rows if r[1] is None or item not in r[1]], key=str)
 
 
+def test_decontamination_stage_cuts_long_texts(spark, data, monkeypatch):
+    """Whatever piece an item starts in, its document goes; the words of a long text never stand in one row."""
+    monkeypatch.setattr(decontamination, "PIECE", 16)
+    item = spark.read.parquet(f"{data}/benchmark.parquet").first().text
+    filler = [" ".join(f"own{i}x{k}" for k in range(300)) for i in range(20)]
+    rows = [(i, f"{' '.join(t.split()[:i + 20])} {item} {t}" if i % 2 else t) for i, t in enumerate(filler)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.decontamination(spark, docs, data)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [r for r in rows if r[0] % 2 == 0]
+    assert decontamination._tokens(docs, ["doc_id"]).selectExpr("max(size(tokens))").first()[0] <= 16 + decontamination.WORDS
+
+
 def test_addresses_of_thousands_of_digits():
     for zeros in (5, 5000, 100_000):
         text = "at " + "0" * zeros + "1.1.1.1 and " + "9" * zeros + ".1.1.1 and 0." + "0" * zeros + ".0.255"
